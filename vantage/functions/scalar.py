@@ -102,3 +102,12 @@ def parse_date(x) -> Column:
 def same_text_ci(a, b) -> Column:
     """F10 case-insensitive equality."""
     return F.lower(_c(a)) == F.lower(_c(b))
+
+
+def round_num(x, digits: int = 0) -> Column:
+    """F3 ``ROUND(numeric, n)``: half away from zero on the decimal value.
+
+    Double arithmetic leaves noise around exact halves (3.7875 may arrive as
+    3.78749999999999996), so the value is first settled at 12 decimals, the
+    precision PostgreSQL NUMERIC division carries, and then rounded."""
+    return F.round(F.round(_c(x), 12), digits)

@@ -62,7 +62,41 @@ broadcast_snapshots AS (
 """
 
 
+def decimal_rounding(sql: str) -> str:
+    """Rewrite ``round(x, n)`` as rounding of the decimal value of ``x``.
+
+    PostgreSQL rounds NUMERIC half away from zero on the decimal digits, and
+    Spark's ``round`` on a double does the same on the shortest decimal form
+    (148.325 -> 148.33).  DuckDB's ``round`` on a double works on the binary
+    value (148.32499.. -> 148.32), so the oracle rounds a DECIMAL instead.
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i : j + 6])
+            i = j + 6
+            continue
+        out.append(sql[i:j])
+        k, depth, comma = j + 6, 1, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        arg, digits = sql[j + 6 : comma], sql[comma + 1 : k - 1]
+        out.append(f"CAST(round(CAST({decimal_rounding(arg)} AS DECIMAL(38,12)), {digits.strip()}) AS DOUBLE)")
+        i = k
+
+
 def with_views(select: str, ctes: str = "") -> str:
     """``WITH <binding views>[, <ctes>] <select>``."""
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
-    return f"WITH {VIEWS.strip()}{extra}\n{select.strip()}"
+    return decimal_rounding(f"WITH {VIEWS.strip()}{extra}\n{select.strip()}")

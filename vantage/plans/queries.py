@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantage.functions.scalar import round_num, safe_div
 from vantage.operators import aggregates as agg
 from vantage.plans import params as P
 from vantage.sources.tables import STATS_SCALE, DriverTables
@@ -21,7 +22,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> DriverTables:
 def storage_scale(stats: DataFrame) -> DataFrame:
     """Round measures to the declared scale of the statistics table."""
     return stats.select(
-        *[F.round(c, STATS_SCALE[c]).alias(c) if c in STATS_SCALE else F.col(c) for c in stats.columns]
+        *[round_num(c, STATS_SCALE[c]).alias(c) if c in STATS_SCALE else F.col(c) for c in stats.columns]
     )
 
 
@@ -29,3 +30,183 @@ def q8_rolling_stats(spark: SparkSession, sf_dir: str, as_of: str = P.AS_OF, win
     t = _tables(spark, sf_dir)
     stats = agg.rolling_statistics(t.streamers, t.broadcasts(), t.snapshots, as_of, window_days)
     return storage_scale(stats)
+
+
+# ----------------------------------------------------------------- Q1 - Q7, Q18
+
+from vantage.functions.tiers import versatility_rating  # noqa: E402
+from vantage.operators import filters as flt  # noqa: E402
+from vantage.operators import joins as J  # noqa: E402
+from vantage.operators import windows as Wn  # noqa: E402
+
+
+def _recent_star(t: DriverTables, days: int, as_of: str, by=(), primary=False, entity_cols=("username",)):
+    """Sessions started in the trailing window ⋈ snapshots at session grain ⋈ entity."""
+    b = flt.trailing_days(t.broadcasts(with_primary_category=primary), "started_at", as_of, days) if days else t.broadcasts(primary)
+    grain = J.session_grain(t.snapshots.select("broadcast_id", "concurrent_viewers", "chat_messages_delta", *by), by)
+    return J.star_join(t.streamers, b, grain, entity_cols)
+
+
+def q1_high_engagement(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, min_engagement=5.0):
+    t = _tables(spark, sf_dir)
+    j = _recent_star(t, days, as_of, primary=True, entity_cols=("username", "display_name"))
+    g = j.groupBy("streamer_id", "username", "display_name").agg(
+        F.count("broadcast_id").alias("total_broadcasts"),
+        F.count_distinct("primary_category_id").alias("categories_played"),
+        J.avg_engagement().alias("_eng"),
+        J.stddev_engagement().alias("_sd"),
+        J.avg_viewers().alias("_v"),
+    )
+    return (
+        g.filter(F.col("_eng") > min_engagement)
+        .select(
+            "username",
+            "display_name",
+            "total_broadcasts",
+            "categories_played",
+            round_num("_eng", 3).alias("avg_engagement_rate"),
+            round_num("_sd", 3).alias("engagement_consistency"),
+            round_num("_v", 0).alias("avg_viewers"),
+        )
+        .orderBy(F.col("avg_engagement_rate").desc_nulls_first(), "username")
+    )
+
+
+def q2_category_independent(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS_Q2, min_sessions=2, min_categories=2):
+    t = _tables(spark, sf_dir)
+    j = J.with_category(_recent_star(t, days, as_of, by=("category_id",)), t.categories, ("category_name",))
+    perf = j.groupBy("streamer_id", "username", "category_name").agg(
+        J.avg_viewers().alias("avg_viewers_in_category"),
+        J.avg_engagement().alias("avg_engagement_in_category"),
+        F.count_distinct("broadcast_id").alias("broadcasts_in_category"),
+    )
+    e = F.col("avg_engagement_in_category")
+    ent = (
+        perf.filter(F.col("broadcasts_in_category") >= min_sessions)
+        .groupBy("username", "streamer_id")
+        .agg(
+            F.count_distinct("category_name").alias("categories_count"),
+            F.avg(e).alias("_avg"),
+            F.stddev_samp(e).alias("_sd"),
+            F.min(e).alias("_min"),
+            F.max(e).alias("_max"),
+        )
+        .filter(F.col("categories_count") >= min_categories)
+    )
+    return ent.select(
+        "username",
+        "categories_count",
+        round_num("_avg", 3).alias("overall_avg_engagement"),
+        round_num("_sd", 3).alias("engagement_variance"),
+        round_num("_min", 3).alias("min_category_engagement"),
+        round_num("_max", 3).alias("max_category_engagement"),
+        versatility_rating("_sd").alias("versatility_rating"),
+    ).orderBy(F.col("engagement_variance").asc_nulls_last(), F.col("overall_avg_engagement").desc_nulls_first(), "username")
+
+
+def q3_hype_dependency(spark, sf_dir, fanout="reference"):
+    t = _tables(spark, sf_dir)
+    grain = J.session_grain(t.snapshots.select("broadcast_id", "category_id", "concurrent_viewers", "chat_messages_delta"), ("category_id",))
+    j = J.with_category(J.star_join(t.streamers, t.broadcasts(), grain), t.categories)
+    g = j.groupBy("streamer_id", "username", "category_id", "category_name", "is_trending").agg(
+        (J.rows() if fanout == "reference" else F.count_distinct("broadcast_id")).alias("broadcasts_count"),
+        round_num(J.avg_viewers(), 0).alias("avg_viewers"),
+        round_num(J.avg_engagement(), 3).alias("engagement_rate"),
+        J.fanout_sum("follower_gain", "reference" if fanout == "reference" else "session").alias("total_followers_gained"),
+    )
+    return g.select(
+        "username", "category_name", "is_trending", "broadcasts_count", "avg_viewers", "engagement_rate", "total_followers_gained"
+    ).orderBy("username", F.col("is_trending").desc_nulls_first(), F.col("avg_viewers").desc_nulls_first(), "category_name")
+
+
+def _velocity_aggs(fanout: str):
+    gain = J.fanout_sum("follower_gain", fanout)
+    secs = J.fanout_sum("duration_seconds", fanout)
+    hours = secs / F.lit(3600.0)
+    return gain, hours
+
+
+def q4_follower_velocity(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, fanout="reference"):
+    t = _tables(spark, sf_dir)
+    j = _recent_star(t, days, as_of)
+    gain, hours = _velocity_aggs(fanout)
+    g = j.groupBy("streamer_id", "username").agg(
+        gain.alias("total_follower_gain"), hours.alias("_h"), J.avg_viewers().alias("_v")
+    )
+    vel = safe_div("total_follower_gain", "_h")
+    return g.select(
+        "username",
+        "total_follower_gain",
+        round_num("_h", 1).alias("total_hours_streamed"),
+        round_num(vel, 2).alias("follower_velocity"),
+        round_num("_v", 0).alias("avg_viewers"),
+        round_num(safe_div(vel, "_v") * F.lit(100.0), 3).alias("efficiency_score"),
+    ).orderBy(F.col("follower_velocity").desc_nulls_first(), "username")
+
+
+def q5_hidden_gem_score(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, k=10, fanout="reference"):
+    t = _tables(spark, sf_dir)
+    j = _recent_star(t, days, as_of, primary=True, entity_cols=("username", "display_name"))
+    gain, hours = _velocity_aggs(fanout)
+    m = j.groupBy("streamer_id", "username", "display_name").agg(
+        J.avg_engagement().alias("eng"),
+        J.stddev_engagement().alias("sd"),
+        safe_div(gain, hours).alias("vel"),
+        F.count_distinct("primary_category_id").alias("unique_categories"),
+        J.avg_viewers().alias("v"),
+    )
+    score = (
+        F.col("eng") * 20
+        + F.col("vel") * 10
+        + F.col("unique_categories") * 15
+        + F.when(F.col("sd") < 1, 20).otherwise(0)
+        + F.when(F.col("v") < 200, 30).otherwise(0)
+        + F.when(F.col("v") > 1000, -50).otherwise(0)
+    )
+    out = m.select(
+        "username",
+        "display_name",
+        round_num("eng", 3).alias("engagement_rate"),
+        round_num("sd", 3).alias("engagement_consistency"),
+        round_num("vel", 2).alias("follower_velocity"),
+        "unique_categories",
+        round_num("v", 0).alias("avg_viewers"),
+        round_num(score, 2).alias("hidden_gem_score"),
+    )
+    return out.orderBy(F.col("hidden_gem_score").desc_nulls_first(), "username").limit(k)
+
+
+def q6_retention_curve(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return Wn.retention_curve(t.snapshots)
+
+
+def q7_category_switch_impact(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    cs = flt.switch_only(Wn.category_switches(t.snapshots))
+    b = t.broadcasts().select("broadcast_id", "streamer_id")
+    j = cs.join(b, "broadcast_id").join(t.streamers.select("streamer_id", "username"), "streamer_id")
+    j = J.role_playing(j, t.categories, "prev_category_id", "from_category")
+    j = J.role_playing(j, t.categories, "category_id", "to_category")
+    change = F.col("concurrent_viewers") - F.col("prev_viewers")
+    return j.select(
+        "streamer_id",
+        "username",
+        "from_category",
+        "to_category",
+        F.col("prev_viewers").alias("viewers_before_switch"),
+        F.col("concurrent_viewers").alias("viewers_after_switch"),
+        change.alias("viewer_change"),
+        round_num(safe_div(change, "prev_viewers") * F.lit(100.0), 1).alias("percent_change"),
+    ).orderBy(F.col("viewer_change").desc_nulls_first())
+
+
+def q18_quick_counts(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    grain = J.session_grain(t.snapshots.select("broadcast_id", "concurrent_viewers", "chat_messages_delta"))
+    j = J.star_join(t.streamers, t.broadcasts(), grain)
+    return (
+        j.groupBy("username")
+        .agg(J.rows().alias("broadcast_count"), round_num(J.avg_viewers(), 0).alias("avg_viewers"))
+        .orderBy(F.col("avg_viewers").desc_nulls_first(), "username")
+    )

@@ -12,11 +12,27 @@ from vantage.plans import sql as S
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "q1_high_engagement": Q.q1_high_engagement,
+        "q2_category_independent": Q.q2_category_independent,
+        "q3_hype_dependency": Q.q3_hype_dependency,
+        "q4_follower_velocity": Q.q4_follower_velocity,
+        "q5_hidden_gem_score": Q.q5_hidden_gem_score,
+        "q6_retention_curve": Q.q6_retention_curve,
+        "q7_category_switch_impact": Q.q7_category_switch_impact,
         "q8_rolling_stats": Q.q8_rolling_stats,
+        "q18_quick_counts": Q.q18_quick_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "q1_high_engagement": S.q1_high_engagement(),
+        "q2_category_independent": S.q2_category_independent(),
+        "q3_hype_dependency": S.q3_hype_dependency(),
+        "q4_follower_velocity": S.q4_follower_velocity(),
+        "q5_hidden_gem_score": S.q5_hidden_gem_score(),
+        "q6_retention_curve": S.q6_retention_curve(),
+        "q7_category_switch_impact": S.q7_category_switch_impact(),
         "q8_rolling_stats": S.q8_rolling_stats(),
+        "q18_quick_counts": S.q18_quick_counts(),
     }

@@ -10,6 +10,7 @@ DuckDB oracle in :mod:`vantage.plans.oracle`.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,7 +142,12 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 def ts_lit(value) -> Column:
     """A ``TIMESTAMP_NTZ`` literal from a date/datetime/ISO string (no zone shift)."""
-    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    if isinstance(value, dt.datetime):
+        text = value.isoformat(sep=" ")
+    elif isinstance(value, dt.date):
+        text = value.isoformat()
+    else:
+        text = str(value)
     if len(text) == 10:
         text += " 00:00:00"
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
