@@ -1,7 +1,9 @@
 """The public query surface (Q1-Q22) over the driver tables.
 
-Each query is ``f(spark, sf_dir) -> DataFrame`` built from the operators; the
-domain tables are derived lazily so Catalyst prunes what a query does not use.
+Each query is ``f(tables, **params) -> DataFrame`` over a tables object
+(``DriverTables`` for the driver corpus, ``DomainTables`` for domain data); the
+registry binds them to ``(spark, sf_dir)``.  Domain tables are derived lazily so
+Catalyst prunes whatever a query does not use.
 """
 
 from __future__ import annotations
@@ -15,10 +17,6 @@ from vantage.plans import params as P
 from vantage.sources.tables import STATS_SCALE, DriverTables
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> DriverTables:
-    return DriverTables(spark, sf_dir)
-
-
 def storage_scale(stats: DataFrame) -> DataFrame:
     """Round measures to the declared scale of the statistics table."""
     return stats.select(
@@ -26,8 +24,7 @@ def storage_scale(stats: DataFrame) -> DataFrame:
     )
 
 
-def q8_rolling_stats(spark: SparkSession, sf_dir: str, as_of: str = P.AS_OF, window_days: int = P.WINDOW_DAYS) -> DataFrame:
-    t = _tables(spark, sf_dir)
+def q8_rolling_stats(t, as_of: str = P.AS_OF, window_days: int = P.WINDOW_DAYS) -> DataFrame:
     stats = agg.rolling_statistics(t.streamers, t.broadcasts(), t.snapshots, as_of, window_days)
     return storage_scale(stats)
 
@@ -47,8 +44,7 @@ def _recent_star(t: DriverTables, days: int, as_of: str, by=(), primary=False, e
     return J.star_join(t.streamers, b, grain, entity_cols)
 
 
-def q1_high_engagement(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, min_engagement=5.0):
-    t = _tables(spark, sf_dir)
+def q1_high_engagement(t, as_of=P.AS_OF, days=P.RECENT_DAYS, min_engagement=5.0):
     j = _recent_star(t, days, as_of, primary=True, entity_cols=("username", "display_name"))
     g = j.groupBy("streamer_id", "username", "display_name").agg(
         F.count("broadcast_id").alias("total_broadcasts"),
@@ -72,8 +68,7 @@ def q1_high_engagement(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, min_eng
     )
 
 
-def q2_category_independent(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS_Q2, min_sessions=2, min_categories=2):
-    t = _tables(spark, sf_dir)
+def q2_category_independent(t, as_of=P.AS_OF, days=P.RECENT_DAYS_Q2, min_sessions=2, min_categories=2):
     j = J.with_category(_recent_star(t, days, as_of, by=("category_id",)), t.categories, ("category_name",))
     perf = j.groupBy("streamer_id", "username", "category_name").agg(
         J.avg_viewers().alias("avg_viewers_in_category"),
@@ -104,8 +99,7 @@ def q2_category_independent(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS_Q2,
     ).orderBy(F.col("engagement_variance").asc_nulls_last(), F.col("overall_avg_engagement").desc_nulls_first(), "username")
 
 
-def q3_hype_dependency(spark, sf_dir, fanout="reference"):
-    t = _tables(spark, sf_dir)
+def q3_hype_dependency(t, fanout="reference"):
     grain = J.session_grain(t.snapshots.select("broadcast_id", "category_id", "concurrent_viewers", "chat_messages_delta"), ("category_id",))
     j = J.with_category(J.star_join(t.streamers, t.broadcasts(), grain), t.categories)
     g = j.groupBy("streamer_id", "username", "category_id", "category_name", "is_trending").agg(
@@ -126,8 +120,7 @@ def _velocity_aggs(fanout: str):
     return gain, hours
 
 
-def q4_follower_velocity(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, fanout="reference"):
-    t = _tables(spark, sf_dir)
+def q4_follower_velocity(t, as_of=P.AS_OF, days=P.RECENT_DAYS, fanout="reference"):
     j = _recent_star(t, days, as_of)
     gain, hours = _velocity_aggs(fanout)
     g = j.groupBy("streamer_id", "username").agg(
@@ -144,8 +137,7 @@ def q4_follower_velocity(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, fanou
     ).orderBy(F.col("follower_velocity").desc_nulls_first(), "username")
 
 
-def q5_hidden_gem_score(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, k=10, fanout="reference"):
-    t = _tables(spark, sf_dir)
+def q5_hidden_gem_score(t, as_of=P.AS_OF, days=P.RECENT_DAYS, k=10, fanout="reference"):
     j = _recent_star(t, days, as_of, primary=True, entity_cols=("username", "display_name"))
     gain, hours = _velocity_aggs(fanout)
     m = j.groupBy("streamer_id", "username", "display_name").agg(
@@ -176,13 +168,11 @@ def q5_hidden_gem_score(spark, sf_dir, as_of=P.AS_OF, days=P.RECENT_DAYS, k=10,
     return out.orderBy(F.col("hidden_gem_score").desc_nulls_first(), "username").limit(k)
 
 
-def q6_retention_curve(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def q6_retention_curve(t):
     return Wn.retention_curve(t.snapshots)
 
 
-def q7_category_switch_impact(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def q7_category_switch_impact(t):
     cs = flt.switch_only(Wn.category_switches(t.snapshots))
     b = t.broadcasts().select("broadcast_id", "streamer_id")
     j = cs.join(b, "broadcast_id").join(t.streamers.select("streamer_id", "username"), "streamer_id")
@@ -201,8 +191,7 @@ def q7_category_switch_impact(spark, sf_dir):
     ).orderBy(F.col("viewer_change").desc_nulls_first())
 
 
-def q18_quick_counts(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def q18_quick_counts(t):
     grain = J.session_grain(t.snapshots.select("broadcast_id", "concurrent_viewers", "chat_messages_delta"))
     j = J.star_join(t.streamers, t.broadcasts(), grain)
     return (

@@ -8,19 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vantage.plans import queries as Q
 from vantage.plans import sql as S
+from vantage.sources.tables import DriverTables
+
+
+def _bind(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(DriverTables(spark, sf_dir))
+
+    run.__name__ = fn.__name__
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "q1_high_engagement": Q.q1_high_engagement,
-        "q2_category_independent": Q.q2_category_independent,
-        "q3_hype_dependency": Q.q3_hype_dependency,
-        "q4_follower_velocity": Q.q4_follower_velocity,
-        "q5_hidden_gem_score": Q.q5_hidden_gem_score,
-        "q6_retention_curve": Q.q6_retention_curve,
-        "q7_category_switch_impact": Q.q7_category_switch_impact,
-        "q8_rolling_stats": Q.q8_rolling_stats,
-        "q18_quick_counts": Q.q18_quick_counts,
+        "q1_high_engagement": _bind(Q.q1_high_engagement),
+        "q2_category_independent": _bind(Q.q2_category_independent),
+        "q3_hype_dependency": _bind(Q.q3_hype_dependency),
+        "q4_follower_velocity": _bind(Q.q4_follower_velocity),
+        "q5_hidden_gem_score": _bind(Q.q5_hidden_gem_score),
+        "q6_retention_curve": _bind(Q.q6_retention_curve),
+        "q7_category_switch_impact": _bind(Q.q7_category_switch_impact),
+        "q8_rolling_stats": _bind(Q.q8_rolling_stats),
+        "q18_quick_counts": _bind(Q.q18_quick_counts),
     }
 
 

@@ -285,3 +285,27 @@ class DriverTables:
     @property
     def events(self) -> DataFrame:
         return self.raw("events")
+
+
+@dataclass
+class DomainTables:
+    """Domain tables given directly (fixtures, or tables read with ``read_table``)."""
+
+    streamers: DataFrame
+    categories: DataFrame
+    broadcasts_df: DataFrame
+    snapshots: DataFrame
+    events: DataFrame | None = None
+
+    def broadcasts(self, with_primary_category: bool = False) -> DataFrame:
+        return self.broadcasts_df
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str) -> "DomainTables":
+        r = root.rstrip("/")
+        return cls(
+            read_table(spark, "streamers", f"{r}/streamers"),
+            read_table(spark, "categories", f"{r}/categories"),
+            read_table(spark, "broadcasts", f"{r}/broadcasts"),
+            read_table(spark, "broadcast_snapshots", f"{r}/broadcast_snapshots"),
+        )
