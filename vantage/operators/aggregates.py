@@ -8,11 +8,14 @@ entity contributes one partial row per map task, never its raw rows.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import safe_div, zero_if_null
 from vantage.operators.filters import completed_sessions, rolling_window
+from vantage.sources.tables import ts_lit
 
 # Fixed value: one snapshot stands for a quarter hour.
 SNAPSHOT_HOURS = 0.25
@@ -137,3 +140,100 @@ def rolling_statistics(
         zero_if_null("latest_follower_count").alias("latest_follower_count"),
         velocity.alias("follower_velocity"),
     )
+
+
+def _day_grain_snapshots(snaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Collapse snapshots to (entity, day) before the date fan-out of V8.
+
+    Additive measures collapse fully; the median keeps a (value, count) map per
+    entity-day and distinct categories keep one row per (entity, day, category)."""
+    day = F.to_date("snapshot_timestamp").alias("snap_day")
+    v = F.col("concurrent_viewers")
+    additive = snaps.groupBy("streamer_id", day).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(v).alias("sum_v"),
+        F.max(v).alias("max_v"),
+        F.sum("chat_messages_delta").alias("sum_msgs"),
+        F.max("follower_count").alias("max_f"),
+        F.min("follower_count").alias("min_f"),
+    )
+    values = snaps.groupBy("streamer_id", day, v).agg(F.count(F.lit(1)).alias("cnt"))
+    cats = snaps.filter(F.col("category_id").isNotNull()).select("streamer_id", day, "category_id").distinct()
+    return additive, values, cats
+
+
+def stats_history(
+    streamers: DataFrame,
+    broadcasts: DataFrame,
+    snapshots: DataFrame,
+    first: str,
+    last: str,
+    step_days: int,
+    window_days: int = 30,
+    only_active: bool = True,
+) -> DataFrame:
+    """V8: the rolling statistics of Q8 for every date of a grid, in one job.
+
+    Each (pre-aggregated) row is tagged with the grid dates whose window covers
+    it by arithmetic (``covering_dates``), so the fan-out per row is bounded by
+    ``window_days / step_days + 1`` and no row pairs are formed.  All aggregates
+    are keyed by (streamer_id, calculation_date) and co-partitioned for the joins.
+    """
+    from vantage.operators.windows import covering_dates
+
+    lo = (dt.date.fromisoformat(first) - dt.timedelta(days=window_days)).isoformat()
+    hi = (dt.date.fromisoformat(last) + dt.timedelta(days=1)).isoformat()
+    sess = completed_sessions(
+        broadcasts.select("streamer_id", "started_at", "ended_at").filter(
+            (F.col("started_at") >= ts_lit(lo)) & (F.col("started_at") < ts_lit(hi))
+        )
+    )
+    sess = covering_dates(sess, "started_at", first, last, step_days, window_days)
+    bm = sess.groupBy("streamer_id", "calculation_date").agg(
+        F.count(F.lit(1)).alias("total_broadcasts"),
+        F.sum("duration_hours").alias("total_broadcast_hours"),
+        F.avg("duration_hours").alias("avg_broadcast_duration"),
+    )
+    snaps = snapshots.select(
+        "streamer_id", "snapshot_timestamp", "concurrent_viewers", "chat_messages_delta", "category_id", "follower_count"
+    ).filter((F.col("snapshot_timestamp") >= ts_lit(lo)) & (F.col("snapshot_timestamp") < ts_lit(hi)))
+    additive, values, cats = _day_grain_snapshots(snaps)
+    keys = ["streamer_id", "calculation_date"]
+    a = covering_dates(additive, "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
+        F.sum("n").alias("snapshot_rows"),
+        safe_div(F.sum("sum_v"), F.sum("n")).alias("avg_concurrent_viewers"),
+        F.max("max_v").alias("max_concurrent_viewers"),
+        safe_div(F.sum("sum_msgs"), F.sum("sum_v") * F.lit(SNAPSHOT_HOURS)).alias("avg_chat_rate"),
+        (F.max("max_f") - F.min("min_f")).alias("follower_gain_30d"),
+        F.max("max_f").alias("latest_follower_count"),
+    )
+    med = covering_dates(values, "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
+        F.percentile("concurrent_viewers", 0.5, F.col("cnt")).alias("median_concurrent_viewers")
+    )
+    uc = covering_dates(cats, "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
+        F.count_distinct("category_id").alias("unique_categories")
+    )
+    ents = streamers.filter(F.col("is_active")) if only_active else streamers
+    j = (
+        bm.join(ents.select("streamer_id"), "streamer_id")
+        .join(a, keys, "left")
+        .join(med, keys, "left")
+        .join(uc, keys, "left")
+    )
+    gain = zero_if_null("follower_gain_30d")
+    hours = zero_if_null("total_broadcast_hours").cast("double")
+    return j.select(
+        "streamer_id",
+        "calculation_date",
+        "total_broadcasts",
+        hours.alias("total_broadcast_hours"),
+        zero_if_null("avg_broadcast_duration").cast("double").alias("avg_broadcast_duration"),
+        zero_if_null("avg_concurrent_viewers").cast("double").alias("avg_concurrent_viewers"),
+        zero_if_null("max_concurrent_viewers").cast("int").alias("max_concurrent_viewers"),
+        zero_if_null("median_concurrent_viewers").cast("double").alias("median_concurrent_viewers"),
+        zero_if_null("avg_chat_rate").cast("double").alias("avg_chat_rate"),
+        zero_if_null("unique_categories").alias("unique_categories"),
+        gain.alias("follower_gain_30d"),
+        zero_if_null("latest_follower_count").alias("latest_follower_count"),
+        F.when((gain != 0) & (hours > 0), safe_div(gain, hours)).otherwise(F.lit(0.0)).alias("follower_velocity"),
+    )

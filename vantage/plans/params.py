@@ -14,6 +14,6 @@ MULTI_CAT_DAYS = 730          # Q14 "last 60 days" (reference: 60)
 NOW = "2001-08-29 00:00:00"   # instant for discovery and freshness queries
 DISCOVERY_RECENT_DAYS = 7
 FRESHNESS_SECONDS = 3600 * 24 * 30
-STATS_DATES = ("1996-01-01", "2001-07-01", 91)  # first, last, step (days) of the stats history
+STATS_DATES = ("1996-01-06", "2001-07-01", 91)  # first, last, step (days): a grid through AS_OF
 LABEL_THRESHOLD = 27.0        # Q10 peak avg viewers for the positive class (reference: 17000)
 MIN_HOURS = 10.0              # Q10 first-record hours floor

@@ -199,3 +199,85 @@ def q18_quick_counts(t):
         .agg(J.rows().alias("broadcast_count"), round_num(J.avg_viewers(), 0).alias("avg_viewers"))
         .orderBy(F.col("avg_viewers").desc_nulls_first(), "username")
     )
+
+
+# ------------------------------------------------------ statistics consumers
+
+from vantage.functions.scalar import eps_ratio  # noqa: E402
+
+
+def v8_stats_history(t, dates=P.STATS_DATES, window_days=P.WINDOW_DAYS):
+    first, last, step = dates
+    return storage_scale(agg.stats_history(t.streamers, t.broadcasts(), t.snapshots, first, last, step, window_days))
+
+
+def _stats_on(t, as_of, window_days=P.WINDOW_DAYS):
+    """The statistics rows of one calculation date (as the daily job writes them)."""
+    return storage_scale(agg.rolling_statistics(t.streamers, t.broadcasts(), t.snapshots, as_of, window_days))
+
+
+def q9_daily_stats_ddl(t, as_of=P.AS_OF, days=P.RECENT_DAYS):
+    """All entities (left joins), sessions started after ``as_of - days``,
+    chat rate as the mean of per-snapshot rates, velocity with the fan-out."""
+    rate = safe_div("chat_messages_delta", "concurrent_viewers") / F.lit(agg.SNAPSHOT_HOURS)
+    grain = t.snapshots.groupBy("broadcast_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(rate).alias("n_rate"), F.sum(rate).alias("sum_rate")
+    )
+    b = flt.trailing_days(t.broadcasts().select("broadcast_id", "streamer_id", "started_at", "duration_seconds", "follower_gain"), "started_at", as_of, days)
+    sess = b.join(grain, "broadcast_id", "left").withColumn("_w", F.coalesce("n_rows", F.lit(1)))
+    per = sess.groupBy("streamer_id").agg(
+        F.count("broadcast_id").alias("total_broadcasts"),
+        safe_div(F.sum("sum_rate"), F.sum("n_rate")).alias("_rate"),
+        safe_div(F.sum(F.col("follower_gain") * F.col("_w")), F.sum(F.col("duration_seconds") * F.col("_w")) / F.lit(3600.0)).alias("_vel"),
+    )
+    j = t.streamers.select("streamer_id").join(per, "streamer_id", "left")
+    return j.select(
+        "streamer_id",
+        F.lit(as_of).cast("date").alias("calculation_date"),
+        F.coalesce("total_broadcasts", F.lit(0)).alias("total_broadcasts"),
+        round_num("_rate", 4).alias("average_chat_rate"),
+        round_num("_vel", 2).alias("follower_velocity"),
+    )
+
+
+def q10_training_set(t, dates=P.STATS_DATES, window_days=P.WINDOW_DAYS, label_threshold=P.LABEL_THRESHOLD, min_hours=P.MIN_HOURS):
+    from vantage.operators.ml import training_set
+
+    stats = v8_stats_history(t, dates, window_days)
+    return training_set(stats, label_threshold, min_hours)
+
+
+def q11_top_chat_rate(t, as_of=P.AS_OF, k=10):
+    s = _stats_on(t, as_of).join(t.streamers.select("streamer_id", "username"), "streamer_id")
+    return s.select("username", "avg_chat_rate", "avg_concurrent_viewers", "total_broadcasts").orderBy(
+        F.col("avg_chat_rate").desc_nulls_first(), "username"
+    ).limit(k)
+
+
+def q12_growth_history(t, dates=P.STATS_DATES, window_days=P.WINDOW_DAYS, n=30):
+    h = Wn.history(v8_stats_history(t, dates, window_days), n)
+    return h.select("streamer_id", "calculation_date", "follower_gain_30d", "follower_velocity", "total_broadcast_hours")
+
+
+def q13_hidden_gems(t, as_of=P.AS_OF, k=20):
+    s = flt.hidden_gem_filter(_stats_on(t, as_of)).join(t.streamers.select("streamer_id", "username"), "streamer_id")
+    return s.select("username", "avg_chat_rate", "avg_concurrent_viewers", "follower_velocity", "unique_categories").orderBy(
+        F.col("avg_chat_rate").desc_nulls_first(), "username"
+    ).limit(k)
+
+
+def q14_multi_category_gems(t, now=P.AS_OF, days=P.MULTI_CAT_DAYS, min_categories=3, min_engagement=5.0, k=10):
+    b = flt.trailing_interval(t.broadcasts(with_primary_category=True), "started_at", now, days * 86400)
+    grain = J.session_grain(t.snapshots.select("broadcast_id", "concurrent_viewers", "chat_messages_delta"))
+    j = J.star_join(t.streamers, b, grain)
+    g = j.groupBy("streamer_id", "username").agg(
+        F.count_distinct("primary_category_id").alias("categories_count"),
+        J.avg_engagement().alias("_eng"),
+        J.avg_viewers().alias("_v"),
+    )
+    return (
+        g.filter((F.col("categories_count") >= min_categories) & (F.col("_eng") > min_engagement))
+        .select("username", "categories_count", round_num("_eng", 3).alias("avg_engagement"), round_num("_v", 0).alias("avg_viewers"))
+        .orderBy(F.col("avg_engagement").desc_nulls_first(), "username")
+        .limit(k)
+    )

@@ -30,6 +30,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q7_category_switch_impact": _bind(Q.q7_category_switch_impact),
         "q8_rolling_stats": _bind(Q.q8_rolling_stats),
         "q18_quick_counts": _bind(Q.q18_quick_counts),
+        "q14_multi_category_gems": _bind(Q.q14_multi_category_gems),
+        "q13_hidden_gems": _bind(Q.q13_hidden_gems),
+        "q12_growth_history": _bind(Q.q12_growth_history),
+        "q11_top_chat_rate": _bind(Q.q11_top_chat_rate),
+        "q10_training_set": _bind(Q.q10_training_set),
+        "q9_daily_stats_ddl": _bind(Q.q9_daily_stats_ddl),
+        "v8_stats_history": _bind(Q.v8_stats_history),
     }
 
 
@@ -44,4 +51,11 @@ def oracle_sql() -> dict[str, str]:
         "q7_category_switch_impact": S.q7_category_switch_impact(),
         "q8_rolling_stats": S.q8_rolling_stats(),
         "q18_quick_counts": S.q18_quick_counts(),
+        "q14_multi_category_gems": S.q14_multi_category_gems(),
+        "q13_hidden_gems": S.q13_hidden_gems(),
+        "q12_growth_history": S.q12_growth_history(),
+        "q11_top_chat_rate": S.q11_top_chat_rate(),
+        "q10_training_set": S.q10_training_set(),
+        "q9_daily_stats_ddl": S.q9_daily_stats_ddl(),
+        "v8_stats_history": S.v8_stats_history(),
     }

@@ -18,26 +18,32 @@ def _ts(d) -> str:
     return f"TIMESTAMP '{d.isoformat()} 00:00:00'"
 
 
-def q8_rolling_stats(as_of: str = P.AS_OF, window_days: int = P.WINDOW_DAYS) -> str:
-    d = _d(as_of)
-    lo, hi = _ts(d - dt.timedelta(days=window_days)), _ts(d + dt.timedelta(days=1))
-    ctes = f"""
-rb AS (
-    SELECT streamer_id, date_diff('microsecond', started_at, ended_at) / 1e6 / 3600.0 AS duration_hours
-    FROM broadcasts
-    WHERE started_at >= {lo} AND started_at < {hi} AND ended_at IS NOT NULL
+def _stats_ctes(grid_sql: str, window_days: int, p: str = "h") -> str:
+    """CTEs ending in ``{p}_stats``: rolling statistics for every date of ``grid_sql``
+    (a query returning ``calculation_date``), rounded to the stored scale."""
+    return f"""
+{p}_grid AS ({grid_sql}),
+{p}_rb AS (
+    SELECT g.calculation_date, b.streamer_id,
+           date_diff('microsecond', b.started_at, b.ended_at) / 1e6 / 3600.0 AS duration_hours
+    FROM broadcasts b JOIN {p}_grid g
+      ON b.started_at >= g.calculation_date - INTERVAL {window_days} DAY
+     AND b.started_at < g.calculation_date + INTERVAL 1 DAY
+    WHERE b.ended_at IS NOT NULL
 ),
-bm AS (
-    SELECT streamer_id, count(*) AS total_broadcasts, sum(duration_hours) AS total_broadcast_hours,
-           avg(duration_hours) AS avg_broadcast_duration
-    FROM rb GROUP BY streamer_id
+{p}_bm AS (
+    SELECT streamer_id, calculation_date, count(*) AS total_broadcasts,
+           sum(duration_hours) AS total_broadcast_hours, avg(duration_hours) AS avg_broadcast_duration
+    FROM {p}_rb GROUP BY streamer_id, calculation_date
 ),
-rs AS (
-    SELECT * FROM broadcast_snapshots
-    WHERE snapshot_timestamp >= {lo} AND snapshot_timestamp < {hi}
+{p}_rs AS (
+    SELECT g.calculation_date, bs.*
+    FROM broadcast_snapshots bs JOIN {p}_grid g
+      ON bs.snapshot_timestamp >= g.calculation_date - INTERVAL {window_days} DAY
+     AND bs.snapshot_timestamp < g.calculation_date + INTERVAL 1 DAY
 ),
-sm AS (
-    SELECT streamer_id,
+{p}_sm AS (
+    SELECT streamer_id, calculation_date,
            avg(concurrent_viewers) AS avg_concurrent_viewers,
            max(concurrent_viewers) AS max_concurrent_viewers,
            quantile_cont(concurrent_viewers, 0.5) AS median_concurrent_viewers,
@@ -45,10 +51,10 @@ sm AS (
            count(DISTINCT category_id) AS unique_categories,
            max(follower_count) - min(follower_count) AS follower_gain_30d,
            max(follower_count) AS latest_follower_count
-    FROM rs GROUP BY streamer_id
+    FROM {p}_rs GROUP BY streamer_id, calculation_date
 ),
-j AS (
-    SELECT s.streamer_id, bm.total_broadcasts, bm.total_broadcast_hours, bm.avg_broadcast_duration,
+{p}_j AS (
+    SELECT s.streamer_id, bm.calculation_date, bm.total_broadcasts, bm.total_broadcast_hours, bm.avg_broadcast_duration,
            coalesce(sm.avg_concurrent_viewers, 0) AS avg_concurrent_viewers,
            coalesce(sm.max_concurrent_viewers, 0) AS max_concurrent_viewers,
            coalesce(sm.median_concurrent_viewers, 0) AS median_concurrent_viewers,
@@ -56,27 +62,128 @@ j AS (
            coalesce(sm.unique_categories, 0) AS unique_categories,
            coalesce(sm.follower_gain_30d, 0) AS follower_gain_30d,
            coalesce(sm.latest_follower_count, 0) AS latest_follower_count
-    FROM streamers s JOIN bm ON bm.streamer_id = s.streamer_id
-    LEFT JOIN sm ON sm.streamer_id = s.streamer_id
+    FROM streamers s JOIN {p}_bm bm ON bm.streamer_id = s.streamer_id
+    LEFT JOIN {p}_sm sm ON sm.streamer_id = s.streamer_id AND sm.calculation_date = bm.calculation_date
     WHERE s.is_active AND bm.total_broadcasts > 0
+),
+{p}_stats AS (
+    SELECT streamer_id,
+           CAST(calculation_date AS DATE) AS calculation_date,
+           CAST(total_broadcasts AS BIGINT) AS total_broadcasts,
+           round(CAST(total_broadcast_hours AS DOUBLE), 2) AS total_broadcast_hours,
+           round(CAST(avg_broadcast_duration AS DOUBLE), 2) AS avg_broadcast_duration,
+           round(CAST(avg_concurrent_viewers AS DOUBLE), 2) AS avg_concurrent_viewers,
+           CAST(max_concurrent_viewers AS INTEGER) AS max_concurrent_viewers,
+           round(CAST(median_concurrent_viewers AS DOUBLE), 2) AS median_concurrent_viewers,
+           round(CAST(avg_chat_rate AS DOUBLE), 4) AS avg_chat_rate,
+           CAST(unique_categories AS BIGINT) AS unique_categories,
+           CAST(follower_gain_30d AS BIGINT) AS follower_gain_30d,
+           CAST(latest_follower_count AS BIGINT) AS latest_follower_count,
+           round(CASE WHEN follower_gain_30d <> 0 AND total_broadcast_hours > 0
+                      THEN follower_gain_30d / total_broadcast_hours ELSE 0 END, 2) AS follower_velocity
+    FROM {p}_j
 )"""
-    select = f"""
-SELECT streamer_id,
-       DATE '{d.isoformat()}' AS calculation_date,
-       CAST(total_broadcasts AS BIGINT) AS total_broadcasts,
-       round(CAST(total_broadcast_hours AS DOUBLE), 2) AS total_broadcast_hours,
-       round(CAST(avg_broadcast_duration AS DOUBLE), 2) AS avg_broadcast_duration,
-       round(CAST(avg_concurrent_viewers AS DOUBLE), 2) AS avg_concurrent_viewers,
-       CAST(max_concurrent_viewers AS INTEGER) AS max_concurrent_viewers,
-       round(CAST(median_concurrent_viewers AS DOUBLE), 2) AS median_concurrent_viewers,
-       round(CAST(avg_chat_rate AS DOUBLE), 4) AS avg_chat_rate,
-       CAST(unique_categories AS BIGINT) AS unique_categories,
-       CAST(follower_gain_30d AS BIGINT) AS follower_gain_30d,
-       CAST(latest_follower_count AS BIGINT) AS latest_follower_count,
-       round(CASE WHEN follower_gain_30d <> 0 AND total_broadcast_hours > 0
-                  THEN follower_gain_30d / total_broadcast_hours ELSE 0 END, 2) AS follower_velocity
-FROM j"""
-    return with_views(select, ctes)
+
+
+def _one_date(as_of: str) -> str:
+    return f"SELECT DATE '{_d(as_of).isoformat()}' AS calculation_date"
+
+
+def _grid(dates=P.STATS_DATES) -> str:
+    first, last, step = dates
+    return (
+        f"SELECT CAST(d AS DATE) AS calculation_date "
+        f"FROM generate_series(DATE '{first}', DATE '{last}', INTERVAL {step} DAY) AS t(d)"
+    )
+
+
+def q8_rolling_stats(as_of: str = P.AS_OF, window_days: int = P.WINDOW_DAYS) -> str:
+    return with_views("SELECT * FROM d_stats", _stats_ctes(_one_date(as_of), window_days, "d"))
+
+
+def v8_stats_history(dates=P.STATS_DATES, window_days: int = P.WINDOW_DAYS) -> str:
+    return with_views("SELECT * FROM h_stats", _stats_ctes(_grid(dates), window_days, "h"))
+
+
+def q9_daily_stats_ddl(as_of=P.AS_OF, days=P.RECENT_DAYS) -> str:
+    return with_views(f"""
+SELECT s.streamer_id,
+       DATE '{_d(as_of).isoformat()}' AS calculation_date,
+       COUNT(DISTINCT b.broadcast_id) AS total_broadcasts,
+       round(AVG(CAST(bs.chat_messages_delta AS DOUBLE) / NULLIF(bs.concurrent_viewers, 0) / 0.25), 4) AS average_chat_rate,
+       round(CAST(SUM(b.follower_gain) AS DOUBLE) / NULLIF(SUM(b.duration_seconds) / 3600.0, 0), 2) AS follower_velocity
+FROM streamers s
+LEFT JOIN broadcasts b ON s.streamer_id = b.streamer_id AND b.started_at > {_since(as_of, days)}
+LEFT JOIN broadcast_snapshots bs ON b.broadcast_id = bs.broadcast_id
+GROUP BY s.streamer_id""")
+
+
+def q10_training_set(dates=P.STATS_DATES, window_days=P.WINDOW_DAYS, label_threshold=P.LABEL_THRESHOLD, min_hours=P.MIN_HOURS) -> str:
+    ctes = _stats_ctes(_grid(dates), window_days, "h") + f""",
+streamer_peak_performance AS (
+    SELECT streamer_id, MAX(avg_concurrent_viewers) AS peak_avg_viewers FROM h_stats GROUP BY streamer_id
+),
+streamer_first_stats AS (
+    SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY calculation_date) AS rn FROM h_stats
+    ) WHERE rn = 1
+)"""
+    return with_views(f"""
+SELECT sfs.streamer_id,
+       sfs.total_broadcasts,
+       CAST(sfs.total_broadcast_hours AS DOUBLE) AS total_broadcast_hours,
+       CAST(sfs.avg_concurrent_viewers AS DOUBLE) AS first_30d_avg_viewers,
+       CAST(sfs.avg_chat_rate AS DOUBLE) AS first_30d_chat_rate,
+       CAST(sfs.follower_gain_30d AS DOUBLE) AS first_30d_follower_gain,
+       CAST(sfs.follower_velocity AS DOUBLE) AS first_30d_follower_velocity,
+       CAST(sfs.unique_categories AS DOUBLE) AS first_30d_unique_categories,
+       CAST(sfs.latest_follower_count AS DOUBLE) AS first_30d_follower_count,
+       CAST(spp.peak_avg_viewers >= {label_threshold} AS INTEGER) AS is_mega_streamer,
+       CAST(sfs.avg_concurrent_viewers AS DOUBLE) / (CAST(sfs.latest_follower_count AS DOUBLE) + 1e-6) AS tune_in_ratio
+FROM streamer_first_stats sfs
+JOIN streamer_peak_performance spp ON sfs.streamer_id = spp.streamer_id
+WHERE sfs.total_broadcast_hours > {min_hours}
+ORDER BY sfs.streamer_id""", ctes)
+
+
+def q11_top_chat_rate(as_of=P.AS_OF, k=10) -> str:
+    return with_views(f"""
+SELECT s.username, ss.avg_chat_rate, ss.avg_concurrent_viewers, ss.total_broadcasts
+FROM d_stats ss JOIN streamers s ON s.streamer_id = ss.streamer_id
+WHERE ss.calculation_date = DATE '{_d(as_of).isoformat()}'
+ORDER BY ss.avg_chat_rate DESC NULLS FIRST, s.username
+LIMIT {k}""", _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d"))
+
+
+def q12_growth_history(dates=P.STATS_DATES, window_days=P.WINDOW_DAYS, n=30) -> str:
+    return with_views(f"""
+SELECT streamer_id, calculation_date, follower_gain_30d, follower_velocity, total_broadcast_hours
+FROM (SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY calculation_date DESC) AS rn FROM h_stats)
+WHERE rn <= {n}""", _stats_ctes(_grid(dates), window_days, "h"))
+
+
+def q13_hidden_gems(as_of=P.AS_OF, k=20) -> str:
+    return with_views(f"""
+SELECT s.username, ss.avg_chat_rate, ss.avg_concurrent_viewers, ss.follower_velocity, ss.unique_categories
+FROM d_stats ss JOIN streamers s ON s.streamer_id = ss.streamer_id
+WHERE ss.calculation_date = DATE '{_d(as_of).isoformat()}'
+  AND ss.avg_concurrent_viewers < 500 AND ss.avg_chat_rate > 5.0 AND ss.follower_velocity > 2.0
+ORDER BY ss.avg_chat_rate DESC NULLS FIRST, s.username
+LIMIT {k}""", _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d"))
+
+
+def q14_multi_category_gems(now=P.AS_OF, days=P.MULTI_CAT_DAYS, k=10) -> str:
+    return with_views(f"""
+SELECT s.username,
+       COUNT(DISTINCT b.primary_category_id) AS categories_count,
+       round(AVG({ENG}), 3) AS avg_engagement,
+       round(AVG(bs.concurrent_viewers), 0) AS avg_viewers
+{STAR}
+WHERE b.started_at > {_since(now, days)}
+GROUP BY s.streamer_id, s.username
+HAVING COUNT(DISTINCT b.primary_category_id) >= 3 AND AVG({ENG}) > 5.0
+ORDER BY avg_engagement DESC NULLS FIRST, s.username
+LIMIT {k}""")
 
 
 def _since(as_of: str, days: int) -> str:
