@@ -17,3 +17,9 @@ FRESHNESS_SECONDS = 3600 * 24 * 30
 STATS_DATES = ("1996-01-06", "2001-07-01", 91)  # first, last, step (days): a grid through AS_OF
 LABEL_THRESHOLD = 27.0        # Q10 peak avg viewers for the positive class (reference: 17000)
 MIN_HOURS = 10.0              # Q10 first-record hours floor
+MIN_LISTING_VIEWERS = 100     # Q20 viewer range (inclusive)
+MAX_LISTING_VIEWERS = 300
+DISCOVERY_LIMIT = 5           # Q20 new entities per category
+REPLAY_DAYS = 30              # W1: the ingestion re-sends this many days before AS_OF
+INACTIVE_DAYS = 365           # W16/W18 entities without activity for this long
+ARCHIVE_AFTER_DAYS = 365      # A19 snapshots older than NOW - this go to the archive

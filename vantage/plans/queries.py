@@ -281,3 +281,211 @@ def q14_multi_category_gems(t, now=P.AS_OF, days=P.MULTI_CAT_DAYS, min_categorie
         .orderBy(F.col("avg_engagement").desc_nulls_first(), "username")
         .limit(k)
     )
+
+
+# ------------------------------------------- discovery, freshness, bulk add
+
+import datetime as _dt  # noqa: E402
+
+from vantage.operators import quality as Qa  # noqa: E402
+from vantage.operators import topk as K  # noqa: E402
+from vantage.operators import writes as Wr  # noqa: E402
+from vantage.sources import landing as L  # noqa: E402
+from vantage.sources.tables import ts_lit  # noqa: E402
+
+
+def q15_discoveries_per_day(t):
+    return (
+        t.streamers.groupBy(F.to_date("discovered_at").alias("discovery_date"))
+        .agg(F.count(F.lit(1)).alias("streamers_added"))
+        .orderBy(F.col("discovery_date").desc())
+    )
+
+
+def q16_recent_account_age(t, now=P.NOW, days=P.DISCOVERY_RECENT_DAYS):
+    recent = flt.trailing_interval(t.streamers, "discovered_at", now, days * 86400)
+    age_days = F.timestamp_diff("MICROSECOND", F.col("account_created_at"), ts_lit(now)) / F.lit(86400e6)
+    return recent.agg(F.count(F.lit(1)).alias("total"), round_num(F.avg(age_days), 0).cast("int").alias("avg_account_age_days"))
+
+
+def q17_recent_active(t, k=10):
+    a = t.streamers.filter(F.col("is_active")).select("streamer_id", "username", "display_name", "discovered_at", "is_active")
+    return K.top_k(a, [F.col("discovered_at").desc_nulls_first(), F.col("streamer_id")], k)
+
+
+def q19_snapshot_freshness(t, now=P.NOW, seconds=P.FRESHNESS_SECONDS):
+    recent = flt.trailing_interval(t.snapshots.select("snapshot_timestamp"), "snapshot_timestamp", now, seconds)
+    return recent.agg(F.count(F.lit(1)).alias("snapshots_recent"), F.max("snapshot_timestamp").alias("latest_snapshot"))
+
+
+def e19_stats_freshness(t, dates=P.STATS_DATES, expected=P.AS_OF):
+    h = v8_stats_history(t, dates)
+    return h.agg(F.max("calculation_date").alias("latest_calculation_date")).select(
+        "latest_calculation_date",
+        F.lit(expected).cast("date").alias("expected_date"),
+        (F.col("latest_calculation_date") >= F.lit(expected).cast("date")).alias("up_to_date"),
+    )
+
+
+def _profiles(t):
+    """J14 profile lookup (the user directory), keyed by user id."""
+    return t.streamers.select(F.col("streamer_id").alias("user_id"), "display_name")
+
+
+def q20_discovery_candidates(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT):
+    """Dry run of discovery (W12): the first ``limit`` listed streams per category
+    in the viewer range that have a profile; the dry run skips the tracked test."""
+    listing = L.live_listing(t.events).join(_profiles(t), "user_id")
+    in_range = F.col("viewer_count").between(lo, hi)
+    chosen, _ = K.quota(listing, "game_id", "listing_pos", in_range, F.lit(False), limit)
+    return chosen.select(
+        "game_id", "user_id", "user_login", "display_name", "viewer_count",
+        F.col("listing_pos.event_time").alias("listed_at"), F.col("listing_pos.event_id").alias("listing_event_id"),
+    )
+
+
+def q20_discovery_summary(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT):
+    """Real run: streams already tracked are skipped (J9 semi/anti), streams
+    without a profile are passed over, ``limit`` new entities per category."""
+    tracked = t.streamers.select(F.col("streamer_id").alias("user_id")).withColumn("_tracked", F.lit(True))
+    listing = (
+        L.live_listing(t.events)
+        .join(tracked, "user_id", "left")
+        .join(_profiles(t).withColumn("_profile", F.lit(True)), "user_id", "left")
+    )
+    in_range = F.col("viewer_count").between(lo, hi)
+    is_tracked = F.coalesce("_tracked", F.lit(False))
+    eligible = in_range & ~is_tracked & F.coalesce("_profile", F.lit(False))
+    _, summary = K.quota(listing, "game_id", "listing_pos", eligible, in_range & is_tracked, limit)
+    return summary.select("game_id", "processed", "skipped", "added")
+
+
+def _bulk_add_outcomes(t):
+    requested = L.chat_events(t.events).select(F.col("channel").alias("requested_username")).distinct()
+    profiles = t.streamers.select("streamer_id", F.lower("username").alias("_login"))
+    found = requested.join(profiles, F.lower("requested_username") == F.col("_login"), "left")
+    exists = t.streamers.select("streamer_id").withColumn("_exists", F.lit(True))
+    j = found.join(exists, "streamer_id", "left")
+    outcome = (
+        F.when(F.col("_login").isNull(), "not_found").when(F.col("_exists"), "skipped").otherwise("added")
+    )
+    return j.select("requested_username", "streamer_id", outcome.alias("outcome"))
+
+
+def q21_bulk_add(t):
+    """Bulk add by username (J10 case-insensitive, W1 insert-ignore)."""
+    return _bulk_add_outcomes(t)
+
+
+def q21_bulk_add_summary(t):
+    """W14 run summary of the bulk add."""
+    return Wr.run_summary(_bulk_add_outcomes(t))
+
+
+# --------------------------------------------------- writes and data quality
+
+
+def w1_replay_insert_ignore(t, as_of=P.AS_OF, replay_days=P.REPLAY_DAYS):
+    """The ingestion re-sends the last ``replay_days`` of snapshots; rows
+    whose (session, time) key is stored already, and repeats inside the batch,
+    are ignored."""
+    cut = _dt.date.fromisoformat(as_of)
+    snaps = t.snapshots
+    stored = snaps.filter(F.col("snapshot_timestamp") < ts_lit(cut))
+    incoming = snaps.filter(F.col("snapshot_timestamp") >= ts_lit(cut - _dt.timedelta(days=replay_days)))
+    inserted, _ = Wr.insert_ignore(stored, incoming, ["broadcast_id", "snapshot_timestamp"])
+    return inserted
+
+
+def w3_upsert_stats(t, dates=P.STATS_DATES, as_of=P.AS_OF, now=P.NOW):
+    """Recompute ``as_of`` with a 30-day window and upsert it into the history."""
+    history = v8_stats_history(t, dates)
+    fresh = storage_scale(agg.rolling_statistics(t.streamers, t.broadcasts(), t.snapshots, as_of, 30))
+    merged = Wr.upsert_stats(history, fresh, now)
+    return merged.drop("created_at", "calculated_at")
+
+
+def w7_quarantine(t):
+    """W7 rows of sessions and snapshots failing a CHECK rule, with the rules."""
+    _, qb = Qa.validate_checks(t.broadcasts(), Qa.CHECKS["broadcasts"])
+    _, qs = Qa.validate_checks(t.snapshots, Qa.CHECKS["broadcast_snapshots"])
+    return qb.select(F.lit("broadcasts").alias("table_name"), F.col("broadcast_id").alias("row_key"), F.array_join("failed_checks", ",").alias("failed")).unionByName(
+        qs.select(F.lit("broadcast_snapshots").alias("table_name"), F.col("broadcast_id").alias("row_key"), F.array_join("failed_checks", ",").alias("failed"))
+    )
+
+
+def w8_duplicate_snapshot_keys(t):
+    """W8 (session, time) keys that occur more than once."""
+    return Qa.duplicate_keys(t.snapshots, ["broadcast_id", "snapshot_timestamp"])
+
+
+def w8_entity_violations(t):
+    """W8 NOT NULL / VARCHAR(n) violations of the entity table."""
+    v = Qa.validate_not_null_length(t.streamers, "streamers")
+    return v.select("streamer_id", F.array_join("violations", ",").alias("violations"))
+
+
+def w9_orphans(t):
+    """W9 orphan counts per foreign key."""
+    s, b = t.snapshots, t.broadcasts()
+    parts = [
+        ("broadcast_snapshots.broadcast_id", Qa.validate_fk(s, b, "broadcast_id")),
+        ("broadcast_snapshots.streamer_id", Qa.validate_fk(s, t.streamers, "streamer_id")),
+        ("broadcast_snapshots.category_id", Qa.validate_fk(s, t.categories, "category_id")),
+        ("broadcasts.streamer_id", Qa.validate_fk(b, t.streamers, "streamer_id")),
+    ]
+    out = None
+    for name, df in parts:
+        c = df.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("foreign_key"), "orphans")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def w17_maintain_categories(t):
+    return Wr.maintain_categories(t.categories, t.snapshots.select("category_id", "snapshot_timestamp"))
+
+
+def _inactive_entities(t, now, days):
+    seen = Wr.refresh_last_seen(t.streamers.select("streamer_id", "username"), t.snapshots.select("streamer_id", "snapshot_timestamp"))
+    return Wr.inactive(seen, now, days)
+
+
+def w18_inactive_entities(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    return _inactive_entities(t, now, days).select("streamer_id", "username", "last_seen_at")
+
+
+def w16_deactivate_inactive(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    st = Wr.deactivate(t.streamers.select("streamer_id", "is_active"), _inactive_entities(t, now, days))
+    return st
+
+
+def w10_delete_cascade(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    """W10 delete the inactive entities with their sessions and snapshots;
+    report the rows that remain."""
+    gone = _inactive_entities(t, now, days).select("streamer_id")
+    b, s = Wr.delete_cascade(gone, "streamer_id", t.broadcasts().select("broadcast_id", "streamer_id"), t.snapshots.select("streamer_id"))
+    e = t.streamers.select("streamer_id").join(gone, "streamer_id", "left_anti")
+    rows = [("streamers", e), ("broadcasts", b), ("broadcast_snapshots", s)]
+    out = None
+    for name, df in rows:
+        c = df.agg(F.count(F.lit(1)).alias("remaining_rows")).select(F.lit(name).alias("table_name"), "remaining_rows")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def w11_delete_set_null(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    """W11 delete categories without a snapshot in the last ``days`` days; the
+    snapshots that referenced them keep their rows with a NULL category."""
+    seen = Wr.last_activity(t.snapshots.select("category_id", "snapshot_timestamp"), "category_id")
+    cats = t.categories.select("category_id").join(seen, "category_id", "left")
+    gone = Wr.inactive(cats, now, days)
+    s = Wr.delete_set_null(gone, t.snapshots.select("broadcast_id", "category_id"), "category_id")
+    return s.agg(F.count(F.lit(1)).alias("snapshots"), F.count_if(F.col("category_id").isNull()).alias("category_nulled"))
+
+
+def a19_archive_split(t, now=P.NOW, days=P.ARCHIVE_AFTER_DAYS):
+    cutoff = _dt.datetime.fromisoformat(now) - _dt.timedelta(days=days)
+    archive, live = Wr.archive_split(t.snapshots.select("snapshot_timestamp"), cutoff)
+    a = archive.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("archive").alias("part"), "row_count")
+    lv = live.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("live").alias("part"), "row_count")
+    return a.unionByName(lv)

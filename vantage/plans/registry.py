@@ -37,6 +37,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q10_training_set": _bind(Q.q10_training_set),
         "q9_daily_stats_ddl": _bind(Q.q9_daily_stats_ddl),
         "v8_stats_history": _bind(Q.v8_stats_history),
+        "q15_discoveries_per_day": _bind(Q.q15_discoveries_per_day),
+        "q16_recent_account_age": _bind(Q.q16_recent_account_age),
+        "q17_recent_active": _bind(Q.q17_recent_active),
+        "q19_snapshot_freshness": _bind(Q.q19_snapshot_freshness),
+        "e19_stats_freshness": _bind(Q.e19_stats_freshness),
+        "q20_discovery_candidates": _bind(Q.q20_discovery_candidates),
+        "q20_discovery_summary": _bind(Q.q20_discovery_summary),
+        "q21_bulk_add": _bind(Q.q21_bulk_add),
+        "q21_bulk_add_summary": _bind(Q.q21_bulk_add_summary),
+        "w1_replay_insert_ignore": _bind(Q.w1_replay_insert_ignore),
+        "w3_upsert_stats": _bind(Q.w3_upsert_stats),
+        "w7_quarantine": _bind(Q.w7_quarantine),
+        "w8_duplicate_snapshot_keys": _bind(Q.w8_duplicate_snapshot_keys),
+        "w8_entity_violations": _bind(Q.w8_entity_violations),
+        "w9_orphans": _bind(Q.w9_orphans),
+        "w17_maintain_categories": _bind(Q.w17_maintain_categories),
+        "w18_inactive_entities": _bind(Q.w18_inactive_entities),
+        "w16_deactivate_inactive": _bind(Q.w16_deactivate_inactive),
+        "w10_delete_cascade": _bind(Q.w10_delete_cascade),
+        "w11_delete_set_null": _bind(Q.w11_delete_set_null),
+        "a19_archive_split": _bind(Q.a19_archive_split),
     }
 
 
@@ -58,4 +79,25 @@ def oracle_sql() -> dict[str, str]:
         "q10_training_set": S.q10_training_set(),
         "q9_daily_stats_ddl": S.q9_daily_stats_ddl(),
         "v8_stats_history": S.v8_stats_history(),
+        "q15_discoveries_per_day": S.q15_discoveries_per_day(),
+        "q16_recent_account_age": S.q16_recent_account_age(),
+        "q17_recent_active": S.q17_recent_active(),
+        "q19_snapshot_freshness": S.q19_snapshot_freshness(),
+        "e19_stats_freshness": S.e19_stats_freshness(),
+        "q20_discovery_candidates": S.q20_discovery_candidates(),
+        "q20_discovery_summary": S.q20_discovery_summary(),
+        "q21_bulk_add": S.q21_bulk_add(),
+        "q21_bulk_add_summary": S.q21_bulk_add_summary(),
+        "w1_replay_insert_ignore": S.w1_replay_insert_ignore(),
+        "w3_upsert_stats": S.w3_upsert_stats(),
+        "w7_quarantine": S.w7_quarantine(),
+        "w8_duplicate_snapshot_keys": S.w8_duplicate_snapshot_keys(),
+        "w8_entity_violations": S.w8_entity_violations(),
+        "w9_orphans": S.w9_orphans(),
+        "w17_maintain_categories": S.w17_maintain_categories(),
+        "w18_inactive_entities": S.w18_inactive_entities(),
+        "w16_deactivate_inactive": S.w16_deactivate_inactive(),
+        "w10_delete_cascade": S.w10_delete_cascade(),
+        "w11_delete_set_null": S.w11_delete_set_null(),
+        "a19_archive_split": S.a19_archive_split(),
     }

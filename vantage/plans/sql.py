@@ -346,3 +346,285 @@ SELECT s.username,
 {STAR}
 GROUP BY s.username
 ORDER BY avg_viewers DESC NULLS FIRST, s.username""")
+
+
+# ---------------------------------------------- discovery, freshness, bulk add
+
+EVENT_VIEWS = """
+listing AS (
+    SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS game_id,
+           user_id,
+           lower('Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')) AS user_login,
+           CAST(floor(value) AS INTEGER) AS viewer_count,
+           ts, event_id
+    FROM events WHERE event_type = 'purchase'
+),
+chat AS (
+    SELECT 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS channel,
+           (event_type = 'view' AND value < 5) AS is_echo,
+           ts AS event_time, event_id
+    FROM events WHERE event_type IN ('click', 'view')
+)"""
+
+
+def _now(now: str) -> dt.datetime:
+    return dt.datetime.fromisoformat(now)
+
+
+def q15_discoveries_per_day() -> str:
+    return with_views("""
+SELECT CAST(discovered_at AS DATE) AS discovery_date, COUNT(*) AS streamers_added
+FROM streamers GROUP BY CAST(discovered_at AS DATE) ORDER BY discovery_date DESC""")
+
+
+def q16_recent_account_age(now=P.NOW, days=P.DISCOVERY_RECENT_DAYS) -> str:
+    n = _now(now)
+    return with_views(f"""
+SELECT COUNT(*) AS total,
+       CAST(round(AVG(date_diff('microsecond', account_created_at, {_ts(n)}) / 86400e6), 0) AS INTEGER) AS avg_account_age_days
+FROM streamers
+WHERE discovered_at > {_ts(n - dt.timedelta(days=days))}""")
+
+
+def q17_recent_active(k=10) -> str:
+    return with_views(f"""
+SELECT streamer_id, username, display_name, discovered_at, is_active
+FROM streamers WHERE is_active
+ORDER BY discovered_at DESC NULLS FIRST, streamer_id
+LIMIT {k}""")
+
+
+def q19_snapshot_freshness(now=P.NOW, seconds=P.FRESHNESS_SECONDS) -> str:
+    n = _now(now)
+    return with_views(f"""
+SELECT COUNT(*) AS snapshots_recent, MAX(snapshot_timestamp) AS latest_snapshot
+FROM broadcast_snapshots
+WHERE snapshot_timestamp > {_ts(n - dt.timedelta(seconds=seconds))}""")
+
+
+def e19_stats_freshness(dates=P.STATS_DATES, expected=P.AS_OF) -> str:
+    return with_views(f"""
+SELECT MAX(calculation_date) AS latest_calculation_date,
+       DATE '{expected}' AS expected_date,
+       MAX(calculation_date) >= DATE '{expected}' AS up_to_date
+FROM h_stats""", _stats_ctes(_grid(dates), P.WINDOW_DAYS, "h"))
+
+
+def q20_discovery_candidates(lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT) -> str:
+    ctes = EVENT_VIEWS + f""",
+elig AS (
+    SELECT l.*, s.display_name,
+           row_number() OVER (PARTITION BY l.game_id ORDER BY l.ts, l.event_id) AS rn
+    FROM listing l JOIN streamers s ON s.streamer_id = l.user_id
+    WHERE l.viewer_count BETWEEN {lo} AND {hi}
+)"""
+    return with_views(f"""
+SELECT game_id, user_id, user_login, display_name, viewer_count, ts AS listed_at, event_id AS listing_event_id
+FROM elig WHERE rn <= {limit}""", ctes)
+
+
+def q20_discovery_summary(lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT) -> str:
+    ctes = EVENT_VIEWS + f""",
+flagged AS (
+    SELECT l.*,
+           (l.viewer_count BETWEEN {lo} AND {hi}) AND t.streamer_id IS NULL AND p.streamer_id IS NOT NULL AS eligible,
+           (l.viewer_count BETWEEN {lo} AND {hi}) AND t.streamer_id IS NOT NULL AS skipped
+    FROM listing l
+    LEFT JOIN streamers t ON t.streamer_id = l.user_id
+    LEFT JOIN streamers p ON p.streamer_id = l.user_id
+),
+numbered AS (
+    SELECT *, SUM(CASE WHEN eligible THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY game_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS adds_so_far,
+              SUM(CASE WHEN eligible THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY game_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS adds_before
+    FROM flagged
+)"""
+    return with_views(f"""
+SELECT game_id,
+       COUNT(*) AS processed,
+       COUNT(*) FILTER (WHERE skipped) AS skipped,
+       CAST(MAX(adds_so_far) AS BIGINT) AS added
+FROM numbered
+WHERE coalesce(adds_before, 0) < {limit}
+GROUP BY game_id""", ctes)
+
+
+def _bulk_add_ctes() -> str:
+    return EVENT_VIEWS + """,
+requested AS (SELECT DISTINCT channel AS requested_username FROM chat),
+outcomes AS (
+    SELECT r.requested_username, s.streamer_id,
+           CASE WHEN s.streamer_id IS NULL THEN 'not_found'
+                WHEN e.streamer_id IS NOT NULL THEN 'skipped' ELSE 'added' END AS outcome
+    FROM requested r
+    LEFT JOIN streamers s ON lower(r.requested_username) = lower(s.username)
+    LEFT JOIN streamers e ON e.streamer_id = s.streamer_id
+)"""
+
+
+def q21_bulk_add() -> str:
+    return with_views("SELECT requested_username, streamer_id, outcome FROM outcomes", _bulk_add_ctes())
+
+
+def q21_bulk_add_summary() -> str:
+    return with_views("""
+SELECT COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE outcome = 'added') AS added,
+       COUNT(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+       COUNT(*) FILTER (WHERE outcome = 'failed') AS failed,
+       COUNT(*) FILTER (WHERE outcome = 'not_found') AS not_found
+FROM outcomes""", _bulk_add_ctes())
+
+
+# ------------------------------------------------------ writes, data quality
+
+
+def w1_replay_insert_ignore(as_of=P.AS_OF, replay_days=P.REPLAY_DAYS) -> str:
+    d = _d(as_of)
+    return with_views(f"""
+SELECT broadcast_id, streamer_id, category_id, snapshot_timestamp, concurrent_viewers, follower_count,
+       chat_messages_delta, stream_uptime_seconds
+FROM (
+    SELECT i.*, row_number() OVER (
+        PARTITION BY broadcast_id, snapshot_timestamp
+        ORDER BY streamer_id NULLS FIRST, category_id NULLS FIRST, concurrent_viewers NULLS FIRST,
+                 follower_count NULLS FIRST, chat_messages_delta NULLS FIRST, stream_uptime_seconds NULLS FIRST) AS rn
+    FROM broadcast_snapshots i
+    WHERE snapshot_timestamp >= {_ts(d - dt.timedelta(days=replay_days))}
+) f
+WHERE rn = 1 AND NOT EXISTS (
+    SELECT 1 FROM broadcast_snapshots t
+    WHERE t.snapshot_timestamp < {_ts(d)}
+      AND t.broadcast_id = f.broadcast_id AND t.snapshot_timestamp = f.snapshot_timestamp)""")
+
+
+def w3_upsert_stats(dates=P.STATS_DATES, as_of=P.AS_OF, now=P.NOW) -> str:
+    ctes = _stats_ctes(_grid(dates), P.WINDOW_DAYS, "h") + ",\n" + _stats_ctes(_one_date(as_of), 30, "d").strip()
+    cols = ["total_broadcasts", "total_broadcast_hours", "avg_broadcast_duration", "avg_concurrent_viewers",
+            "max_concurrent_viewers", "median_concurrent_viewers", "avg_chat_rate", "unique_categories",
+            "follower_gain_30d", "latest_follower_count", "follower_velocity"]
+    pick = ",\n       ".join(f"CASE WHEN d.streamer_id IS NOT NULL THEN d.{c} ELSE h.{c} END AS {c}" for c in cols)
+    return with_views(f"""
+SELECT coalesce(h.streamer_id, d.streamer_id) AS streamer_id,
+       coalesce(h.calculation_date, d.calculation_date) AS calculation_date,
+       {pick},
+       CASE WHEN d.streamer_id IS NOT NULL THEN {_ts(_now(now))} END AS updated_at
+FROM h_stats h FULL OUTER JOIN d_stats d
+  ON h.streamer_id = d.streamer_id AND h.calculation_date = d.calculation_date""", ctes)
+
+
+def w7_quarantine() -> str:
+    return with_views("""
+SELECT 'broadcasts' AS table_name, broadcast_id AS row_key,
+       concat_ws(',', CASE WHEN NOT coalesce(ended_at IS NULL OR ended_at > started_at, true) THEN 'check_broadcast_times' END,
+                      CASE WHEN NOT coalesce(duration_seconds IS NULL OR duration_seconds > 0, true) THEN 'check_duration_positive' END) AS failed
+FROM broadcasts
+WHERE NOT coalesce(ended_at IS NULL OR ended_at > started_at, true)
+   OR NOT coalesce(duration_seconds IS NULL OR duration_seconds > 0, true)
+UNION ALL
+SELECT 'broadcast_snapshots', broadcast_id,
+       concat_ws(',', CASE WHEN concurrent_viewers < 0 THEN 'concurrent_viewers_non_negative' END,
+                      CASE WHEN follower_count < 0 THEN 'follower_count_non_negative' END,
+                      CASE WHEN chat_messages_delta < 0 THEN 'chat_messages_delta_non_negative' END)
+FROM broadcast_snapshots
+WHERE concurrent_viewers < 0 OR follower_count < 0 OR chat_messages_delta < 0""")
+
+
+def w8_duplicate_snapshot_keys() -> str:
+    return with_views("""
+SELECT broadcast_id, snapshot_timestamp, COUNT(*) AS occurrences
+FROM broadcast_snapshots GROUP BY broadcast_id, snapshot_timestamp HAVING COUNT(*) > 1""")
+
+
+def w8_entity_violations() -> str:
+    return with_views("""
+SELECT streamer_id,
+       concat_ws(',', CASE WHEN streamer_id IS NULL THEN 'streamer_id is null' END,
+                      CASE WHEN username IS NULL THEN 'username is null' END,
+                      CASE WHEN length(username) > 25 THEN 'username longer than 25' END,
+                      CASE WHEN length(display_name) > 25 THEN 'display_name longer than 25' END,
+                      CASE WHEN length(broadcaster_language) > 10 THEN 'broadcaster_language longer than 10' END) AS violations
+FROM streamers
+WHERE streamer_id IS NULL OR username IS NULL OR length(username) > 25 OR length(display_name) > 25
+   OR length(broadcaster_language) > 10""")
+
+
+def w9_orphans() -> str:
+    return with_views("""
+SELECT 'broadcast_snapshots.broadcast_id' AS foreign_key, COUNT(*) AS orphans FROM broadcast_snapshots s
+ WHERE s.broadcast_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM broadcasts b WHERE b.broadcast_id = s.broadcast_id)
+UNION ALL
+SELECT 'broadcast_snapshots.streamer_id', COUNT(*) FROM broadcast_snapshots s
+ WHERE s.streamer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM streamers e WHERE e.streamer_id = s.streamer_id)
+UNION ALL
+SELECT 'broadcast_snapshots.category_id', COUNT(*) FROM broadcast_snapshots s
+ WHERE s.category_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM categories c WHERE c.category_id = s.category_id)
+UNION ALL
+SELECT 'broadcasts.streamer_id', COUNT(*) FROM broadcasts b
+ WHERE b.streamer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM streamers e WHERE e.streamer_id = b.streamer_id)""")
+
+
+def w17_maintain_categories() -> str:
+    return with_views("""
+SELECT coalesce(c.category_id, s.category_id) AS category_id,
+       coalesce(c.category_name, 'Unknown') AS category_name,
+       c.category_type, c.is_trending,
+       s.first_seen AS first_seen_at, s.last_seen AS last_seen_at
+FROM categories c
+FULL OUTER JOIN (SELECT category_id, MIN(snapshot_timestamp) AS first_seen, MAX(snapshot_timestamp) AS last_seen
+                 FROM broadcast_snapshots WHERE category_id IS NOT NULL GROUP BY category_id) s
+  ON s.category_id = c.category_id""")
+
+
+def _inactive_cte(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    cut = _now(now) - dt.timedelta(days=days)
+    return f"""
+seen AS (SELECT streamer_id, MAX(snapshot_timestamp) AS last_seen_at FROM broadcast_snapshots GROUP BY streamer_id),
+inactive AS (
+    SELECT s.streamer_id, s.username, seen.last_seen_at
+    FROM streamers s LEFT JOIN seen ON seen.streamer_id = s.streamer_id
+    WHERE seen.last_seen_at IS NULL OR seen.last_seen_at < {_ts(cut)}
+)"""
+
+
+def w18_inactive_entities(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    return with_views("SELECT streamer_id, username, last_seen_at FROM inactive", _inactive_cte(now, days))
+
+
+def w16_deactivate_inactive(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    return with_views("""
+SELECT s.streamer_id, CASE WHEN i.streamer_id IS NOT NULL THEN false ELSE s.is_active END AS is_active
+FROM streamers s LEFT JOIN inactive i ON i.streamer_id = s.streamer_id""", _inactive_cte(now, days))
+
+
+def w10_delete_cascade(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    return with_views("""
+SELECT 'streamers' AS table_name, COUNT(*) AS remaining_rows FROM streamers
+ WHERE streamer_id NOT IN (SELECT streamer_id FROM inactive)
+UNION ALL
+SELECT 'broadcasts', COUNT(*) FROM broadcasts WHERE streamer_id NOT IN (SELECT streamer_id FROM inactive)
+UNION ALL
+SELECT 'broadcast_snapshots', COUNT(*) FROM broadcast_snapshots WHERE streamer_id NOT IN (SELECT streamer_id FROM inactive)""",
+        _inactive_cte(now, days))
+
+
+def w11_delete_set_null(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    cut = _now(now) - dt.timedelta(days=days)
+    return with_views(f"""
+SELECT COUNT(*) AS snapshots,
+       COUNT(*) FILTER (WHERE bs.category_id IS NULL OR bs.category_id IN (SELECT category_id FROM gone)) AS category_nulled
+FROM broadcast_snapshots bs""", f"""
+cseen AS (SELECT category_id, MAX(snapshot_timestamp) AS last_seen_at FROM broadcast_snapshots GROUP BY category_id),
+gone AS (
+    SELECT c.category_id FROM categories c LEFT JOIN cseen ON cseen.category_id = c.category_id
+    WHERE cseen.last_seen_at IS NULL OR cseen.last_seen_at < {_ts(cut)}
+)""")
+
+
+def a19_archive_split(now=P.NOW, days=P.ARCHIVE_AFTER_DAYS) -> str:
+    cut = _ts(_now(now) - dt.timedelta(days=days))
+    return with_views(f"""
+SELECT 'archive' AS part, COUNT(*) AS row_count FROM broadcast_snapshots WHERE snapshot_timestamp < {cut}
+UNION ALL
+SELECT 'live', COUNT(*) FROM broadcast_snapshots WHERE NOT coalesce(snapshot_timestamp < {cut}, false)""")
