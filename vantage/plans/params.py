@@ -23,3 +23,4 @@ DISCOVERY_LIMIT = 5           # Q20 new entities per category
 REPLAY_DAYS = 30              # W1: the ingestion re-sends this many days before AS_OF
 INACTIVE_DAYS = 365           # W16/W18 entities without activity for this long
 ARCHIVE_AFTER_DAYS = 365      # A19 snapshots older than NOW - this go to the archive
+TICK_MINUTES = 15             # S6 poll interval (reference default)

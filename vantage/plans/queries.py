@@ -489,3 +489,63 @@ def a19_archive_split(t, now=P.NOW, days=P.ARCHIVE_AFTER_DAYS):
     a = archive.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("archive").alias("part"), "row_count")
     lv = live.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("live").alias("part"), "row_count")
     return a.unionByName(lv)
+
+
+# ------------------------------------------------ ingestion (batch twins)
+
+from vantage.streaming import lifecycle as LC  # noqa: E402
+
+
+def _lifecycle(t):
+    return L.lifecycle_events(t.events)
+
+
+def _sessions(t):
+    return LC.sessionize_batch(_lifecycle(t))
+
+
+def _chat_attached(t):
+    chat = LC.filter_chat(L.chat_events(t.events), t.streamers.filter(F.col("is_active")))
+    return LC.attach_session(chat, _lifecycle(t), _sessions(t))
+
+
+def _polls_attached(t):
+    return LC.attach_session(L.poll_samples(t.events), _lifecycle(t), _sessions(t))
+
+
+def s3_sessionize(t):
+    return _sessions(t).drop("broadcast_id")
+
+
+def s2_dropped_offline(t):
+    return LC.dropped_offline(_lifecycle(t))
+
+
+def s8_orphan_sessions(t):
+    return LC.orphan_sessions(_sessions(t)).select("streamer_id", "level", "session_seq", "started_at")
+
+
+def s4_chat_per_session(t):
+    """S4 + S9: tracked, non-echo chat messages attached to the open session."""
+    a = _chat_attached(t).filter(F.col("broadcast_id").isNotNull())
+    return a.groupBy("streamer_id", "started_at").agg(
+        F.count(F.lit(1)).alias("messages"), F.min("event_time").alias("first_message"), F.max("event_time").alias("last_message")
+    )
+
+
+def s5_chat_delta_carry_over(t):
+    polls = _polls_attached(t)
+    d = LC.chat_delta_carry_over(_chat_attached(t), polls)
+    return d.join(polls.select(F.col("event_id").alias("poll_event_id"), "streamer_id", "started_at"), "poll_event_id").select(
+        "poll_event_id", "streamer_id", "started_at", "chat_messages_delta"
+    )
+
+
+def s6_snapshot_ticks(t, minutes=P.TICK_MINUTES):
+    s = LC.snapshot_ticks(_polls_attached(t), _chat_attached(t), minutes)
+    started = _sessions(t).select("broadcast_id", "started_at")
+    return s.join(started, "broadcast_id").drop("broadcast_id")
+
+
+def s15_poll_outcomes(t, minutes=P.TICK_MINUTES):
+    return LC.poll_outcomes(L.poll_samples(t.events), minutes)

@@ -58,6 +58,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w10_delete_cascade": _bind(Q.w10_delete_cascade),
         "w11_delete_set_null": _bind(Q.w11_delete_set_null),
         "a19_archive_split": _bind(Q.a19_archive_split),
+        "s3_sessionize": _bind(Q.s3_sessionize),
+        "s2_dropped_offline": _bind(Q.s2_dropped_offline),
+        "s8_orphan_sessions": _bind(Q.s8_orphan_sessions),
+        "s4_chat_per_session": _bind(Q.s4_chat_per_session),
+        "s5_chat_delta_carry_over": _bind(Q.s5_chat_delta_carry_over),
+        "s6_snapshot_ticks": _bind(Q.s6_snapshot_ticks),
+        "s15_poll_outcomes": _bind(Q.s15_poll_outcomes),
     }
 
 
@@ -100,4 +107,11 @@ def oracle_sql() -> dict[str, str]:
         "w10_delete_cascade": S.w10_delete_cascade(),
         "w11_delete_set_null": S.w11_delete_set_null(),
         "a19_archive_split": S.a19_archive_split(),
+        "s3_sessionize": S.s3_sessionize(),
+        "s2_dropped_offline": S.s2_dropped_offline(),
+        "s8_orphan_sessions": S.s8_orphan_sessions(),
+        "s4_chat_per_session": S.s4_chat_per_session(),
+        "s5_chat_delta_carry_over": S.s5_chat_delta_carry_over(),
+        "s6_snapshot_ticks": S.s6_snapshot_ticks(),
+        "s15_poll_outcomes": S.s15_poll_outcomes(),
     }

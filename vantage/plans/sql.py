@@ -628,3 +628,165 @@ def a19_archive_split(now=P.NOW, days=P.ARCHIVE_AFTER_DAYS) -> str:
 SELECT 'archive' AS part, COUNT(*) AS row_count FROM broadcast_snapshots WHERE snapshot_timestamp < {cut}
 UNION ALL
 SELECT 'live', COUNT(*) FROM broadcast_snapshots WHERE NOT coalesce(snapshot_timestamp < {cut}, false)""")
+
+
+# ------------------------------------------------- ingestion (batch twins)
+
+LIFECYCLE = """
+lc AS (
+    SELECT CASE WHEN event_type = 'signup' THEN 'online' ELSE 'offline' END AS kind,
+           user_id AS streamer_id, ts AS event_time, event_id,
+           CASE WHEN event_type = 'signup' THEN 'stream ' || CAST(event_id AS VARCHAR) END AS title,
+           CASE WHEN event_type = 'signup' THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS category_id
+    FROM events WHERE event_type IN ('signup', 'error')
+),
+lc1 AS (
+    SELECT *, SUM(CASE WHEN kind = 'online' THEN 1 ELSE -1 END)
+              OVER (PARTITION BY streamer_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS s
+    FROM lc
+),
+lc2 AS (
+    SELECT *, least(0, coalesce(MIN(s) OVER (PARTITION BY streamer_id ORDER BY event_time, event_id
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS p
+    FROM lc1
+),
+lc3 AS (
+    SELECT *, (kind = 'offline' AND s < p) AS unmatched,
+           CASE WHEN kind = 'online' THEN s - least(p, s) ELSE s - least(p, s) + 1 END AS level
+    FROM lc2
+),
+nx AS (
+    SELECT *, LEAD(kind) OVER (PARTITION BY streamer_id, level ORDER BY event_time, event_id) AS next_kind,
+              LEAD(event_time) OVER (PARTITION BY streamer_id, level ORDER BY event_time, event_id) AS next_time
+    FROM lc3 WHERE NOT unmatched
+),
+sess AS (
+    SELECT streamer_id, level,
+           row_number() OVER (PARTITION BY streamer_id, level ORDER BY event_time, event_id) AS session_seq,
+           event_time AS started_at,
+           CASE WHEN next_kind = 'offline' THEN next_time END AS ended_at,
+           CAST(round(date_diff('microsecond', event_time, CASE WHEN next_kind = 'offline' THEN next_time END) / 1e6, 0) AS INTEGER)
+               AS duration_seconds,
+           coalesce(nullif(title, ''), 'Untitled Stream') AS stream_title,
+           category_id AS primary_category_id
+    FROM nx WHERE kind = 'online'
+)"""
+
+
+def _attach(evs: str, name: str) -> str:
+    """CTE ``{name}``: events of ``evs`` (streamer_id, event_time, event_id, ...)
+    with the (streamer_id, started_at) of the session on top of the stack."""
+    return f"""
+{name}_m AS (
+    SELECT streamer_id, event_time, event_id, kind, level,
+           CASE WHEN unmatched THEN 0 WHEN kind = 'online' THEN 1 ELSE -1 END AS d
+    FROM lc3
+    UNION ALL
+    SELECT streamer_id, event_time, event_id, 'event', NULL, 0 FROM {evs}
+),
+{name}_m2 AS (
+    SELECT *, SUM(d) OVER (PARTITION BY streamer_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS depth
+    FROM {name}_m
+),
+{name}_m3 AS (
+    SELECT *, CASE WHEN kind = 'event' THEN depth ELSE level END AS lvl
+    FROM {name}_m2 WHERE kind IN ('online', 'event')
+),
+{name}_m4 AS (
+    SELECT *, SUM(CASE WHEN kind = 'online' THEN 1 ELSE 0 END)
+              OVER (PARTITION BY streamer_id, lvl ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS k
+    FROM {name}_m3 WHERE lvl > 0
+),
+{name} AS (
+    SELECT e.*, s.started_at
+    FROM {evs} e
+    LEFT JOIN {name}_m4 m ON m.event_id = e.event_id AND m.kind = 'event'
+    LEFT JOIN sess s ON s.streamer_id = m.streamer_id AND s.level = m.lvl AND s.session_seq = m.k
+)"""
+
+
+CHAT_POLL = """
+chat_in AS (
+    SELECT c.user_id AS streamer_id, c.ts AS event_time, c.event_id
+    FROM events c JOIN streamers s ON lower('Customer#' || lpad(CAST(c.user_id AS VARCHAR), 9, '0')) = lower(s.username)
+    WHERE c.event_type IN ('click', 'view') AND NOT (c.event_type = 'view' AND c.value < 5) AND s.is_active
+),
+poll_in AS (
+    SELECT user_id AS streamer_id, ts AS event_time, event_id,
+           CAST(floor(value) AS INTEGER) AS viewer_count,
+           TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS category_id,
+           CAST(floor(value * 100) AS BIGINT) AS follower_count
+    FROM events WHERE event_type = 'purchase'
+)"""
+
+
+def s3_sessionize() -> str:
+    return with_views("SELECT * FROM sess", LIFECYCLE)
+
+
+def s2_dropped_offline() -> str:
+    return with_views("SELECT streamer_id, COUNT(*) AS dropped_offline FROM lc3 WHERE unmatched GROUP BY streamer_id", LIFECYCLE)
+
+
+def s8_orphan_sessions() -> str:
+    return with_views("""
+SELECT s.streamer_id, s.level, s.session_seq, s.started_at
+FROM sess s JOIN (SELECT streamer_id, MAX(started_at) AS latest FROM sess GROUP BY streamer_id) l
+  ON l.streamer_id = s.streamer_id
+WHERE s.ended_at IS NULL AND s.started_at < l.latest""", LIFECYCLE)
+
+
+def s4_chat_per_session() -> str:
+    return with_views("""
+SELECT streamer_id, started_at, COUNT(*) AS messages, MIN(event_time) AS first_message, MAX(event_time) AS last_message
+FROM chat_att WHERE started_at IS NOT NULL GROUP BY streamer_id, started_at""",
+        LIFECYCLE + "," + CHAT_POLL + "," + _attach("chat_in", "chat_att"))
+
+
+def s5_chat_delta_carry_over() -> str:
+    ctes = LIFECYCLE + "," + CHAT_POLL + "," + _attach("chat_in", "chat_att") + "," + _attach("poll_in", "poll_att") + """,
+u AS (
+    SELECT streamer_id, started_at, event_time, event_id, 0 AS is_poll, 1 AS o FROM chat_att WHERE started_at IS NOT NULL
+    UNION ALL
+    SELECT streamer_id, started_at, event_time, event_id, 1, 0 FROM poll_att WHERE started_at IS NOT NULL
+),
+r AS (
+    SELECT *, SUM(is_poll) OVER (PARTITION BY streamer_id, started_at ORDER BY event_time, o, event_id ROWS UNBOUNDED PRECEDING) AS polls
+    FROM u
+),
+msgs AS (SELECT streamer_id, started_at, polls + 1 AS slot, COUNT(*) AS n FROM r WHERE is_poll = 0 GROUP BY ALL)"""
+    return with_views("""
+SELECT p.event_id AS poll_event_id, p.streamer_id, p.started_at, CAST(coalesce(m.n, 0) AS BIGINT) AS chat_messages_delta
+FROM r p LEFT JOIN msgs m ON m.streamer_id = p.streamer_id AND m.started_at = p.started_at AND m.slot = p.polls
+WHERE p.is_poll = 1""", ctes)
+
+
+def s6_snapshot_ticks(minutes=P.TICK_MINUTES) -> str:
+    ctes = LIFECYCLE + "," + CHAT_POLL + "," + _attach("chat_in", "chat_att") + "," + _attach("poll_in", "poll_att") + f""",
+pw AS (
+    SELECT *, time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,
+           row_number() OVER (PARTITION BY streamer_id, started_at, time_bucket(INTERVAL {minutes} MINUTE, event_time)
+                              ORDER BY event_time DESC, event_id DESC) AS rn
+    FROM poll_att WHERE started_at IS NOT NULL AND viewer_count IS NOT NULL
+),
+cw AS (
+    SELECT streamer_id, started_at, time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,
+           COUNT(*) AS n
+    FROM chat_att WHERE started_at IS NOT NULL GROUP BY ALL
+)"""
+    return with_views("""
+SELECT pw.streamer_id, pw.category_id, pw.tick_end AS snapshot_timestamp,
+       pw.viewer_count AS concurrent_viewers, coalesce(pw.follower_count, 0) AS follower_count,
+       CAST(floor(date_diff('microsecond', pw.started_at, pw.tick_end) / 1e6) AS BIGINT) AS stream_uptime_seconds,
+       CAST(coalesce(cw.n, 0) AS INTEGER) AS chat_messages_delta,
+       pw.started_at
+FROM pw LEFT JOIN cw ON cw.streamer_id = pw.streamer_id AND cw.started_at = pw.started_at AND cw.tick_end = pw.tick_end
+WHERE pw.rn = 1""", ctes)
+
+
+def s15_poll_outcomes(minutes=P.TICK_MINUTES) -> str:
+    return with_views(f"""
+SELECT time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,
+       COUNT(*) FILTER (WHERE viewer_count IS NOT NULL) AS succeeded,
+       COUNT(*) FILTER (WHERE viewer_count IS NULL) AS failed
+FROM poll_in GROUP BY ALL""", CHAT_POLL)
