@@ -72,21 +72,34 @@ def history(stats: DataFrame, n: int = 30, key: str = "streamer_id", order: str
     return stats.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def viewer_rank(snapshots: DataFrame, tick: str = "snapshot_timestamp") -> DataFrame:
+def viewer_rank(snapshots: DataFrame, tick: str = "snapshot_timestamp", bucket_width: int = 64) -> DataFrame:
     """V5 rank of each session among all sessions live at the same tick (1 = most
-    viewed).  Partitioned by tick; a tick holds one row per live session."""
-    w = Window.partitionBy(tick).orderBy(F.col("concurrent_viewers").desc())
-    return snapshots.withColumn("viewer_rank", F.rank().over(w))
+    viewed, ties share a rank, like ``RANK() OVER (PARTITION BY tick ORDER BY
+    viewers DESC)``).
+
+    Computed without sorting a tick as a whole: rows are counted per (tick,
+    viewers), a bucketed running count over viewers (descending) gives the
+    number of strictly larger values, and the rank joins back."""
+    from vantage.operators.sequence import running_sum
+
+    counts = snapshots.groupBy(tick, "concurrent_viewers").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = counts.withColumn("_neg_v", -F.col("concurrent_viewers"))
+    cum = running_sum(counts, [tick], ["_neg_v"], "_cnt", F.floor(F.col("_neg_v") / F.lit(bucket_width)), out="_le")
+    ranks = cum.select(tick, "concurrent_viewers", (F.col("_le") - F.col("_cnt") + 1).cast("int").alias("viewer_rank"))
+    base = snapshots.drop("viewer_rank") if "viewer_rank" in snapshots.columns else snapshots
+    return base.join(ranks, [tick, "concurrent_viewers"])
 
 
 def follower_delta(snapshots: DataFrame) -> DataFrame:
-    """V6 follower change between consecutive snapshots and per streaming hour."""
-    w = _session_window()
-    prev_f = F.lag("follower_count").over(w)
-    prev_t = F.lag("snapshot_timestamp").over(w)
-    hours = F.timestamp_diff("MICROSECOND", prev_t, F.col("snapshot_timestamp")) / F.lit(3.6e9)
-    return snapshots.withColumn("follower_delta", F.col("follower_count") - prev_f).withColumn(
-        "follower_delta_per_hour", safe_div(F.col("follower_count") - prev_f, hours)
+    """V6 follower change between consecutive snapshots of a session and per
+    streaming hour (NULL when no time passed), via the bucketed LAG."""
+    from vantage.operators.sequence import day_bucket, shift
+
+    s = shift(snapshots, ["broadcast_id"], list(SNAPSHOT_ORDER), ["follower_count", "snapshot_timestamp"], day_bucket("snapshot_timestamp"), "lag")
+    hours = F.timestamp_diff("MICROSECOND", F.col("prev_snapshot_timestamp"), F.col("snapshot_timestamp")) / F.lit(3.6e9)
+    delta = F.col("follower_count") - F.col("prev_follower_count")
+    return s.withColumn("follower_delta", delta).withColumn("follower_delta_per_hour", safe_div(delta, hours)).drop(
+        "prev_follower_count", "prev_snapshot_timestamp"
     )
 
 

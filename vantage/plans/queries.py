@@ -549,3 +549,154 @@ def s6_snapshot_ticks(t, minutes=P.TICK_MINUTES):
 
 def s15_poll_outcomes(t, minutes=P.TICK_MINUTES):
     return LC.poll_outcomes(L.poll_samples(t.events), minutes)
+
+
+# ------------------------------------------------- extended statistics, windows
+
+def e20_session_rollup(t):
+    return agg.session_rollup(t.snapshots)
+
+
+def e21_e26_extended_stats(t, as_of=P.AS_OF, window_days=P.WINDOW_DAYS):
+    x = agg.extended_statistics(t.broadcasts(with_primary_category=True), t.snapshots, as_of, window_days)
+    return x.select("streamer_id", *[round_num(c, 6).alias(c) if c not in ("top_category_id",) else F.col(c) for c in x.columns[1:]])
+
+
+def m18_candidate_features(t, as_of=P.AS_OF, window_days=P.WINDOW_DAYS):
+    x = agg.candidate_features(t.broadcasts(), t.snapshots, as_of, window_days)
+    return x.select("streamer_id", *[round_num(c, 6).alias(c) for c in x.columns[1:]])
+
+
+def v5_viewer_rank(t):
+    return Wn.viewer_rank(t.snapshots.select("broadcast_id", "snapshot_timestamp", "concurrent_viewers"))
+
+
+def v6_follower_delta(t):
+    d = Wn.follower_delta(t.snapshots.select(*J.SNAPSHOT_ORDER, "broadcast_id"))
+    return d.select("broadcast_id", "snapshot_timestamp", "follower_count", "follower_delta", round_num("follower_delta_per_hour", 6).alias("follower_delta_per_hour"))
+
+
+# ------------------------------------------------------------- model and metrics
+
+from vantage.operators import metrics as Mx  # noqa: E402
+from vantage.operators import ml as ML  # noqa: E402
+
+
+def _training(t):
+    return q10_training_set(t)
+
+
+def _baseline_scored(t):
+    """A fixed, model-free scorer (average viewers / 50, capped at 1; positive at
+    0.5) so the metric operators can be checked against SQL."""
+    s = F.least(F.col("first_30d_avg_viewers") / F.lit(50.0), F.lit(1.0))
+    return _training(t).select(
+        "streamer_id", F.col(ML.LABEL).alias("label"), s.alias("score"), (s >= 0.5).cast("int").alias("prediction")
+    )
+
+
+def e28_class_distribution(t):
+    return Mx.class_distribution(_training(t))
+
+
+def e29_null_profile(t):
+    return Mx.null_profile(_training(t), list(ML.FEATURES))
+
+
+def e30_describe(t):
+    d = Mx.describe(_training(t), list(ML.FEATURES))
+    return d.select("feature", "count", *[round_num(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+def m5_scaler_params(t):
+    tr = _training(t)
+    rows = [
+        tr.agg(F.lit(c).alias("feature"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std_pop"))
+        for c in ML.FEATURES
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("feature", round_num("mean", 6).alias("mean"), round_num("std_pop", 6).alias("std_pop"))
+
+
+def m6_split_counts(t, test_fraction=0.2, seed=42):
+    from vantage.operators.model import stratified_split
+
+    s = stratified_split(_training(t), ML.LABEL, test_fraction=test_fraction, seed=seed)
+    return s.groupBy(ML.LABEL, "is_test").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def m7_class_weight(t, test_fraction=0.2, seed=42):
+    from vantage.operators.model import stratified_split
+
+    tr = stratified_split(_training(t), ML.LABEL, test_fraction=test_fraction, seed=seed).filter(~F.col("is_test"))
+    g = tr.agg(F.count_if(F.col(ML.LABEL) == 0).alias("n_negative"), F.count_if(F.col(ML.LABEL) == 1).alias("n_positive"))
+    return g.withColumn("positive_weight", F.when(F.col("n_positive") > 0, F.col("n_negative") / F.col("n_positive")).otherwise(1.0))
+
+
+def e31_score_distribution(t):
+    return Mx.score_distribution(_baseline_scored(t))
+
+
+def e33_precision_recall(t):
+    from vantage.functions.tiers import assess_model
+
+    p = Mx.precision_recall_f1(_baseline_scored(t))
+    return p.select("tn", "fp", "fn", "tp", *[round_num(c, 6).alias(c) for c in ("precision", "recall", "f1")], assess_model("precision", "recall").alias("assessment"))
+
+
+def e34_classification_report(t):
+    r = Mx.classification_report(_baseline_scored(t))
+    return r.select("class", *[round_num(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def e35_roc_auc(t):
+    return Mx.roc_auc(_baseline_scored(t)).select(round_num("roc_auc", 6).alias("roc_auc"))
+
+
+def e36_pr_curve(t):
+    c = Mx.pr_curve(_baseline_scored(t))
+    return c.select("threshold", "tp", "fp", *[round_num(x, 6).alias(x) for x in ("precision", "recall", "f1")])
+
+
+def m15_best_threshold(t):
+    b = Mx.best_threshold(Mx.pr_curve(_baseline_scored(t)))
+    return b.select("threshold", round_num("f1", 6).alias("f1"))
+
+
+_MODELS: dict = {}
+
+
+def _trained(t):
+    """Train once per (session, data folder) within a process; the fit is the
+    expensive part and several registered queries read the same model."""
+    from vantage.operators.model import train
+
+    key = (id(getattr(t, 'spark', None)), getattr(t, 'root', id(t)))
+    if key not in _MODELS:
+        _MODELS[key] = train(_training(t))
+    return _MODELS[key]
+
+
+def m17_train_evaluate(t):
+    """Classification report of the boosted trees on the test split."""
+    from vantage.operators.model import evaluate
+
+    ev = evaluate(_trained(t)["predictions"])
+    return ev["report"]
+
+
+def m12_feature_importance(t):
+    from vantage.operators.model import feature_importance
+
+    imp = feature_importance(_trained(t)["model"])
+    return t.spark.createDataFrame(imp, "feature string, importance double")
+
+
+def q22_batch_scoring(t):
+    """Q22: score every entity's first-record features with the trained model."""
+    from vantage.operators.model import score
+
+    feats = _training(t).drop(ML.LABEL, "tune_in_ratio")
+    return score(_trained(t)["model"], feats)

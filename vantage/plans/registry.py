@@ -65,6 +65,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s5_chat_delta_carry_over": _bind(Q.s5_chat_delta_carry_over),
         "s6_snapshot_ticks": _bind(Q.s6_snapshot_ticks),
         "s15_poll_outcomes": _bind(Q.s15_poll_outcomes),
+        "e20_session_rollup": _bind(Q.e20_session_rollup),
+        "e21_e26_extended_stats": _bind(Q.e21_e26_extended_stats),
+        "m18_candidate_features": _bind(Q.m18_candidate_features),
+        "v5_viewer_rank": _bind(Q.v5_viewer_rank),
+        "v6_follower_delta": _bind(Q.v6_follower_delta),
+        "e28_class_distribution": _bind(Q.e28_class_distribution),
+        "e29_null_profile": _bind(Q.e29_null_profile),
+        "e30_describe": _bind(Q.e30_describe),
+        "m5_scaler_params": _bind(Q.m5_scaler_params),
+        "m6_split_counts": _bind(Q.m6_split_counts),
+        "m7_class_weight": _bind(Q.m7_class_weight),
+        "e31_score_distribution": _bind(Q.e31_score_distribution),
+        "e33_precision_recall": _bind(Q.e33_precision_recall),
+        "e34_classification_report": _bind(Q.e34_classification_report),
+        "e35_roc_auc": _bind(Q.e35_roc_auc),
+        "e36_pr_curve": _bind(Q.e36_pr_curve),
+        "m15_best_threshold": _bind(Q.m15_best_threshold),
+        "m17_train_evaluate": _bind(Q.m17_train_evaluate),
+        "m12_feature_importance": _bind(Q.m12_feature_importance),
+        "q22_batch_scoring": _bind(Q.q22_batch_scoring),
     }
 
 
@@ -114,4 +134,21 @@ def oracle_sql() -> dict[str, str]:
         "s5_chat_delta_carry_over": S.s5_chat_delta_carry_over(),
         "s6_snapshot_ticks": S.s6_snapshot_ticks(),
         "s15_poll_outcomes": S.s15_poll_outcomes(),
+        "e20_session_rollup": S.e20_session_rollup(),
+        "e21_e26_extended_stats": S.e21_e26_extended_stats(),
+        "m18_candidate_features": S.m18_candidate_features(),
+        "v5_viewer_rank": S.v5_viewer_rank(),
+        "v6_follower_delta": S.v6_follower_delta(),
+        "e28_class_distribution": S.e28_class_distribution(),
+        "e29_null_profile": S.e29_null_profile(),
+        "e30_describe": S.e30_describe(),
+        "m5_scaler_params": S.m5_scaler_params(),
+        "m6_split_counts": S.m6_split_counts(),
+        "m7_class_weight": S.m7_class_weight(),
+        "e31_score_distribution": S.e31_score_distribution(),
+        "e33_precision_recall": S.e33_precision_recall(),
+        "e34_classification_report": S.e34_classification_report(),
+        "e35_roc_auc": S.e35_roc_auc(),
+        "e36_pr_curve": S.e36_pr_curve(),
+        "m15_best_threshold": S.m15_best_threshold(),
     }

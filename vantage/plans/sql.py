@@ -118,8 +118,8 @@ LEFT JOIN broadcast_snapshots bs ON b.broadcast_id = bs.broadcast_id
 GROUP BY s.streamer_id""")
 
 
-def q10_training_set(dates=P.STATS_DATES, window_days=P.WINDOW_DAYS, label_threshold=P.LABEL_THRESHOLD, min_hours=P.MIN_HOURS) -> str:
-    ctes = _stats_ctes(_grid(dates), window_days, "h") + f""",
+def _training_ctes(dates=P.STATS_DATES, window_days=P.WINDOW_DAYS, label_threshold=P.LABEL_THRESHOLD, min_hours=P.MIN_HOURS) -> str:
+    return _stats_ctes(_grid(dates), window_days, "h") + f""",
 streamer_peak_performance AS (
     SELECT streamer_id, MAX(avg_concurrent_viewers) AS peak_avg_viewers FROM h_stats GROUP BY streamer_id
 ),
@@ -127,23 +127,27 @@ streamer_first_stats AS (
     SELECT * FROM (
         SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY calculation_date) AS rn FROM h_stats
     ) WHERE rn = 1
+),
+training AS (
+    SELECT sfs.streamer_id,
+           sfs.total_broadcasts,
+           CAST(sfs.total_broadcast_hours AS DOUBLE) AS total_broadcast_hours,
+           CAST(sfs.avg_concurrent_viewers AS DOUBLE) AS first_30d_avg_viewers,
+           CAST(sfs.avg_chat_rate AS DOUBLE) AS first_30d_chat_rate,
+           CAST(sfs.follower_gain_30d AS DOUBLE) AS first_30d_follower_gain,
+           CAST(sfs.follower_velocity AS DOUBLE) AS first_30d_follower_velocity,
+           CAST(sfs.unique_categories AS DOUBLE) AS first_30d_unique_categories,
+           CAST(sfs.latest_follower_count AS DOUBLE) AS first_30d_follower_count,
+           CAST(spp.peak_avg_viewers >= {label_threshold} AS INTEGER) AS is_mega_streamer,
+           CAST(sfs.avg_concurrent_viewers AS DOUBLE) / (CAST(sfs.latest_follower_count AS DOUBLE) + 1e-6) AS tune_in_ratio
+    FROM streamer_first_stats sfs
+    JOIN streamer_peak_performance spp ON sfs.streamer_id = spp.streamer_id
+    WHERE sfs.total_broadcast_hours > {min_hours}
 )"""
-    return with_views(f"""
-SELECT sfs.streamer_id,
-       sfs.total_broadcasts,
-       CAST(sfs.total_broadcast_hours AS DOUBLE) AS total_broadcast_hours,
-       CAST(sfs.avg_concurrent_viewers AS DOUBLE) AS first_30d_avg_viewers,
-       CAST(sfs.avg_chat_rate AS DOUBLE) AS first_30d_chat_rate,
-       CAST(sfs.follower_gain_30d AS DOUBLE) AS first_30d_follower_gain,
-       CAST(sfs.follower_velocity AS DOUBLE) AS first_30d_follower_velocity,
-       CAST(sfs.unique_categories AS DOUBLE) AS first_30d_unique_categories,
-       CAST(sfs.latest_follower_count AS DOUBLE) AS first_30d_follower_count,
-       CAST(spp.peak_avg_viewers >= {label_threshold} AS INTEGER) AS is_mega_streamer,
-       CAST(sfs.avg_concurrent_viewers AS DOUBLE) / (CAST(sfs.latest_follower_count AS DOUBLE) + 1e-6) AS tune_in_ratio
-FROM streamer_first_stats sfs
-JOIN streamer_peak_performance spp ON sfs.streamer_id = spp.streamer_id
-WHERE sfs.total_broadcast_hours > {min_hours}
-ORDER BY sfs.streamer_id""", ctes)
+
+
+def q10_training_set() -> str:
+    return with_views("SELECT * FROM training ORDER BY streamer_id", _training_ctes())
 
 
 def q11_top_chat_rate(as_of=P.AS_OF, k=10) -> str:
@@ -790,3 +794,292 @@ SELECT time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} M
        COUNT(*) FILTER (WHERE viewer_count IS NOT NULL) AS succeeded,
        COUNT(*) FILTER (WHERE viewer_count IS NULL) AS failed
 FROM poll_in GROUP BY ALL""", CHAT_POLL)
+
+
+# ------------------------------------------------- extended statistics, windows
+
+
+def e20_session_rollup() -> str:
+    return with_views(f"""
+SELECT broadcast_id,
+       CAST(round(AVG(concurrent_viewers), 0) AS INTEGER) AS average_viewers,
+       MAX(concurrent_viewers) AS peak_viewers,
+       CAST(SUM(chat_messages_delta) AS BIGINT) AS total_chat_messages,
+       arg_max(follower_count, ({SNAP_ORDER.replace('bs.', '')})) - arg_min(follower_count, ({SNAP_ORDER.replace('bs.', '')})) AS follower_gain
+FROM broadcast_snapshots GROUP BY broadcast_id""")
+
+
+def e21_e26_extended_stats(as_of=P.AS_OF, window_days=P.WINDOW_DAYS) -> str:
+    d = _d(as_of)
+    lo, hi = _ts(d - dt.timedelta(days=window_days)), _ts(d + dt.timedelta(days=1))
+    plo, phi = _ts(d - dt.timedelta(days=2 * window_days + 1)), _ts(d - dt.timedelta(days=window_days))
+    weeks = (window_days + 1) / 7.0
+    ctes = f"""
+sess AS (
+    SELECT broadcast_id, streamer_id, primary_category_id, started_at,
+           date_diff('microsecond', started_at, ended_at) / 1e6 / 3600.0 AS duration_hours
+    FROM broadcasts WHERE started_at >= {lo} AND started_at < {hi} AND ended_at IS NOT NULL
+),
+snaps AS (SELECT * FROM broadcast_snapshots WHERE snapshot_timestamp >= {lo} AND snapshot_timestamp < {hi}),
+rate AS (
+    SELECT broadcast_id, CAST(SUM(chat_messages_delta) AS DOUBLE) / NULLIF(SUM(concurrent_viewers) * 0.25, 0) AS r
+    FROM snaps GROUP BY broadcast_id
+),
+seq AS (
+    SELECT s.*, rate.r,
+           LAG(primary_category_id) OVER (PARTITION BY s.streamer_id ORDER BY started_at, s.broadcast_id) AS prev_cat,
+           date_diff('microsecond', LAG(started_at) OVER (PARTITION BY s.streamer_id ORDER BY started_at, s.broadcast_id), started_at) / 3.6e9 AS gap
+    FROM sess s LEFT JOIN rate ON rate.broadcast_id = s.broadcast_id
+),
+ent AS (
+    SELECT streamer_id,
+           STDDEV_SAMP(r) AS engagement_consistency,
+           coalesce(SUM(CASE WHEN primary_category_id <> prev_cat THEN 1 ELSE 0 END), 0) / {weeks} AS category_switching_frequency,
+           COUNT(*) / {weeks} AS streaming_consistency,
+           1.0 / (1.0 + STDDEV_SAMP(gap) / NULLIF(AVG(gap), 0)) AS schedule_regularity,
+           SUM(duration_hours) AS hours
+    FROM seq GROUP BY streamer_id
+),
+bycat AS (
+    SELECT streamer_id, primary_category_id, SUM(duration_hours) AS h
+    FROM sess WHERE primary_category_id IS NOT NULL GROUP BY ALL
+),
+top AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY h DESC, primary_category_id) AS rn FROM bycat)
+    WHERE rn = 1
+),
+cur AS (SELECT streamer_id, AVG(concurrent_viewers) AS v FROM snaps GROUP BY streamer_id),
+prev AS (
+    SELECT streamer_id, AVG(concurrent_viewers) AS pv FROM broadcast_snapshots
+    WHERE snapshot_timestamp >= {plo} AND snapshot_timestamp < {phi} GROUP BY streamer_id
+)"""
+    return with_views("""
+SELECT e.streamer_id,
+       round(e.engagement_consistency, 6) AS engagement_consistency,
+       round(e.category_switching_frequency, 6) AS category_switching_frequency,
+       top.primary_category_id AS top_category_id,
+       round(top.h / NULLIF(e.hours, 0) * 100, 6) AS top_category_percentage,
+       round(e.streaming_consistency, 6) AS streaming_consistency,
+       round(e.schedule_regularity, 6) AS schedule_regularity,
+       round((cur.v - prev.pv) / NULLIF(prev.pv, 0) * 100, 6) AS viewer_growth_rate
+FROM ent e LEFT JOIN top ON top.streamer_id = e.streamer_id
+LEFT JOIN cur ON cur.streamer_id = e.streamer_id
+LEFT JOIN prev ON prev.streamer_id = e.streamer_id""", ctes)
+
+
+def m18_candidate_features(as_of=P.AS_OF, window_days=P.WINDOW_DAYS) -> str:
+    d = _d(as_of)
+    lo_d = d - dt.timedelta(days=window_days)
+    lo, hi = _ts(lo_d), _ts(d + dt.timedelta(days=1))
+    early = _ts(lo_d + dt.timedelta(days=7))
+    ctes = f"""
+daily AS (
+    SELECT streamer_id, CAST(started_at AS DATE) AS d, SUM(date_diff('microsecond', started_at, ended_at) / 1e6 / 3600.0) AS h
+    FROM broadcasts WHERE started_at >= {lo} AND started_at < {hi} AND ended_at IS NOT NULL GROUP BY ALL
+),
+hv AS (SELECT streamer_id, VAR_SAMP(h) AS hours_per_day_variance FROM daily GROUP BY streamer_id),
+snaps AS (SELECT * FROM broadcast_snapshots WHERE snapshot_timestamp >= {lo} AND snapshot_timestamp < {hi}),
+sm AS (
+    SELECT streamer_id,
+           REGR_SLOPE(CAST(concurrent_viewers AS DOUBLE), date_diff('microsecond', {lo}, snapshot_timestamp) / 86400e6) AS viewer_trend,
+           arg_max(follower_count, (snapshot_timestamp, follower_count)) AS f_end,
+           arg_max(follower_count, (snapshot_timestamp, follower_count)) FILTER (WHERE snapshot_timestamp < {early}) AS f_7,
+           AVG(concurrent_viewers) FILTER (WHERE isodow(snapshot_timestamp) IN (6, 7)) AS we,
+           AVG(concurrent_viewers) FILTER (WHERE isodow(snapshot_timestamp) NOT IN (6, 7)) AS wd,
+           COUNT(*) AS n
+    FROM snaps GROUP BY streamer_id
+),
+cat AS (SELECT streamer_id, category_id, COUNT(*) AS c FROM snaps WHERE category_id IS NOT NULL GROUP BY ALL),
+top AS (SELECT streamer_id, MAX(c) AS top FROM cat GROUP BY streamer_id)"""
+    return with_views("""
+SELECT sm.streamer_id,
+       round(hv.hours_per_day_variance, 6) AS hours_per_day_variance,
+       round(CASE WHEN isnan(sm.viewer_trend) THEN NULL ELSE sm.viewer_trend END, 6) AS viewer_trend,
+       round(CAST(sm.f_end AS DOUBLE) / NULLIF(sm.f_7, 0), 6) AS follower_retention,
+       round(CAST(top.top AS DOUBLE) / NULLIF(sm.n, 0), 6) AS top_category_share,
+       round(sm.we / NULLIF(sm.wd, 0), 6) AS weekend_weekday_ratio
+FROM sm LEFT JOIN top ON top.streamer_id = sm.streamer_id LEFT JOIN hv ON hv.streamer_id = sm.streamer_id""", ctes)
+
+
+def v5_viewer_rank() -> str:
+    return with_views("""
+SELECT snapshot_timestamp, concurrent_viewers, broadcast_id,
+       CAST(rank() OVER (PARTITION BY snapshot_timestamp ORDER BY concurrent_viewers DESC) AS INTEGER) AS viewer_rank
+FROM broadcast_snapshots""")
+
+
+def v6_follower_delta() -> str:
+    return with_views(f"""
+SELECT broadcast_id, snapshot_timestamp, follower_count, follower_delta,
+       round(follower_delta / NULLIF(date_diff('microsecond', prev_ts, snapshot_timestamp) / 3.6e9, 0), 6) AS follower_delta_per_hour
+FROM (
+    SELECT bs.*, bs.follower_count - LAG(bs.follower_count) OVER w AS follower_delta,
+           LAG(bs.snapshot_timestamp) OVER w AS prev_ts
+    FROM broadcast_snapshots bs
+    WINDOW w AS (PARTITION BY bs.broadcast_id ORDER BY {SNAP_ORDER})
+)""")
+
+
+# ------------------------------------------------------------ model and metrics
+
+FEATURE_COLS = ["total_broadcasts", "total_broadcast_hours", "first_30d_avg_viewers", "first_30d_chat_rate",
+                "first_30d_follower_gain", "first_30d_follower_velocity", "first_30d_unique_categories",
+                "first_30d_follower_count", "tune_in_ratio"]
+
+
+def _scored_ctes() -> str:
+    return _training_ctes() + """,
+scored AS (
+    SELECT streamer_id, is_mega_streamer AS label,
+           least(first_30d_avg_viewers / 50.0, 1.0) AS score,
+           CAST(least(first_30d_avg_viewers / 50.0, 1.0) >= 0.5 AS INTEGER) AS prediction
+    FROM training
+),
+cm AS (
+    SELECT COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+           COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+           COUNT(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+           COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp
+    FROM scored
+),
+prf AS (
+    SELECT *,
+           coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0) AS p1, coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0) AS r1,
+           coalesce(CAST(tn AS DOUBLE) / NULLIF(tn + fn, 0), 0) AS p0, coalesce(CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0), 0) AS r0
+    FROM cm
+),
+prf2 AS (
+    SELECT *, coalesce(2 * p1 * r1 / NULLIF(p1 + r1, 0), 0) AS f1_1, coalesce(2 * p0 * r0 / NULLIF(p0 + r0, 0), 0) AS f1_0,
+           tn + fp AS s0, tp + fn AS s1
+    FROM prf
+),
+per_score AS (
+    SELECT score, COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg
+    FROM scored GROUP BY score
+),
+curve AS (
+    SELECT score AS threshold,
+           SUM(n_pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+           SUM(n_neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+           (SELECT SUM(n_pos) FROM per_score) AS P
+    FROM per_score
+),
+curve2 AS (
+    SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+           CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / NULLIF(P, 0) AS recall
+    FROM curve
+),
+curve3 AS (
+    SELECT *, coalesce(2 * precision * recall / NULLIF(precision + recall, 0), 0) AS f1 FROM curve2
+)"""
+
+
+def e28_class_distribution() -> str:
+    return with_views("""
+SELECT COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE is_mega_streamer = 0) AS n_negative,
+       COUNT(*) FILTER (WHERE is_mega_streamer = 1) AS n_positive,
+       CASE WHEN COUNT(*) FILTER (WHERE is_mega_streamer = 1) > 0
+            THEN CAST(COUNT(*) FILTER (WHERE is_mega_streamer = 0) AS DOUBLE) / COUNT(*) FILTER (WHERE is_mega_streamer = 1)
+            ELSE 'inf'::DOUBLE END AS imbalance_ratio,
+       CASE WHEN COUNT(*) > 0 THEN COUNT(*) FILTER (WHERE is_mega_streamer = 1) * 100.0 / COUNT(*) ELSE 0 END AS positive_percentage
+FROM training""", _training_ctes())
+
+
+def e29_null_profile() -> str:
+    parts = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, COUNT(*) FILTER (WHERE {c} IS NULL OR isnan(CAST({c} AS DOUBLE))) AS nulls, "
+        f"COUNT(*) FILTER (WHERE {c} IS NULL OR isnan(CAST({c} AS DOUBLE))) * 100.0 / NULLIF(COUNT(*), 0) AS null_percentage FROM training"
+        for c in FEATURE_COLS
+    )
+    return with_views(parts, _training_ctes())
+
+
+def e30_describe() -> str:
+    parts = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, COUNT({c}) AS count, round(AVG(CAST({c} AS DOUBLE)), 6) AS mean, "
+        f"round(STDDEV_SAMP(CAST({c} AS DOUBLE)), 6) AS std, round(MIN(CAST({c} AS DOUBLE)), 6) AS min, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS p50, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS p75, round(MAX(CAST({c} AS DOUBLE)), 6) AS max FROM training"
+        for c in FEATURE_COLS
+    )
+    return with_views(parts, _training_ctes())
+
+
+def m5_scaler_params() -> str:
+    parts = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, round(AVG(CAST({c} AS DOUBLE)), 6) AS mean, round(STDDEV_POP(CAST({c} AS DOUBLE)), 6) AS std_pop FROM training"
+        for c in FEATURE_COLS
+    )
+    return with_views(parts, _training_ctes())
+
+
+def m6_split_counts(test_fraction=0.2) -> str:
+    return with_views(f"""
+SELECT is_mega_streamer, is_test, row_count FROM (
+    SELECT is_mega_streamer, true AS is_test, CAST(round(COUNT(*) * {test_fraction}, 0) AS BIGINT) AS row_count FROM training GROUP BY 1
+    UNION ALL
+    SELECT is_mega_streamer, false, COUNT(*) - CAST(round(COUNT(*) * {test_fraction}, 0) AS BIGINT) FROM training GROUP BY 1
+) WHERE row_count > 0""", _training_ctes())
+
+
+def m7_class_weight(test_fraction=0.2) -> str:
+    return with_views(f"""
+SELECT n_negative, n_positive,
+       CASE WHEN n_positive > 0 THEN CAST(n_negative AS DOUBLE) / n_positive ELSE 1.0 END AS positive_weight
+FROM (
+    SELECT SUM(CASE WHEN is_mega_streamer = 0 THEN c - CAST(round(c * {test_fraction}, 0) AS BIGINT) ELSE 0 END) AS n_negative,
+           SUM(CASE WHEN is_mega_streamer = 1 THEN c - CAST(round(c * {test_fraction}, 0) AS BIGINT) ELSE 0 END) AS n_positive
+    FROM (SELECT is_mega_streamer, COUNT(*) AS c FROM training GROUP BY 1)
+)""", _training_ctes())
+
+
+def e31_score_distribution() -> str:
+    return with_views("""
+SELECT COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE prediction = 1) AS predicted_positive,
+       COUNT(*) FILTER (WHERE score >= 0.8) AS very_high,
+       COUNT(*) FILTER (WHERE score >= 0.6 AND score < 0.8) AS high,
+       COUNT(*) FILTER (WHERE score >= 0.4 AND score < 0.6) AS moderate,
+       COUNT(*) FILTER (WHERE score >= 0.2 AND score < 0.4) AS low,
+       COUNT(*) FILTER (WHERE score < 0.2) AS very_low,
+       coalesce(COUNT(*) FILTER (WHERE prediction = 1) * 100.0 / NULLIF(COUNT(*), 0), 0) AS predicted_positive_pct
+FROM scored""", _scored_ctes())
+
+
+def e33_precision_recall() -> str:
+    return with_views("""
+SELECT tn, fp, fn, tp, round(p1, 6) AS precision, round(r1, 6) AS recall, round(f1_1, 6) AS f1,
+       CASE WHEN p1 >= 0.6 AND r1 >= 0.5 THEN 'EXCELLENT'
+            WHEN p1 >= 0.5 AND r1 >= 0.4 THEN 'GOOD'
+            WHEN p1 >= 0.3 OR r1 >= 0.3 THEN 'MODERATE' ELSE 'POOR' END AS assessment
+FROM prf2""", _scored_ctes())
+
+
+def e34_classification_report() -> str:
+    return with_views("""
+SELECT '0' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f1_0, 6) AS f1, s0 AS support FROM prf2
+UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1_1, 6), s1 FROM prf2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(coalesce(CAST(tp + tn AS DOUBLE) / NULLIF(s0 + s1, 0), 0), 6), s0 + s1 FROM prf2
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f1_0 + f1_1) / 2, 6), s0 + s1 FROM prf2
+UNION ALL SELECT 'weighted avg', round(coalesce((p0 * s0 + p1 * s1) / NULLIF(s0 + s1, 0), 0), 6),
+                 round(coalesce((r0 * s0 + r1 * s1) / NULLIF(s0 + s1, 0), 0), 6),
+                 round(coalesce((f1_0 * s0 + f1_1 * s1) / NULLIF(s0 + s1, 0), 0), 6), s0 + s1 FROM prf2""", _scored_ctes())
+
+
+def e35_roc_auc() -> str:
+    return with_views("""
+SELECT round(SUM(n_pos * (coalesce(neg_lt, 0) + 0.5 * n_neg)) / NULLIF(SUM(n_pos) * SUM(n_neg), 0), 6) AS roc_auc
+FROM (SELECT *, SUM(n_neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_lt FROM per_score)""",
+        _scored_ctes())
+
+
+def e36_pr_curve() -> str:
+    return with_views("""
+SELECT threshold, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM curve3""",
+        _scored_ctes())
+
+
+def m15_best_threshold() -> str:
+    return with_views("""
+SELECT threshold, round(f1, 6) AS f1 FROM curve3 ORDER BY f1 DESC, threshold DESC LIMIT 1""", _scored_ctes())

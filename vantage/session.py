@@ -70,3 +70,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def reliable_checkpoint(df):
+    """Materialize ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Reliable checkpoints survive executor loss (the files live in the folder the
+    cluster names in ``spark.checkpoint.dir``), unlike local checkpoints."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
