@@ -111,3 +111,18 @@ def round_num(x, digits: int = 0) -> Column:
     3.78749999999999996), so the value is first settled at 12 decimals, the
     precision PostgreSQL NUMERIC division carries, and then rounded."""
     return F.round(F.round(_c(x), 12), digits)
+
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(x) -> Column:
+    """UTC wall time (TIMESTAMP_NTZ) -> the same instant as TIMESTAMP, without
+    going through the session time zone (watermarks need TIMESTAMP)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(x)))
+
+
+def instant_to_ntz(x) -> Column:
+    """TIMESTAMP -> UTC wall time as TIMESTAMP_NTZ (inverse of ``ntz_to_instant``)."""
+    micros = F.timestamp_diff("MICROSECOND", F.timestamp_micros(F.lit(0)), _c(x))
+    return F.expr(_EPOCH_NTZ) + F.make_dt_interval(secs=(micros / F.lit(1e6)).cast("decimal(18,6)"))

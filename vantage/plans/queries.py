@@ -700,3 +700,36 @@ def q22_batch_scoring(t):
 
     feats = _training(t).drop(ML.LABEL, "tune_in_ratio")
     return score(_trained(t)["model"], feats)
+
+
+# ------------------------------------------------ streaming runs (availableNow)
+
+from vantage.streaming import ingest as IG  # noqa: E402
+
+
+def _event_stream(t):
+    path = f"{t.root.rstrip('/')}/events.parquet"
+    return IG.event_stream(t.spark, path, t.events.schema)
+
+
+def s1_s2_stream_sessions(t):
+    """S1/S2 streamed: keyed state per entity over the lifecycle stream, run once
+    over everything available; the folded sessions equal the batch twin (S3)."""
+    changes = IG.run_available_now(IG.session_changes(L.lifecycle_events(_event_stream(t))), t.spark)
+    return IG.fold_session_changes(changes)
+
+
+def s5_stream_chat_ticks(t, minutes=P.TICK_MINUTES):
+    """S5/S9/S10/S11 streamed chat counts per entity per tick (append mode: a
+    tick is final once the watermark passes its end)."""
+    chat = IG.filtered_chat(L.chat_events(_event_stream(t)), t.streamers.filter(F.col("is_active")))
+    return IG.run_available_now(IG.tick_counts(chat, minutes), t.spark)
+
+
+def s6_stream_poll_ticks(t, minutes=P.TICK_MINUTES):
+    """S6/S17 streamed last poll sample per entity per tick."""
+    return IG.run_available_now(IG.poll_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark)
+
+
+def s15_stream_poll_outcomes(t, minutes=P.TICK_MINUTES):
+    return IG.run_available_now(IG.poll_outcome_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark)

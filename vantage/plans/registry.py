@@ -85,6 +85,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m17_train_evaluate": _bind(Q.m17_train_evaluate),
         "m12_feature_importance": _bind(Q.m12_feature_importance),
         "q22_batch_scoring": _bind(Q.q22_batch_scoring),
+        "s1_s2_stream_sessions": _bind(Q.s1_s2_stream_sessions),
+        "s5_stream_chat_ticks": _bind(Q.s5_stream_chat_ticks),
+        "s6_stream_poll_ticks": _bind(Q.s6_stream_poll_ticks),
+        "s15_stream_poll_outcomes": _bind(Q.s15_stream_poll_outcomes),
     }
 
 
@@ -151,4 +155,8 @@ def oracle_sql() -> dict[str, str]:
         "e35_roc_auc": S.e35_roc_auc(),
         "e36_pr_curve": S.e36_pr_curve(),
         "m15_best_threshold": S.m15_best_threshold(),
+        "s1_s2_stream_sessions": S.s1_s2_stream_sessions(),
+        "s5_stream_chat_ticks": S.s5_stream_chat_ticks(),
+        "s6_stream_poll_ticks": S.s6_stream_poll_ticks(),
+        "s15_stream_poll_outcomes": S.s15_stream_poll_outcomes(),
     }

@@ -1083,3 +1083,44 @@ SELECT threshold, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS
 def m15_best_threshold() -> str:
     return with_views("""
 SELECT threshold, round(f1, 6) AS f1 FROM curve3 ORDER BY f1 DESC, threshold DESC LIMIT 1""", _scored_ctes())
+
+
+# ------------------------------------------------------------- streaming runs
+
+def _final_ticks(minutes: int, src: str, ts: str = "event_time") -> str:
+    """Ticks a watermark of 60 s has closed: end <= max(event time) - 60 s."""
+    return f"(time_bucket(INTERVAL {minutes} MINUTE, {ts}) + INTERVAL {minutes} MINUTE) <= (SELECT MAX({ts}) FROM {src}) - INTERVAL 60 SECOND"
+
+
+def s1_s2_stream_sessions() -> str:
+    return s3_sessionize()
+
+
+def s5_stream_chat_ticks(minutes=P.TICK_MINUTES) -> str:
+    return with_views(f"""
+SELECT streamer_id, time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,
+       COUNT(*) AS chat_messages_delta
+FROM chat_in WHERE {_final_ticks(minutes, 'chat_in')}
+GROUP BY ALL""", CHAT_POLL)
+
+
+def s6_stream_poll_ticks(minutes=P.TICK_MINUTES) -> str:
+    return with_views(f"""
+SELECT streamer_id, tick_end, viewer_count AS concurrent_viewers, category_id, coalesce(follower_count, 0) AS follower_count,
+       succeeded, failed
+FROM (
+    SELECT *, time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,
+           row_number() OVER (PARTITION BY streamer_id, time_bucket(INTERVAL {minutes} MINUTE, event_time)
+                              ORDER BY event_time DESC, event_id DESC) AS rn,
+           COUNT(*) FILTER (WHERE viewer_count IS NOT NULL) OVER (PARTITION BY streamer_id, time_bucket(INTERVAL {minutes} MINUTE, event_time)) AS succeeded,
+           COUNT(*) FILTER (WHERE viewer_count IS NULL) OVER (PARTITION BY streamer_id, time_bucket(INTERVAL {minutes} MINUTE, event_time)) AS failed
+    FROM poll_in WHERE {_final_ticks(minutes, 'poll_in')}
+) WHERE rn = 1""", CHAT_POLL)
+
+
+def s15_stream_poll_outcomes(minutes=P.TICK_MINUTES) -> str:
+    return with_views(f"""
+SELECT time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,
+       COUNT(*) FILTER (WHERE viewer_count IS NOT NULL) AS succeeded,
+       COUNT(*) FILTER (WHERE viewer_count IS NULL) AS failed
+FROM poll_in WHERE {_final_ticks(minutes, 'poll_in')} GROUP BY ALL""", CHAT_POLL)
