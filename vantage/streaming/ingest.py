@@ -148,12 +148,26 @@ def fold_session_changes(changes: DataFrame) -> DataFrame:
 
 
 def filtered_chat(chat_stream: DataFrame, tracked: DataFrame) -> DataFrame:
-    """S9/S10 drop echo messages and untracked channels; the static side is
-    re-read at every micro-batch, so newly tracked entities count at once."""
+    """S9 drop echo messages and untracked channels (case-insensitive) and attach
+    the entity id: a stream-static join.  The static side keeps the file list it
+    was created with; for a tracked set that changes while the query runs use
+    ``with_fresh_tracked``."""
     t = tracked.select("streamer_id", F.lower("username").alias("_login"))
     return chat_stream.filter(~F.col("is_echo")).join(t, F.lower(F.col("channel")) == F.col("_login")).drop("_login")
 
 
+def with_fresh_tracked(tracked_path: str, sink, fmt: str = "parquet"):
+    """S10 ``foreachBatch`` step that re-reads the tracked entities at every
+    micro-batch (new listing of the table), filters the chat batch with them and
+    hands the result to ``sink(df, batch_id)``."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        tracked = batch.sparkSession.read.format(fmt).load(tracked_path)
+        sink(filtered_chat(batch, tracked), batch_id)
+
+    return step
+
+
 def tick_counts(chat: DataFrame, minutes: int = 15, watermark: str = WATERMARK) -> DataFrame:
     """S5 (base) chat messages per entity per tick, emitted when the watermark
     passes the tick end (append mode)."""
