@@ -190,6 +190,10 @@ def train(training: DataFrame, test_fraction: float = 0.2, seed: int = 42, label
     dist = check_distribution(data, label)
     # cut the lineage once: the split feeds both the fit and the evaluation
     split = reliable_checkpoint(stratified_split(data, label, test_fraction=test_fraction, seed=seed))
+    # one row per entity: size the partitions to the rows (tree training runs one
+    # job per level, so idle tasks cost more than the work on small sets)
+    parts = max(1, int(dist["total"]) // 250_000 + 1)
+    split = split.coalesce(parts) if parts < split.rdd.getNumPartitions() else split.repartition(parts)
     tr, te = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     tr, w = with_class_weight(tr, label)
     model = build_pipeline(**gbt).fit(tr)

@@ -504,13 +504,24 @@ def _sessions(t):
     return LC.sessionize_batch(_lifecycle(t))
 
 
-def _chat_attached(t):
+def _attached(t):
+    """Tracked chat messages and poll samples attached to their sessions in one
+    pass over the lifecycle stack (S4), split by ``_src`` afterwards."""
     chat = LC.filter_chat(L.chat_events(t.events), t.streamers.filter(F.col("is_active")))
-    return LC.attach_session(chat, _lifecycle(t), _sessions(t))
+    polls = L.poll_samples(t.events)
+    both = chat.select("streamer_id", "event_time", "event_id", F.lit("chat").alias("_src")).unionByName(
+        polls.select("streamer_id", "event_time", "event_id", F.lit("poll").alias("_src"))
+    )
+    a = LC.attach_session(both, _lifecycle(t), _sessions(t)).select("event_id", "_src", "broadcast_id", "started_at")
+    return chat.join(a.filter(F.col("_src") == "chat").drop("_src"), "event_id"), polls.join(a.filter(F.col("_src") == "poll").drop("_src"), "event_id")
+
+
+def _chat_attached(t):
+    return _attached(t)[0]
 
 
 def _polls_attached(t):
-    return LC.attach_session(L.poll_samples(t.events), _lifecycle(t), _sessions(t))
+    return _attached(t)[1]
 
 
 def s3_sessionize(t):
@@ -534,15 +545,16 @@ def s4_chat_per_session(t):
 
 
 def s5_chat_delta_carry_over(t):
-    polls = _polls_attached(t)
-    d = LC.chat_delta_carry_over(_chat_attached(t), polls)
+    chat, polls = _attached(t)
+    d = LC.chat_delta_carry_over(chat, polls)
     return d.join(polls.select(F.col("event_id").alias("poll_event_id"), "streamer_id", "started_at"), "poll_event_id").select(
         "poll_event_id", "streamer_id", "started_at", "chat_messages_delta"
     )
 
 
 def s6_snapshot_ticks(t, minutes=P.TICK_MINUTES):
-    s = LC.snapshot_ticks(_polls_attached(t), _chat_attached(t), minutes)
+    chat, polls = _attached(t)
+    s = LC.snapshot_ticks(polls, chat, minutes)
     started = _sessions(t).select("broadcast_id", "started_at")
     return s.join(started, "broadcast_id").drop("broadcast_id")
 
@@ -609,15 +621,13 @@ def e30_describe(t):
 
 
 def m5_scaler_params(t):
+    """M5 the scaler's fitted values: mean and population std per feature (one pass)."""
     tr = _training(t)
-    rows = [
-        tr.agg(F.lit(c).alias("feature"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std_pop"))
-        for c in ML.FEATURES
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("feature", round_num("mean", 6).alias("mean"), round_num("std_pop", 6).alias("std_pop"))
+    wide = tr.agg(
+        *[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std_pop")).alias(c) for c in ML.FEATURES]
+    )
+    long = wide.select(F.explode(F.array(*[F.col(c) for c in ML.FEATURES])).alias("x")).select("x.*")
+    return long.select("feature", round_num("mean", 6).alias("mean"), round_num("std_pop", 6).alias("std_pop"))
 
 
 def m6_split_counts(t, test_fraction=0.2, seed=42):
