@@ -271,3 +271,14 @@ def write_stats_partition(stats: DataFrame, path: str) -> None:
         stats.write.mode("overwrite").partitionBy("calculation_date").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def bootstrap_entities(streamers: DataFrame, names: DataFrame, profiles: DataFrame, now) -> DataFrame:
+    """W15 only when no active entity exists: upsert the configured names (F18
+    list) that have a profile (J14); otherwise the table is returned unchanged."""
+    has_active = streamers.filter(F.col("is_active")).limit(1).count() > 0
+    if has_active:
+        return streamers
+    wanted = names.select(F.lower("username").alias("_n")).distinct()
+    found = profiles.join(wanted, F.lower(profiles["username"]) == wanted["_n"]).drop("_n")
+    return upsert_entities(streamers, found.select("streamer_id", "username", "display_name"), now)

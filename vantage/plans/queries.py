@@ -743,3 +743,45 @@ def s6_stream_poll_ticks(t, minutes=P.TICK_MINUTES):
 
 def s15_stream_poll_outcomes(t, minutes=P.TICK_MINUTES):
     return IG.run_available_now(IG.poll_outcome_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark)
+
+
+# ------------------------------------------------------------ lookups, counts
+
+from vantage.operators import lookups as Lk  # noqa: E402
+
+
+def a2_active_entities(t):
+    return Lk.active_entities(t.streamers)
+
+
+def a3_tracked_entities(t):
+    return Lk.tracked_entities(t.streamers)
+
+
+def a6_open_sessions(t):
+    return Lk.open_sessions(t.broadcasts().select("broadcast_id", "streamer_id", "started_at", "ended_at"))
+
+
+def a7_latest_open_session(t):
+    return Lk.latest_open_session(t.broadcasts())
+
+
+def a8_snapshot_count(t):
+    return Lk.snapshot_count(t.snapshots)
+
+
+def e37_table_counts(t):
+    return Lk.table_counts(t.streamers, t.broadcasts(), t.snapshots)
+
+
+def w2_upsert_entities(t, now=P.NOW):
+    """Profiles seen in chat (login and display name of each channel) upserted
+    into the entity table; other columns keep their values."""
+    seen = L.chat_events(t.events).join(t.events.select(F.col("event_id"), F.col("user_id").alias("streamer_id")), "event_id")
+    incoming = seen.select("streamer_id", F.lower("channel").alias("username"), F.col("channel").alias("display_name")).distinct()
+    target = t.streamers.select("streamer_id", "username", "display_name", "is_active").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return Wr.upsert_entities(target, incoming, now)
+
+
+def w13_engagement_rate(t):
+    return Wr.with_engagement_rate(t.snapshots.select("broadcast_id", "snapshot_timestamp", "concurrent_viewers", "chat_messages_delta"))

@@ -89,6 +89,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s5_stream_chat_ticks": _bind(Q.s5_stream_chat_ticks),
         "s6_stream_poll_ticks": _bind(Q.s6_stream_poll_ticks),
         "s15_stream_poll_outcomes": _bind(Q.s15_stream_poll_outcomes),
+        "a2_active_entities": _bind(Q.a2_active_entities),
+        "a3_tracked_entities": _bind(Q.a3_tracked_entities),
+        "a6_open_sessions": _bind(Q.a6_open_sessions),
+        "a7_latest_open_session": _bind(Q.a7_latest_open_session),
+        "a8_snapshot_count": _bind(Q.a8_snapshot_count),
+        "e37_table_counts": _bind(Q.e37_table_counts),
+        "w2_upsert_entities": _bind(Q.w2_upsert_entities),
+        "w13_engagement_rate": _bind(Q.w13_engagement_rate),
     }
 
 
@@ -159,4 +167,12 @@ def oracle_sql() -> dict[str, str]:
         "s5_stream_chat_ticks": S.s5_stream_chat_ticks(),
         "s6_stream_poll_ticks": S.s6_stream_poll_ticks(),
         "s15_stream_poll_outcomes": S.s15_stream_poll_outcomes(),
+        "a2_active_entities": S.a2_active_entities(),
+        "a3_tracked_entities": S.a3_tracked_entities(),
+        "a6_open_sessions": S.a6_open_sessions(),
+        "a7_latest_open_session": S.a7_latest_open_session(),
+        "a8_snapshot_count": S.a8_snapshot_count(),
+        "e37_table_counts": S.e37_table_counts(),
+        "w2_upsert_entities": S.w2_upsert_entities(),
+        "w13_engagement_rate": S.w13_engagement_rate(),
     }

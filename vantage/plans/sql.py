@@ -1124,3 +1124,60 @@ SELECT time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} M
        COUNT(*) FILTER (WHERE viewer_count IS NOT NULL) AS succeeded,
        COUNT(*) FILTER (WHERE viewer_count IS NULL) AS failed
 FROM poll_in WHERE {_final_ticks(minutes, 'poll_in')} GROUP BY ALL""", CHAT_POLL)
+
+
+# ------------------------------------------------------------ lookups, counts
+
+
+def a2_active_entities() -> str:
+    return with_views("SELECT streamer_id, username, display_name FROM streamers WHERE is_active ORDER BY streamer_id")
+
+
+def a3_tracked_entities() -> str:
+    return with_views("SELECT streamer_id, username FROM streamers WHERE is_active ORDER BY username, streamer_id")
+
+
+def a6_open_sessions() -> str:
+    return with_views("""
+SELECT broadcast_id, streamer_id, started_at, ended_at FROM broadcasts WHERE ended_at IS NULL
+ORDER BY started_at DESC, broadcast_id""")
+
+
+def a7_latest_open_session() -> str:
+    return with_views("""
+SELECT streamer_id, broadcast_id, started_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY started_at DESC, broadcast_id DESC) AS rn
+    FROM broadcasts WHERE ended_at IS NULL) WHERE rn = 1""")
+
+
+def a8_snapshot_count() -> str:
+    return with_views("SELECT broadcast_id, COUNT(*) AS snapshot_count FROM broadcast_snapshots GROUP BY broadcast_id")
+
+
+def e37_table_counts() -> str:
+    return with_views("""
+SELECT 'streamers' AS table_name, COUNT(*) AS row_count, COUNT(*) FILTER (WHERE is_active) AS active_or_live FROM streamers
+UNION ALL SELECT 'broadcasts', COUNT(*), COUNT(*) FILTER (WHERE ended_at IS NULL) FROM broadcasts
+UNION ALL SELECT 'broadcast_snapshots', COUNT(*), CAST(NULL AS BIGINT) FROM broadcast_snapshots""")
+
+
+def w2_upsert_entities(now=P.NOW) -> str:
+    return with_views(f"""
+SELECT coalesce(s.streamer_id, i.streamer_id) AS streamer_id,
+       CASE WHEN i.streamer_id IS NOT NULL THEN i.username ELSE s.username END AS username,
+       CASE WHEN i.streamer_id IS NOT NULL THEN coalesce(nullif(i.display_name, ''), i.username) ELSE s.display_name END AS display_name,
+       coalesce(s.is_active, true) AS is_active,
+       CASE WHEN i.streamer_id IS NOT NULL THEN {_ts(_now(now))} END AS updated_at
+FROM streamers s
+FULL OUTER JOIN (
+    SELECT DISTINCT user_id AS streamer_id, lower('Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')) AS username,
+           'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS display_name
+    FROM events WHERE event_type IN ('click', 'view')
+) i ON i.streamer_id = s.streamer_id""")
+
+
+def w13_engagement_rate() -> str:
+    return with_views("""
+SELECT broadcast_id, snapshot_timestamp, concurrent_viewers, chat_messages_delta,
+       round(CAST(chat_messages_delta AS DOUBLE) / NULLIF(concurrent_viewers, 0), 4) AS engagement_rate
+FROM broadcast_snapshots""")
