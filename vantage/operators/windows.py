@@ -1,8 +1,8 @@
 """Window operators (V1-V8).
 
 Windows are always partitioned by a key (session, entity, tick); there is no
-global single-partition window.  A session's snapshot count is bounded by its
-length times the tick rate (4 per hour), so a session partition stays small.
+global single-partition window.  Ordered passes over a session or an entity go
+through the bucketed operators of :mod:`vantage.operators.sequence`.
 """
 
 from __future__ import annotations
@@ -16,15 +16,14 @@ from vantage.functions.scalar import round_num, safe_div
 from vantage.operators.joins import SNAPSHOT_ORDER
 
 
-def _session_window(order=SNAPSHOT_ORDER):
-    return Window.partitionBy("broadcast_id").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-
-
 def retention_curve(snapshots: DataFrame) -> DataFrame:
     """V1 per snapshot: hours into the session, viewers, engagement and the
-    follower change since the previous snapshot of the same session."""
-    w = _session_window()
-    return snapshots.select(
+    follower change since the previous snapshot of the same session (bucketed
+    LAG, so even an endless session is split by day across tasks)."""
+    from vantage.operators.sequence import day_bucket, shift
+
+    s = shift(snapshots, ["broadcast_id"], list(SNAPSHOT_ORDER), ["follower_count"], day_bucket("snapshot_timestamp"), "lag")
+    return s.select(
         "broadcast_id",
         "snapshot_timestamp",
         round_num(F.col("stream_uptime_seconds") / F.lit(3600.0), 2).alias("hours_into_stream"),
@@ -32,20 +31,22 @@ def retention_curve(snapshots: DataFrame) -> DataFrame:
         "chat_messages_delta",
         round_num(safe_div("chat_messages_delta", "concurrent_viewers"), 3).alias("engagement_rate"),
         "follower_count",
-        (F.col("follower_count") - F.lag("follower_count").over(w)).alias("follower_gain_delta"),
+        (F.col("follower_count") - F.col("prev_follower_count")).alias("follower_gain_delta"),
     )
 
 
 def category_switches(snapshots: DataFrame) -> DataFrame:
-    """V2 previous category and viewers on one window spec (one sort)."""
-    w = _session_window()
-    return snapshots.select(
+    """V2 previous category and viewers of the same session (one bucketed LAG pass)."""
+    from vantage.operators.sequence import day_bucket, shift
+
+    s = shift(snapshots, ["broadcast_id"], list(SNAPSHOT_ORDER), ["category_id", "concurrent_viewers"], day_bucket("snapshot_timestamp"), "lag")
+    return s.select(
         "broadcast_id",
         "snapshot_timestamp",
         "category_id",
-        F.lag("category_id").over(w).alias("prev_category_id"),
+        F.col("prev_category_id"),
         "concurrent_viewers",
-        F.lag("concurrent_viewers").over(w).alias("prev_viewers"),
+        F.col("prev_concurrent_viewers").alias("prev_viewers"),
         "chat_messages_delta",
     )
 
