@@ -19,6 +19,7 @@ import os
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -223,9 +224,8 @@ def dedupe_within_watermark(df: DataFrame, keys: list[str], ts: str = "event_tim
 def stream_root(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder for one query's
     checkpoint and output."""
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
-    root = os.path.join(base, "vantage-streams", uuid.uuid4().hex)
-    return root
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/vantage-streams/{uuid.uuid4().hex}"
 
 
 def idempotent_parquet_sink(path: str):
@@ -233,7 +233,7 @@ def idempotent_parquet_sink(path: str):
     overwrite, so a replayed batch replaces its own output (exactly once)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
     return write
 
@@ -242,20 +242,21 @@ def run_available_now(df: DataFrame, spark: SparkSession, output_mode: str = "ap
     """S16 one-shot run over everything available, written through the idempotent
     sink; returns the written rows as a batch DataFrame."""
     root = stream_root(spark)
-    out = os.path.join(root, "out")
+    out = f"{root}/out"
     q = (
         df.writeStream.outputMode(output_mode)
         .foreachBatch(idempotent_parquet_sink(out))
-        .option("checkpointLocation", os.path.join(root, "checkpoint"))
+        .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    if not os.path.isdir(out):
+    try:
+        return spark.read.parquet(out).drop("batch_id").select(*df.columns)
+    except AnalysisException:  # no batch produced rows: nothing was written
         return spark.createDataFrame([], df.schema)
-    return spark.read.parquet(out).drop("batch_id").select(*df.columns)
 
 
 def counters_view(df: DataFrame, name: str):
