@@ -36,16 +36,34 @@ def window_bounds(as_of, days: int = 30) -> tuple[dt.datetime, dt.datetime]:
     return dt.datetime(lo.year, lo.month, lo.day), dt.datetime(hi.year, hi.month, hi.day)
 
 
+# Month partition column written next to a timestamp (A18 layout).
+MONTH_PARTITIONS = {"snapshot_timestamp": "snapshot_month"}
+
+
+def _month_prune(df: DataFrame, ts: str, lo: dt.datetime | None, hi: dt.datetime | None) -> DataFrame:
+    """Restate time bounds on the month partition column when the table has one,
+    so the scan skips whole partitions (PartitionFilters), not only row groups."""
+    part = MONTH_PARTITIONS.get(ts)
+    if part is None or part not in df.columns:
+        return df
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (F.col(part) >= F.lit(lo.strftime("%Y-%m")))
+    if hi is not None:
+        cond = cond & (F.col(part) <= F.lit(hi.strftime("%Y-%m")))
+    return df.filter(cond)
+
+
 def rolling_window(df: DataFrame, ts: str, as_of, days: int = 30) -> DataFrame:
     """P1 ``ts >= as_of - days AND ts < as_of + 1 day``."""
     lo, hi = window_bounds(as_of, days)
-    return df.filter((F.col(ts) >= ts_lit(lo)) & (F.col(ts) < ts_lit(hi)))
+    return _month_prune(df, ts, lo, hi).filter((F.col(ts) >= ts_lit(lo)) & (F.col(ts) < ts_lit(hi)))
 
 
 def trailing_days(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     """P2 ``ts > CURRENT_DATE - days`` with the date as a parameter (strict, midnight)."""
     d = _as_date(as_of) - dt.timedelta(days=days)
-    return df.filter(F.col(ts) > ts_lit(d))
+    return _month_prune(df, ts, dt.datetime(d.year, d.month, d.day), None).filter(F.col(ts) > ts_lit(d))
 
 
 def trailing_interval(df: DataFrame, ts: str, now, seconds: float) -> DataFrame:
