@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,11 +53,11 @@ class _Values(Params):
     scales = Param(Params._dummy(), "scales", "fitted per-column scales", typeConverter=TypeConverters.toListFloat)
 
 
-class ExactMedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+class ExactMedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
     """M4 fill NULL/NaN with the column's exact (interpolated) median of the fit data."""
 
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, outputCols=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -65,68 +65,65 @@ class ExactMedianImputer(Estimator, HasInputCols, DefaultParamsReadable, Default
         cols = self.getInputCols()
         row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]).first()
         meds = [float(row[c]) if row[c] is not None else 0.0 for c in cols]
-        return ExactMedianImputerModel(inputCols=cols, values=meds)
+        return ExactMedianImputerModel(inputCols=cols, outputCols=self.getOutputCols(), values=meds)
 
 
-class ExactMedianImputerModel(Model, HasInputCols, _Values, DefaultParamsReadable, DefaultParamsWritable):
+class ExactMedianImputerModel(Model, HasInputCols, HasOutputCols, _Values, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, inputCols=None, values=None):
+    def __init__(self, inputCols=None, outputCols=None, values=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        fills = dict(zip(self.getInputCols(), self.getOrDefault(self.values)))
-        out = []
-        for c in df.columns:
-            if c in fills:
-                x = F.col(c).cast("double")
-                out.append(F.when(x.isNull() | F.isnan(x), F.lit(fills[c])).otherwise(x).alias(c))
-            else:
-                out.append(F.col(c))
-        return df.select(*out)
-
-
-class PopulationScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+        fills = zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.values))
+        new = {}
+        for c, o, v in fills:
+            x = F.col(c).cast("double")
+            new[o] = F.when(x.isNull() | F.isnan(x), F.lit(v)).otherwise(x)
+        return df.withColumns(new)
+
+
+class PopulationScaler(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
     """M5 z-score with the population standard deviation (a constant column keeps scale 1)."""
 
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, outputCols=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "PopulationScalerModel":
         cols = self.getInputCols()
         aggs = []
-        for c in cols:
-            aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
+        for i, c in enumerate(cols):
+            aggs += [F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}")]
         row = df.agg(*aggs).first()
-        means = [float(row[f"m_{c}"] or 0.0) for c in cols]
-        scales = [float(row[f"s_{c}"]) if row[f"s_{c}"] else 1.0 for c in cols]
-        return PopulationScalerModel(inputCols=cols, values=means, scales=scales)
+        means = [float(row[f"m{i}"] or 0.0) for i in range(len(cols))]
+        scales = [float(row[f"s{i}"]) if row[f"s{i}"] else 1.0 for i in range(len(cols))]
+        return PopulationScalerModel(inputCols=cols, outputCols=self.getOutputCols(), values=means, scales=scales)
 
 
-class PopulationScalerModel(Model, HasInputCols, _Values, DefaultParamsReadable, DefaultParamsWritable):
+class PopulationScalerModel(Model, HasInputCols, HasOutputCols, _Values, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, inputCols=None, values=None, scales=None):
+    def __init__(self, inputCols=None, outputCols=None, values=None, scales=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cols = self.getInputCols()
-        m = dict(zip(cols, self.getOrDefault(self.values)))
-        s = dict(zip(cols, self.getOrDefault(self.scales)))
-        return df.select(*[((F.col(c) - m[c]) / s[c]).alias(c) if c in m else F.col(c) for c in df.columns])
+        parts = zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.values), self.getOrDefault(self.scales))
+        return df.withColumns({o: (F.col(c) - m) / s for c, o, m, s in parts})
 
 
 def build_pipeline(features=FEATURES, label: str = "label", weight: str = "weight", **gbt) -> Pipeline:
     """M9 impute -> scale -> assemble -> boosted trees (class-weighted)."""
     params = dict(GBT_PARAMS)
     params.update(gbt)
+    imputed = [f"_imp_{c}" for c in features]
+    scaled = [f"_z_{c}" for c in features]
     return Pipeline(
         stages=[
-            ExactMedianImputer(inputCols=list(features)),
-            PopulationScaler(inputCols=list(features)),
-            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
+            ExactMedianImputer(inputCols=list(features), outputCols=imputed),
+            PopulationScaler(inputCols=imputed, outputCols=scaled),
+            VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep"),
             GBTClassifier(featuresCol="features", labelCol=label, weightCol=weight, **params),
         ]
     )
@@ -204,7 +201,8 @@ def train(training: DataFrame, test_fraction: float = 0.2, seed: int = 42, label
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Predictions with the class-1 probability as ``score``."""
     out = model.transform(add_tune_in_ratio(df, overwrite=False))
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
+    helpers = [c for c in out.columns if c.startswith("_imp_") or c.startswith("_z_")]
+    return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", *helpers)
 
 
 def evaluate(predictions: DataFrame, label: str = "label") -> dict:

@@ -785,3 +785,14 @@ def w2_upsert_entities(t, now=P.NOW):
 
 def w13_engagement_rate(t):
     return Wr.with_engagement_rate(t.snapshots.select("broadcast_id", "snapshot_timestamp", "concurrent_viewers", "chat_messages_delta"))
+
+
+def p15_baseline_tiers(t):
+    """Entities ranked by the model-free baseline score, with tier
+    and recommended action (CASE chains, no row-wise Python)."""
+    from vantage.functions.tiers import recommended_action, score_tier
+
+    s = _baseline_scored(t).join(t.streamers.select("streamer_id", "username"), "streamer_id")
+    return s.select(
+        "username", "score", score_tier("score").alias("tier"), recommended_action("score").alias("recommended_action")
+    ).orderBy(F.col("score").desc(), "username")

@@ -97,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e37_table_counts": _bind(Q.e37_table_counts),
         "w2_upsert_entities": _bind(Q.w2_upsert_entities),
         "w13_engagement_rate": _bind(Q.w13_engagement_rate),
+        "p15_baseline_tiers": _bind(Q.p15_baseline_tiers),
     }
 
 
@@ -175,4 +176,5 @@ def oracle_sql() -> dict[str, str]:
         "e37_table_counts": S.e37_table_counts(),
         "w2_upsert_entities": S.w2_upsert_entities(),
         "w13_engagement_rate": S.w13_engagement_rate(),
+        "p15_baseline_tiers": S.p15_baseline_tiers(),
     }

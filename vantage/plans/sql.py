@@ -1181,3 +1181,20 @@ def w13_engagement_rate() -> str:
 SELECT broadcast_id, snapshot_timestamp, concurrent_viewers, chat_messages_delta,
        round(CAST(chat_messages_delta AS DOUBLE) / NULLIF(concurrent_viewers, 0), 4) AS engagement_rate
 FROM broadcast_snapshots""")
+
+
+def p15_baseline_tiers() -> str:
+    return with_views("""
+SELECT s.username, sc.score,
+       CASE WHEN sc.score >= 0.8 THEN '🌟 Very High Potential'
+            WHEN sc.score >= 0.6 THEN '⭐ High Potential'
+            WHEN sc.score >= 0.4 THEN '✓ Moderate Potential'
+            WHEN sc.score >= 0.2 THEN '→ Low Potential'
+            ELSE '· Very Low Potential' END AS tier,
+       CASE WHEN sc.score >= 0.8 THEN 'Priority target - immediate outreach and evaluation.'
+            WHEN sc.score >= 0.6 THEN 'Strong candidate - monitor closely and engage.'
+            WHEN sc.score >= 0.4 THEN 'Worth watching - periodic check-ins.'
+            WHEN sc.score >= 0.2 THEN 'Keep on radar - revisit in 3-6 months.'
+            ELSE 'Unlikely candidate - deprioritize.' END AS recommended_action
+FROM scored sc JOIN streamers s ON s.streamer_id = sc.streamer_id
+ORDER BY sc.score DESC, s.username""", _scored_ctes())
