@@ -656,7 +656,7 @@ lc2 AS (
 ),
 lc3 AS (
     SELECT *, (kind = 'offline' AND s < p) AS unmatched,
-           CASE WHEN kind = 'online' THEN s - least(p, s) ELSE s - least(p, s) + 1 END AS level
+           CAST(CASE WHEN kind = 'online' THEN s - least(p, s) ELSE s - least(p, s) + 1 END AS BIGINT) AS level
     FROM lc2
 ),
 nx AS (
@@ -1028,8 +1028,8 @@ def m7_class_weight(test_fraction=0.2) -> str:
 SELECT n_negative, n_positive,
        CASE WHEN n_positive > 0 THEN CAST(n_negative AS DOUBLE) / n_positive ELSE 1.0 END AS positive_weight
 FROM (
-    SELECT SUM(CASE WHEN is_mega_streamer = 0 THEN c - CAST(round(c * {test_fraction}, 0) AS BIGINT) ELSE 0 END) AS n_negative,
-           SUM(CASE WHEN is_mega_streamer = 1 THEN c - CAST(round(c * {test_fraction}, 0) AS BIGINT) ELSE 0 END) AS n_positive
+    SELECT CAST(SUM(CASE WHEN is_mega_streamer = 0 THEN c - CAST(round(c * {test_fraction}, 0) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_negative,
+           CAST(SUM(CASE WHEN is_mega_streamer = 1 THEN c - CAST(round(c * {test_fraction}, 0) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_positive
     FROM (SELECT is_mega_streamer, COUNT(*) AS c FROM training GROUP BY 1)
 )""", _training_ctes())
 

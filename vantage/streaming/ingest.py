@@ -75,7 +75,7 @@ def event_stream(spark: SparkSession, events_path: str, events_schema) -> DataFr
 # ------------------------------------------------------ S1/S2 keyed state
 
 SESSION_CHANGE_SCHEMA = (
-    "change string, streamer_id bigint, level int, session_seq bigint, started_at timestamp_ntz, "
+    "change string, streamer_id bigint, level bigint, session_seq bigint, started_at timestamp_ntz, "
     "ended_at timestamp_ntz, duration_seconds int, stream_title string, primary_category_id bigint"
 )
 SESSION_STATE_SCHEMA = (
