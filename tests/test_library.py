@@ -92,3 +92,33 @@ def test_scalar_helpers(spark):
     assert r.i == 12 and r.e is None and r.d == dt.date(2024, 1, 5) and r.bad is None
     assert r.l == ["a", "b"] and r.t == "Untitled Stream" and len(r.p) == 60 and r.na == "N/A"
     assert r.pc == pytest.approx(50.0) and r.pc0 is None
+
+
+def test_apply_defaults_and_small_writers(spark):
+    from vantage.operators.filters import validate_range
+
+    df = spark.createDataFrame([(1, None, None)], "streamer_id long, is_active boolean, chat_messages_delta int")
+    r = W.apply_defaults(df, {"is_active": F.lit(True), "chat_messages_delta": F.lit(0)}).first()
+    assert r.is_active is True and r.chat_messages_delta == 0
+    d = tempfile.mkdtemp(prefix="vantage-test-")
+    Fi.write_importance(spark, [("a", 0.7), ("b", 0.3)], os.path.join(d, "imp"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "imp")).count() == 2
+    Fi.write_report(spark.createDataFrame([("1", 0.5)], "class string, f1 double"), os.path.join(d, "rep"))
+    assert spark.read.json(os.path.join(d, "rep")).first()["f1"] == 0.5
+    for bad in ((-1, 5, 1), (5, 4, 1), (0, 5, 0)):
+        with pytest.raises(ValueError):
+            validate_range(*bad)
+
+
+def test_counters_view_update_mode(spark):
+    from vantage.streaming import ingest as IG
+
+    d = tempfile.mkdtemp(prefix="vantage-test-")
+    src = os.path.join(d, "in")
+    spark.createDataFrame([("Alice", False, dt.datetime(2024, 1, 1, 10), 1)], "channel string, is_echo boolean, event_time timestamp_ntz, event_id long").write.parquet(os.path.join(src, "b1"))
+    stream = IG.read_stream(spark, os.path.join(src, "*"), "channel string, is_echo boolean, event_time timestamp_ntz, event_id long")
+    counts = stream.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    q = IG.counters_view(counts, "vantage_counters_test")
+    q.processAllAvailable()
+    assert spark.table("vantage_counters_test").first().n == 1
+    q.stop()

@@ -79,13 +79,25 @@ def completed_sessions(broadcasts: DataFrame) -> DataFrame:
     )
 
 
-def viewer_range(df: DataFrame, lo: int, hi: int, col: str = "viewer_count") -> DataFrame:
-    """P5 inclusive range; the bounds are validated like the reference's arguments."""
+def validate_range(lo: int, hi: int, limit: int | None = None) -> None:
+    """P5 argument checks of a discovery run."""
     if lo < 0:
         raise ValueError("min_viewers must be >= 0")
     if hi < lo:
         raise ValueError("max_viewers must be >= min_viewers")
-    return df.filter(F.col(col).between(lo, hi))
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be > 0")
+
+
+def in_viewer_range(lo: int, hi: int, col: str = "viewer_count"):
+    """P5 inclusive range predicate (validated)."""
+    validate_range(lo, hi)
+    return F.col(col).between(lo, hi)
+
+
+def viewer_range(df: DataFrame, lo: int, hi: int, col: str = "viewer_count") -> DataFrame:
+    """P5 inclusive range; the bounds are validated like the reference's arguments."""
+    return df.filter(in_viewer_range(lo, hi, col))
 
 
 def hidden_gem_filter(

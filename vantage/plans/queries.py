@@ -335,8 +335,9 @@ def _profiles(t):
 def q20_discovery_candidates(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT):
     """Dry run of discovery (W12): the first ``limit`` listed streams per category
     in the viewer range that have a profile; the dry run skips the tracked test."""
+    flt.validate_range(lo, hi, limit)
     listing = L.live_listing(t.events).join(_profiles(t), "user_id")
-    in_range = F.col("viewer_count").between(lo, hi)
+    in_range = flt.in_viewer_range(lo, hi)
     chosen, _ = K.quota(listing, "game_id", "listing_pos", in_range, F.lit(False), limit)
     return chosen.select(
         "game_id", "user_id", "user_login", "display_name", "viewer_count",
@@ -353,7 +354,8 @@ def q20_discovery_summary(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS,
         .join(tracked, "user_id", "left")
         .join(_profiles(t).withColumn("_profile", F.lit(True)), "user_id", "left")
     )
-    in_range = F.col("viewer_count").between(lo, hi)
+    flt.validate_range(lo, hi, limit)
+    in_range = flt.in_viewer_range(lo, hi)
     is_tracked = F.coalesce("_tracked", F.lit(False))
     eligible = in_range & ~is_tracked & F.coalesce("_profile", F.lit(False))
     _, summary = K.quota(listing, "game_id", "listing_pos", eligible, in_range & is_tracked, limit)
@@ -796,3 +798,26 @@ def p15_baseline_tiers(t):
     return s.select(
         "username", "score", score_tier("score").alias("tier"), recommended_action("score").alias("recommended_action")
     ).orderBy(F.col("score").desc(), "username")
+
+
+def p8_sparse_predicates(t, as_of=P.AS_OF):
+    """P8 how many rows each named sparse predicate selects, per table."""
+    stats = _stats_on(t, as_of)
+    parts = [
+        ("live_sessions", "broadcasts", t.broadcasts()),
+        ("busy_chat", "broadcast_snapshots", t.snapshots),
+        ("trending", "categories", t.categories),
+        ("has_type", "categories", t.categories),
+        ("active", "streamers", t.streamers),
+        ("has_language", "streamers", t.streamers),
+        ("positive_chat_rate", "streamer_statistics", stats),
+        ("positive_velocity", "streamer_statistics", stats),
+        ("multi_category", "streamer_statistics", stats),
+    ]
+    out = None
+    for name, table, df in parts:
+        c = flt.sparse_filter(df, name).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("predicate"), F.lit(table).alias("table_name"), "row_count"
+        )
+        out = c if out is None else out.unionByName(c)
+    return out

@@ -98,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w2_upsert_entities": _bind(Q.w2_upsert_entities),
         "w13_engagement_rate": _bind(Q.w13_engagement_rate),
         "p15_baseline_tiers": _bind(Q.p15_baseline_tiers),
+        "p8_sparse_predicates": _bind(Q.p8_sparse_predicates),
     }
 
 
@@ -177,4 +178,5 @@ def oracle_sql() -> dict[str, str]:
         "w2_upsert_entities": S.w2_upsert_entities(),
         "w13_engagement_rate": S.w13_engagement_rate(),
         "p15_baseline_tiers": S.p15_baseline_tiers(),
+        "p8_sparse_predicates": S.p8_sparse_predicates(),
     }

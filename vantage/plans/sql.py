@@ -1198,3 +1198,17 @@ SELECT s.username, sc.score,
             ELSE 'Unlikely candidate - deprioritize.' END AS recommended_action
 FROM scored sc JOIN streamers s ON s.streamer_id = sc.streamer_id
 ORDER BY sc.score DESC, s.username""", _scored_ctes())
+
+
+def p8_sparse_predicates(as_of=P.AS_OF) -> str:
+    return with_views("""
+SELECT 'live_sessions' AS predicate, 'broadcasts' AS table_name, COUNT(*) AS row_count FROM broadcasts WHERE ended_at IS NULL
+UNION ALL SELECT 'busy_chat', 'broadcast_snapshots', COUNT(*) FROM broadcast_snapshots WHERE chat_messages_delta > 100
+UNION ALL SELECT 'trending', 'categories', COUNT(*) FROM categories WHERE is_trending
+UNION ALL SELECT 'has_type', 'categories', COUNT(*) FROM categories WHERE category_type IS NOT NULL
+UNION ALL SELECT 'active', 'streamers', COUNT(*) FROM streamers WHERE is_active
+UNION ALL SELECT 'has_language', 'streamers', COUNT(*) FROM streamers WHERE broadcaster_language IS NOT NULL
+UNION ALL SELECT 'positive_chat_rate', 'streamer_statistics', COUNT(*) FROM d_stats WHERE avg_chat_rate > 0
+UNION ALL SELECT 'positive_velocity', 'streamer_statistics', COUNT(*) FROM d_stats WHERE follower_velocity > 0
+UNION ALL SELECT 'multi_category', 'streamer_statistics', COUNT(*) FROM d_stats WHERE unique_categories > 1""",
+        _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d"))
