@@ -37,10 +37,22 @@ from vantage.operators import joins as J  # noqa: E402
 from vantage.operators import windows as Wn  # noqa: E402
 
 
+def _recent_snapshots(t, days, as_of, seconds=None):
+    """Snapshots that can belong to sessions started after the cut: when snapshot
+    times follow session starts the same bound prunes the snapshot scan."""
+    s = t.snapshots
+    if not getattr(t, "snapshots_follow_start", False):
+        return s
+    if seconds is not None:
+        return flt.trailing_interval(s, "snapshot_timestamp", as_of, seconds)
+    return flt.trailing_days(s, "snapshot_timestamp", as_of, days) if days else s
+
+
 def _recent_star(t: DriverTables, days: int, as_of: str, by=(), primary=False, entity_cols=("username",)):
     """Sessions started in the trailing window ⋈ snapshots at session grain ⋈ entity."""
     b = flt.trailing_days(t.broadcasts(with_primary_category=primary), "started_at", as_of, days) if days else t.broadcasts(primary)
-    grain = J.session_grain(t.snapshots.select("broadcast_id", "concurrent_viewers", "chat_messages_delta", *by), by)
+    snaps = _recent_snapshots(t, days, as_of)
+    grain = J.session_grain(snaps.select("broadcast_id", "concurrent_viewers", "chat_messages_delta", *by), by)
     return J.star_join(t.streamers, b, grain, entity_cols)
 
 
@@ -220,7 +232,7 @@ def q9_daily_stats_ddl(t, as_of=P.AS_OF, days=P.RECENT_DAYS):
     """All entities (left joins), sessions started after ``as_of - days``,
     chat rate as the mean of per-snapshot rates, velocity with the fan-out."""
     rate = safe_div("chat_messages_delta", "concurrent_viewers") / F.lit(agg.SNAPSHOT_HOURS)
-    grain = t.snapshots.groupBy("broadcast_id").agg(
+    grain = _recent_snapshots(t, days, as_of).groupBy("broadcast_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(rate).alias("n_rate"), F.sum(rate).alias("sum_rate")
     )
     b = flt.trailing_days(t.broadcasts().select("broadcast_id", "streamer_id", "started_at", "duration_seconds", "follower_gain"), "started_at", as_of, days)
@@ -268,7 +280,8 @@ def q13_hidden_gems(t, as_of=P.AS_OF, k=20):
 
 def q14_multi_category_gems(t, now=P.AS_OF, days=P.MULTI_CAT_DAYS, min_categories=3, min_engagement=5.0, k=10):
     b = flt.trailing_interval(t.broadcasts(with_primary_category=True), "started_at", now, days * 86400)
-    grain = J.session_grain(t.snapshots.select("broadcast_id", "concurrent_viewers", "chat_messages_delta"))
+    snaps = _recent_snapshots(t, days, now, seconds=days * 86400)
+    grain = J.session_grain(snaps.select("broadcast_id", "concurrent_viewers", "chat_messages_delta"))
     j = J.star_join(t.streamers, b, grain)
     g = j.groupBy("streamer_id", "username").agg(
         F.count_distinct("primary_category_id").alias("categories_count"),

@@ -82,3 +82,21 @@ def reliable_checkpoint(df):
     cluster names in ``spark.checkpoint.dir``), unlike local checkpoints."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(shuffle_bytes: float, executors: int, cores_per_executor: int = 4, target_partition_mb: int = 256) -> dict:
+    """Starting settings for a cluster run, sized from the expected shuffle volume.
+
+    Shuffle partitions are sized to ~``target_partition_mb`` each (AQE coalesces
+    small ones and splits skewed ones), but at least 2x the total cores so every
+    core has work; file splits are sized the same way."""
+    slots = executors * cores_per_executor
+    parts = max(2 * slots, int(shuffle_bytes / (target_partition_mb * 1024 * 1024)) + 1)
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * target_partition_mb}m",
+        "spark.sql.parquet.aggregatePushdown": "true",
+    }

@@ -259,6 +259,9 @@ class DriverTables:
     spark: SparkSession
     root: str
     _cache: dict = field(default_factory=dict)
+    # In the binding a line may ship before its order date, so a snapshot time
+    # does not bound the session start; no snapshot-side time pruning.
+    snapshots_follow_start: bool = False
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -296,6 +299,10 @@ class DomainTables:
     broadcasts_df: DataFrame
     snapshots: DataFrame
     events: DataFrame | None = None
+    # Snapshots are taken while their session is live (snapshot time >= start),
+    # so a bound on session starts also bounds snapshot times and prunes the
+    # month partitions of the snapshot table.
+    snapshots_follow_start: bool = True
 
     def broadcasts(self, with_primary_category: bool = False) -> DataFrame:
         return self.broadcasts_df
