@@ -4,8 +4,6 @@ import datetime as dt
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from vantage.sources import landing as L
 from vantage.streaming import ingest as IG
 from vantage.streaming import lifecycle as LC

@@ -8,14 +8,28 @@ Catalyst prunes whatever a query does not use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as _dt
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import round_num, safe_div
+from vantage.functions.tiers import versatility_rating
 from vantage.operators import aggregates as agg
+from vantage.operators import filters as flt
+from vantage.operators import joins as J
+from vantage.operators import lookups as Lk
+from vantage.operators import metrics as Mx
+from vantage.operators import ml as ML
+from vantage.operators import quality as Qa
+from vantage.operators import topk as K
+from vantage.operators import windows as Wn
+from vantage.operators import writes as Wr
 from vantage.plans import params as P
-from vantage.sources.tables import STATS_SCALE, DriverTables
-
+from vantage.sources import landing as L
+from vantage.sources.tables import STATS_SCALE, DriverTables, ts_lit
+from vantage.streaming import ingest as IG
+from vantage.streaming import lifecycle as LC
 
 def storage_scale(stats: DataFrame) -> DataFrame:
     """Round measures to the declared scale of the statistics table."""
@@ -31,11 +45,6 @@ def q8_rolling_stats(t, as_of: str = P.AS_OF, window_days: int = P.WINDOW_DAYS)
 
 # ----------------------------------------------------------------- Q1 - Q7, Q18
 
-from vantage.functions.tiers import versatility_rating  # noqa: E402
-from vantage.operators import filters as flt  # noqa: E402
-from vantage.operators import joins as J  # noqa: E402
-from vantage.operators import windows as Wn  # noqa: E402
-
 
 def _recent_snapshots(t, days, as_of, seconds=None):
     """Snapshots that can belong to sessions started after the cut: when snapshot
@@ -215,8 +224,6 @@ def q18_quick_counts(t):
 
 # ------------------------------------------------------ statistics consumers
 
-from vantage.functions.scalar import eps_ratio  # noqa: E402
-
 
 def v8_stats_history(t, dates=P.STATS_DATES, window_days=P.WINDOW_DAYS):
     first, last, step = dates
@@ -298,14 +305,6 @@ def q14_multi_category_gems(t, now=P.AS_OF, days=P.MULTI_CAT_DAYS, min_categorie
 
 # ------------------------------------------- discovery, freshness, bulk add
 
-import datetime as _dt  # noqa: E402
-
-from vantage.operators import quality as Qa  # noqa: E402
-from vantage.operators import topk as K  # noqa: E402
-from vantage.operators import writes as Wr  # noqa: E402
-from vantage.sources import landing as L  # noqa: E402
-from vantage.sources.tables import ts_lit  # noqa: E402
-
 
 def q15_discoveries_per_day(t):
     return (
@@ -508,8 +507,6 @@ def a19_archive_split(t, now=P.NOW, days=P.ARCHIVE_AFTER_DAYS):
 
 # ------------------------------------------------ ingestion (batch twins)
 
-from vantage.streaming import lifecycle as LC  # noqa: E402
-
 
 def _lifecycle(t):
     return L.lifecycle_events(t.events)
@@ -605,9 +602,6 @@ def v6_follower_delta(t):
 
 # ------------------------------------------------------------- model and metrics
 
-from vantage.operators import metrics as Mx  # noqa: E402
-from vantage.operators import ml as ML  # noqa: E402
-
 
 def _training(t):
     return q10_training_set(t)
@@ -729,8 +723,6 @@ def q22_batch_scoring(t):
 
 # ------------------------------------------------ streaming runs (availableNow)
 
-from vantage.streaming import ingest as IG  # noqa: E402
-
 
 def _event_stream(t):
     path = f"{t.root.rstrip('/')}/events.parquet"
@@ -762,8 +754,6 @@ def s15_stream_poll_outcomes(t, minutes=P.TICK_MINUTES):
 
 # ------------------------------------------------------------ lookups, counts
 
-from vantage.operators import lookups as Lk  # noqa: E402
-
 
 def a2_active_entities(t):
     return Lk.active_entities(t.streamers)
