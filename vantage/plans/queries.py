@@ -692,7 +692,9 @@ def _trained(t):
     expensive part and several registered queries read the same model."""
     from vantage.operators.model import train
 
-    key = (id(getattr(t, 'spark', None)), getattr(t, 'root', id(t)))
+    spark = getattr(t, "spark", None)
+    app = spark.conf.get("spark.app.id", None) if spark is not None else None
+    key = (id(spark), app, getattr(t, "root", id(t)))
     if key not in _MODELS:
         _MODELS[key] = train(_training(t))
     return _MODELS[key]
