@@ -1,7 +1,6 @@
-"""End-to-end jobs: the reference's scripts re-expressed as Spark jobs over
-stored domain tables (analyze -> ``daily_statistics``/``backfill``,
-train_model -> ``train_job``, predict -> ``score_job``, discover ->
-``discovery_job``).  Each returns a small summary dict; data stays in Spark.
+"""End-to-end jobs over stored domain tables: daily statistics and backfill,
+model training, batch scoring and discovery.  Each returns a small summary;
+the data stays in Spark.
 """
 
 from __future__ import annotations
