@@ -107,3 +107,18 @@ def test_tracked_set_is_reread_each_micro_batch(spark):
     run()
     got = sorted((r.channel, r.streamer_id) for r in spark.read.parquet(os.path.join(root2, "out")).collect())
     assert got == [("Alice", 1), ("BOB", 2)]  # echo dropped; Bob counted once tracked
+
+
+def test_carry_over_and_tail(spark):
+    """Messages carry over a missed poll; messages after the last poll
+    are dropped by default and emitted on a final row with keep_tail."""
+    ts = lambda m: _t("2024-01-01 10:00:00") + dt.timedelta(minutes=m)
+    chat = spark.createDataFrame(
+        [(7, ts(1), 1), (7, ts(2), 2), (7, ts(20), 3), (7, ts(40), 4), (7, ts(41), 5)],
+        "broadcast_id long, event_time timestamp_ntz, event_id long",
+    )
+    polls = spark.createDataFrame([(7, ts(15), 10), (7, ts(30), 11)], "broadcast_id long, event_time timestamp_ntz, event_id long")
+    got = {r.poll_event_id: r.chat_messages_delta for r in LC.chat_delta_carry_over(chat, polls).collect()}
+    assert got == {10: 2, 11: 1}
+    tail = {r.poll_event_id: r.chat_messages_delta for r in LC.chat_delta_carry_over(chat, polls, keep_tail=True).collect()}
+    assert tail == {10: 2, 11: 1, None: 2}
