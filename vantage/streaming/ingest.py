@@ -238,19 +238,40 @@ def idempotent_parquet_sink(path: str):
     return write
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    """Shuffle/state partitions for a one-shot run: the session's setting, capped
+    at twice the cluster's cores (state partitions are fixed at the first run of a
+    checkpoint, and idle state tasks only cost scheduling)."""
+    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session)
+        return current
+    return min(current, max(8, 2 * cores))
+
+
 def run_available_now(df: DataFrame, spark: SparkSession, output_mode: str = "append") -> DataFrame:
     """S16 one-shot run over everything available, written through the idempotent
     sink; returns the written rows as a batch DataFrame."""
     root = stream_root(spark)
     out = f"{root}/out"
-    q = (
-        df.writeStream.outputMode(output_mode)
-        .foreachBatch(idempotent_parquet_sink(out))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key, None)
+    spark.conf.set(key, str(_state_partitions(spark)))
+    try:
+        q = (
+            df.writeStream.outputMode(output_mode)
+            .foreachBatch(idempotent_parquet_sink(out))
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    finally:
+        if previous is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, previous)
     if q.exception() is not None:
         raise q.exception()
     try:
