@@ -826,3 +826,13 @@ def p8_sparse_predicates(t, as_of=P.AS_OF):
         )
         out = c if out is None else out.unionByName(c)
     return out
+
+
+def w5_close_sessions(t, now=P.NOW):
+    """Offline events close the newest open session of their entity (the
+    first offline at or after its start); returns the sessions that closed."""
+    off = L.lifecycle_events(t.events).filter(F.col("kind") == "offline").select("streamer_id", "event_time")
+    b = t.broadcasts().select("broadcast_id", "streamer_id", "started_at", "ended_at", "duration_seconds")
+    closed = Wr.close_sessions(b, off, None)
+    was_open = b.filter(F.col("ended_at").isNull()).select("broadcast_id")
+    return closed.join(was_open, "broadcast_id", "left_semi").filter(F.col("ended_at").isNotNull())

@@ -99,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w13_engagement_rate": _bind(Q.w13_engagement_rate),
         "p15_baseline_tiers": _bind(Q.p15_baseline_tiers),
         "p8_sparse_predicates": _bind(Q.p8_sparse_predicates),
+        "w5_close_sessions": _bind(Q.w5_close_sessions),
     }
 
 
@@ -179,4 +180,5 @@ def oracle_sql() -> dict[str, str]:
         "w13_engagement_rate": S.w13_engagement_rate(),
         "p15_baseline_tiers": S.p15_baseline_tiers(),
         "p8_sparse_predicates": S.p8_sparse_predicates(),
+        "w5_close_sessions": S.w5_close_sessions(),
     }

@@ -1212,3 +1212,24 @@ UNION ALL SELECT 'positive_chat_rate', 'streamer_statistics', COUNT(*) FROM d_st
 UNION ALL SELECT 'positive_velocity', 'streamer_statistics', COUNT(*) FROM d_stats WHERE follower_velocity > 0
 UNION ALL SELECT 'multi_category', 'streamer_statistics', COUNT(*) FROM d_stats WHERE unique_categories > 1""",
         _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d"))
+
+
+def w5_close_sessions() -> str:
+    return with_views("""
+SELECT n.broadcast_id, n.streamer_id, n.started_at, o.ended_at,
+       CAST(round(date_diff('microsecond', n.started_at, o.ended_at) / 1e6, 0) AS INTEGER) AS duration_seconds
+FROM (
+    SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY started_at DESC, broadcast_id DESC) AS rn
+        FROM broadcasts WHERE ended_at IS NULL) WHERE rn = 1
+) n
+JOIN (
+    SELECT e.user_id AS streamer_id, MIN(e.ts) AS ended_at, n2.broadcast_id
+    FROM events e
+    JOIN (SELECT streamer_id, broadcast_id, started_at FROM (
+              SELECT *, row_number() OVER (PARTITION BY streamer_id ORDER BY started_at DESC, broadcast_id DESC) AS rn
+              FROM broadcasts WHERE ended_at IS NULL) WHERE rn = 1) n2
+      ON n2.streamer_id = e.user_id AND e.ts >= n2.started_at
+    WHERE e.event_type = 'error'
+    GROUP BY e.user_id, n2.broadcast_id
+) o ON o.broadcast_id = n.broadcast_id""")
