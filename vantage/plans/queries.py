@@ -836,3 +836,16 @@ def w5_close_sessions(t, now=P.NOW):
     closed = Wr.close_sessions(b, off, None)
     was_open = b.filter(F.col("ended_at").isNull()).select("broadcast_id")
     return closed.join(was_open, "broadcast_id", "left_semi").filter(F.col("ended_at").isNotNull())
+
+
+def d3_tracked_union(t):
+    """D3: the tracked set after adding every channel seen in chat."""
+    tracked = t.streamers.filter(F.col("is_active")).select("username")
+    added = L.chat_events(t.events).select(F.col("channel").alias("username"))
+    return Lk.tracked_union(tracked, added)
+
+
+def d4_tracked_difference(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    """The tracked set without the entities inactive for ``days`` days."""
+    tracked = t.streamers.filter(F.col("is_active")).select("username")
+    return Lk.tracked_difference(tracked, _inactive_entities(t, now, days).select("username"))

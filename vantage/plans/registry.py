@@ -100,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p15_baseline_tiers": _bind(Q.p15_baseline_tiers),
         "p8_sparse_predicates": _bind(Q.p8_sparse_predicates),
         "w5_close_sessions": _bind(Q.w5_close_sessions),
+        "d3_tracked_union": _bind(Q.d3_tracked_union),
+        "d4_tracked_difference": _bind(Q.d4_tracked_difference),
     }
 
 
@@ -181,4 +183,6 @@ def oracle_sql() -> dict[str, str]:
         "p15_baseline_tiers": S.p15_baseline_tiers(),
         "p8_sparse_predicates": S.p8_sparse_predicates(),
         "w5_close_sessions": S.w5_close_sessions(),
+        "d3_tracked_union": S.d3_tracked_union(),
+        "d4_tracked_difference": S.d4_tracked_difference(),
     }

@@ -1233,3 +1233,18 @@ JOIN (
     WHERE e.event_type = 'error'
     GROUP BY e.user_id, n2.broadcast_id
 ) o ON o.broadcast_id = n.broadcast_id""")
+
+
+def d3_tracked_union() -> str:
+    return with_views("""
+SELECT DISTINCT lower(username) AS username FROM (
+    SELECT username FROM streamers WHERE is_active
+    UNION ALL
+    SELECT 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') FROM events WHERE event_type IN ('click', 'view')
+)""")
+
+
+def d4_tracked_difference(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    return with_views("""
+SELECT s.username FROM streamers s
+WHERE s.is_active AND lower(s.username) NOT IN (SELECT lower(username) FROM inactive)""", _inactive_cte(now, days))
