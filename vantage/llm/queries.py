@@ -8,10 +8,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, mixing, sharding
+from vantage.llm import chat, decontamination, license_scan, mixing, sharding
 from vantage.llm.common import read_table, stash
 
 
+def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"]
+    )
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op4_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -40,6 +54,11 @@ def op5_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.withColumn("notices", F.to_json("notices"))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     recs = stash(sharding.records(docs).drop("text"))
@@ -59,6 +78,8 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fm_index_decontamination": op1_fm_index_decontamination,
+        "op6_fuzzy_notices": op6_fuzzy_notices,
         "op4_typed_chat_parts": op4_typed_chat_parts,
         "op5_hash_threshold_mix": op5_hash_threshold_mix,
         "op10_virtual_slots": op10_virtual_slots,
