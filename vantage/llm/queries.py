@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, decontamination, license_scan, mixing, sharding
+from vantage.llm import chat, decontamination, extraction, license_scan, mixing, sharding
 from vantage.llm.common import read_table, stash
 
 
@@ -26,6 +26,10 @@ def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fm_index_decontamination": op1_fm_index_decontamination,
         "op6_fuzzy_notices": op6_fuzzy_notices,
+        "op2_site_style_tree": op2_site_style_tree,
         "op4_typed_chat_parts": op4_typed_chat_parts,
         "op5_hash_threshold_mix": op5_hash_threshold_mix,
         "op10_virtual_slots": op10_virtual_slots,
