@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, decontamination, extraction, license_scan, mixing, sharding
+from vantage.llm import chat, decontamination, extraction, license_scan, mixing, near_duplicates, sharding
 from vantage.llm.common import read_table, stash
 
 
@@ -63,6 +63,10 @@ def op6_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("notices", F.to_json("notices"))
 
 
+def op8_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(read_table(spark, sf_dir, "documents")).drop("tkey")
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     recs = stash(sharding.records(docs).drop("text"))
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_site_style_tree": op2_site_style_tree,
         "op4_typed_chat_parts": op4_typed_chat_parts,
         "op5_hash_threshold_mix": op5_hash_threshold_mix,
+        "op8_multi_index_hamming": op8_multi_index_hamming,
         "op10_virtual_slots": op10_virtual_slots,
     }
 
