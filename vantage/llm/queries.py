@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, decontamination, extraction, license_scan, mixing, near_duplicates, sharding
+from vantage.llm import chat, decontamination, extraction, license_scan, mixing, near_duplicates, quality_rules, sharding
 from vantage.llm.common import read_table, stash
 
 
@@ -63,6 +63,13 @@ def op6_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("notices", F.to_json("notices"))
 
 
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.screen_documents(read_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
+    )
+
+
 def op8_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read_table(spark, sf_dir, "documents")).drop("tkey")
 
@@ -91,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_site_style_tree": op2_site_style_tree,
         "op4_typed_chat_parts": op4_typed_chat_parts,
         "op5_hash_threshold_mix": op5_hash_threshold_mix,
+        "op7_robust_outliers": op7_robust_outliers,
         "op8_multi_index_hamming": op8_multi_index_hamming,
         "op10_virtual_slots": op10_virtual_slots,
     }
