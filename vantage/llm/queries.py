@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, decontamination, extraction, license_scan, mixing, near_duplicates, quality_rules, sharding
+from vantage.llm import chat, decontamination, extraction, license_scan, mixing, near_duplicates, personal_data, quality_classifier, quality_rules, sharding
 from vantage.llm.common import read_table, stash
 
 
@@ -30,6 +30,18 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op3_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    out = quality_classifier.score_documents(docs, model, carry=["doc_id"])
+    return out.select(
+        "doc_id",
+        quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op4_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -74,6 +86,17 @@ def op8_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read_table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op9_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.find_personal_data(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(
+        "doc_id",
+        *(number(k) for k in personal_data.BASE_KINDS),
+        F.sha2(personal_data.span_list(F.col("base")), 256).alias("base_sha256"),
+        personal_data.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     recs = stash(sharding.records(docs).drop("text"))
@@ -96,10 +119,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fm_index_decontamination": op1_fm_index_decontamination,
         "op6_fuzzy_notices": op6_fuzzy_notices,
         "op2_site_style_tree": op2_site_style_tree,
+        "op3_neighbour_vote": op3_neighbour_vote,
         "op4_typed_chat_parts": op4_typed_chat_parts,
         "op5_hash_threshold_mix": op5_hash_threshold_mix,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_multi_index_hamming": op8_multi_index_hamming,
+        "op9_crf_personal_data": op9_crf_personal_data,
         "op10_virtual_slots": op10_virtual_slots,
     }
 
