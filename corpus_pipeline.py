@@ -10,12 +10,38 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vantage.llm import mixing, sharding
+from vantage.llm import decontamination, mixing, near_duplicates, quality_classifier, sharding
 from vantage.llm.common import read_table
 from vantage.session import ensure_checkpoint_dir
 
 N_SHARDS = 8
+MIN_SCORE = 0.5
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose neighbours vote for quality; the others go."""
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    clash = [c for c in docs.columns if c == "score"]
+    scored = quality_classifier.score_documents(docs.withColumnsRenamed({c: f"_{c}" for c in clash}), model)
+    kept = scored.where(F.col("score") >= MIN_SCORE).drop("score")
+    return kept.withColumnsRenamed({f"_{c}": c for c in clash}).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage; a document with one goes as a whole,
+    since what surrounds a leaked item tends to be about it."""
+    names = ["n_words", "n_hit", "spans", "items", "contaminated"]
+    clash = {c: f"_{c}" for c in docs.columns if c in names}
+    found = decontamination.decontaminate(docs.withColumnsRenamed(clash), read_table(spark, sf_dir, "benchmark"))
+    kept = found.where(~F.col("contaminated")).drop(*names)
+    return kept.withColumnsRenamed({b: a for a, b in clash.items()}).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +55,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable]] = [
+    ("classify", classify),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("mix", mix),
     ("shard", shard),
 ]
