@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, decontamination, extraction, license_scan, mixing, near_duplicates, personal_data, quality_classifier, quality_rules, sharding
+from vantage.llm import (
+    chat,
+    decontamination,
+    extraction,
+    license_scan,
+    mixing,
+    near_duplicates,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    sql,
+)
 from vantage.llm.common import read_table, stash
 
 
@@ -130,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
