@@ -12,8 +12,9 @@ smallest member of its bucket and the components of the confirmed links are take
 Only buckets that still hold several components are compared further: their members
 are dealt in blocks, signatures are compared in numpy within pairs of blocks, and
 pairs of different components under the signature distance are confirmed, each once.
-Links inside a component cannot change it, so no link is lost.  Every link is
-confirmed on the full shingle sets.
+A second, finer sketch (the first hash of each of 512 ranges) spares most of those
+whose similarity lies somewhat below the threshold.  Links inside a component cannot
+change it, so no link is lost.  Every link is confirmed on the full shingle sets.
 
 Defined results: null, empty or blank text has no shingles and is linked with
 nothing; fewer than five words are one shingle; repeated rows have equal sets; rows
@@ -38,6 +39,7 @@ SYMBOLS = CHUNKS * WIDTH
 # Least number of equal symbols: 5 standard deviations under what similarity 0.75 gives.
 MIN_EQUAL = 22
 BLOCK = 512
+BINS = 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = np.random.default_rng(21).integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -121,18 +123,44 @@ def describe(docs: DataFrame) -> DataFrame:
     )
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of BINS ranges of the hash a byte of its first member, 0 for none."""
+    out = np.zeros(BINS, np.uint8)
+    place = (shingles >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[first]] = shingles[first] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def sketches_agree(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of these sketches and sizes can reach the similarity: the share of
+    equal bins may be five standard deviations below it.  The bins hold a sample of
+    the union without repeats, which makes the deviation small for small sets."""
+    used = np.maximum(((others > 0) | (one > 0)).sum(axis=1), 1)
+    equal = ((others == one) & (one > 0)).sum(axis=1)
+    share = PERCENT / 100
+    union = (sizes + size) / (1 + share)
+    spread = np.sqrt(share * (1 - share) / used * np.clip(1 - used / union, 0, 1))
+    return equal >= used * (share - 5 * spread) - 2
+
+
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node and its shingle hashes, from rows (node, text)."""
+    """node, its shingle hashes and their sketch, from rows (node, text)."""
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler.shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
+            sets = [shingler.shingles(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
+                [
+                    batch.column("node"),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(x).tobytes() for x in sets], pa.binary()),
+                ],
+                names=["node", "shingles", "sketch"],
             )
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>, sketch binary")
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -166,9 +194,9 @@ def near_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(vs, "v").join(us, "u").where(same >= MIN_EQUAL).select("u", "v")
 
 
-def compare_cell(sig: np.ndarray, block: np.ndarray, label: np.ndarray, pattern: int, one: bool):
-    """Index pairs of a cell that differ in label, agree on MIN_EQUAL symbols and have
-    ``pattern`` as the first they share; ``one``: a block with itself."""
+def compare_cell(sig, fine, size, block, label, pattern: int, one: bool) -> tuple[list[int], list[int]]:
+    """Index pairs of a cell that differ in label, agree on MIN_EQUAL symbols and on the
+    sketch, and have ``pattern`` as the first they share; ``one``: a block with itself."""
     first, second = [], []
     left = np.arange(len(sig)) if one else np.flatnonzero(block == block.min())
     other = None if one else np.flatnonzero(block != block.min())
@@ -186,6 +214,7 @@ def compare_cell(sig: np.ndarray, block: np.ndarray, label: np.ndarray, pattern:
         chunk = near.argmax(axis=1)
         drop = (~same[np.arange(len(cand)), chunk]).argmax(axis=1)
         cand = cand[near.any(axis=1) & (chunk * WIDTH + drop == pattern)]
+        cand = cand[sketches_agree(fine[i], fine[cand], size[i], size[cand])]
         first.extend([i] * len(cand))
         second.extend(cand.tolist())
     return first, second
@@ -193,28 +222,29 @@ def compare_cell(sig: np.ndarray, block: np.ndarray, label: np.ndarray, pattern:
 
 def cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs (u, v) of different components from rows (key, pattern, size, node,
-    component, sig) of buckets that hold several components."""
+    component, sig, n, sketch) of buckets that hold several components."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     cells = (
         members.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "pattern", "b", "node", "component", "sig")
+        .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "pattern", "b", "node", "component", "n", "sig", "sketch")
     )
     n = cells.sparkSession.conf.get("spark.sql.shuffle.partitions")
     cells = cells.repartition(int(n), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         def pairs(rows):
-            keys, i, j, pattern, block, node, label, sig = rows
-            u, v = compare_cell(sig, block, label, int(pattern[0]), i[0] == j[0])
+            keys, i, j, pattern, block, node, label, size, sig, fine = rows
+            u, v = compare_cell(sig, fine, size, block, label, int(pattern[0]), i[0] == j[0])
             return node[u], node[v]
 
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            rows.append(batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS))
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            rows.append(batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS))
+            rows.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(-1, BINS))
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             cell = np.stack(rows[:3])
@@ -243,7 +273,11 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stash(
         rows.where("n > 0")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "tkey", "sig")).alias("m"), F.min_by(F.struct("tkey", "sig"), "doc_id").alias("r"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.min_by(F.struct("tkey", "sig"), "doc_id").alias("r"),
+            F.first(F.struct("tkey", "sig")).alias("m"),
+        )
         .select(
             "h1",
             "h2",
@@ -261,7 +295,7 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(involved, "node").select("node", F.col("rep").alias("_rep"), F.col("tkey").alias("_tkey"))
     texts = docs.withColumn("_t", F.xxhash64("text"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("_t") == F.col("_tkey"))).select("node", "text")
-    sets = stash(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = stash(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
 
     stars = members.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     stars = stash(near_enough(stars, nodes))
@@ -271,7 +305,8 @@ def classes(docs: DataFrame) -> DataFrame:
     member = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = stash(member.select("key", "pattern", "size", "node", "component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rest = member.join(stash(open_keys.select("key")), "key", "left_semi").join(nodes.select("node", "sig"), "node")
+    fine = stash(sets.select("node", F.size("shingles").alias("n"), "sketch").join(nodes.select("node", "sig"), "node"))
+    rest = member.join(stash(open_keys.select("key")), "key", "left_semi").join(fine, "node")
     more = cross_pairs(rest).distinct().join(stars, ["u", "v"], "left_anti")
     links = links.unionByName(stash(confirm(stash(more), sets)))
     labels = connected_components(links)
