@@ -51,9 +51,9 @@ def test_deterministic_by_seed(spark, separable):
 
 
 def test_guards(spark, separable):
-    with pytest.raises(ValueError, match="Insufficient positive"):
+    with pytest.raises(ValueError, match="too few"):
         Mo.train(separable.withColumn(LABEL, F.when(F.col("streamer_id") < 20, F.col(LABEL)).otherwise(0)), maxIter=2)
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks"):
         Mo.score(None, separable.drop("first_30d_chat_rate"))
     with pytest.raises(FileNotFoundError):
         Mo.load_model("/nonexistent/model/path")

@@ -30,9 +30,16 @@ def test_ingestion_service(spark):
     n = snaps.count()
     assert 0 < n <= spark.read.parquet(f"{root}/poll_ticks").count()
     # every snapshot lies inside the session it is attached to
-    s = sessions.withColumn("broadcast_id", F.abs(F.xxhash64("streamer_id", "started_at")))
+    s = sessions.withColumn("broadcast_id", F.abs(F.xxhash64("streamer_id", "started_at", "level", "session_seq")))
     j = snaps.join(s.select("broadcast_id", "started_at", "ended_at"), "broadcast_id")
     assert j.count() == n
     inside = (F.col("started_at") <= F.col("snapshot_timestamp")) & (F.col("ended_at").isNull() | (F.col("ended_at") > F.col("snapshot_timestamp")))
     assert j.filter(~inside).count() == 0
     assert snaps.filter(F.col("stream_uptime_seconds") < 0).count() == 0
+    # no message tick of a session that still has a sample to come is lost
+    chats = spark.read.parquet(f"{root}/chat_ticks")
+    got = snaps.agg(F.sum("chat_messages_delta")).first()[0]
+    last = snaps.groupBy("streamer_id").agg(F.max("snapshot_timestamp").alias("_last"))
+    same_tick = chats.join(snaps.select("streamer_id", F.col("snapshot_timestamp").alias("tick_end")), ["streamer_id", "tick_end"])
+    reachable = chats.join(last, "streamer_id").filter(F.col("tick_end") <= F.col("_last"))
+    assert same_tick.agg(F.sum("chat_messages_delta")).first()[0] <= got <= reachable.agg(F.sum("chat_messages_delta")).first()[0]

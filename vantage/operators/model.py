@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.tiers import score_tier
@@ -42,7 +42,7 @@ def require_columns(df: DataFrame, cols=RAW_FEATURES) -> None:
     """D1 / M3 metadata-only check: every required feature column is present."""
     missing = sorted(set(cols) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks {', '.join(missing)}")
 
 
 # ------------------------------------------------------- M4 / M5 custom stages
@@ -174,23 +174,24 @@ def check_distribution(df: DataFrame, label: str = LABEL) -> dict:
     if row["total"] == 0:
         raise ValueError("no training rows")
     if row["n_positive"] < MIN_POSITIVES:
-        raise ValueError(f"Insufficient positive samples ({row['n_positive']}); need at least {MIN_POSITIVES}")
+        raise ValueError(f"{row['n_positive']} positive rows are too few to fit on (least: {MIN_POSITIVES})")
     if row["n_positive"] < WARN_POSITIVES:
         log.warning("very few positive samples (%s)", row["n_positive"])
     return row
 
 
-def train(training: DataFrame, test_fraction: float = 0.2, seed: int = 42, label: str = LABEL, **gbt) -> dict:
-    """M17 end to end: guard, exact stratified split, class weight, fit, predict."""
+def train(training: DataFrame, test_fraction: float = 0.2, seed: int = 42, label: str = LABEL, partitions: int = 1, **gbt) -> dict:
+    """M17 end to end: guard, exact stratified split, class weight, fit, predict.
+
+    The row sampling of the trees depends on the partitioning, so ``partitions`` is a
+    parameter (one row per entity: raise it with the number of entities), never taken
+    from the number of rows."""
     require_columns(training, RAW_FEATURES)
     data = add_tune_in_ratio(training, overwrite=False).withColumn("label", F.col(label).cast("double"))
     dist = check_distribution(data, label)
     # cut the lineage once: the split feeds both the fit and the evaluation
     split = reliable_checkpoint(stratified_split(data, label, test_fraction=test_fraction, seed=seed))
-    # one row per entity: size the partitions to the rows (tree training runs one
-    # job per level, so idle tasks cost more than the work on small sets)
-    parts = max(1, int(dist["total"]) // 250_000 + 1)
-    split = split.coalesce(parts) if parts < split.rdd.getNumPartitions() else split.repartition(parts)
+    split = split.repartition(partitions, "streamer_id").sortWithinPartitions("streamer_id")
     tr, te = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     tr, w = with_class_weight(tr, label)
     model = build_pipeline(**gbt).fit(tr)
@@ -266,8 +267,10 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
-    """A13 load, with a clear error for a missing path."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"Model not found at {path}; train it first") from e
+    """A13 load; a path that does not exist is a FileNotFoundError, any other failure
+    keeps its own error."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(f"no model is stored at {path}")
+    return PipelineModel.load(path)

@@ -4,6 +4,8 @@ rows into ``valid`` and ``quarantine`` (with the failed rule names)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,27 +49,32 @@ MAX_LENGTH = {
 
 
 def validate_checks(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """W7 ``(valid, quarantine)``; quarantine carries ``failed_checks`` (array)."""
-    present = {n: r for n, r in rules.items() if _mentions_ok(df, r)}
-    fails = [F.when(~F.coalesce(F.expr(r), F.lit(True)), F.lit(n)) for n, r in present.items()]
-    tagged = df.withColumn("failed_checks", F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>"))
+    """W7 ``(valid, quarantine)``; quarantine carries ``failed_checks`` (array).  A
+    column that the table lacks counts as NULL, so the other terms of its rule are
+    still checked; a rule none of whose columns exist is an error."""
+    missing = {c for r in rules.values() for c in _columns(r)} - set(df.columns)
+    for n, r in rules.items():
+        if _columns(r) <= missing:
+            raise ValueError(f"rule {n} names no column of the table")
+    wide = df.withColumns({c: F.lit(None).cast("double") for c in sorted(missing)})
+    fails = [F.when(~F.coalesce(F.expr(r), F.lit(True)), F.lit(n)) for n, r in rules.items()]
+    tagged = wide.withColumn("failed_checks", F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>")).drop(*missing)
     ok = F.size("failed_checks") == 0
     return tagged.filter(ok).drop("failed_checks"), tagged.filter(~ok)
 
 
-def _mentions_ok(df: DataFrame, rule: str) -> bool:
-    import re
-
-    names = set(re.findall(r"[a-z_]+", rule)) - {"is", "null", "not", "and", "or"}
-    return names <= set(df.columns)
+def _columns(rule: str) -> set[str]:
+    """Column names of a rule (keywords are upper case)."""
+    return set(re.findall(r"\b[a-z_][a-z_0-9]*\b", rule))
 
 
-def validate_not_null_length(df: DataFrame, table: str) -> DataFrame:
-    """W8 rows breaking NOT NULL or VARCHAR(n), with the reasons."""
+def validate_not_null_length(df: DataFrame, table: str, lengths: dict[str, int] | None = None) -> DataFrame:
+    """W8 rows breaking NOT NULL or VARCHAR(n), with the reasons (``lengths``: other
+    lengths than the schema's)."""
     reasons = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in NOT_NULL.get(table, []) if c in df.columns]
     reasons += [
         F.when(F.length(c) > n, F.lit(f"{c} longer than {n}"))
-        for c, n in MAX_LENGTH.get(table, {}).items()
+        for c, n in (lengths or MAX_LENGTH.get(table, {})).items()
         if c in df.columns
     ]
     if not reasons:

@@ -97,16 +97,18 @@ def upsert_stats(target: DataFrame, incoming: DataFrame, now) -> DataFrame:
     return j.select(*out)
 
 
-def session_key(streamer_id: Column, started_at: Column) -> Column:
-    """W4 stable session id: the same (entity, start) always hashes to the same id,
-    so replays after a failure create no second row."""
-    return F.abs(F.xxhash64(streamer_id, started_at))
+def session_key(streamer_id: Column, started_at: Column, *place: Column) -> Column:
+    """W4 stable session id: the same (entity, start, place) always hashes to the same
+    id, so replays after a failure create no second row.  ``place`` tells sessions
+    that one entity opens at the same instant apart (the event id, or level and
+    sequence); the natural key stays in the row."""
+    return F.abs(F.xxhash64(streamer_id, started_at, *place))
 
 
 def create_sessions(online: DataFrame) -> DataFrame:
     """W4 one session row per online event (title/category defaults as S1)."""
     return online.select(
-        session_key(F.col("streamer_id"), F.col("event_time")).alias("broadcast_id"),
+        session_key(F.col("streamer_id"), F.col("event_time"), F.col("event_id")).alias("broadcast_id"),
         "streamer_id",
         F.col("category_id").alias("primary_category_id"),
         with_default("title", "Untitled Stream").alias("stream_title"),
@@ -117,16 +119,16 @@ def create_sessions(online: DataFrame) -> DataFrame:
 
 
 def close_sessions(broadcasts: DataFrame, offline: DataFrame, now=None) -> DataFrame:
-    """W5 each offline event closes the newest session of its entity that is open
-    at that moment: ``ended_at``, ``duration_seconds`` (rounded epoch seconds).
-
-    Matching: per entity the newest open session, and the first offline event at
-    or after its start.  Aggregates only (``max_by``/``min``), no pairing of all
-    sessions with all events."""
-    open_ = broadcasts.filter(F.col("ended_at").isNull())
-    newest = open_.groupBy("streamer_id").agg(F.max_by("broadcast_id", F.struct("started_at", "broadcast_id")).alias("_bid"), F.max("started_at").alias("_s"))
-    off = offline.select("streamer_id", F.col("event_time").alias("_t"))
-    hits = off.join(newest, "streamer_id").filter(F.col("_t") >= F.col("_s")).groupBy("_bid").agg(F.min("_t").alias("_end"))
+    """W5 each offline event closes the newest session of its entity that is still
+    open at that moment (``ended_at``, ``duration_seconds`` in rounded epoch seconds);
+    an offline that finds none open is dropped.
+
+    The stored open sessions are pushed as online events and matched by the stack
+    rule of the lifecycle, in bucketed ordered passes."""
+    from vantage.streaming.lifecycle import match_offlines
+
+    open_ = broadcasts.filter(F.col("ended_at").isNull()).select("broadcast_id", "streamer_id", "started_at")
+    hits = match_offlines(open_, offline).withColumnsRenamed({"broadcast_id": "_bid", "ended_at": "_end"})
     j = broadcasts.join(hits, broadcasts.broadcast_id == hits._bid, "left")
     closed = F.col("_end").isNotNull()
     out = []
@@ -253,8 +255,8 @@ def write_snapshots_partitioned(snapshots: DataFrame, path: str, mode: str = "ap
     so Parquet min/max statistics skip row groups for entity/time predicates."""
     (
         snapshots.withColumn("snapshot_month", F.date_format("snapshot_timestamp", "yyyy-MM"))
-        .repartition("snapshot_month")
-        .sortWithinPartitions("streamer_id", "snapshot_timestamp")
+        .repartitionByRange("snapshot_month", "streamer_id", "snapshot_timestamp")
+        .sortWithinPartitions("snapshot_month", "streamer_id", "snapshot_timestamp")
         .write.mode(mode)
         .partitionBy("snapshot_month")
         .parquet(path)
@@ -264,13 +266,13 @@ def write_snapshots_partitioned(snapshots: DataFrame, path: str, mode: str = "ap
 def write_stats_partition(stats: DataFrame, path: str) -> None:
     """Write statistics with dynamic partition overwrite of ``calculation_date``:
     rerunning a date replaces exactly that date (idempotent, W3 at table level)."""
-    spark = stats.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        stats.write.mode("overwrite").partitionBy("calculation_date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (
+        stats.repartitionByRange("calculation_date", "streamer_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("calculation_date")
+        .parquet(path)
+    )
 
 
 def bootstrap_entities(streamers: DataFrame, names: DataFrame, profiles: DataFrame, now) -> DataFrame:

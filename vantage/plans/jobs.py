@@ -17,6 +17,7 @@ from vantage.operators import writes as W
 from vantage.operators.filters import validate_range
 from vantage.operators.ml import training_set
 from vantage.operators.model import evaluate, feature_importance, save_model, score, train
+from vantage.session import reliable_checkpoint
 from vantage.sources import files as Fi
 from vantage.sources.tables import DomainTables, read_table
 
@@ -28,6 +29,7 @@ def daily_statistics(
     statistics CHECK go to ``<stats_path>_quarantine``; the date's partition is
     replaced (idempotent rerun).  ``dry_run`` computes without writing (W12)."""
     stats = agg.rolling_statistics(tables.streamers, tables.broadcasts(), tables.snapshots, as_of, window_days, keep_empty=True)
+    stats = reliable_checkpoint(stats)  # computed once for the counts and both writes
     summary = (
         stats.agg(
             F.count(F.lit(1)).alias("total"),
@@ -92,11 +94,14 @@ def discovery_job(
     tracked = tables.streamers.select(F.col("streamer_id").alias("user_id")).withColumn("_tracked", F.lit(True))
     prof = profiles.select(F.col("streamer_id").alias("user_id"), "username", "display_name").withColumn("_profile", F.lit(True))
     flagged = listing.join(tracked, "user_id", "left").join(prof, "user_id", "left")
+    # a stream listed more than once counts once, at its first place in the category
+    flagged = W.first_per_key(flagged, ["game_id", "user_id"], ["listing_pos"])
     in_range = F.col("viewer_count").between(lo, hi)
     is_tracked = F.lit(False) if dry_run else F.coalesce("_tracked", F.lit(False))
     eligible = in_range & ~is_tracked & F.coalesce("_profile", F.lit(False))
     chosen, summary = K.quota(flagged, "game_id", "listing_pos", eligible, in_range & is_tracked, limit)
-    new_rows = chosen.select(
-        F.col("user_id").alias("streamer_id"), "username", "display_name", F.lit(True).alias("is_active")
+    # An entity chosen in several categories is one new row
+    new_rows = W.first_per_key(
+        chosen.select(F.col("user_id").alias("streamer_id"), "username", "display_name", F.lit(True).alias("is_active")), ["streamer_id"]
     ).withColumn("discovered_at", F.expr(f"TIMESTAMP_NTZ '{now}'"))
     return new_rows, summary

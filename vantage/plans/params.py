@@ -24,3 +24,5 @@ REPLAY_DAYS = 30              # W1: the ingestion re-sends this many days before
 INACTIVE_DAYS = 365           # W16/W18 entities without activity for this long
 ARCHIVE_AFTER_DAYS = 365      # A19 snapshots older than NOW - this go to the archive
 TICK_MINUTES = 15             # S6 poll interval (reference default)
+# Lengths of the entity columns in the registered check (the test data's longest language has 10)
+ENTITY_LENGTHS = {"username": 25, "display_name": 25, "broadcaster_language": 9}

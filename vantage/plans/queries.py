@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.functions.scalar import round_num, safe_div
+from vantage.functions.scalar import round_num, safe_div, seconds_between
 from vantage.functions.tiers import versatility_rating
 from vantage.operators import aggregates as agg
 from vantage.operators import filters as flt
@@ -344,6 +344,12 @@ def _profiles(t):
     return t.streamers.select(F.col("streamer_id").alias("user_id"), "display_name")
 
 
+def _tracked(t):
+    """The stored entities of the discovery and bulk-add runs: the active ones; the
+    directory of profiles is everyone."""
+    return t.streamers.filter(F.col("is_active"))
+
+
 def q20_discovery_candidates(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT):
     """Dry run of discovery (W12): the first ``limit`` listed streams per category
     in the viewer range that have a profile; the dry run skips the tracked test."""
@@ -360,7 +366,7 @@ def q20_discovery_candidates(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWE
 def q20_discovery_summary(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS, limit=P.DISCOVERY_LIMIT):
     """Real run: streams already tracked are skipped (J9 semi/anti), streams
     without a profile are passed over, ``limit`` new entities per category."""
-    tracked = t.streamers.select(F.col("streamer_id").alias("user_id")).withColumn("_tracked", F.lit(True))
+    tracked = _tracked(t).select(F.col("streamer_id").alias("user_id")).withColumn("_tracked", F.lit(True))
     listing = (
         L.live_listing(t.events)
         .join(tracked, "user_id", "left")
@@ -375,10 +381,15 @@ def q20_discovery_summary(t, lo=P.MIN_LISTING_VIEWERS, hi=P.MAX_LISTING_VIEWERS,
 
 
 def _bulk_add_outcomes(t):
-    requested = L.chat_events(t.events).select(F.col("channel").alias("requested_username")).distinct()
+    # channels seen in chat, and names that no directory profile has
+    requested = (
+        L.chat_events(t.events).select(F.col("channel").alias("requested_username"))
+        .unionByName(t.raw("supplier").select(F.col("s_name").alias("requested_username")))
+        .distinct()
+    )
     profiles = t.streamers.select("streamer_id", F.lower("username").alias("_login"))
     found = requested.join(profiles, F.lower("requested_username") == F.col("_login"), "left")
-    exists = t.streamers.select("streamer_id").withColumn("_exists", F.lit(True))
+    exists = _tracked(t).select("streamer_id").withColumn("_exists", F.lit(True))
     j = found.join(exists, "streamer_id", "left")
     outcome = (
         F.when(F.col("_login").isNull(), "not_found").when(F.col("_exists"), "skipped").otherwise("added")
@@ -420,9 +431,15 @@ def w3_upsert_stats(t, dates=P.STATS_DATES, as_of=P.AS_OF, now=P.NOW):
 
 
 def w7_quarantine(t):
-    """W7 rows of sessions and snapshots failing a CHECK rule, with the rules."""
-    _, qb = Qa.validate_checks(t.broadcasts(), Qa.CHECKS["broadcasts"])
-    _, qs = Qa.validate_checks(t.snapshots, Qa.CHECKS["broadcast_snapshots"])
+    """W7 rows failing a CHECK rule, with the rules: sessions that end at their last
+    snapshot, with their rollup measures, and snapshots whose message count is
+    taken over one message per viewer."""
+    last = t.snapshots.groupBy("broadcast_id").agg(F.max("snapshot_timestamp").alias("ended_at"))
+    b = t.broadcasts().select("broadcast_id", "started_at").join(last, "broadcast_id").join(agg.session_rollup(t.snapshots), "broadcast_id")
+    b = b.withColumn("duration_seconds", seconds_between("started_at", "ended_at"))
+    s = t.snapshots.withColumn("chat_messages_delta", F.col("chat_messages_delta") - F.col("concurrent_viewers"))
+    _, qb = Qa.validate_checks(b, Qa.CHECKS["broadcasts"])
+    _, qs = Qa.validate_checks(s, Qa.CHECKS["broadcast_snapshots"])
     return qb.select(F.lit("broadcasts").alias("table_name"), F.col("broadcast_id").alias("row_key"), F.array_join("failed_checks", ",").alias("failed")).unionByName(
         qs.select(F.lit("broadcast_snapshots").alias("table_name"), F.col("broadcast_id").alias("row_key"), F.array_join("failed_checks", ",").alias("failed"))
     )
@@ -435,28 +452,31 @@ def w8_duplicate_snapshot_keys(t):
 
 def w8_entity_violations(t):
     """W8 NOT NULL / VARCHAR(n) violations of the entity table."""
-    v = Qa.validate_not_null_length(t.streamers, "streamers")
+    v = Qa.validate_not_null_length(t.streamers, "streamers", P.ENTITY_LENGTHS)
     return v.select("streamer_id", F.array_join("violations", ",").alias("violations"))
 
 
 def w9_orphans(t):
-    """W9 orphan counts per foreign key."""
+    """W9 references without a parent, per foreign key and missing id; the parents are
+    the closed sessions, the active entities and the trending categories."""
     s, b = t.snapshots, t.broadcasts()
+    closed, trending = b.filter(F.col("ended_at").isNotNull()), t.categories.filter(F.col("is_trending"))
     parts = [
-        ("broadcast_snapshots.broadcast_id", Qa.validate_fk(s, b, "broadcast_id")),
-        ("broadcast_snapshots.streamer_id", Qa.validate_fk(s, t.streamers, "streamer_id")),
-        ("broadcast_snapshots.category_id", Qa.validate_fk(s, t.categories, "category_id")),
-        ("broadcasts.streamer_id", Qa.validate_fk(b, t.streamers, "streamer_id")),
+        ("broadcast_snapshots.broadcast_id", Qa.validate_fk(s, closed, "broadcast_id"), "broadcast_id"),
+        ("broadcast_snapshots.streamer_id", Qa.validate_fk(s, _tracked(t), "streamer_id"), "streamer_id"),
+        ("broadcast_snapshots.category_id", Qa.validate_fk(s, trending, "category_id"), "category_id"),
+        ("broadcasts.streamer_id", Qa.validate_fk(b, _tracked(t), "streamer_id"), "streamer_id"),
     ]
     out = None
-    for name, df in parts:
-        c = df.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("foreign_key"), "orphans")
+    for name, df, key in parts:
+        c = df.groupBy(F.lit(name).alias("foreign_key"), F.col(key).alias("missing_id")).agg(F.count(F.lit(1)).alias("orphans"))
         out = c if out is None else out.unionByName(c)
     return out
 
 
 def w17_maintain_categories(t):
-    return Wr.maintain_categories(t.categories, t.snapshots.select("category_id", "snapshot_timestamp"))
+    """The trending categories are stored; the others first appear in snapshots."""
+    return Wr.maintain_categories(t.categories.filter(F.col("is_trending")), t.snapshots.select("category_id", "snapshot_timestamp"))
 
 
 def _inactive_entities(t, now, days):
@@ -739,19 +759,19 @@ def s1_s2_stream_sessions(t):
 
 
 def s5_stream_chat_ticks(t, minutes=P.TICK_MINUTES):
-    """S5/S9/S10/S11 streamed chat counts per entity per tick (append mode: a
-    tick is final once the watermark passes its end)."""
+    """S5/S9/S10/S11 streamed chat counts per entity per tick; the newest update of a
+    tick counts, so the tick still open at the end is there too."""
     chat = IG.filtered_chat(L.chat_events(_event_stream(t)), t.streamers.filter(F.col("is_active")))
-    return IG.run_available_now(IG.tick_counts(chat, minutes), t.spark)
+    return IG.run_available_now(IG.tick_counts(chat, minutes), t.spark, keys=["streamer_id", "tick_end"])
 
 
 def s6_stream_poll_ticks(t, minutes=P.TICK_MINUTES):
     """S6/S17 streamed last poll sample per entity per tick."""
-    return IG.run_available_now(IG.poll_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark)
+    return IG.run_available_now(IG.poll_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark, keys=["streamer_id", "tick_end"])
 
 
 def s15_stream_poll_outcomes(t, minutes=P.TICK_MINUTES):
-    return IG.run_available_now(IG.poll_outcome_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark)
+    return IG.run_available_now(IG.poll_outcome_ticks(L.poll_samples(_event_stream(t)), minutes), t.spark, keys=["tick_end"])
 
 
 # ------------------------------------------------------------ lookups, counts
@@ -783,10 +803,11 @@ def e37_table_counts(t):
 
 def w2_upsert_entities(t, now=P.NOW):
     """Profiles seen in chat (login and display name of each channel) upserted
-    into the entity table; other columns keep their values."""
+    into the active entities, whose display names an earlier import left in lower
+    case; unseen ids are inserted, other columns keep their values."""
     seen = L.chat_events(t.events).join(t.events.select(F.col("event_id"), F.col("user_id").alias("streamer_id")), "event_id")
     incoming = seen.select("streamer_id", F.lower("channel").alias("username"), F.col("channel").alias("display_name")).distinct()
-    target = t.streamers.select("streamer_id", "username", "display_name", "is_active").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    target = _tracked(t).select("streamer_id", "username", F.col("username").alias("display_name"), "is_active").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
     return Wr.upsert_entities(target, incoming, now)
 
 
@@ -829,8 +850,8 @@ def p8_sparse_predicates(t, as_of=P.AS_OF):
 
 
 def w5_close_sessions(t, now=P.NOW):
-    """Offline events close the newest open session of their entity (the
-    first offline at or after its start); returns the sessions that closed."""
+    """Each offline event closes the newest session of its entity still open;
+    returns the sessions that closed."""
     off = L.lifecycle_events(t.events).filter(F.col("kind") == "offline").select("streamer_id", "event_time")
     b = t.broadcasts().select("broadcast_id", "streamer_id", "started_at", "ended_at", "duration_seconds")
     closed = Wr.close_sessions(b, off, None)

@@ -61,11 +61,14 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets this to shared storage; we only fall back to
-    a scratch folder when nothing is configured (local tests).
+    On a cluster the deployment sets this to shared storage; a scratch folder is
+    made only for a local master (tests), anything else without the setting is an
+    error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vantage-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:

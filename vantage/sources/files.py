@@ -23,7 +23,7 @@ def read_scoring_csv(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.option("header", True).csv(path).columns
     missing = sorted(set(RAW_FEATURES) - set(head))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the file lacks {', '.join(missing)}")
     df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     types = {f.name: f.dataType for f in SCORING_SCHEMA.fields}
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])

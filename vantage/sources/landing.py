@@ -48,7 +48,8 @@ LOGIN_DIGITS = 9
 
 def display_login(user_id: Column) -> Column:
     """``Customer#000000042``: the entity's display name; its username is the lower case."""
-    return F.concat(F.lit(LOGIN_PREFIX), F.lpad(user_id.cast("string"), LOGIN_DIGITS, "0"))
+    digits = user_id.cast("string")
+    return F.concat(F.lit(LOGIN_PREFIX), F.when(F.length(digits) >= LOGIN_DIGITS, digits).otherwise(F.lpad(digits, LOGIN_DIGITS, "0")))
 
 
 def _category(props: Column) -> Column:

@@ -19,9 +19,9 @@ import os
 import uuid
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vantage.functions.scalar import instant_to_ntz, ntz_to_instant
@@ -238,46 +238,36 @@ def idempotent_parquet_sink(path: str):
     return write
 
 
-def _state_partitions(spark: SparkSession) -> int:
-    """Shuffle/state partitions for a one-shot run: the session's setting, capped
-    at twice the cluster's cores (state partitions are fixed at the first run of a
-    checkpoint, and idle state tasks only cost scheduling)."""
-    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext (remote session)
-        return current
-    return min(current, max(8, 2 * cores))
-
-
-def run_available_now(df: DataFrame, spark: SparkSession, output_mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, spark: SparkSession, output_mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """S16 one-shot run over everything available, written through the idempotent
-    sink; returns the written rows as a batch DataFrame."""
+    sink; returns the written rows as a batch DataFrame.
+
+    With ``keys`` the query runs in update mode and the newest update of each key is
+    returned, which includes windows that the watermark has not closed."""
     root = stream_root(spark)
     out = f"{root}/out"
-    key = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(key, None)
-    spark.conf.set(key, str(_state_partitions(spark)))
-    try:
-        q = (
-            df.writeStream.outputMode(output_mode)
-            .foreachBatch(idempotent_parquet_sink(out))
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        q.awaitTermination()
-    finally:
-        if previous is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, previous)
+    q = (
+        df.writeStream.outputMode("update" if keys else output_mode)
+        .foreachBatch(idempotent_parquet_sink(out))
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        return spark.read.parquet(out).drop("batch_id").select(*df.columns)
-    except AnalysisException:  # no batch produced rows: nothing was written
+    if not _exists(spark, out):  # there was no batch
         return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
+    if keys:
+        others = [c for c in df.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_r")).select(*keys, "_r.*")
+    return rows.select(*df.columns)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def counters_view(df: DataFrame, name: str):

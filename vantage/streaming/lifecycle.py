@@ -31,10 +31,10 @@ ORDER = ["event_time", "event_id"]
 DEFAULT_TITLE = "Untitled Stream"
 
 
-def _levels(lifecycle: DataFrame) -> DataFrame:
+def _levels(lifecycle: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Lifecycle rows with ``unmatched`` (dropped offline) and ``level``."""
     x = lifecycle.withColumn("_d", F.when(F.col("kind") == "online", 1).otherwise(-1))
-    x = running_sum(x, ["streamer_id"], ORDER, "_d", day_bucket("event_time"), out="_S", min_before="_M")
+    x = running_sum(x, ["streamer_id"], order or ORDER, "_d", day_bucket("event_time"), out="_S", min_before="_M")
     p_prev = F.least(F.lit(0), F.coalesce(F.col("_M"), F.lit(0)))
     x = x.withColumn("_P", p_prev)
     unmatched = (F.col("kind") == "offline") & (F.col("_S") < F.col("_P"))
@@ -57,7 +57,7 @@ def sessionize_batch(lifecycle: DataFrame) -> DataFrame:
     )
     ended = F.when(F.col("next_kind") == "offline", F.col("next_event_time"))
     return ons.select(
-        session_key(F.col("streamer_id"), F.col("event_time")).alias("broadcast_id"),
+        session_key(F.col("streamer_id"), F.col("event_time"), F.col("level"), F.col("session_seq")).alias("broadcast_id"),
         "streamer_id",
         "level",
         "session_seq",
@@ -69,6 +69,24 @@ def sessionize_batch(lifecycle: DataFrame) -> DataFrame:
     )
 
 
+def match_offlines(open_sessions: DataFrame, offline: DataFrame) -> DataFrame:
+    """(streamer-wise) the end of each stored open session (broadcast_id, ended_at)
+    that an offline event closes: sessions are pushed in start order, an offline pops
+    the newest.  Of a session and an offline at one instant, the session is first."""
+    on = open_sessions.select(
+        "streamer_id", F.col("started_at").alias("event_time"), F.lit(0).alias("_o"), F.col("broadcast_id").alias("event_id"),
+        F.lit("online").alias("kind"),
+    )
+    off = offline.select(
+        "streamer_id", "event_time", F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("event_id"), F.lit("offline").alias("kind")
+    )
+    order = ["event_time", "_o", "event_id"]
+    lv = _levels(on.unionByName(off), order).filter(~F.col("unmatched"))
+    nx = shift(lv, ["streamer_id", "level"], order, ["kind", "event_time"], day_bucket("event_time"), "lead")
+    closed = nx.filter((F.col("kind") == "online") & (F.col("next_kind") == "offline"))
+    return closed.select(F.col("event_id").alias("broadcast_id"), F.col("next_event_time").alias("ended_at"))
+
+
 def dropped_offline(lifecycle: DataFrame) -> DataFrame:
     """S2 offline events that found no open session, counted per entity."""
     return _levels(lifecycle).filter("unmatched").groupBy("streamer_id").agg(F.count(F.lit(1)).alias("dropped_offline"))
@@ -153,16 +171,20 @@ def chat_delta_carry_over(chat_attached: DataFrame, polls_attached: DataFrame, k
 
 def snapshot_ticks(polls_attached: DataFrame, chat_attached: DataFrame, minutes: int = 15) -> DataFrame:
     """S6 + S17: one snapshot per live session per tick: the last poll sample of the
-    window (viewers, category, followers; a failed follower fetch counts as 0),
-    the window's chat messages and the uptime at the window end."""
+    window (viewers, category, followers; a failed follower fetch counts as 0), the
+    messages since the session's previous sample (a tick without a sample carries
+    its messages to the next one) and the uptime at the window end."""
     w = F.window("event_time", f"{validate_tick(minutes)} minutes")
     p = polls_attached.filter(F.col("broadcast_id").isNotNull() & F.col("viewer_count").isNotNull())
+    carried = chat_delta_carry_over(chat_attached, p).select("poll_event_id", "broadcast_id", "chat_messages_delta")
+    p = p.join(carried.withColumnRenamed("poll_event_id", "event_id"), ["broadcast_id", "event_id"])
     last = p.groupBy("broadcast_id", "streamer_id", w.alias("w")).agg(
         F.max_by(
             F.struct("viewer_count", "category_id", "follower_count", "started_at"), F.struct("event_time", "event_id")
-        ).alias("s")
+        ).alias("s"),
+        F.sum("chat_messages_delta").alias("_chat"),
     )
-    snaps = last.select(
+    return last.select(
         "broadcast_id",
         "streamer_id",
         F.col("s.category_id").alias("category_id"),
@@ -170,10 +192,7 @@ def snapshot_ticks(polls_attached: DataFrame, chat_attached: DataFrame, minutes:
         F.col("s.viewer_count").alias("concurrent_viewers"),
         F.coalesce(F.col("s.follower_count"), F.lit(0)).alias("follower_count"),
         uptime_seconds(F.col("s.started_at"), F.col("w.end")).alias("stream_uptime_seconds"),
-    )
-    chats = chat_delta_per_tick(chat_attached, minutes)
-    return snaps.join(chats, ["broadcast_id", "snapshot_timestamp"], "left").withColumn(
-        "chat_messages_delta", F.coalesce("chat_messages_delta", F.lit(0)).cast("int")
+        F.col("_chat").cast("int").alias("chat_messages_delta"),
     )
 
 

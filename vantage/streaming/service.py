@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantage.functions.scalar import uptime_seconds
+from vantage.operators.sequence import day_bucket, running_sum
 from vantage.sources import landing as L
 from vantage.streaming import ingest as IG
 from vantage.streaming import lifecycle as LC
@@ -61,30 +63,47 @@ def sessions_table(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snapshots_table(spark: SparkSession, root: str) -> DataFrame:
-    """One snapshot per live session per tick: last poll sample of the tick, chat
-    messages of the tick, the session open at the tick end (stack top) and the
-    uptime at the tick end.  Ticks without an open session are not snapshots."""
+    """One snapshot per live session per tick: last poll sample of the tick, the
+    session open at the tick end (stack top), its chat messages since its previous
+    snapshot (ticks without a sample carry theirs over) and the uptime at the tick
+    end.  Ticks without an open session are not snapshots."""
     root = root.rstrip("/")
     polls = _read(spark, f"{root}/poll_ticks").filter(F.col("concurrent_viewers").isNotNull())
     chats = _read(spark, f"{root}/chat_ticks")
-    ticks = polls.join(chats, ["streamer_id", "tick_end"], "left")
     sessions = sessions_table(spark, root)
     # the change log as lifecycle events, ordered like the live stream
-    opened = sessions.select("streamer_id", F.col("started_at").alias("event_time"), F.lit("online").alias("kind"))
+    number = lambda kind: F.xxhash64("streamer_id", "level", "session_seq", F.lit(kind)).alias("_id")
+    opened = sessions.select("streamer_id", F.col("started_at").alias("event_time"), F.lit("online").alias("kind"), number("online"))
     closed = sessions.filter(F.col("ended_at").isNotNull()).select(
-        "streamer_id", F.col("ended_at").alias("event_time"), F.lit("offline").alias("kind")
+        "streamer_id", F.col("ended_at").alias("event_time"), F.lit("offline").alias("kind"), number("offline")
     )
     life = opened.unionByName(closed).withColumn(
-        "event_id", F.xxhash64("streamer_id", "event_time", "kind")
-    ).withColumns({"title": F.lit(None).cast("string"), "category_id": F.lit(None).cast("bigint")})
+        "event_id", F.col("_id")
+    ).withColumns({"title": F.lit(None).cast("string"), "category_id": F.lit(None).cast("bigint")}).drop("_id")
     keyed_sessions = LC.sessionize_batch(life).select("streamer_id", "level", "session_seq", "started_at", "broadcast_id")
-    ev = ticks.select("streamer_id", F.col("tick_end").alias("event_time")).distinct().withColumn(
+    every = polls.select("streamer_id", "tick_end").unionByName(chats.select("streamer_id", "tick_end"))
+    ev = every.select("streamer_id", F.col("tick_end").alias("event_time")).distinct().withColumn(
         "event_id", F.xxhash64("streamer_id", "event_time", F.lit("tick"))
     )
     att = LC.attach_session(ev, life, keyed_sessions).filter(F.col("broadcast_id").isNotNull())
-    j = ticks.join(att.select("streamer_id", F.col("event_time").alias("tick_end"), "broadcast_id", "started_at"), ["streamer_id", "tick_end"])
-    from vantage.functions.scalar import uptime_seconds
-
+    at = att.select("streamer_id", F.col("event_time").alias("tick_end"), "broadcast_id", "started_at")
+    u = (
+        polls.join(at, ["streamer_id", "tick_end"])
+        .select("broadcast_id", "tick_end", F.lit(1).alias("_poll"), F.lit(0).cast("bigint").alias("_n"))
+        .unionByName(
+            chats.join(at, ["streamer_id", "tick_end"]).select(
+                "broadcast_id", "tick_end", F.lit(0).alias("_poll"), F.col("chat_messages_delta").alias("_n")
+            )
+        )
+    )
+    r = running_sum(u, ["broadcast_id"], ["tick_end", "_poll"], "_poll", day_bucket("tick_end"), out="_polls")
+    # a message tick belongs to the sample of its own tick or else the next one
+    slot = F.col("_polls") + F.when(F.col("_poll") == 0, 1).otherwise(0)
+    chat = r.groupBy("broadcast_id", slot.alias("_slot")).agg(
+        F.max(F.when(F.col("_poll") == 1, F.col("tick_end"))).alias("tick_end"), F.sum("_n").alias("chat_messages_delta")
+    )
+    chat = chat.filter(F.col("tick_end").isNotNull()).select("broadcast_id", "tick_end", "chat_messages_delta")
+    j = polls.join(at, ["streamer_id", "tick_end"]).join(chat, ["broadcast_id", "tick_end"])
     return j.select(
         "broadcast_id",
         "streamer_id",
@@ -92,6 +111,6 @@ def snapshots_table(spark: SparkSession, root: str) -> DataFrame:
         F.col("tick_end").alias("snapshot_timestamp"),
         "concurrent_viewers",
         "follower_count",
-        F.coalesce("chat_messages_delta", F.lit(0)).cast("int").alias("chat_messages_delta"),
+        F.col("chat_messages_delta").cast("int").alias("chat_messages_delta"),
         uptime_seconds(F.col("started_at"), F.col("tick_end")).alias("stream_uptime_seconds"),
     )
