@@ -56,17 +56,6 @@ def eps_ratio(num, den, eps: float = 1e-6) -> Column:
     return F.when(bad, F.lit(None).cast("double")).otherwise(r)
 
 
-def bool_to_int(x) -> Column:
-    """F13 ``bool::int``."""
-    return _c(x).cast("int")
-
-
-def round_to_int(x) -> Column:
-    """PostgreSQL rounds NUMERIC->INTEGER (half away from zero); Spark's cast
-    truncates, so round first."""
-    return F.round(_c(x), 0).cast("int")
-
-
 def empty_to_null(x) -> Column:
     """F16 ``NULLIF(s, '')``."""
     return F.nullif(_c(x), F.lit(""))
@@ -99,11 +88,6 @@ def parse_date(x) -> Column:
     return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def same_text_ci(a, b) -> Column:
-    """F10 case-insensitive equality."""
-    return F.lower(_c(a)) == F.lower(_c(b))
-
-
 def round_num(x, digits: int = 0) -> Column:
     """F3 ``ROUND(numeric, n)``: half away from zero on the decimal value.
 

@@ -69,7 +69,7 @@ def trailing_days(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
 def trailing_interval(df: DataFrame, ts: str, now, seconds: float) -> DataFrame:
     """P3 ``ts > now - interval`` from an instant."""
     cut = _as_datetime(now) - dt.timedelta(seconds=seconds)
-    return df.filter(F.col(ts) > ts_lit(cut))
+    return _month_prune(df, ts, cut, None).filter(F.col(ts) > ts_lit(cut))
 
 
 def completed_sessions(broadcasts: DataFrame) -> DataFrame:
@@ -95,11 +95,6 @@ def in_viewer_range(lo: int, hi: int, col: str = "viewer_count"):
     return F.col(col).between(lo, hi)
 
 
-def viewer_range(df: DataFrame, lo: int, hi: int, col: str = "viewer_count") -> DataFrame:
-    """P5 inclusive range; the bounds are validated like the reference's arguments."""
-    return df.filter(in_viewer_range(lo, hi, col))
-
-
 def hidden_gem_filter(
     stats: DataFrame, max_viewers: float = 500, min_chat_rate: float = 5.0, min_velocity: float = 2.0
 ) -> DataFrame:
@@ -139,11 +134,6 @@ def min_hours(df: DataFrame, hours: float = 10, col: str = "total_broadcast_hour
     return df.filter(F.col(col) > hours)
 
 
-def skip_inactive(stats: DataFrame) -> DataFrame:
-    """P13 entities without a completed session in the window are not written."""
-    return stats.filter(F.col("total_broadcasts") > 0)
-
-
 def switch_only(df: DataFrame) -> DataFrame:
     """P12 category differs from the previous one; NULL on either side drops."""
     return df.filter(F.col("category_id") != F.col("prev_category_id"))

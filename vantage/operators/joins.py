@@ -45,13 +45,6 @@ def star_join(streamers: DataFrame, broadcasts: DataFrame, grain: DataFrame, ent
     return grain.join(broadcasts, "broadcast_id").join(ents, "streamer_id")
 
 
-def star_join_rows(streamers: DataFrame, broadcasts: DataFrame, snapshots: DataFrame, entity_cols=("username",)) -> DataFrame:
-    """J1 at row level (used where each snapshot row is output)."""
-    ents = streamers.select("streamer_id", *entity_cols)
-    b = broadcasts.drop("streamer_id") if "streamer_id" in snapshots.columns else broadcasts
-    return snapshots.join(b, "broadcast_id").join(ents, "streamer_id")
-
-
 def with_category(df: DataFrame, categories: DataFrame, cols=("category_name", "is_trending")) -> DataFrame:
     """J2 attach the category of the snapshot (not the session's primary one)."""
     return df.join(categories.select("category_id", *cols), "category_id")
@@ -100,23 +93,7 @@ def fanout_sum(col: str, mode: str = "reference") -> Column:
     raise ValueError("mode must be 'reference' or 'session'")
 
 
-def already_tracked(candidates: DataFrame, streamers: DataFrame, key: str = "streamer_id") -> DataFrame:
-    """J9 candidates already present."""
-    return candidates.join(streamers.select(key), key, "left_semi")
-
-
-def new_candidates(candidates: DataFrame, streamers: DataFrame, key: str = "streamer_id") -> DataFrame:
-    """J9 candidates not yet present."""
-    return candidates.join(streamers.select(key), key, "left_anti")
-
-
 def not_found(requested: DataFrame, found: DataFrame, col: str = "username") -> DataFrame:
     """J10/D2 requested names with no case-insensitive match; duplicates kept."""
     f = found.select(F.lower(F.col(col)).alias("_k")).distinct()
     return requested.join(f, F.lower(requested[col]) == f["_k"], "left_anti")
-
-
-def channel_to_entity(events: DataFrame, streamers: DataFrame, channel: str = "channel") -> DataFrame:
-    """J11 case-insensitive channel -> entity."""
-    ents = streamers.select("streamer_id", F.lower("username").alias("_login"))
-    return events.join(ents, F.lower(events[channel]) == ents["_login"]).drop("_login")

@@ -78,9 +78,3 @@ def rename_stats(stats: DataFrame, to: str = "canonical") -> DataFrame:
     names; ``to="canonical"`` accepts either spelling on input."""
     mapping = DDL_TO_CANONICAL if to == "canonical" else {v: k for k, v in DDL_TO_CANONICAL.items()}
     return stats.withColumnsRenamed({k: v for k, v in mapping.items() if k in stats.columns})
-
-
-def newest_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """K6 latest ``n`` rows."""
-    return df.orderBy(F.col(order).desc()).limit(n)
-

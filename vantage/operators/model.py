@@ -148,13 +148,11 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = "streamer_id"
     counts = counts.withColumn("_n", F.sum("_c").over(Window.partitionBy(label)))
     counts = counts.withColumn("_k", F.round(F.col("_n") * F.lit(test_fraction), 0).cast("long"))
     j = x.join(counts.select(label, "_bk", "_before", "_c", "_k"), [label, "_bk"])
+    edge = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") > F.col("_k"))
     rank = F.row_number().over(Window.partitionBy(label, "_bk").orderBy("_h", key))
-    j = j.withColumn(
-        "is_test",
-        F.when(F.col("_before") + F.col("_c") <= F.col("_k"), True)
-        .when(F.col("_before") >= F.col("_k"), False)
-        .otherwise(F.col("_before") + rank <= F.col("_k")),
-    )
+    inside = j.filter(~edge).withColumn("is_test", F.col("_before") < F.col("_k"))
+    ranked = j.filter(edge).withColumn("is_test", F.col("_before") + rank <= F.col("_k"))
+    j = inside.unionByName(ranked)
     return j.drop("_h", "_bk", "_before", "_c", "_k")
 
 

@@ -104,14 +104,6 @@ def follower_delta(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def date_grid(spark, first: str, last: str, step_days: int) -> DataFrame:
-    """Calculation dates ``first, first+step, ... <= last`` (parameter-sized)."""
-    d0 = dt.date.fromisoformat(first)
-    d1 = dt.date.fromisoformat(last)
-    n = (d1 - d0).days // step_days + 1
-    return spark.range(n).select(F.date_add(F.lit(d0.isoformat()).cast("date"), (F.col("id") * step_days).cast("int")).alias("calculation_date"))
-
-
 def covering_dates(df: DataFrame, ts: str, first: str, last: str, step_days: int, window_days: int) -> DataFrame:
     """V8 helper: each row tagged with every grid date whose rolling window
     ``[D - window_days, D + 1)`` contains ``ts``; a range join computed by

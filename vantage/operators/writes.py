@@ -73,7 +73,8 @@ def upsert_stats(target: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """W3 idempotent statistics upsert on (streamer_id, calculation_date).
 
     Measures come from the incoming row; ``updated_at`` becomes ``now``;
-    ``created_at`` and ``calculated_at`` keep the stored values on conflict.
+    ``created_at`` and ``calculated_at`` keep the stored values on conflict and are
+    stamped on inserted rows only; rows that are not hit stay as they are.
     Applying the same incoming twice gives the same table."""
     measures = [c for c in incoming.columns if c not in STATS_KEYS]
     tgt = target
@@ -81,8 +82,8 @@ def upsert_stats(target: DataFrame, incoming: DataFrame, now) -> DataFrame:
         if c not in tgt.columns:
             tgt = tgt.withColumn(c, F.lit(None).cast("timestamp_ntz"))
     inc = incoming.select(*STATS_KEYS, *[F.col(c).alias(f"_n_{c}") for c in measures]).withColumn("_hit", F.lit(True))
-    j = tgt.join(inc, STATS_KEYS, "full_outer")
-    hit = F.col("_hit").isNotNull()
+    j = tgt.withColumn("_old", F.lit(True)).join(inc, STATS_KEYS, "full_outer")
+    hit, new = F.col("_hit").isNotNull(), F.col("_old").isNull()
     stamp = ts_lit(now)
     out = [F.col(k) for k in STATS_KEYS]
     for c in [c for c in tgt.columns if c not in STATS_KEYS]:
@@ -91,7 +92,7 @@ def upsert_stats(target: DataFrame, incoming: DataFrame, now) -> DataFrame:
         elif c == "updated_at":
             out.append(F.when(hit, stamp).otherwise(F.col(c)).alias(c))
         elif c in ("created_at", "calculated_at"):
-            out.append(F.coalesce(F.col(c), stamp).alias(c))
+            out.append(F.when(new, stamp).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return j.select(*out)

@@ -26,3 +26,4 @@ ARCHIVE_AFTER_DAYS = 365      # A19 snapshots older than NOW - this go to the ar
 TICK_MINUTES = 15             # S6 poll interval (reference default)
 # Lengths of the entity columns in the registered check (the test data's longest language has 10)
 ENTITY_LENGTHS = {"username": 25, "display_name": 25, "broadcaster_language": 9}
+LOOKUP_ID, LOOKUP_NAME = 42, "CUSTOMER#000000042"

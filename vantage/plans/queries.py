@@ -26,6 +26,7 @@ from vantage.operators import topk as K
 from vantage.operators import windows as Wn
 from vantage.operators import writes as Wr
 from vantage.plans import params as P
+from vantage.session import reliable_checkpoint
 from vantage.sources import landing as L
 from vantage.sources.tables import STATS_SCALE, DriverTables, ts_lit
 from vantage.streaming import ingest as IG
@@ -326,7 +327,7 @@ def q17_recent_active(t, k=10):
 
 
 def q19_snapshot_freshness(t, now=P.NOW, seconds=P.FRESHNESS_SECONDS):
-    recent = flt.trailing_interval(t.snapshots.select("snapshot_timestamp"), "snapshot_timestamp", now, seconds)
+    recent = flt.trailing_interval(t.snapshots, "snapshot_timestamp", now, seconds)
     return recent.agg(F.count(F.lit(1)).alias("snapshots_recent"), F.max("snapshot_timestamp").alias("latest_snapshot"))
 
 
@@ -424,10 +425,10 @@ def w1_replay_insert_ignore(t, as_of=P.AS_OF, replay_days=P.REPLAY_DAYS):
 
 def w3_upsert_stats(t, dates=P.STATS_DATES, as_of=P.AS_OF, now=P.NOW):
     """Recompute ``as_of`` with a 30-day window and upsert it into the history."""
-    history = v8_stats_history(t, dates)
+    stored = F.col("calculation_date").cast("timestamp_ntz")
+    history = v8_stats_history(t, dates).withColumns({"created_at": stored, "calculated_at": stored})
     fresh = storage_scale(agg.rolling_statistics(t.streamers, t.broadcasts(), t.snapshots, as_of, 30))
-    merged = Wr.upsert_stats(history, fresh, now)
-    return merged.drop("created_at", "calculated_at")
+    return Wr.upsert_stats(history, fresh, now)
 
 
 def w7_quarantine(t):
@@ -538,24 +539,20 @@ def _sessions(t):
 
 def _attached(t):
     """Tracked chat messages and poll samples attached to their sessions in one
-    pass over the lifecycle stack (S4), split by ``_src`` afterwards."""
+    pass over the lifecycle stack (S4) that carries their columns along; stored once
+    and split by ``_src``."""
     chat = LC.filter_chat(L.chat_events(t.events), t.streamers.filter(F.col("is_active")))
     polls = L.poll_samples(t.events)
-    both = chat.select("streamer_id", "event_time", "event_id", F.lit("chat").alias("_src")).unionByName(
-        polls.select("streamer_id", "event_time", "event_id", F.lit("poll").alias("_src"))
-    )
-    a = LC.attach_session(both, _lifecycle(t), _sessions(t)).select("event_id", "_src", "broadcast_id", "started_at")
-    return chat.join(a.filter(F.col("_src") == "chat").drop("_src"), "event_id"), polls.join(a.filter(F.col("_src") == "poll").drop("_src"), "event_id")
+    both = chat.withColumn("_src", F.lit("chat")).unionByName(polls.withColumn("_src", F.lit("poll")), allowMissingColumns=True)
+    a = reliable_checkpoint(LC.attach_session(both, _lifecycle(t), _sessions(t)))
+    pick = lambda src, like: a.filter(F.col("_src") == src).select(*like.columns, "broadcast_id", "started_at")
+    return pick("chat", chat), pick("poll", polls)
 
 
 def _chat_attached(t):
     return _attached(t)[0]
 
 
-def _polls_attached(t):
-    return _attached(t)[1]
-
-
 def s3_sessionize(t):
     return _sessions(t).drop("broadcast_id")
 
@@ -870,3 +867,53 @@ def d4_tracked_difference(t, now=P.NOW, days=P.INACTIVE_DAYS):
     """The tracked set without the entities inactive for ``days`` days."""
     tracked = t.streamers.filter(F.col("is_active")).select("username")
     return Lk.tracked_difference(tracked, _inactive_entities(t, now, days).select("username"))
+
+
+def a4_entity_by_id(t, streamer_id=P.LOOKUP_ID):
+    return Lk.entity_by_id(t.streamers.select("streamer_id", "username", "display_name"), streamer_id)
+
+
+def a5_entity_by_username(t, username=P.LOOKUP_NAME):
+    return Lk.entity_by_username(t.streamers, username)
+
+
+def d2_names_not_found(t):
+    """Requested names (channels of the chat, duplicates kept, and names
+    outside the directory) that no entity has."""
+    requested = L.chat_events(t.events).select(F.col("channel").alias("username"))
+    requested = requested.unionByName(t.raw("supplier").select(F.col("s_name").alias("username")))
+    return J.not_found(requested, t.streamers)
+
+
+def p6_declared_names(t, as_of=P.AS_OF):
+    """Statistics under their declared column names, read back under the
+    writer's names and declared again."""
+    declared = Lk.rename_stats(q8_rolling_stats(t, as_of), to="ddl")
+    return Lk.rename_stats(Lk.rename_stats(declared), to="ddl")
+
+
+def p18_ratio_bands(t):
+    """Entities per band of the tune-in ratio."""
+    from vantage.functions.tiers import ratio_band
+
+    return _training(t).groupBy(ratio_band("tune_in_ratio").alias("band")).agg(F.count(F.lit(1)).alias("entities"))
+
+
+def w6_session_defaults(t):
+    """Open sessions get a zero duration, everything else keeps its value."""
+    b = t.broadcasts().select("broadcast_id", "duration_seconds")
+    return Wr.apply_defaults(b, {"duration_seconds": F.lit(0)})
+
+
+def s12_six_hour_ticks(t, minutes=360):
+    """Snapshots on six-hour ticks."""
+    return s6_snapshot_ticks(t, minutes)
+
+
+def s13_message_tail(t):
+    """Messages of each session after its last sample."""
+    chat, polls = _attached(t)
+    tail = LC.chat_delta_carry_over(chat, polls, keep_tail=True).filter(F.col("poll_event_id").isNull())
+    return tail.join(_sessions(t).select("broadcast_id", "streamer_id", "started_at"), "broadcast_id").select(
+        "streamer_id", "started_at", "chat_messages_delta"
+    )

@@ -102,6 +102,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w5_close_sessions": _bind(Q.w5_close_sessions),
         "d3_tracked_union": _bind(Q.d3_tracked_union),
         "d4_tracked_difference": _bind(Q.d4_tracked_difference),
+        "a4_entity_by_id": _bind(Q.a4_entity_by_id),
+        "a5_entity_by_username": _bind(Q.a5_entity_by_username),
+        "d2_names_not_found": _bind(Q.d2_names_not_found),
+        "p6_declared_names": _bind(Q.p6_declared_names),
+        "p18_ratio_bands": _bind(Q.p18_ratio_bands),
+        "w6_session_defaults": _bind(Q.w6_session_defaults),
+        "s12_six_hour_ticks": _bind(Q.s12_six_hour_ticks),
+        "s13_message_tail": _bind(Q.s13_message_tail),
     }
 
 
@@ -185,4 +193,12 @@ def oracle_sql() -> dict[str, str]:
         "w5_close_sessions": S.w5_close_sessions(),
         "d3_tracked_union": S.d3_tracked_union(),
         "d4_tracked_difference": S.d4_tracked_difference(),
+        "a4_entity_by_id": S.a4_entity_by_id(),
+        "a5_entity_by_username": S.a5_entity_by_username(),
+        "d2_names_not_found": S.d2_names_not_found(),
+        "p6_declared_names": S.p6_declared_names(),
+        "p18_ratio_bands": S.p18_ratio_bands(),
+        "w6_session_defaults": S.w6_session_defaults(),
+        "s12_six_hour_ticks": S.s12_six_hour_ticks(),
+        "s13_message_tail": S.s13_message_tail(),
     }

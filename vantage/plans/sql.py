@@ -496,7 +496,9 @@ def w3_upsert_stats(dates=P.STATS_DATES, as_of=P.AS_OF, now=P.NOW) -> str:
 SELECT coalesce(h.streamer_id, d.streamer_id) AS streamer_id,
        coalesce(h.calculation_date, d.calculation_date) AS calculation_date,
        {pick},
-       CASE WHEN d.streamer_id IS NOT NULL THEN {_ts(_now(now))} END AS updated_at
+       CASE WHEN d.streamer_id IS NOT NULL THEN {_ts(_now(now))} END AS updated_at,
+       CASE WHEN h.streamer_id IS NULL THEN {_ts(_now(now))} ELSE CAST(h.calculation_date AS TIMESTAMP) END AS created_at,
+       CASE WHEN h.streamer_id IS NULL THEN {_ts(_now(now))} ELSE CAST(h.calculation_date AS TIMESTAMP) END AS calculated_at
 FROM h_stats h FULL OUTER JOIN d_stats d
   ON h.streamer_id = d.streamer_id AND h.calculation_date = d.calculation_date""", ctes)
 
@@ -1228,3 +1230,51 @@ def d4_tracked_difference(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
     return with_views("""
 SELECT s.username FROM streamers s
 WHERE s.is_active AND lower(s.username) NOT IN (SELECT lower(username) FROM inactive)""", _inactive_cte(now, days))
+
+
+def a4_entity_by_id(streamer_id=P.LOOKUP_ID) -> str:
+    return with_views(f"SELECT streamer_id, username, display_name FROM streamers WHERE streamer_id = {streamer_id}")
+
+
+def a5_entity_by_username(username=P.LOOKUP_NAME) -> str:
+    return with_views(f"SELECT streamer_id, username, display_name FROM streamers WHERE lower(username) = lower('{username}')")
+
+
+def d2_names_not_found() -> str:
+    return with_views("""
+SELECT username FROM (SELECT channel AS username FROM chat UNION ALL SELECT s_name FROM supplier)
+WHERE lower(username) NOT IN (SELECT lower(username) FROM streamers)""", EVENT_VIEWS)
+
+
+def p6_declared_names(as_of=P.AS_OF) -> str:
+    return with_views("""
+SELECT streamer_id, calculation_date, total_broadcasts, total_broadcast_hours AS total_streaming_hours, avg_broadcast_duration,
+       avg_concurrent_viewers AS average_concurrent_viewers, max_concurrent_viewers AS peak_viewers_30d,
+       median_concurrent_viewers AS median_viewers, avg_chat_rate AS average_chat_rate,
+       unique_categories AS unique_categories_streamed, follower_gain_30d, latest_follower_count, follower_velocity
+FROM d_stats""", _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d"))
+
+
+def p18_ratio_bands() -> str:
+    return with_views("""
+SELECT CASE WHEN tune_in_ratio > 0.5 THEN 'high' WHEN tune_in_ratio >= 0.1 THEN 'medium' WHEN tune_in_ratio < 0.1 THEN 'low' END AS band,
+       count(*) AS entities
+FROM training GROUP BY 1""", _training_ctes())
+
+
+def w6_session_defaults() -> str:
+    return with_views("SELECT broadcast_id, coalesce(duration_seconds, 0) AS duration_seconds FROM broadcasts")
+
+
+def s12_six_hour_ticks() -> str:
+    return s6_snapshot_ticks(360)
+
+
+def s13_message_tail() -> str:
+    ctes = LIFECYCLE + "," + CHAT_POLL + "," + _attach("chat_in", "chat_att") + "," + _attach("poll_in", "poll_att") + """,
+ends AS (SELECT streamer_id, started_at, max(event_time) AS last FROM poll_att WHERE started_at IS NOT NULL GROUP BY ALL)"""
+    return with_views("""
+SELECT c.streamer_id, c.started_at, count(*) AS chat_messages_delta
+FROM chat_att c LEFT JOIN ends e ON e.streamer_id = c.streamer_id AND e.started_at = c.started_at
+WHERE c.started_at IS NOT NULL AND (e.last IS NULL OR c.event_time >= e.last)
+GROUP BY ALL""", ctes)

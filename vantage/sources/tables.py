@@ -153,11 +153,6 @@ def ts_lit(value) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
 
-def date_lit(value) -> Column:
-    text = value.isoformat() if hasattr(value, "isoformat") else str(value)
-    return F.expr(f"DATE '{text[:10]}'")
-
-
 # --------------------------------------------------------------------------
 # Binding of the driver's tables to the domain (same mapping as the oracle SQL)
 # --------------------------------------------------------------------------

@@ -273,15 +273,3 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def counters_view(df: DataFrame, name: str):
     """S14 current counters as a queryable in-memory table (update mode)."""
     return df.writeStream.outputMode("update").format("memory").queryName(name).start()
-
-
-def lifecycle_stream_from_events(events_stream: DataFrame) -> DataFrame:
-    return L.lifecycle_events(events_stream)
-
-
-def chat_stream_from_events(events_stream: DataFrame) -> DataFrame:
-    return L.chat_events(events_stream)
-
-
-def poll_stream_from_events(events_stream: DataFrame) -> DataFrame:
-    return L.poll_samples(events_stream)

@@ -108,27 +108,27 @@ def attach_session(events: DataFrame, lifecycle: DataFrame, sessions: DataFrame)
     The depth at the event comes from the same running sum as sessionization
     (dropped offlines weigh 0); the open session on top is the latest online on
     that level, found by a running count of onlines per (entity, level)."""
+    payload = F.struct(*(F.col(c).alias(c) for c in events.columns))
+    kind_of = events.select(payload.alias("_e")).schema["_e"].dataType
     lv = _levels(lifecycle).select(
         "streamer_id", "event_time", "event_id", "kind", "level",
         F.when(F.col("unmatched"), 0).when(F.col("kind") == "online", 1).otherwise(-1).alias("_d"),
+        F.lit(None).cast(kind_of).alias("_e"),
     )
     ev = events.select(
-        "streamer_id", "event_time", "event_id", F.lit("event").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("_d")
+        "streamer_id", "event_time", "event_id", F.lit("event").alias("kind"), F.lit(None).cast("int").alias("level"),
+        F.lit(0).alias("_d"), payload.alias("_e"),
     )
     merged = running_sum(lv.unionByName(ev), ["streamer_id"], ORDER, "_d", day_bucket("event_time"), out="_depth")
     merged = merged.withColumn("_lvl", F.when(F.col("kind") == "event", F.col("_depth")).otherwise(F.col("level")))
-    on_lvl = merged.filter((F.col("kind").isin("online", "event")) & (F.col("_lvl") > 0)).withColumn(
-        "_on", F.when(F.col("kind") == "online", 1).otherwise(0)
-    )
+    on_lvl = merged.filter(F.col("kind").isin("online", "event")).withColumn("_on", F.when(F.col("kind") == "online", 1).otherwise(0))
     seq = running_sum(on_lvl, ["streamer_id", "_lvl"], ORDER, "_on", day_bucket("event_time"), out="_k")
-    hits = seq.filter(F.col("kind") == "event").select("event_id", F.col("_lvl").alias("level"), F.col("_k").alias("session_seq"), "streamer_id")
-    keyed = hits.join(sessions.select("streamer_id", "level", "session_seq", "broadcast_id", "started_at"), ["streamer_id", "level", "session_seq"])
-    return events.join(keyed.select("event_id", "broadcast_id", "started_at"), "event_id", "left")
-
-
-def tick_start(ts: str, minutes: int) -> F.Column:
-    """S12 start of the fixed tick containing ``ts`` (tick must divide 60 or a day)."""
-    return F.window(F.col(ts), f"{minutes} minutes").start
+    # an event at depth 0 finds no session on level 0
+    hits = seq.filter(F.col("kind") == "event").select("_e", "streamer_id", F.col("_lvl").alias("level"), F.col("_k").alias("session_seq"))
+    keyed = sessions.select("streamer_id", "level", "session_seq", "broadcast_id", F.col("started_at").alias("_started"))
+    return hits.join(keyed, ["streamer_id", "level", "session_seq"], "left").select(
+        "_e.*", "broadcast_id", F.col("_started").alias("started_at")
+    )
 
 
 def validate_tick(minutes: int) -> int:
