@@ -8,6 +8,7 @@ a cluster deployment changes one place.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,7 +44,7 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    if shuffle_partitions is None and master and master.startswith("local"):
+    if shuffle_partitions is None and master and master.split("[")[0] == "local":
         cores = master[master.find("[") + 1 : -1] if "[" in master else "1"
         n = (os.cpu_count() or 8) if cores == "*" else int(cores)
         shuffle_partitions = max(2, 2 * n)
@@ -55,9 +56,22 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), so that Python
+    workers import it wherever the driver was started.  Not needed where the package
+    is installed on every node; ``spark-submit --py-files`` does the same."""
+    sc = spark.sparkContext
+    if any(f.endswith("/vantage.zip") for f in sc.listFiles):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="vantage-ship-"), "vantage")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
