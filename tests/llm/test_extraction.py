@@ -66,3 +66,14 @@ def test_driver_pages(spark, small):
         lines = [" ".join(html.unescape(x).split()) for x in blocks]
         expect = "\n".join(x for x in lines if x)
         assert found[r.page_id] == (expect, len(expect))
+
+
+def test_wrappers_headers_and_comments():
+    page = (
+        "<body><header><h1>Site</h1></header><div class='with-sidebar has-ads'><article><header class=entry-header><h1>Title</h1>"
+        "</header><p>Body<section id=comments><article><p>me too</article></section></article><div class=sidebar>side</div></div>"
+        "<div id='page-header'>top</div>"
+    )
+    assert text(page) == "Title\nBody"
+    assert text("<div class=masthead>m</div><p>x") == "x"
+    assert text("<main><p>a</main><article class='comment'>c</article>") == "a"

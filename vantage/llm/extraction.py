@@ -65,11 +65,12 @@ BOILERPLATE_ROLES = frozenset(
 )
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie "
-    "cookies consent gdpr notice notices sidebar menu menus nav navbar navigation breadcrumb breadcrumbs header masthead "
-    "footer comment comments commentlist reply replies disqus respond share sharing social related recommended "
-    "newsletter subscribe subscription signup popup modal overlay widget toolbar login search pagination pager "
-    "copyright".split()
+    "cookies consent gdpr notice notices sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer share "
+    "sharing social related recommended newsletter subscribe subscription signup popup modal overlay widget toolbar "
+    "login search pagination pager copyright".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies disqus respond".split())
+HEADER_NAMES = frozenset("header masthead".split())  # of the site, not of an article
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
@@ -85,29 +86,50 @@ class Page:
         self.tag = ["#root"]
         self.parent = [-1]
         self.css = [""]
-        self.dropped = [False]  # by markup
+        self.own = [0]  # 0 stays, 1 goes by its name, 2 by tag, role or comments, 3 as a site's header
+        self.dropped: list[bool] = []
         self.pieces: list[tuple[int, str | None]] = []  # (element, text), None: a block begins or ends
         self._parse(html)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Whether each element goes with its branch.  A wrapper whose name only sounds
+        like boilerplate stays if an article or main element is inside it."""
+        own, parent = self.own, self.parent
+        for e, tag in enumerate(self.tag):
+            if tag in ("article", "main") and not own[e]:
+                up = parent[e]
+                while up >= 0:
+                    own[up] = 0 if own[up] == 1 else own[up]
+                    up = parent[up]
+        self.dropped = [False] * len(own)
+        inside = [False] * len(own)
+        for e in range(1, len(own)):
+            tag = self.tag[e]
+            inside[e] = inside[parent[e]] or tag in ("article", "main")
+            self.dropped[e] = self.dropped[parent[e]] or own[e] in (1, 2) or own[e] == 3 and not inside[e]
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        css, dropped = "", tag in BOILERPLATE_TAGS
-        if attributes and "=" in attributes or "hidden" in attributes:
+        css, own = "", 2 if tag in BOILERPLATE_TAGS else 3 if tag == "header" else 0
+        if not own and attributes and ("=" in attributes or "hidden" in attributes):
             found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
             css = " ".join(sorted(found.get("class", "").lower().split()))
             names = NAME.findall(f"{css} {found.get('id', '').lower()}")
-            hidden = found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            dropped = (
-                dropped
-                or "hidden" in found
-                or hidden
+            if (
+                "hidden" in found
+                or found.get("aria-hidden", "").lower() == "true"
+                or "display:none" in found.get("style", "").replace(" ", "")
                 or found.get("role", "").lower() in BOILERPLATE_ROLES
-                or (tag not in ("html", "body", "article", "main") and not BOILERPLATE_NAMES.isdisjoint(names))
-                or (tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(names))
-            )
+                or tag not in ("html", "body", "main")
+                and not COMMENT_NAMES.isdisjoint(names)
+            ):
+                own = 2
+            elif tag not in ("html", "body", "article", "main"):
+                own = 1 if not BOILERPLATE_NAMES.isdisjoint(names) else 3 if not HEADER_NAMES.isdisjoint(names) else 0
         self.tag.append(tag)
         self.parent.append(parent)
         self.css.append(css)
-        self.dropped.append(dropped or self.dropped[parent])
+        self.own.append(own)
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
