@@ -85,10 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vantage-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext read the conf
-        pass
     return path
 
 
