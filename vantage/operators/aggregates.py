@@ -142,24 +142,17 @@ def rolling_statistics(
     )
 
 
-def _day_grain_snapshots(snaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Collapse snapshots to (entity, day) before the date fan-out of V8.
-
-    Additive measures collapse fully; the median keeps a (value, count) map per
-    entity-day and distinct categories keep one row per (entity, day, category)."""
+def _day_grain_snapshots(snaps: DataFrame) -> DataFrame:
+    """Collapse snapshots before the date fan-out of V8: one row per entity, day,
+    viewers and category, which all measures can be taken from (the median weighs
+    viewers by their count, distinct categories stay apart)."""
     day = F.to_date("snapshot_timestamp").alias("snap_day")
-    v = F.col("concurrent_viewers")
-    additive = snaps.groupBy("streamer_id", day).agg(
+    return snaps.groupBy("streamer_id", day, "concurrent_viewers", "category_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(v).alias("sum_v"),
-        F.max(v).alias("max_v"),
         F.sum("chat_messages_delta").alias("sum_msgs"),
         F.max("follower_count").alias("max_f"),
         F.min("follower_count").alias("min_f"),
     )
-    values = snaps.groupBy("streamer_id", day, v).agg(F.count(F.lit(1)).alias("cnt"))
-    cats = snaps.filter(F.col("category_id").isNotNull()).select("streamer_id", day, "category_id").distinct()
-    return additive, values, cats
 
 
 def stats_history(
@@ -197,28 +190,23 @@ def stats_history(
     snaps = snapshots.select(
         "streamer_id", "snapshot_timestamp", "concurrent_viewers", "chat_messages_delta", "category_id", "follower_count"
     ).filter((F.col("snapshot_timestamp") >= ts_lit(lo)) & (F.col("snapshot_timestamp") < ts_lit(hi)))
-    additive, values, cats = _day_grain_snapshots(snaps)
     keys = ["streamer_id", "calculation_date"]
-    a = covering_dates(additive, "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
+    # one scan, one collapse and one fan-out for every measure
+    v, n = F.col("concurrent_viewers"), F.col("n")
+    a = covering_dates(_day_grain_snapshots(snaps), "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
         F.sum("n").alias("snapshot_rows"),
-        safe_div(F.sum("sum_v"), F.sum("n")).alias("avg_concurrent_viewers"),
-        F.max("max_v").alias("max_concurrent_viewers"),
-        safe_div(F.sum("sum_msgs"), F.sum("sum_v") * F.lit(SNAPSHOT_HOURS)).alias("avg_chat_rate"),
+        safe_div(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("avg_concurrent_viewers"),
+        F.max(v).alias("max_concurrent_viewers"),
+        F.percentile(v, 0.5, n).alias("median_concurrent_viewers"),
+        safe_div(F.sum("sum_msgs"), F.sum(v * n) * F.lit(SNAPSHOT_HOURS)).alias("avg_chat_rate"),
+        F.size(F.collect_set("category_id")).cast("long").alias("unique_categories"),
         (F.max("max_f") - F.min("min_f")).alias("follower_gain_30d"),
         F.max("max_f").alias("latest_follower_count"),
     )
-    med = covering_dates(values, "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
-        F.percentile("concurrent_viewers", 0.5, F.col("cnt")).alias("median_concurrent_viewers")
-    )
-    uc = covering_dates(cats, "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
-        F.count_distinct("category_id").alias("unique_categories")
-    )
     ents = streamers.filter(F.col("is_active")) if only_active else streamers
     j = (
         bm.join(ents.select("streamer_id"), "streamer_id")
         .join(a, keys, "left")
-        .join(med, keys, "left")
-        .join(uc, keys, "left")
     )
     gain = zero_if_null("follower_gain_30d")
     hours = zero_if_null("total_broadcast_hours").cast("double")
