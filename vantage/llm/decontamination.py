@@ -239,7 +239,7 @@ def annotate(docs: DataFrame, packed: tuple, carry: list[str], shard_words: int
     shared = spark.sparkContext.broadcast(packed)
     again = {"spans", "items"} <= set(docs.columns)
     kept = [f for f in docs.schema.fields if f.name in carry]
-    schema = T.StructType([*kept, *T._parse_datatype_string(f"n_words long, spans {SPANS}, items array<string>").fields])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>").fields])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):

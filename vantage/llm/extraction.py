@@ -363,5 +363,5 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, low: float =
                 names=[*(f.name for f in kept), "text", "n_chars", "n_branches"],
             )
 
-    schema = T.StructType([*kept, *T._parse_datatype_string("text string, n_chars long, n_branches long").fields])
+    schema = T.StructType([*kept, *T.StructType.fromDDL("text string, n_chars long, n_branches long").fields])
     return joined.mapInArrow(run, schema)

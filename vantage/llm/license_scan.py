@@ -126,7 +126,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry`` columns with the counts, labels, score and notices (label, word
     range, edits) of each whole text."""
-    result = T._parse_datatype_string(RESULT)
+    result = T.StructType.fromDDL(RESULT)
     carry = [c for c in carry if c not in result.names]
     kept = [docs.schema[c] for c in carry]
     schema = T.StructType([*kept, *result.fields])

@@ -406,7 +406,7 @@ def find_personal_data(docs: DataFrame, carry: list[str], field: Field | None =
     carry = [c for c in carry if c not in ("base", "spans")]
     kept = [docs.schema[c] for c in carry]
     span = "array<struct<kind:string,start:int,end:int>>"
-    schema = T.StructType([*kept, *T._parse_datatype_string(f"base {span}, spans {span}").fields])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(f"base {span}, spans {span}").fields])
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
