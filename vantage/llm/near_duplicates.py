@@ -50,7 +50,7 @@ class Shingler:
     """Shingle sets as sorted distinct 64-bit hashes; word hashes are remembered up to a
     bounded number of words."""
 
-    def __init__(self, remembered: int = 1_000_000) -> None:
+    def __init__(self, remembered: int = 200_000) -> None:
         self.known: dict[bytes, int] = {}
         self.remembered = remembered
 
@@ -313,7 +313,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     placed = nodes.select("h1", "h2", "node", "rep").join(labels, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
-    names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    # stored, so that both sides of the join on a hot component can be split
+    names = stash(placed.groupBy("component").agg(F.min("rep").alias("component_id")))
     placed = stash(placed.join(names, "component").select("h1", "h2", "component_id"))
     out = rows.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "h1", "h2").join(placed, ["h1", "h2"], "left")
     cid = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -325,7 +325,7 @@ class Tagger:
     """Labels the words of many texts at once; shapes of words are remembered up to a
     bounded number of words."""
 
-    def __init__(self, field: Field, remembered: int = 500_000) -> None:
+    def __init__(self, field: Field, remembered: int = 150_000) -> None:
         self.field, self.remembered = field, remembered
         self.shapes: dict[tuple, int] = {(): 0}  # number 0: beyond an end of the text
         self.words: dict[bytes, int] = {}

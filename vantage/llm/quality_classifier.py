@@ -46,7 +46,7 @@ def held_out(doc_id: Column) -> Column:
 class Terms:
     """Sparse term counts of texts; words are remembered up to a bounded number."""
 
-    def __init__(self, remembered: int = 500_000) -> None:
+    def __init__(self, remembered: int = 150_000) -> None:
         import xxhash
 
         self.number = lambda term: xxhash.xxh32_intdigest(term) % COLUMNS
