@@ -95,6 +95,47 @@ def test_distances_and_verdicts(spark):
     assert np.linalg.slogdet(factor @ factor.T)[1] == pytest.approx(np.linalg.slogdet(clean)[1], abs=1.5)
 
 
+def robust(x):
+    """Half-sample minimum covariance determinant from the same two starts, to the end."""
+    floors = np.array(list(R.FEATURES.values()))
+    h = (len(x) + 6) // 2
+    fit = lambda c, k: (c.mean(0), k * np.cov(c.T, bias=True) + np.diag(floors**2))
+    far = lambda g: np.einsum("ij,ij->i", x - g[0], np.linalg.solve(g[1], (x - g[0]).T).T)
+    mid = np.median(x, 0)
+    unit = np.maximum(1.4826 * np.median(abs(x - mid), 0), floors)
+    found = []
+    for d in ((((x - mid) / unit) ** 2).sum(1), far(fit(x, 1.0))):
+        for _ in range(60):
+            g = fit(x[d <= np.sort(d)[h - 1]], R.consistency(h / len(x)))
+            d = far(g)
+            found.append((np.linalg.slogdet(g[1])[1], d))
+    return min(found, key=lambda f: f[0])
+
+
+def test_a_third_of_a_group_may_be_copies(spark):
+    """One group of junk copies holds a third of its group: all are rejected, no clean row is."""
+    rng = np.random.default_rng(5)
+    clean = rng.normal([1.7, 0.05, 0.1, 0.1, 0.2], [0.05, 0.01, 0.05, 0.05, 0.04], (400, 5))
+    junk = np.repeat([[1.7, 0.55, 0.1, 0.1, 0.2]], 200, 0)
+    near = junk + rng.normal(0, 0.01, junk.shape)
+    groups = {"copies": np.vstack([clean, junk]), "near": np.vstack([clean, near]), "clean": clean}
+    schema = "lang string, source string, row int, " + ", ".join(f"{f} double" for f in R.FEATURES)
+    df = spark.createDataFrame([("en", s, k, *map(float, v)) for s, x in groups.items() for k, v in enumerate(x)], schema)
+    est = R.estimates(df)
+    out = R.distances(df, est).collect()
+    for s, x in groups.items():
+        d2 = [r.d2 for r in sorted(out, key=lambda r: r.row) if r.source == s]
+        assert max(d2[:400]) < R.CUTOFF and min(d2[400:], default=R.CUTOFF + 1) > R.CUTOFF
+        logdet, expect = robust(x)
+        assert est.where(F.col("source") == s).first().logdet == pytest.approx(logdet, abs=0.1)
+        assert np.median(d2[:400]) == pytest.approx(np.median(expect[:400]), rel=0.1)
+
+
+def test_core_factors():
+    assert R.consistency(0.5) == pytest.approx(1.912, abs=1e-3) and R.consistency(0.75) == pytest.approx(1.412, abs=1e-3)
+    assert R.consistency(1.0) == 1.0 and R.FACTORS == sorted(R.FACTORS, reverse=True)
+
+
 def test_rules_edges(spark, make_docs):
     rows = [(k, f"plain words number {k} in a text of more than ten words here", None if k % 2 else "s") for k in range(120)]
     rows += [(500, None, "s"), (501, "", None), (None, "a b c", "s"), (0, rows[0][1], "s")]

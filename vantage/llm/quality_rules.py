@@ -3,11 +3,12 @@
 Each text gets counting statistics and two plain rules.  The statistics are turned
 into a vector of ratios on scales that spread them evenly.  For every language and
 source, a minimum covariance determinant estimate of mean and covariance is found by
-concentration steps: distances, the share ``SHARE`` of the rows with the smallest
-distances, their mean and covariance, again distances.  Two starts are taken
-(medians with median deviations; plain mean and covariance) and the estimate of the
-smaller determinant wins.  A document whose squared Mahalanobis distance is above
-``CUTOFF`` is rejected.
+concentration steps: distances, the half of the rows with the smallest distances
+((n + p + 1) / 2 of n rows and p statistics, so that just under half of a group may be
+junk), their mean and covariance, again distances, until the determinant stops
+falling.  Two starts are taken (medians with median deviations; plain mean and
+covariance) and the estimate of the smallest determinant wins.  A document whose
+squared Mahalanobis distance is above ``CUTOFF`` is rejected.
 
 Every step is an aggregation that is combined in the tasks before its shuffle (sums,
 products, quantile sketches), so a hot source is no hot task.  The group tables have
@@ -21,6 +22,7 @@ gives no rows; clashing input columns are replaced.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,16 +36,38 @@ SYMBOLS = "#*$%&|<>"
 # Transformed statistics and the least standard deviation each is given: smaller
 # spreads are no evidence against a document.
 FEATURES = {"f_length": 0.10, "f_symbols": 0.06, "f_lines": 0.15, "f_repeats": 0.15, "f_upper": 0.08}
-SHARE = 0.75
-STEPS = 3
+# A fall of the log determinant up to this ends the steps of a group.
+LEAST_FALL = 1e-3
 MIN_ROWS = 50
 # Chi-square, 5 degrees of freedom: exceeded with probability 0.0001.
 CUTOFF = 25.74
-# Chi-square, 5 degrees of freedom: SHARE over the mass that the core's covariance sees.
-CONSISTENCY = 1.41
 ACCURACY = 2000
 
 
+def _chi_square(x: float, k: int) -> float:
+    """Distribution function for an odd number of degrees of freedom."""
+    term, rest = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+    for j in range(1, k, 2):
+        rest += term
+        term *= x / (j + 2)
+    return math.erf(math.sqrt(x / 2)) - rest
+
+
+def consistency(share: float) -> float:
+    """``share`` over the part of the variance that the nearest ``share`` of normal rows sees."""
+    p = len(FEATURES)
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi_square(mid, p) < share else (low, mid)
+    return 1.0 if share >= 1 else share / _chi_square(high, p + 2)
+
+
+# Core sizes in hundredths of the rows, and their factors.
+SHARES = [k / 100 for k in range(50, 101)]
+FACTORS = [consistency(x) for x in SHARES]
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_lines and n_upper."""
@@ -97,14 +121,14 @@ def features(counted: DataFrame) -> DataFrame:
     )
 
 
-def _same_group(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+def _same_group(left: DataFrame, right: DataFrame, how: str = "inner", by: list[str] = GROUP) -> DataFrame:
     """Join a group table on the null-safe group."""
-    right = right.withColumnsRenamed({c: f"_g_{c}" for c in GROUP})
-    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in GROUP))
-    return left.join(right, on, how).drop(*(f"_g_{c}" for c in GROUP))
+    right = right.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by))
+    return left.join(right, on, how).drop(*(f"_g_{c}" for c in by))
 
 
-def _factor(groups: DataFrame) -> DataFrame:
+def _factor(groups: DataFrame, by: list[str]) -> DataFrame:
     """Cholesky factor l_i_j and log determinant of c_i_j plus the least variances."""
     names = list(FEATURES)
     p = len(names)
@@ -118,27 +142,28 @@ def _factor(groups: DataFrame) -> DataFrame:
             value = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}")
             groups = groups.withColumn(f"l_{i}_{j}", value)
     logdet = reduce(lambda a, b: a + b, (2 * F.log(f"l_{i}_{i}") for i in range(p)))
-    keep = [*GROUP, *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1))]
+    keep = [*by, *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1))]
     return groups.select(*keep, logdet.alias("logdet"))
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and covariance of each group, factored."""
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and covariance (times ``_scale``) of each group, factored."""
     names = list(FEATURES)
     p = len(names)
-    got = rows.groupBy(*GROUP).agg(
+    got = rows.groupBy(*by).agg(
         *(F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)),
         *(
-            (F.covar_pop(names[j], names[i]) * scale).alias(f"c_{j}_{i}")
+            (F.covar_pop(names[j], names[i]) * F.max("_scale")).alias(f"c_{j}_{i}")
             for i in range(p)
             for j in range(i + 1)
         ),
     )
-    return stash(_factor(got))
+    return stash(_factor(got, by))
 
 
-def distances(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    """Add d2, the squared Mahalanobis distance, by forward substitution."""
+def distances(rows: DataFrame, groups: DataFrame, how: str = "inner", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Add d2, the squared Mahalanobis distance, by forward substitution, and the
+    ``carry`` columns of the groups (a row for each estimate of its group)."""
     d = _same_group(rows, groups.drop("logdet"), how)
     for i, x in enumerate(FEATURES):
         rest = F.col(x) - F.col(f"m_{i}")
@@ -146,13 +171,18 @@ def distances(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFra
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"_y{k}")
         d = d.withColumn(f"_y{i}", rest / F.col(f"l_{i}_{i}"))
     d2 = reduce(lambda a, b: a + b, (F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(len(FEATURES))))
-    return d.withColumn("d2", d2).select(*rows.columns, "d2")
+    return d.withColumn("d2", d2).select(*rows.columns, *carry, "d2")
 
 
-def _core(measured: DataFrame) -> DataFrame:
-    """The rows of each group with the smallest distances."""
-    cut = measured.groupBy(*GROUP).agg(F.percentile_approx("d2", SHARE, ACCURACY).alias("_cut"))
-    return _same_group(measured, stash(cut)).where(F.col("d2") <= F.col("_cut")).drop("_cut", "d2")
+def _core(measured: DataFrame, by: list[str]) -> DataFrame:
+    """The (n + p + 1) / 2 rows of each group with the smallest distances."""
+    more = F.ceil(F.lit(50.0 * (len(FEATURES) + 1)) / F.count("*"))
+    cut = measured.groupBy(*by).agg(
+        F.percentile_approx("d2", SHARES, ACCURACY).alias("_cuts"), F.least(more, F.lit(50)).cast("int").alias("_at")
+    )
+    factors = F.array(*(F.lit(x) for x in FACTORS))
+    cut = cut.select(*by, F.get("_cuts", F.col("_at")).alias("_cut"), F.get(factors, F.col("_at")).alias("_scale"))
+    return _same_group(measured, stash(cut), by=by).where(F.col("d2") <= F.col("_cut")).drop("_cut", "d2")
 
 
 def _median_start(rows: DataFrame) -> DataFrame:
@@ -173,15 +203,19 @@ def estimates(rows: DataFrame) -> DataFrame:
     """One robust mean and factored covariance per group of enough rows."""
     size = stash(rows.groupBy(*GROUP).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= MIN_ROWS))
     rows = _same_group(rows, size).drop("_rows")
-    found = []
-    for k, start in enumerate((_median_start(rows), distances(rows, _moments(rows, 1.0)))):
-        groups = _moments(_core(start), CONSISTENCY)
-        for _ in range(STEPS - 1):
-            groups = _moments(_core(distances(rows, groups)), CONSISTENCY)
-        found.append(groups.withColumn("_start", F.lit(k)))
-    both = found[0].unionByName(found[1])
-    value = F.struct("logdet", "_start", *(c for c in found[0].columns if c not in (*GROUP, "logdet", "_start")))
-    return stash(both.groupBy(*GROUP).agg(F.min(value).alias("_v")).select(*GROUP, "_v.*").drop("_start"))
+    by = [*GROUP, "_start"]
+    plain = _moments(rows.withColumn("_scale", F.lit(1.0)), GROUP)
+    starts = [d.withColumn("_start", F.lit(k)) for k, d in enumerate((_median_start(rows), distances(rows, plain)))]
+    last = _moments(_core(starts[0].unionByName(starts[1]), by), by)
+    found = [last]
+    while not last.isEmpty():  # the determinants are bounded below by the least deviations
+        now = _moments(_core(distances(rows, last, carry=("_start",)), by), by)
+        found.append(now)
+        before = last.select(*by, F.col("logdet").alias("_before"))
+        last = stash(_same_group(now, before, by=by).where(F.col("_before") - F.col("logdet") > LEAST_FALL).drop("_before"))
+    every = reduce(DataFrame.unionByName, found)
+    value = F.struct("logdet", "_start", *(c for c in last.columns if c not in (*by, "logdet")))
+    return stash(every.groupBy(*GROUP).agg(F.min(value).alias("_v")).select(*GROUP, "_v.*").drop("_start"))
 
 
 def judge(counted: DataFrame) -> DataFrame:
