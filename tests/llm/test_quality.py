@@ -131,6 +131,24 @@ def test_a_third_of_a_group_may_be_copies(spark):
         assert np.median(d2[:400]) == pytest.approx(np.median(expect[:400]), rel=0.1)
 
 
+def test_small_groups_have_a_wider_estimate(spark):
+    """Groups under MIN_ROWS are measured by their language, small languages by all rows."""
+    rng = np.random.default_rng(6)
+    clean = rng.normal([1.7, 0.05, 0.1, 0.1, 0.2], [0.05, 0.01, 0.05, 0.05, 0.04], (240, 5))
+    junk = [1.7, 0.55, 0.1, 0.1, 0.2]
+    names = [("en", f"s{k % 20}") for k in range(200)] + [(None, "s1")] * 20 + [("fr", None)] * 20
+    rows = [(*n, 0, *map(float, x)) for n, x in zip(names, clean, strict=True)]
+    rows += [(*n, 1, *junk) for n in (("en", "s3"), ("en", "rare"), (None, "s1"), ("de", "s3"), ("fr", None))]
+    schema = "lang string, source string, bad int, " + ", ".join(f"{f} double" for f in R.FEATURES)
+    df = spark.createDataFrame(rows, schema)
+    est = R.estimates(df)
+    assert est.count() == df.select("lang", "source").distinct().count()
+    out = R.distances(df, est).collect()
+    assert len(out) == len(rows) and all((r.d2 > R.CUTOFF) == bool(r.bad) for r in out)
+    assert est.where("lang = 'en'").select("logdet").distinct().count() == 1
+    assert est.select("logdet").distinct().count() == 2
+
+
 def test_core_factors():
     assert R.consistency(0.5) == pytest.approx(1.912, abs=1e-3) and R.consistency(0.75) == pytest.approx(1.412, abs=1e-3)
     assert R.consistency(1.0) == 1.0 and R.FACTORS == sorted(R.FACTORS, reverse=True)

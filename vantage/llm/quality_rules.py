@@ -12,11 +12,12 @@ squared Mahalanobis distance is above ``CUTOFF`` is rejected.
 
 Every step is an aggregation that is combined in the tasks before its shuffle (sums,
 products, quantile sketches), so a hot source is no hot task.  The group tables have
-one row per language and source.
+one row per language and source, or per cell: a group, a language or all rows.
 
 Defined results: null or empty text has zero counts and fails the rule on words; null
-languages and sources are groups of their own; groups of fewer than ``MIN_ROWS`` rows
-have no estimate and reject nothing; equal rows get equal verdicts; an empty table
+languages and sources are groups of their own; a group of fewer than ``MIN_ROWS`` rows
+has the estimate of its language, or of all rows if its language is as small, so
+every document is measured at every table size; equal rows get equal verdicts; an empty table
 gives no rows; clashing input columns are replaced.
 """
 
@@ -121,11 +122,11 @@ def features(counted: DataFrame) -> DataFrame:
     )
 
 
-def _same_group(left: DataFrame, right: DataFrame, how: str = "inner", by: list[str] = GROUP) -> DataFrame:
+def _same_group(left: DataFrame, right: DataFrame, by: list[str] = GROUP) -> DataFrame:
     """Join a group table on the null-safe group."""
     right = right.withColumnsRenamed({c: f"_g_{c}" for c in by})
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by))
-    return left.join(right, on, how).drop(*(f"_g_{c}" for c in by))
+    return left.join(right, on).drop(*(f"_g_{c}" for c in by))
 
 
 def _factor(groups: DataFrame, by: list[str]) -> DataFrame:
@@ -161,10 +162,10 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     return stash(_factor(got, by))
 
 
-def distances(rows: DataFrame, groups: DataFrame, how: str = "inner", carry: tuple[str, ...] = ()) -> DataFrame:
+def distances(rows: DataFrame, groups: DataFrame, by: list[str] = GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
     """Add d2, the squared Mahalanobis distance, by forward substitution, and the
     ``carry`` columns of the groups (a row for each estimate of its group)."""
-    d = _same_group(rows, groups.drop("logdet"), how)
+    d = _same_group(rows, groups.drop("logdet"), by=by)
     for i, x in enumerate(FEATURES):
         rest = F.col(x) - F.col(f"m_{i}")
         for k in range(i):
@@ -185,49 +186,64 @@ def _core(measured: DataFrame, by: list[str]) -> DataFrame:
     return _same_group(measured, stash(cut), by=by).where(F.col("d2") <= F.col("_cut")).drop("_cut", "d2")
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
+def _median_start(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows with the distance from the medians in units of median deviations."""
     names = list(FEATURES)
-    mid = rows.groupBy(*GROUP).agg(*(F.percentile_approx(x, 0.5, ACCURACY).alias(f"_m{i}") for i, x in enumerate(names)))
-    d = _same_group(rows, stash(mid))
-    mad = d.groupBy(*GROUP).agg(
+    mid = rows.groupBy(*by).agg(*(F.percentile_approx(x, 0.5, ACCURACY).alias(f"_m{i}") for i, x in enumerate(names)))
+    d = _same_group(rows, stash(mid), by=by)
+    mad = d.groupBy(*by).agg(
         *(F.percentile_approx(F.abs(F.col(x) - F.col(f"_m{i}")), 0.5, ACCURACY).alias(f"_s{i}") for i, x in enumerate(names))
     )
-    d = _same_group(d, stash(mad))
+    d = _same_group(d, stash(mad), by=by)
     unit = lambda i, x: (F.col(x) - F.col(f"_m{i}")) / F.greatest(1.4826 * F.col(f"_s{i}"), F.lit(FEATURES[x]))
     d2 = reduce(lambda a, b: a + b, (unit(i, x) * unit(i, x) for i, x in enumerate(names)))
     return d.withColumn("d2", d2).select(*rows.columns, "d2")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """lang, source, cell (whose estimate the group has), member (a cell its rows are
+    part of, if any group has that cell's estimate): one row per member."""
+    size = stash(rows.groupBy(*GROUP).agg(F.count("*").alias("_rows")))
+    lang = size.groupBy("lang").agg(F.sum("_rows").alias("_lang_rows"))
+    # as JSON, which leaves nulls out: a key that is never null
+    keys = [F.to_json(F.struct(F.lit(k).alias("level"), *cols)) for k, cols in enumerate((GROUP, ["lang"], []))]
+    cell = F.when(F.col("_rows") >= MIN_ROWS, keys[0]).when(F.col("_lang_rows") >= MIN_ROWS, keys[1]).otherwise(keys[2])
+    groups = stash(_same_group(size, lang, by=["lang"]).select(*GROUP, cell.alias("cell"), F.array(*keys).alias("_keys")))
+    used = groups.select(F.col("cell").alias("member")).distinct()
+    return stash(groups.withColumn("member", F.explode("_keys")).drop("_keys").join(used, "member"))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """One robust mean and factored covariance per group of enough rows."""
-    size = stash(rows.groupBy(*GROUP).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= MIN_ROWS))
-    rows = _same_group(rows, size).drop("_rows")
-    by = [*GROUP, "_start"]
-    plain = _moments(rows.withColumn("_scale", F.lit(1.0)), GROUP)
-    starts = [d.withColumn("_start", F.lit(k)) for k, d in enumerate((_median_start(rows), distances(rows, plain)))]
+    """One robust mean and factored covariance per group: its own if it has enough rows,
+    else that of its language or of all rows."""
+    cells = _cells(rows)
+    rows = _same_group(rows, cells.select(*GROUP, F.col("member").alias("cell"))).drop(*GROUP)
+    by = ["cell", "_start"]
+    plain = _moments(rows.withColumn("_scale", F.lit(1.0)), ["cell"])
+    starts = [d.withColumn("_start", F.lit(k)) for k, d in enumerate((_median_start(rows, ["cell"]), distances(rows, plain, ["cell"])))]
     last = _moments(_core(starts[0].unionByName(starts[1]), by), by)
     found = [last]
     while not last.isEmpty():  # the determinants are bounded below by the least deviations
-        now = _moments(_core(distances(rows, last, carry=("_start",)), by), by)
+        now = _moments(_core(distances(rows, last, ["cell"], ("_start",)), by), by)
         found.append(now)
         before = last.select(*by, F.col("logdet").alias("_before"))
         last = stash(_same_group(now, before, by=by).where(F.col("_before") - F.col("logdet") > LEAST_FALL).drop("_before"))
     every = reduce(DataFrame.unionByName, found)
     value = F.struct("logdet", "_start", *(c for c in last.columns if c not in (*by, "logdet")))
-    return stash(every.groupBy(*GROUP).agg(F.min(value).alias("_v")).select(*GROUP, "_v.*").drop("_start"))
+    best = stash(every.groupBy("cell").agg(F.min(value).alias("_v")).select("cell", "_v.*").drop("_start"))
+    return stash(cells.select(*GROUP, "cell").distinct().join(best, "cell").drop("cell"))
 
 
 def judge(counted: DataFrame) -> DataFrame:
-    """Add base_failed, d2 (null without an estimate) and kept to counted documents."""
+    """Add base_failed, d2 and kept to counted documents."""
     counted = counted.drop("base_failed", "d2", "kept")
     rows = features(counted)
     groups = estimates(rows.select(*GROUP, *FEATURES))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
-        distances(rows, groups, "left")
+        distances(rows, groups)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
         .select(*counted.columns, "base_failed", "d2", "kept")
     )
 
