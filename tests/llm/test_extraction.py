@@ -46,6 +46,23 @@ def test_unimportant_branches_go(spark):
     assert got == [(12, 0.0), (12, 1.0)]
 
 
+def test_undeclared_blocks_in_articles_go(spark):
+    """Repeated paragraphs, lists and tables inside articles go; headings and parts of own tables stay."""
+    rows = []
+    for k in range(12):
+        page = (
+            f"<body><article><h1>Title {k}</h1><p>Get our letter each week</p><p>Story {k} alone</p><h2>Figures</h2>"
+            f"<table><tr><th>Year<th>Sum<tr><td>{k}<td>{k * 7}</table><ul><li><a href=/x>Send</a><li><p>Print</ul>"
+            f"<div><table><tr><td>About<td>Jobs</table></div><p class=more>Read on</p><ul><li>Same<li>Own {k}</ul><p>More {k * k}</p></article></body>"
+        )
+        rows.append((k, f"http://a.example/{k}", page))
+    rows += [(50 + k, "http://b.example/", "<article><p>Only text</p></article>") for k in range(12)]
+    out = {r.page_id: r for r in X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert out[k].text.split("\n") == [f"Title {k}", f"Story {k} alone", "Figures", "Year", "Sum", str(k), str(k * 7), "Same", f"Own {k}", f"More {k * k}"]
+        assert out[k].n_branches == 4 and out[50 + k].text == "Only text"
+
+
 def test_copies_of_one_page_stay_whole(spark):
     rows = [(k, "http://a.example/", "<body><div><p>Only text</p></div></body>") for k in range(20)]
     out = X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -7,13 +7,16 @@ pages``); its presentation importance is the entropy of the child sequences seen
 it.  A branch all of whose texts sit at nodes of low composite importance is removed
 from every page, provided the page keeps something more important.  Branches that
 the markup itself declares as menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts or styles are removed at any importance.  If a page has an
-article or main element, its text is taken from there, where only containers (never
-paragraphs, headings, lists or quotes) can be pruned as unimportant.
+forms, comments, scripts or styles are removed at any importance.  A single text is
+unimportant, too, if it recurs at its node on half of the node's pages or more and
+its own composite importance is low: the subscribe line among the paragraphs of an
+article.  If a page has an article or main element, its text is taken from there;
+unimportant paragraphs, lists and tables are pruned in it like containers, lists and
+tables as a whole (no single items, rows or cells), headings only with a container.
 
 Statistics are sums per (host, node, feature), pre-aggregated in every task, so a
 hot host is spread over all tasks.  What is sent back to the pages is the list of
-unimportant nodes per host: nodes of the site's templates.
+unimportant nodes and texts per host: those of the site's templates.
 
 Defined results: null or empty html gives empty text; a null or relative url has the
 empty host; repeated pages are extracted row by row and count as pages of their
@@ -36,6 +39,7 @@ from vantage.llm.common import stash
 MIN_PAGES = 8
 LOW_IMPORTANCE = 0.25
 CONTENT_SHARE = 0.9
+TEXT_SHARE = 0.5  # of a node's pages, from which on a text can be the template's
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +49,9 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead tr ul".split()
 )
-FLOW_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure figcaption".split())
+# Inside an article: what goes as a whole only, and what never goes alone.
+WHOLE = frozenset("ul ol dl table figure".split())
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd caption tbody thead tfoot tr td th figcaption".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li option tbody td tfoot th thead tr".split())
 SAME_CLOSES = {
     "li": ("li", ("ul", "ol", "menu", "dir")),
@@ -209,33 +215,40 @@ class Page:
             out.append(xxhash.xxh64_intdigest(key) >> 1)
         return out
 
+    def own_texts(self) -> dict[int, int]:
+        """Element -> hash of its own text."""
+        import xxhash
+
+        texts: dict[int, list[str]] = {}
+        for e, text in self.pieces:
+            if text and not text.isspace():
+                texts.setdefault(e, []).append(text)
+        return {e: xxhash.xxh64_intdigest(" ".join(" ".join(x).split())) >> 1 for e, x in texts.items()}
+
     def features(self) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
         """(path -> hashes of own texts, path -> hashes of child sequences with runs of
         one tag collapsed)."""
         import xxhash
 
         paths = self.paths()
-        texts: dict[int, list[str]] = {}
         children: dict[int, list[str]] = {}
-        for e, text in self.pieces:
-            if text and not text.isspace():
-                texts.setdefault(e, []).append(text)
         for e in range(1, len(self.tag)):
             own = children.setdefault(self.parent[e], [])
             if not own or own[-1] != self.tag[e]:
                 own.append(self.tag[e])
         content: dict[int, set[int]] = {}
         shape: dict[int, set[int]] = {}
-        for e, x in texts.items():
+        for e, x in self.own_texts().items():
             if not self.dropped[e]:
-                content.setdefault(paths[e], set()).add(xxhash.xxh64_intdigest(" ".join(" ".join(x).split())) >> 1)
+                content.setdefault(paths[e], set()).add(x)
         for e, x in children.items():
             if not self.dropped[e]:
                 shape.setdefault(paths[e], set()).add(xxhash.xxh64_intdigest(" ".join(x)) >> 1)
         return content, shape
 
-    def main_text(self, low: frozenset[int]) -> tuple[str, int]:
-        """(blocks of the main text, removed branches); ``low``: unimportant nodes."""
+    def main_text(self, low: frozenset[int], low_texts: frozenset[str] = frozenset()) -> tuple[str, int]:
+        """(blocks of the main text, removed branches); ``low``: unimportant nodes,
+        ``low_texts``: unimportant texts as path:hash."""
         n = len(self.tag)
         dropped, parent, tag = self.dropped, self.parent, self.tag
         inside = [False] * n
@@ -245,22 +258,23 @@ class Page:
         taken = [(whole or inside[e]) and not dropped[e] for e in range(n)]
         texts = [(e, t) for e, t in self.pieces if t is not None and taken[e] and not t.isspace()]
         removed = 0
-        if low and texts:
-            paths = self.paths()
+        if (low or low_texts) and texts:
+            paths, own = self.paths(), self.own_texts() if low_texts else {}
             filled, important = [False] * n, [False] * n  # branches with a text, with an important text
             for e, _ in texts:
-                mark = (filled,) if paths[e] in low else (filled, important)
+                mark = (filled,) if paths[e] in low or low_texts and f"{paths[e]}:{own[e]}" in low_texts else (filled, important)
                 for flags in mark:
                     x = e
                     while x >= 0 and not flags[x]:
                         flags[x] = True
                         x = parent[x]
             if important[0]:
-                cut = [False] * n
+                cut, held = [False] * n, [False] * n
                 for e in range(1, n):
                     cut[e] = cut[parent[e]]
+                    held[e] = not whole and (held[parent[e]] or tag[parent[e]] in WHOLE)
                     if not cut[e] and taken[e] and filled[e] and not important[e] and tag[e] in BLOCK:
-                        cut[e] = whole or tag[e] not in FLOW_TEXT
+                        cut[e] = whole or not held[e] and tag[e] not in PARTS
                         removed += cut[e]
                 taken = [t and not c for t, c in zip(taken, cut, strict=True)]
         blocks, buffer = [], []
@@ -284,8 +298,8 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, content, presentation and composite importance of each node."""
+def _features(pages: DataFrame) -> DataFrame:
+    """host, path, kind, feature and the number n of the host's pages with it."""
     schema = "host string, path long, kind string, feature long, n long"
 
     def run(batches):
@@ -311,7 +325,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 names=["host", "path", "kind", "feature", "n"],
             )
 
-    seen = pages.mapInArrow(run, schema).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    return pages.mapInArrow(run, schema).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """host, path, pages, content, presentation and composite importance of each node."""
+    return _nodes(_features(pages))
+
+
+def _nodes(seen: DataFrame) -> DataFrame:
     is_text, is_shape = F.col("kind") == "text", F.col("kind") == "shape"
     log = F.log(F.col("n").cast("double"))
     node = seen.groupBy("host", "path").agg(
@@ -334,23 +356,38 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
+def _low_texts(seen: DataFrame, tree: DataFrame, min_pages: int, low: float) -> DataFrame:
+    """host and text (path:hash) of the unimportant texts."""
+    common = seen.where((F.col("kind") == "text") & (F.col("n") >= TEXT_SHARE * min_pages)).select("host", "path", "feature", "n")
+    nodes = tree.where(F.col("content").isNotNull() & (F.col("pages") >= min_pages)).select("host", "path", "pages", "presentation")
+    own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
+    composite = CONTENT_SHARE * own + (1 - CONTENT_SHARE) * F.col("presentation")
+    found = common.join(nodes, ["host", "path"]).where((F.col("n") >= TEXT_SHARE * F.col("pages")) & (composite < low))
+    return found.select("host", F.concat_ws(":", "path", "feature").alias("text"))
+
+
 def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars and n_branches (removed as unimportant) per page."""
     pages = pages.select("page_id", "url", "html").withColumn("host", _host(F.col("url")))
-    tree = style_tree(pages.select("host", "html"))
+    seen = stash(_features(pages.select("host", "html")))
+    tree = stash(_nodes(seen))
     unimportant = tree.where(F.col("content").isNotNull() & (F.col("pages") >= min_pages) & (F.col("composite") < low))
-    per_host = stash(unimportant.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")))
-    joined = pages.join(per_host, "host", "left").select("page_id", "url", "html", "low")
+    both = unimportant.select("host", "path", F.lit(None).cast("string").alias("text")).unionByName(
+        _low_texts(seen, tree, min_pages, low).select("host", F.lit(None).cast("long").alias("path"), "text")
+    )
+    sets = [F.sort_array(F.collect_set(c)).alias(k) for c, k in (("path", "low"), ("text", "low_texts"))]
+    per_host = stash(both.groupBy("host").agg(*sets))
+    joined = pages.join(per_host, "host", "left").select("page_id", "url", "html", "low", "low_texts")
     kept = [joined.schema[c] for c in ("page_id", "url")]
 
     def run(batches):
         for batch in batches:
             texts, removed = [], []
-            for html, paths in zip(batch.column("html"), batch.column("low"), strict=True):
-                html, paths = html.as_py(), paths.as_py()
+            for html, paths, lines in zip(*(batch.column(c) for c in ("html", "low", "low_texts")), strict=True):
+                html, paths, lines = html.as_py(), paths.as_py(), lines.as_py()
                 text, k = "", 0
                 if html:
-                    text, k = Page(html).main_text(frozenset(paths or ()))
+                    text, k = Page(html).main_text(frozenset(paths or ()), frozenset(lines or ()))
                 texts.append(text)
                 removed.append(k)
             yield pa.RecordBatch.from_arrays(
