@@ -68,6 +68,19 @@ def test_edited_notices_are_found(k, seed):
     assert any(x["start"] <= 4 and x["end"] >= 3 + len("".join(text).split()) - 1 and x["edits"] <= errors for x in own)
 
 
+def test_edited_notices_side_by_side():
+    """Each of several notices in a row has its span, however good its neighbours are."""
+    scan = L.Scanner().scan
+    own = lambda r: [(x["start"], x["end"], x["edits"]) for x in r["notices"] if x["label"] == "mit"]
+    r = scan("released under the mit licence released under the mit license released under th mit licenze")
+    assert [x[:2] for x in own(r)] == [(0, 5), (5, 10), (10, 15)] and [x[2] > 0 for x in own(r)] == [True, False, True]
+    copies = ["released under the mit license", "released under the mit licenqe", "releqsed under the mit licqnse"]
+    order = [k * 7 % 3 if k % 2 else k * 5 % 3 for k in range(300)]
+    got = own(scan(" ".join(copies[k] for k in order)))
+    assert [x[:2] for x in got] == [(5 * k, 5 * k + 5) for k in range(300)]
+    assert [x[2] for x in got] == order
+
+
 def test_pieces_cover_the_notice():
     for notice, _, errors in L.NOTICES:
         cut = L.pieces(notice, errors)

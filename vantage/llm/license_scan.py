@@ -4,7 +4,9 @@ Exact phrases are counted on the word sequence.  For each notice, ``errors`` edi
 allowed: the notice is split into ``errors + 1`` pieces, at least one of which an
 occurrence must hold unchanged (pigeonhole).  One automaton finds all pieces, each
 hit fixes a window of the text, and the regex library's bounded-error matching
-verifies the window and reports the span and its edits.
+verifies the window and reports the span and its edits.  Windows are joined only if
+they can be of one occurrence, so that each has a search of its own; of overlapping
+spans of a notice, the one of the fewest edits stays.
 
 The rows are independent: one pass, no shuffle, the notices are a fixed list.
 
@@ -14,6 +16,8 @@ Defined results: null or empty text has no words, no spans, empty labels and sco
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -83,24 +87,31 @@ class Scanner:
 
     def fuzzy(self, padded: str) -> list[tuple[str, int, int, int, float]]:
         """label, start, end, edits, similarity of verified notices, in order."""
-        windows: dict[int, list[list[int]]] = {}
+        begins: dict[int, set[int]] = {}
         for end, (size, places) in self.automaton.iter(padded):
             for n, offset in places:
-                notice, _, errors = NOTICES[n]
-                begin = max(0, end - size + 1 - offset - errors)
-                stop = begin + len(notice) + 3 * errors
-                own = windows.setdefault(n, [])
-                if own and begin <= own[-1][1]:
-                    own[-1] = [min(begin, own[-1][0]), max(stop, own[-1][1])]
-                else:
-                    own.append([begin, stop])
+                begins.setdefault(n, set()).add(max(0, end - size + 1 - offset - NOTICES[n][2]))
         found = []
-        for n, own in windows.items():
-            notice, label, _ = NOTICES[n]
-            for begin, stop in own:
-                for m in self.patterns[n].finditer(padded, begin, min(stop, len(padded))):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+        for n, own in begins.items():
+            notice, label, errors = NOTICES[n]
+            windows: list[list[int]] = []
+            for begin in sorted(own):
+                # the pieces of one occurrence give begins that differ by 2 * errors at most
+                if windows and begin <= windows[-1][0] + 2 * errors:
+                    windows[-1][1] = begin
+                else:
+                    windows.append([begin, begin])
+            spans = set()
+            for first, last in windows:
+                m = self.patterns[n].search(padded, first, min(last + len(notice) + 3 * errors, len(padded)))
+                if m:
+                    spans.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            kept: list[tuple[int, int]] = []  # disjoint, in order
+            for edits, a, b in sorted(spans):
+                k = bisect(kept, (a, b))
+                if (not k or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+                    kept.insert(k, (a, b))
+                    found.append((label, a, b, edits, 1 - edits / len(notice)))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, text: str | None) -> dict:
