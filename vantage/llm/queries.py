@@ -20,6 +20,7 @@ from vantage.llm import (
     quality_rules,
     sharding,
     sql,
+    vector_codes,
 )
 from vantage.llm.common import read_table, stash
 
@@ -126,6 +127,17 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return out.select(
+        "vec_id",
+        F.array_join(F.transform("code", lambda k: F.lpad(F.lower(F.hex(k)), 2, "0")), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fm_index_decontamination": op1_fm_index_decontamination,
@@ -138,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_multi_index_hamming": op8_multi_index_hamming,
         "op9_crf_personal_data": op9_crf_personal_data,
         "op10_virtual_slots": op10_virtual_slots,
+        "op13_gnat_codes": op13_gnat_codes,
     }
 
 

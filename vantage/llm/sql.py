@@ -85,8 +85,53 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+
+
+def _nearest(book: str) -> str:
+    """(rid, part, k, d2): the nearest entry of a codebook, ties to the lower index."""
+    d2 = " + ".join(f"(p.x{i} - b.x{i}) * (p.x{i} - b.x{i})" for i in range(4))
+    return f"""
+  SELECT rid, part, m % 64 AS k, m // 64 AS d2 FROM (
+    SELECT p.rid, p.part, min(({d2}) * 64 + b.k) AS m FROM p JOIN {book} b ON b.part = p.part GROUP BY p.rid, p.part
+  ) q"""
+
+
+def _moved(near: str, book: str) -> str:
+    mean = ", ".join(f"CAST(floor(CAST(sum(p.x{i}) AS DOUBLE) / count(*)) AS BIGINT) AS x{i}" for i in range(4))
+    new = ", ".join(f"coalesce(m.x{i}, b.x{i}) AS x{i}" for i in range(4))
+    return f"""
+  SELECT b.part, b.k, {new} FROM {book} b LEFT JOIN (
+    SELECT n.part, n.k, {mean} FROM {near} n JOIN p ON p.rid = n.rid AND p.part = n.part GROUP BY n.part, n.k
+  ) m ON m.part = b.part AND m.k = b.k"""
+
+
+# For vectors of 64 components, as in the given tables.
+OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT rid, t.part, {", ".join(f"v[4 * t.part + {i + 1}] AS x{i}" for i in range(4))} FROM v, unnest(range(0, 16)) t(part)
+), b0 AS MATERIALIZED (SELECT part, rid AS k, x0, x1, x2, x3 FROM p WHERE rid < 64),
+n0 AS MATERIALIZED ({_nearest("b0")}),
+b1 AS MATERIALIZED ({_moved("n0", "b0")}),
+n1 AS MATERIALIZED ({_nearest("b1")}),
+b2 AS MATERIALIZED ({_moved("n1", "b1")}),
+n2 AS MATERIALIZED ({_nearest("b2")}),
+digest AS (
+  SELECT sha256(string_agg(x0 || ',' || x1 || ',' || x2 || ',' || x3, ',' ORDER BY part, k)) AS codebooks_sha256 FROM b2
+), coded AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d2) AS BIGINT) AS error FROM n2 GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (rid), digest
+"""
+
 ORACLE = {
     "op1_fm_index_decontamination": OP1,
     "op4_typed_chat_parts": OP4,
     "op8_multi_index_hamming": OP8,
+    "op13_gnat_codes": OP13,
 }
