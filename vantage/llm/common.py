@@ -25,13 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir``
     and read it back: lineage is cut, executor loss costs nothing, columns prune,
     and the planner knows the real size."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stash/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,6 +20,7 @@ from vantage.llm import (
     quality_rules,
     sharding,
     sql,
+    tokenizer_alignment,
     vector_codes,
 )
 from vantage.llm.common import read_table, stash
@@ -127,6 +128,14 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return tokenizer_alignment.aligned_statistics(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
     return out.select(
@@ -150,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_multi_index_hamming": op8_multi_index_hamming,
         "op9_crf_personal_data": op9_crf_personal_data,
         "op10_virtual_slots": op10_virtual_slots,
+        "op11_merge_path_alignment": op11_merge_path_alignment,
         "op13_gnat_codes": op13_gnat_codes,
     }
 
