@@ -15,6 +15,7 @@ from vantage.llm import (
     license_scan,
     mixing,
     near_duplicates,
+    ngram_join,
     personal_data,
     quality_classifier,
     quality_rules,
@@ -136,6 +137,10 @@ def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.aligned_statistics(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op12_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
     return out.select(
@@ -160,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_crf_personal_data": op9_crf_personal_data,
         "op10_virtual_slots": op10_virtual_slots,
         "op11_merge_path_alignment": op11_merge_path_alignment,
+        "op12_size_aware_join": op12_size_aware_join,
         "op13_gnat_codes": op13_gnat_codes,
     }
 

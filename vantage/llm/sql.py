@@ -105,6 +105,33 @@ def _moved(near: str, book: str) -> str:
   ) m ON m.part = b.part AND m.k = b.k"""
 
 
+def _classes(words: int, percent: int) -> str:
+    """Classes of documents linked by the similarity of their shingle sets."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format('text')}, {SPACE}) AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {words - 1}), ' ') AS s
+  FROM d, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) t(i)
+  WHERE len(w) > 0
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (
+  SELECT u, v FROM (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  ) p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+  WHERE 100 * k >= {percent} * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT r.a, e.v FROM r JOIN e ON r.b = e.u
+), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
+OP12 = _classes(3, 90)
+
 # For vectors of 64 components, as in the given tables.
 OP13 = f"""
 WITH v AS MATERIALIZED (
@@ -133,5 +160,6 @@ ORACLE = {
     "op1_fm_index_decontamination": OP1,
     "op4_typed_chat_parts": OP4,
     "op8_multi_index_hamming": OP8,
+    "op12_size_aware_join": OP12,
     "op13_gnat_codes": OP13,
 }
