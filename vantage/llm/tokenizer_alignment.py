@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from vantage.llm.common import stash
 
 WORK = 8192  # ends merged by one piece
-BLOCK_BYTES = 2_000_000  # texts merged together
+BLOCK_CHARS = 300_000  # texts merged together
 HEAD = 2**18
 # Fixed value: the pattern by which the byte-level vocabulary splits texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -180,24 +180,24 @@ class Aligner:
         names = [f"{i}{mark}" for i in range(a.size) for mark in ",|"]
         self.written = names + [f"{i}{mark}" for i in range(b.size) for mark in ",;"]
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and B, none unless both give back exactly space + text."""
+        none = np.zeros(0, np.int64)
         if not text:
-            return [], []
+            return none, none
         whole = " " + text
         a, b = self.a.encode(whole), self.b.encode(text)
         wanted = whole.encode()
         at, bt = self.a_bytes, self.b_bytes
         if b"".join([at[i] for i in a]) != wanted or b"".join([bt[i] for i in b]) != wanted:
-            return [], []
-        return a, b
+            return none, none
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def block(self, texts: list[str | None]) -> tuple[list, list, list[str], list[np.ndarray]]:
         """Numbers of A and of B tokens, groups as text and linked pairs of every text."""
         found = [self.tokens(t) for t in texts]
         n_a, n_b = [len(a) for a, _ in found], [len(b) for _, b in found]
-        a = np.array([i for x, _ in found for i in x], np.int64)
-        b = np.array([i for _, x in found for i in x], np.int64)
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         at, bt, closed = overlaps(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]))
         last_a, last_b = at[closed], bt[closed]  # the tokens that end with each group
         pairs = a[last_a] * self.b.size + b[last_b]
@@ -237,7 +237,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, carry: list[str]) -> DataFr
             for k, text in enumerate(batch.column("_text")):
                 texts.append(text.as_py())
                 held += len(texts[-1] or "")
-                if held >= BLOCK_BYTES or k == batch.num_rows - 1:
+                if held >= BLOCK_CHARS or k == batch.num_rows - 1:
                     n_a, n_b, groups, links = aligner.block(texts)
                     offsets = np.append(0, np.cumsum([len(x) for x in links])).astype(np.int32)
                     flat = np.concatenate(links)
