@@ -108,17 +108,3 @@ def test_apply_defaults_and_small_writers(spark):
     for bad in ((-1, 5, 1), (5, 4, 1), (0, 5, 0)):
         with pytest.raises(ValueError):
             validate_range(*bad)
-
-
-def test_counters_view_update_mode(spark):
-    from vantage.streaming import ingest as IG
-
-    d = tempfile.mkdtemp(prefix="vantage-test-")
-    src = os.path.join(d, "in")
-    spark.createDataFrame([("Alice", False, dt.datetime(2024, 1, 1, 10), 1)], "channel string, is_echo boolean, event_time timestamp_ntz, event_id long").write.parquet(os.path.join(src, "b1"))
-    stream = IG.read_stream(spark, os.path.join(src, "*"), "channel string, is_echo boolean, event_time timestamp_ntz, event_id long")
-    counts = stream.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
-    q = IG.counters_view(counts, "vantage_counters_test")
-    q.processAllAvailable()
-    assert spark.table("vantage_counters_test").first().n == 1
-    q.stop()

@@ -4,7 +4,6 @@ import datetime as dt
 import os
 import tempfile
 
-from vantage.sources import landing as L
 from vantage.streaming import ingest as IG
 from vantage.streaming import lifecycle as LC
 
@@ -61,32 +60,6 @@ def test_dedupe_within_watermark_drops_replays(spark):
     assert out.count() == 2
 
 
-def test_stream_sessions_equal_batch_sessions(spark):
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = IG.event_stream(spark, "/root/testdata/sf0.001/events.parquet", ev.schema)
-    streamed = IG.fold_session_changes(IG.run_available_now(IG.session_changes(L.lifecycle_events(stream)), spark))
-    batch = LC.sessionize_batch(L.lifecycle_events(ev)).drop("broadcast_id")
-    cols = sorted(batch.columns)
-    assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
-    assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
-
-
-def test_state_carries_across_micro_batches(spark):
-    root = tempfile.mkdtemp(prefix="vantage-test-")
-    src = os.path.join(root, "in")
-    schema = "kind string, streamer_id long, username string, event_time timestamp_ntz, title string, category_id long, event_id long"
-    _write(spark, [("online", 7, "x", _t("2024-01-01 10:00:00"), None, 3, 1), ("online", 7, "x", _t("2024-01-01 10:05:00"), "b", 4, 2)], schema, src, "b1")
-    _write(spark, [("offline", 7, "x", _t("2024-01-01 11:00:00"), None, None, 3), ("offline", 7, "x", _t("2024-01-01 12:00:00"), None, None, 4),
-                   ("offline", 7, "x", _t("2024-01-01 13:00:00"), None, None, 5)], schema, src, "b2")
-    stream = IG.read_stream(spark, os.path.join(src, "*"), schema, maxFilesPerTrigger=1)
-    sessions = {r.started_at: r for r in IG.fold_session_changes(IG.run_available_now(IG.session_changes(stream), spark)).collect()}
-    # the newest open session closes first; the third offline finds nothing open
-    assert sessions[_t("2024-01-01 10:05:00")].ended_at == _t("2024-01-01 11:00:00")
-    assert sessions[_t("2024-01-01 10:00:00")].ended_at == _t("2024-01-01 12:00:00")
-    assert sessions[_t("2024-01-01 10:00:00")].stream_title == "Untitled Stream"
-    assert sessions[_t("2024-01-01 10:00:00")].duration_seconds == 7200
-
-
 def test_tracked_set_is_reread_each_micro_batch(spark):
     root = tempfile.mkdtemp(prefix="vantage-test-")
     src, tracked = os.path.join(root, "in"), os.path.join(root, "tracked")

@@ -27,3 +27,7 @@ TICK_MINUTES = 15             # S6 poll interval (reference default)
 # Lengths of the entity columns in the registered check (the test data's longest language has 10)
 ENTITY_LENGTHS = {"username": 25, "display_name": 25, "broadcaster_language": 9}
 LOOKUP_ID, LOOKUP_NAME = 42, "CUSTOMER#000000042"
+# Replay of the live service: events arrive up to this late; no session of the data is longer than a year
+LATE_SECONDS = 6 * 3600
+MAX_SESSION_HOURS = 366 * 24
+TRACKED_SINCE, TRACKED_LATER = "2000-01-01 00:00:00", "2024-01-15 00:00:00"

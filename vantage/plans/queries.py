@@ -31,6 +31,7 @@ from vantage.sources import landing as L
 from vantage.sources.tables import STATS_SCALE, DriverTables, ts_lit
 from vantage.streaming import ingest as IG
 from vantage.streaming import lifecycle as LC
+from vantage.streaming import sessions as SS
 
 def storage_scale(stats: DataFrame) -> DataFrame:
     """Round measures to the declared scale of the statistics table."""
@@ -748,11 +749,77 @@ def _event_stream(t):
     return IG.event_stream(t.spark, path, t.events.schema)
 
 
+def _live(t, added_later=None):
+    """Records of the live service (and its folder) after a replay of all events: they
+    arrive up to six hours late in three slices of time, each taken in by a run of its
+    own that resumes the state of the one before.  Entities that ``added_later`` holds
+    for join the tracked set between the first two slices."""
+    from vantage.streaming import service as SV
+
+    root = IG.stream_root(t.spark)
+    events = L.service_events(t.events)
+    late = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(P.LATE_SECONDS)).cast("decimal(18,6)"))
+    arrivals = reliable_checkpoint(events.withColumn("arrived_at", F.col("event_time") + late))
+    active = t.streamers.filter(F.col("is_active")).select("streamer_id", "username")
+    SV.write_tracked(root, active if added_later is None else active.filter(~added_later), P.TRACKED_SINCE)
+
+    def before(k):
+        if k == 1 and added_later is not None:
+            SV.write_tracked(root, active.filter(added_later), P.TRACKED_LATER)
+
+    SV.replay(
+        t.spark, arrivals, root, slices=3, before=before, minutes=P.TICK_MINUTES,
+        watermark=f"{P.LATE_SECONDS + 1} seconds", max_session_hours=P.MAX_SESSION_HOURS,
+    )
+    return SV.records(t.spark, root), root
+
+
 def s1_s2_stream_sessions(t):
-    """S1/S2 streamed: keyed state per entity over the lifecycle stream, run once
-    over everything available; the folded sessions equal the batch twin (S3)."""
-    changes = IG.run_available_now(IG.session_changes(L.lifecycle_events(_event_stream(t))), t.spark)
-    return IG.fold_session_changes(changes)
+    """S1/S2 streamed: sessions from the keyed state over several out-of-order
+    micro-batches equal the batch twin (S3)."""
+    return SS.session_table(_live(t)[0])
+
+
+def _per_session(messages):
+    return messages.groupBy("streamer_id", "started_at").agg(
+        F.count(F.lit(1)).alias("messages"), F.min("event_time").alias("first_message"), F.max("event_time").alias("last_message")
+    )
+
+
+def s4_stream_chat_per_session(t):
+    """S4 streamed: messages attached by the keyed state as they pass."""
+    return _per_session(SS.attached_messages(_live(t)[0]))
+
+
+def s5_stream_carry_over(t):
+    """S5 streamed: samples with the messages since the session's previous sample."""
+    return SS.attached_samples(_live(t)[0]).select("poll_event_id", "streamer_id", "started_at", "chat_messages_delta")
+
+
+def s6_stream_snapshots(t):
+    """S6 streamed: snapshots put out when the watermark passes their tick."""
+    return SS.snapshots(_live(t)[0]).drop("level", "session_seq")
+
+
+def s13_stream_message_tail(t):
+    """S13 streamed: messages after the last sample, put out when a session ends."""
+    return SS.message_tails(_live(t)[0]).select("streamer_id", "started_at", "chat_messages_delta")
+
+
+def s14_stream_counters(t):
+    """The service's counters of every entity that sent anything, read from the
+    state store by another session."""
+    from vantage.streaming import service as SV
+
+    _, root = _live(t)
+    found = SV.counters(t.spark.newSession(), root)
+    return found.filter(sum(F.col(c) for c in SS.COUNTERS) > 0)
+
+
+def s10_stream_tracked_changes(t):
+    """Messages per session when every second entity joins the tracked set while
+    the service runs."""
+    return _per_session(SS.attached_messages(_live(t, added_later=F.col("streamer_id") % 2 == 1)[0]))
 
 
 def s5_stream_chat_ticks(t, minutes=P.TICK_MINUTES):

@@ -86,6 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m12_feature_importance": _bind(Q.m12_feature_importance),
         "q22_batch_scoring": _bind(Q.q22_batch_scoring),
         "s1_s2_stream_sessions": _bind(Q.s1_s2_stream_sessions),
+        "s4_stream_chat_per_session": _bind(Q.s4_stream_chat_per_session),
+        "s5_stream_carry_over": _bind(Q.s5_stream_carry_over),
+        "s6_stream_snapshots": _bind(Q.s6_stream_snapshots),
+        "s10_stream_tracked_changes": _bind(Q.s10_stream_tracked_changes),
+        "s13_stream_message_tail": _bind(Q.s13_stream_message_tail),
+        "s14_stream_counters": _bind(Q.s14_stream_counters),
         "s5_stream_chat_ticks": _bind(Q.s5_stream_chat_ticks),
         "s6_stream_poll_ticks": _bind(Q.s6_stream_poll_ticks),
         "s15_stream_poll_outcomes": _bind(Q.s15_stream_poll_outcomes),
@@ -177,6 +183,12 @@ def oracle_sql() -> dict[str, str]:
         "e36_pr_curve": S.e36_pr_curve(),
         "m15_best_threshold": S.m15_best_threshold(),
         "s1_s2_stream_sessions": S.s1_s2_stream_sessions(),
+        "s4_stream_chat_per_session": S.s4_stream_chat_per_session(),
+        "s5_stream_carry_over": S.s5_stream_carry_over(),
+        "s6_stream_snapshots": S.s6_stream_snapshots(),
+        "s10_stream_tracked_changes": S.s10_stream_tracked_changes(),
+        "s13_stream_message_tail": S.s13_stream_message_tail(),
+        "s14_stream_counters": S.s14_stream_counters(),
         "s5_stream_chat_ticks": S.s5_stream_chat_ticks(),
         "s6_stream_poll_ticks": S.s6_stream_poll_ticks(),
         "s15_stream_poll_outcomes": S.s15_stream_poll_outcomes(),

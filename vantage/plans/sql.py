@@ -1076,6 +1076,51 @@ def s1_s2_stream_sessions() -> str:
     return s3_sessionize()
 
 
+def s4_stream_chat_per_session() -> str:
+    return s4_chat_per_session()
+
+
+def s5_stream_carry_over() -> str:
+    return s5_chat_delta_carry_over()
+
+
+def s6_stream_snapshots() -> str:
+    return s6_snapshot_ticks()
+
+
+def s13_stream_message_tail() -> str:
+    return s13_message_tail()
+
+
+def s10_stream_tracked_changes() -> str:
+    return with_views(f"""
+SELECT streamer_id, started_at, COUNT(*) AS messages, MIN(event_time) AS first_message, MAX(event_time) AS last_message
+FROM chat_att WHERE started_at IS NOT NULL AND (streamer_id % 2 <> 1 OR event_time >= TIMESTAMP '{P.TRACKED_LATER}')
+GROUP BY streamer_id, started_at""",
+        LIFECYCLE + "," + CHAT_POLL + "," + _attach("chat_in", "chat_att"))
+
+
+def s14_stream_counters() -> str:
+    """Every entity that sent anything; sessions that never close expire at the end."""
+    ctes = LIFECYCLE + "," + CHAT_POLL + "," + _attach("chat_in", "chat_att") + "," + _attach("poll_in", "poll_att") + """,
+said AS (
+    SELECT user_id AS streamer_id, event_type, value, event_id FROM events
+    WHERE event_type IN ('signup', 'error', 'purchase', 'click') OR (event_type = 'view' AND value >= 5)
+)"""
+    return with_views("""
+SELECT lower('Customer#' || CASE WHEN length(CAST(e.streamer_id AS VARCHAR)) >= 9 THEN CAST(e.streamer_id AS VARCHAR)
+         ELSE lpad(CAST(e.streamer_id AS VARCHAR), 9, '0') END) AS login,
+       coalesce(s.opened, 0) AS opened, coalesce(s.closed, 0) AS closed, coalesce(s.opened - s.closed, 0) AS expired,
+       e.offlines - coalesce(s.closed, 0) AS dropped_offline, coalesce(c.n, 0) AS messages,
+       e.chats - coalesce(c.n, 0) AS ignored_messages, coalesce(p.n, 0) AS samples,
+       e.polls - coalesce(p.n, 0) AS ignored_samples, CAST(0 AS BIGINT) AS failed_samples
+FROM (SELECT streamer_id, count(*) FILTER (event_type = 'error') AS offlines,
+             count(*) FILTER (event_type IN ('click', 'view')) AS chats, count(*) FILTER (event_type = 'purchase') AS polls FROM said GROUP BY streamer_id) e
+LEFT JOIN (SELECT streamer_id, count(*) AS opened, count(ended_at) AS closed FROM sess GROUP BY streamer_id) s USING (streamer_id)
+LEFT JOIN (SELECT streamer_id, count(*) AS n FROM chat_att WHERE started_at IS NOT NULL GROUP BY streamer_id) c USING (streamer_id)
+LEFT JOIN (SELECT streamer_id, count(*) AS n FROM poll_att WHERE started_at IS NOT NULL GROUP BY streamer_id) p USING (streamer_id)""", ctes)
+
+
 def s5_stream_chat_ticks(minutes=P.TICK_MINUTES) -> str:
     return with_views(f"""
 SELECT streamer_id, time_bucket(INTERVAL {minutes} MINUTE, event_time) + INTERVAL {minutes} MINUTE AS tick_end,

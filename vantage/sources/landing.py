@@ -93,6 +93,29 @@ def poll_samples(events: DataFrame) -> DataFrame:
     )
 
 
+def service_events(events: DataFrame) -> DataFrame:
+    """Lifecycle, chat (without the bot's echo) and poll records as one table of the live
+    service's event rows, in one scan."""
+    kind = (
+        F.when(F.col("event_type") == "signup", "online")
+        .when(F.col("event_type") == "error", "offline")
+        .when(F.col("event_type") == "purchase", "poll")
+        .when((F.col("event_type") == "click") | ((F.col("event_type") == "view") & ~(F.col("value") < 5)), "chat")
+    )
+    is_poll, is_online = F.col("event_type") == "purchase", F.col("event_type") == "signup"
+    return events.select(
+        F.lower(display_login(F.col("user_id"))).alias("login"),
+        F.col("user_id").alias("streamer_id"),
+        kind.alias("kind"),
+        F.col("ts").alias("event_time"),
+        F.col("event_id"),
+        F.when(is_online, F.concat(F.lit("stream "), F.col("event_id").cast("string"))).alias("title"),
+        F.when(is_online | is_poll, _category(F.col("props"))).alias("category_id"),
+        F.when(is_poll, F.floor("value").cast("int")).alias("viewer_count"),
+        F.when(is_poll, F.floor(F.col("value") * 100)).alias("follower_count"),
+    ).where(F.col("kind").isNotNull())
+
+
 def live_listing(events: DataFrame) -> DataFrame:
     """A14 directory listing of live streams per category (``game_id``) in the
     order the directory returned them (``listing_pos``)."""

@@ -1,9 +1,7 @@
-"""Live ingestion on Structured Streaming.
+"""Stateless and windowed parts of live ingestion (S5-S7, S9-S11, S15, S16); the keyed
+session state is in :mod:`vantage.streaming.sessions`.
 
 * ``read_*_stream``: file sources with declared schemas (Kafka by configuration);
-* ``session_changes``: the online/offline state machine (S1/S2) as keyed state in
-  ``applyInPandasWithState``, one state per entity holding the stack of open
-  sessions; it emits ``opened`` / ``closed`` change rows;
 * ``tick_counts`` / ``poll_ticks``: event-time tumbling windows with a watermark
   (late data within the watermark still counts, later data is dropped);
 * ``dedupe_within_watermark``: replayed samples dropped by key (S7);
@@ -18,19 +16,14 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vantage.functions.scalar import instant_to_ntz, ntz_to_instant
 from vantage.session import ensure_checkpoint_dir
-from vantage.sources import landing as L
+from vantage.streaming.sessions import EVENT_INSTANT, WATERMARK  # TIMESTAMP twin of the NTZ event time; lateness
 
-DEFAULT_TITLE = "Untitled Stream"
-WATERMARK = "60 seconds"  # a poll run may be up to a minute late (S11)
-EVENT_INSTANT = "event_instant"  # TIMESTAMP twin of the NTZ event time (watermarks need TIMESTAMP)
 
 
 def _watermarked(df: DataFrame, watermark: str) -> DataFrame:
@@ -72,79 +65,6 @@ def event_stream(spark: SparkSession, events_path: str, events_schema) -> DataFr
     return read_stream(spark, glob, events_schema)
 
 
-# ------------------------------------------------------ S1/S2 keyed state
-
-SESSION_CHANGE_SCHEMA = (
-    "change string, streamer_id bigint, level bigint, session_seq bigint, started_at timestamp_ntz, "
-    "ended_at timestamp_ntz, duration_seconds int, stream_title string, primary_category_id bigint"
-)
-SESSION_STATE_SCHEMA = (
-    "starts array<bigint>, titles array<string>, cats array<bigint>, seqs array<bigint>, "
-    "level_seq array<bigint>, dropped bigint"
-)
-
-
-def _lifecycle_state_fn(key, pdfs, state):
-    """Stack of open sessions per entity: online pushes, offline pops the newest
-    (or is counted as dropped when nothing is open)."""
-    if state.exists:
-        starts, titles, cats, seqs, level_seq, dropped = state.get
-        starts, titles, cats, seqs, level_seq = list(starts), list(titles), list(cats), list(seqs), list(level_seq)
-    else:
-        starts, titles, cats, seqs, level_seq, dropped = [], [], [], [], [], 0
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    if batch.empty:
-        return
-    batch = batch.sort_values(["event_time", "event_id"], kind="mergesort")
-    sid = int(key[0])
-    out = []
-    for kind, t, title, cat in zip(batch["kind"], batch["event_time"], batch["title"], batch["category_id"]):
-        micros = int(pd.Timestamp(t).value // 1000)
-        if kind == "online":
-            level = len(starts) + 1
-            while len(level_seq) < level:
-                level_seq.append(0)
-            level_seq[level - 1] += 1
-            name = title if isinstance(title, str) and title != "" else DEFAULT_TITLE
-            category = None if pd.isna(cat) else int(cat)
-            starts.append(micros)
-            titles.append(name)
-            cats.append(category)
-            seqs.append(level_seq[level - 1])
-            out.append(("opened", sid, level, level_seq[level - 1], pd.Timestamp(t), None, None, name, category))
-        elif starts:
-            level = len(starts)
-            s0, name, category, seq = starts.pop(), titles.pop(), cats.pop(), seqs.pop()
-            secs = (micros - s0) / 1e6
-            dur = int(abs(secs) + 0.5) * (1 if secs >= 0 else -1)
-            out.append(("closed", sid, level, seq, pd.Timestamp(s0 * 1000), pd.Timestamp(t), dur, name, category))
-        else:
-            dropped += 1
-    state.update((starts, titles, cats, seqs, level_seq, dropped))
-    cols = ["change", "streamer_id", "level", "session_seq", "started_at", "ended_at", "duration_seconds", "stream_title", "primary_category_id"]
-    df = pd.DataFrame(out, columns=cols)
-    df["duration_seconds"] = df["duration_seconds"].astype("Int32")
-    df["primary_category_id"] = df["primary_category_id"].astype("Int64")
-    yield df
-
-
-def session_changes(lifecycle_stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """S1/S2 change rows (``opened`` / ``closed``) from the lifecycle stream."""
-    s = _watermarked(lifecycle_stream, watermark)
-    return s.groupBy("streamer_id").applyInPandasWithState(
-        _lifecycle_state_fn, SESSION_CHANGE_SCHEMA, SESSION_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def fold_session_changes(changes: DataFrame) -> DataFrame:
-    """Sessions table from change rows: each opened session, closed if a closing
-    change exists (W4 create + W5 close as one join)."""
-    keys = ["streamer_id", "level", "session_seq", "started_at"]
-    opened = changes.filter(F.col("change") == "opened").select(*keys, "stream_title", "primary_category_id")
-    closed = changes.filter(F.col("change") == "closed").select(*keys, "ended_at", "duration_seconds")
-    return opened.join(closed, keys, "left")
-
-
 # --------------------------------------------------------- ticks and chat
 
 
@@ -268,8 +188,3 @@ def run_available_now(df: DataFrame, spark: SparkSession, output_mode: str = "ap
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def counters_view(df: DataFrame, name: str):
-    """S14 current counters as a queryable in-memory table (update mode)."""
-    return df.writeStream.outputMode("update").format("memory").queryName(name).start()

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from vantage.functions.scalar import seconds_between, uptime_seconds, with_default
 from vantage.operators.sequence import day_bucket, running_sum, shift
 from vantage.operators.writes import session_key
+from vantage.streaming.sessions import DEFAULT_TITLE
 
 ORDER = ["event_time", "event_id"]
-DEFAULT_TITLE = "Untitled Stream"
 
 
 def _levels(lifecycle: DataFrame, order: list[str] | None = None) -> DataFrame:
