@@ -16,21 +16,27 @@ subsets of each size would emit, against the lengths of the lists that sets of t
 size would scan.  The order puts frequent shingles last, so passages that many
 documents share are scanned only by sets that consist of them.
 
-Lists are never expanded into all pairs.  Every member is first compared with one
-member of its list, and the components of the confirmed links are taken.  Only lists
-that still hold several components go on: their members are dealt in blocks, and pairs
-of blocks compare members of different components.  Links inside a component cannot
-change it, so none is lost.  Before the full sets of a pair are fetched, sketches bound
-their difference from below: a sketch is the exclusive-or of the shingles in each range
-of hashes, and every range that differs holds a shingle of one set only.  The bound
-never discards a link.  Every link is confirmed on the full sets.
+Every member of a list is first compared with one member of it, and the components of
+the confirmed links are taken; links inside a component cannot change it, so none is
+lost by leaving them out.  Lists that still hold several components go on.  Short ones
+(up to ``SHORT``) give the pairs of members of different components, each pair once over
+all lists.  Long ones are dealt in blocks; pairs of blocks compare members of different
+components, and every member outside the largest component names its ``CLOSEST``
+partners only, so what a list gives out grows with its members, not with their pairs.
+Components are taken anew and long lists compared again, without the pairs that were
+refuted, until no pair is named.
+
+Before the full sets of a pair are fetched, odd sketches bound their difference from
+below: a sketch holds the parity of the number of members in each class of hashes, and
+every class whose parity differs holds a member of one set only.  The bound never
+discards a link.  Every link is confirmed on the full sets.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing;
 one or two words are one shingle; repeated rows have equal sets; rows with a null
 ``doc_id`` take part, but do not name a component (it is null if none of its rows has an
 id); texts of any length are read whole; other columns are ignored; an empty table gives
-no rows.  Members of one list that share it without being linked are compared block by
-block, which stays quadratic in the number of such members.
+no rows.  Members of one long list that are in different components are compared in
+numpy, block by block; the comparisons, not the rows, grow with the square of their number.
 """
 
 from __future__ import annotations
@@ -52,7 +58,9 @@ SMALL_MAX = 64  # sizes up to which subsets are considered
 FLUSH = 1_000_000  # shingles counted together when frequent ones are sought
 SEEN = 4  # rows among those from which a shingle is reported
 FREQUENT = 2**17  # at most so many shingles have a place at the end of the order
+SHORT = 64  # members of a list whose pairs are given out
 BLOCK = 512
+CLOSEST = 4
 BROADCAST_ROWS = 2**19
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PLACES = np.random.default_rng(30).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,25 +145,27 @@ class Shingles:
 
 
 def sketch(members: np.ndarray) -> np.ndarray:
-    """A byte per range of hashes, between a quarter and half as many as members: the
-    exclusive-or of the members in it."""
-    bits = max(4, (len(members) // 4).bit_length())
-    out = np.zeros(1 << bits, np.uint8)
-    place = (members >> np.uint64(64 - bits)).astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    if len(first):
-        out[place[first]] = np.bitwise_xor.reduceat((members & np.uint64(255)).astype(np.uint8), first)
-    return out
+    """A bit per class of hashes, one to two classes a member: the parity of its members."""
+    classes = max(64, 1 << len(members).bit_length())
+    at = (members & np.uint64(classes - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=classes) & 1, bitorder="little")
 
 
 def fold(sketches: np.ndarray, width: int) -> np.ndarray:
-    """Sketches (last axis) of ``width`` ranges, each a run of the given ones."""
-    shape = sketches.shape[:-1]
-    return np.bitwise_xor.reduce(sketches.reshape(*shape, width, -1), axis=-1)
+    """Sketches (last axis) of ``width`` bytes: classes that agree in their low bits join."""
+    while sketches.shape[-1] > width:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Classes in which sketches of one width (last axis) differ."""
+    return np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
 
 
 def may_link(s, t, differing):
-    """Whether sets of s and t members can link if they differ in so many ranges."""
+    """Whether sets of s and t members can link if at least so many are not common."""
     return (100 + PERCENT) * differing <= (100 - PERCENT) * (s + t)
 
 
@@ -261,18 +271,21 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     )
 
 
-def list_heads(postings: DataFrame) -> DataFrame:
-    """key, size, hub (the member that all are compared with first) and largest (size of
-    the largest set) of every list with two members or more."""
-    found = postings.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("n").alias("largest"))
-    return found.where("size > 1")
+def lists(postings: DataFrame) -> DataFrame:
+    """The postings (key, node, n) of lists with two members or more, with size, hub (the
+    member that all are compared with first) and largest (size of the largest set);
+    one exchange serves the counts and the rows; stored."""
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.select("key", "node", "n").repartition(parts, "key")
+    found = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("n").alias("largest"))
+    return stash(dealt.join(found.where("size > 1"), "key"))
 
 
-def choose_boundary(nodes: DataFrame, postings: DataFrame, heads: DataFrame) -> int:
+def choose_boundary(nodes: DataFrame, listed: DataFrame) -> int:
     """The size up to which sets are small: the least sum of subset keys of small sets
     and scanned list entries of large ones, from the counts of every size."""
     count = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
-    scans = postings.where(F.col("n") <= SMALL_MAX).join(heads, "key").groupBy("n").agg(F.sum("size").alias("entries"))
+    scans = listed.where(F.col("n") <= SMALL_MAX).groupBy("n").agg(F.sum("size").alias("entries"))
     scan = {r["n"]: r["entries"] for r in scans.collect()}
     best, boundary, keys = None, 0, 0
     for s in range(LEAST - 1, SMALL_MAX + 1):
@@ -310,18 +323,30 @@ def sketched(pairs: DataFrame, slim: DataFrame) -> DataFrame:
             for s, t, a, b in zip(*(batch.column(c).to_pylist() for c in ("un", "vn", "us", "vs")), strict=True):
                 a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
                 width = min(len(a), len(b))
-                keep.append(may_link(s, t, np.count_nonzero(fold(a, width) != fold(b, width))))
+                keep.append(may_link(s, t, apart(fold(a, width), fold(b, width))))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(us, "u").join(vs, "v").where(fits).select("u", "v", "un", "vn", "us", "vs")
     return joined.mapInArrow(run, "u long, v long")
 
 
+def short_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of members of different components and fitting sizes from rows (key,
+    node, component, n) of lists of up to SHORT members, each pair once."""
+    each = F.struct("node", "component", "n")
+    found = members.groupBy("key").agg(F.sort_array(F.collect_list(each)).alias("m"))
+    one, other = F.col("one"), F.col("other")
+    pairs = found.select("m", F.posexplode("m").alias("k", "one")).select("one", F.explode(F.slice("m", F.col("k") + 2, SHORT)).alias("other"))
+    fits = 100 * F.least(one["n"], other["n"]) >= PERCENT * F.greatest(one["n"], other["n"])
+    return pairs.where(fits & (one["component"] != other["component"])).select(one["node"].alias("u"), other["node"].alias("v")).distinct()
+
+
 class Cell:
-    """Members of a list from one or two of its blocks."""
+    """Members of a long list from one or two of its blocks; refuted: for each member the
+    nodes that it does not link to."""
 
-    def __init__(self, node, block, label, size, sketches) -> None:
-        self.node, self.block, self.label, self.size = node, block, label, size
+    def __init__(self, node, block, label, size, sketches, refuted) -> None:
+        self.node, self.block, self.label, self.size, self.refuted = node, block, label, size, refuted
         self.width = np.array([len(s) for s in sketches])
         self.rows = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width).tolist()}
         self.table = {(w, w): np.stack([np.frombuffer(sketches[i], np.uint8) for i in rows]) for w, rows in self.rows.items()}
@@ -331,9 +356,31 @@ class Cell:
             self.table[width, to] = fold(self.table[width, width], to)
         return self.table[width, to]
 
+    def _near(self, i: int, fit: np.ndarray) -> np.ndarray:
+        """The closest of the members ``fit`` that may link to member i."""
+        found, far = [], []
+        own = int(self.width[i])
+        for width, rows in self.rows.items():
+            asked = np.flatnonzero(fit[rows])
+            if len(asked):
+                to = min(width, own)
+                mine = self._folded(own, to)[np.searchsorted(self.rows[own], i)]
+                distance = apart(self._folded(width, to)[asked], mine)
+                ok = may_link(self.size[rows[asked]], self.size[i], distance)
+                found.append(rows[asked[ok]])
+                far.append(distance[ok])
+        if not found:
+            return np.zeros(0, np.int64)
+        found, far = np.concatenate(found), np.concatenate(far)
+        if self.refuted[i] is not None and len(found):
+            known = ~np.isin(self.node[found], self.refuted[i])
+            found, far = found[known], far[known]
+        return found[np.argsort(far, kind="stable")[:CLOSEST]]
+
     def pairs(self, one: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of nodes of different components whose sizes and sketches allow a link;
-        ``one``: all members are of one block, else only pairs across the two."""
+        """Pairs of nodes of different components whose sizes and sketches allow a link, up
+        to CLOSEST for each member outside the most frequent component; ``one``: all
+        members are of one block, else only pairs across the two."""
         labels, times = np.unique(self.label, return_counts=True)
         most = labels[times.argmax()]
         u, v = [], []
@@ -343,28 +390,20 @@ class Cell:
             fit &= (self.label == most) | (np.arange(len(fit)) > i)
             if not one:
                 fit &= self.block != self.block[i]
-            for width, rows in self.rows.items():
-                near = np.flatnonzero(fit[rows])
-                if not len(near):
-                    continue
-                own = int(self.width[i])
-                to = min(width, own)
-                mine = self._folded(own, to)[np.searchsorted(self.rows[own], i)]
-                apart = np.count_nonzero(self._folded(width, to)[near] != mine, axis=1)
-                found = rows[near[may_link(self.size[rows[near]], self.size[i], apart)]]
-                u.extend([self.node[i]] * len(found))
-                v.extend(self.node[found].tolist())
+            found = self._near(i, fit)
+            u.extend([self.node[i]] * len(found))
+            v.extend(self.node[found].tolist())
         return np.array(u, np.int64), np.array(v, np.int64)
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs (u, v) of different components from rows (key, size, node, component, n,
-    sketch) of lists that hold several components."""
+    sketch, refuted) of long lists that hold several components."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     cells = (
         members.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "b", "component", "n", "sketch")
+        .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "b", "component", "n", "sketch", "refuted")
     )
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -386,6 +425,9 @@ def cross_pairs(members: DataFrame) -> DataFrame:
                 continue
             rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             rows.append(np.array(batch.column(7).to_pylist(), object))
+            refuted = np.empty(batch.num_rows, object)
+            refuted[:] = [None if r is None else np.array(r) for r in batch.column(8).to_pylist()]
+            rows.append(refuted)
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             last = edges(rows)[-1][0]  # the last cell may go on in the next batch
@@ -416,7 +458,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets link; stored."""
+    """``pairs`` (u, v), once each, with linked: whether their full sets link; stored."""
     pairs = stash(pairs.distinct())
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sets = stash(full_sets(docs, nodes.join(asked, "node", "left_semi")))
@@ -424,7 +466,16 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     vs = sets.select(F.col("node").alias("v"), F.col("members").alias("vm"))
     both = F.size(F.array_intersect("um", "vm"))
     joined = pairs.join(vs, "v").join(us, "u").withColumn("both", both)
-    return stash(joined.where(100 * F.col("both") >= PERCENT * (F.size("um") + F.size("vm") - F.col("both"))).select("u", "v"))
+    linked = 100 * F.col("both") >= PERCENT * (F.size("um") + F.size("vm") - F.col("both"))
+    return stash(joined.select("u", "v", linked.alias("linked")))
+
+
+def with_components(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``member`` whose list holds several components, with the component; stored."""
+    found = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stash(found.select(*member.columns, "component"))
+    several = found.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return found.join(stash(several.select("key")), "key", "left_semi")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -432,27 +483,32 @@ def join_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stash(describe(docs))
     nodes = distinct_sets(rows)
-    postings = nodes.where(F.col("n") >= LEAST).select("node", "n", F.explode("first").alias("key"))
-    heads = stash(list_heads(postings))
-    boundary = choose_boundary(nodes, postings, heads)
-
-    scanned = postings.join(heads.where(F.col("largest") > boundary), "key").where(F.col("n") >= -(-PERCENT * (boundary + 1) // 100))
-    small = stash(subset_postings(nodes, boundary))
-    met = small.join(list_heads(small), "key")
-    member = stash(scanned.unionByName(met).select("key", "size", "hub", "node"))
-
     slim = nodes.select("node", "n", "sketch")
+    indexed = lists(nodes.where(F.col("n") >= LEAST).select("node", "n", F.explode("first").alias("key")))
+    boundary = choose_boundary(nodes, indexed)
+    scanned = indexed.where((F.col("largest") > boundary) & (F.col("n") >= -(-PERCENT * (boundary + 1) // 100)))
+    member = scanned.unionByName(lists(subset_postings(nodes, boundary))).select("key", "size", "hub", "node", "n")
+
     stars = member.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    links = confirmed(docs, nodes, sketched(stars, slim))
+    links = confirmed(docs, nodes, sketched(stars, slim)).where("linked").select("u", "v")
     labels = stash(connected_components(links))
 
     # lists of three and more that still hold several components
-    rest = member.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = stash(rest.select("key", "size", "node", "component"))
-    several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rest = rest.join(stash(several.select("key")), "key", "left_semi").join(slim, "node")
-    more = confirmed(docs, nodes, cross_pairs(rest))
-    labels = connected_components(links.unionByName(more))
+    rest = stash(with_components(member.where("size > 2").drop("hub"), labels))
+    short = sketched(short_pairs(rest.where(F.col("size") <= SHORT)), slim)
+    links = links.unionByName(confirmed(docs, nodes, short).where("linked").select("u", "v"))
+    long = rest.where(F.col("size") > SHORT).select("key", "size", "node")
+    refuted = None
+    while True:
+        labels = stash(connected_components(links))
+        left = with_components(long, labels).join(slim, "node")
+        none = F.lit(None).cast("array<long>").alias("refuted")
+        left = left.select("*", none) if refuted is None else left.join(refuted_partners(refuted), "node", "left")
+        named = confirmed(docs, nodes, cross_pairs(left))
+        if not named.limit(1).count():
+            break
+        links = links.unionByName(named.where("linked").select("u", "v"))
+        refuted = named.where("not linked") if refuted is None else refuted.unionByName(named.where("not linked"))
 
     placed = nodes.select("h1", "h2", "node", "rep").join(labels, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
@@ -462,3 +518,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(placed, ["h1", "h2"], "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def refuted_partners(pairs: DataFrame) -> DataFrame:
+    """node and the nodes that it was refuted to link to (they passed the sketch)."""
+    both = pairs.select(F.col("u").alias("node"), "v").unionByName(pairs.select(F.col("v").alias("node"), F.col("u").alias("v")))
+    return both.groupBy("node").agg(F.collect_list("v").alias("refuted"))
