@@ -1,8 +1,8 @@
 """Exact evaluation metrics over (label, score, prediction) columns.
 
 Everything is an aggregate over the scored rows; curves aggregate per distinct
-score first and accumulate over score buckets with the bucketed running sum,
-so no step sorts all rows in one task or collects them to the driver.
+score first and accumulate over equi-depth score ranges, so no step sorts all
+rows in one task or collects them to the driver, however the scores are spread.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import safe_div
-from vantage.operators.sequence import running_sum
+from vantage.operators.quantiles import exact_percentiles, present
+from vantage.operators.sequence import ranged_running_sums
 
 # Score buckets of the scoring report (lower bound inclusive).
 SCORE_BUCKETS = (("very_high", 0.8, None), ("high", 0.6, 0.8), ("moderate", 0.4, 0.6), ("low", 0.2, 0.4), ("very_low", None, 0.2))
@@ -40,13 +41,14 @@ def null_profile(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """E30 count, mean, sample std, min, exact interpolated quartiles, max per column.
-
-    The exact quartile keeps a value->count map per column; the input is the
-    training set (one row per entity), not a fact table."""
+    """E30 count, mean, sample std, min, exact interpolated quartiles, max per column;
+    NULL and NaN are missing.  The moments are one aggregation, the quartiles come from
+    nested histograms (:mod:`vantage.operators.quantiles`)."""
+    quartiles = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = present(c)
+        p25, p50, p75 = (F.lit(v).cast("double") for v in quartiles[c])
         aggs.append(
             F.struct(
                 F.lit(c).alias("feature"),
@@ -54,9 +56,9 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
                 F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("std"),
                 F.min(x).alias("min"),
-                F.percentile(x, 0.25).alias("p25"),
-                F.percentile(x, 0.5).alias("p50"),
-                F.percentile(x, 0.75).alias("p75"),
+                p25.alias("p25"),
+                p50.alias("p50"),
+                p75.alias("p75"),
                 F.max(x).alias("max"),
             ).alias(c)
         )
@@ -122,37 +124,29 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return rows.select(F.explode("r").alias("x")).select("x.*")
 
 
-def _per_score(df: DataFrame, label: str, score: str, buckets: int) -> DataFrame:
-    """Positives / negatives per distinct score, with a score bucket for the
-    ordered passes (scores are probabilities in [0, 1])."""
-    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
+def _per_score(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Positives / negatives per distinct score."""
+    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg")
     )
-    return g.withColumn("_bkt", F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * buckets).cast("int"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """E35 exact ROC-AUC = P(score+ > score-) + 0.5 P(tie), i.e. the rank-sum
     statistic with average ranks for ties.  NULL when one class is missing."""
-    g = _per_score(df, label, score, buckets)
-    c = running_sum(g, [], ["score"], "n_neg", F.col("_bkt"), out="_neg_le")
+    c = ranged_running_sums(_per_score(df, label, score), "score", {"_neg_le": "n_neg"})
     pairs = F.col("n_pos") * (F.col("_neg_le") - F.col("n_neg") + 0.5 * F.col("n_neg"))
     return c.agg(
         safe_div(F.sum(pairs), F.sum("n_pos") * F.sum("n_neg")).alias("roc_auc"),
     )
 
 
-def pr_curve(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 1024) -> DataFrame:
+def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """E36 precision, recall and F1 when predicting positive for score >= t, for
     every distinct score t (recall decreasing as t rises)."""
-    g = _per_score(df, label, score, buckets)
-    # cumulative counts from the top: accumulate over the negated score
-    g = g.withColumn("_neg_score", -F.col("score")).withColumn("_rb", F.lit(buckets) - F.col("_bkt"))
-    c = running_sum(g, [], ["_neg_score"], "n_pos", F.col("_rb"), out="tp")
-    c = running_sum(c, [], ["_neg_score"], "n_neg", F.col("_rb"), out="fp")
-    positives = g.agg(F.sum("n_pos")).scalar()  # scalar subquery, planned once
+    c = ranged_running_sums(_per_score(df, label, score), "score", {"tp": "n_pos", "fp": "n_neg"}, descending=True)
     precision = safe_div("tp", F.col("tp") + F.col("fp"))
-    recall = safe_div(F.col("tp"), positives)
+    recall = safe_div("tp", "tp_total")
     f1 = F.coalesce(safe_div(2 * precision * recall, precision + recall), F.lit(0.0))
     return c.select(F.col("score").alias("threshold"), "tp", "fp", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from vantage.functions.tiers import score_tier
 from vantage.session import reliable_checkpoint
 from vantage.operators import metrics as Mx
+from vantage.operators.quantiles import exact_percentiles
 from vantage.operators.ml import FEATURES, LABEL, RAW_FEATURES, add_tune_in_ratio
 
 log = logging.getLogger(__name__)
@@ -63,8 +64,8 @@ class ExactMedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsRe
 
     def _fit(self, df: DataFrame) -> "ExactMedianImputerModel":
         cols = self.getInputCols()
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]).first()
-        meds = [float(row[c]) if row[c] is not None else 0.0 for c in cols]
+        found = exact_percentiles(df, cols, [0.5])
+        meds = [found[c][0] if found[c][0] is not None else 0.0 for c in cols]
         return ExactMedianImputerModel(inputCols=cols, outputCols=self.getOutputCols(), values=meds)
 
 

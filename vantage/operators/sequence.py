@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantage.session import reliable_checkpoint
+
 _UNB = Window.unboundedPreceding
 
 
@@ -90,3 +92,27 @@ def running_sum(
     if min_before:
         j = j.withColumn(min_before, F.least(F.col("_pmin"), F.col("_off") + F.col("_lmin")))
     return j.drop("_b", "_ls", "_lmin", "_off", "_pmin")
+
+
+def ranged_running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds, for every ``out: value`` of ``sums``, the SUM(value) over all rows up to and
+    including the current one in ``order`` order as ``out``, and over all rows as
+    ``<out>_total``.  ``order`` is unique and numeric.
+
+    The rows are dealt into ranges of about equal numbers of rows (sampled bounds, so any
+    spread of values gives even ranges) and stored once; the sums of the ranges, one row
+    each, are accumulated and joined back to the running sums within each range."""
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    dealt = reliable_checkpoint(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    per_range = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{o}") for o, v in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(_UNB, -1)  # as many rows as there are ranges
+    offsets = per_range.select(
+        "_part",
+        *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums],
+        *[F.sum(f"_s_{o}").over(Window.orderBy("_part").rowsBetween(_UNB, Window.unboundedFollowing)).alias(f"{o}_total") for o in sums],
+    )
+    own = Window.partitionBy("_part").orderBy(by).rowsBetween(_UNB, Window.currentRow)
+    inside = dealt.select("*", *[F.sum(v).over(own).alias(f"_w_{o}") for o, v in sums.items()])
+    joined = inside.join(F.broadcast(offsets), "_part")
+    out = joined.select("*", *[(F.col(f"_o_{o}") + F.col(f"_w_{o}")).alias(o) for o in sums])
+    return out.drop("_part", *[f"_{k}_{o}" for k in "ow" for o in sums])
