@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vantage.functions.scalar import safe_div
 from vantage.operators.quantiles import exact_percentiles, present
 from vantage.operators.sequence import ranged_running_sums
+from vantage.session import reliable_checkpoint
 
 # Score buckets of the scoring report (lower bound inclusive).
 SCORE_BUCKETS = (("very_high", 0.8, None), ("high", 0.6, 0.8), ("moderate", 0.4, 0.6), ("low", 0.2, 0.4), ("very_low", None, 0.2))
@@ -44,7 +45,8 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """E30 count, mean, sample std, min, exact interpolated quartiles, max per column;
     NULL and NaN are missing.  The moments are one aggregation, the quartiles come from
     nested histograms (:mod:`vantage.operators.quantiles`)."""
-    quartiles = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    df = reliable_checkpoint(df.select(*cols))
+    quartiles = exact_percentiles(df, cols, [0.25, 0.5, 0.75], stored=True)
     aggs = []
     for c in cols:
         x = present(c)

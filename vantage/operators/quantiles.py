@@ -52,10 +52,12 @@ def _bin(x: Column, lo: float, hi: float, logs: bool, bins: int) -> Column:
     return F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), at)
 
 
-def exact_percentiles(df: DataFrame, cols: list[str], shares: list[float], bins: int = BINS) -> dict[str, list[float | None]]:
+def exact_percentiles(df: DataFrame, cols: list[str], shares: list[float], bins: int = BINS, stored: bool = False) -> dict[str, list[float | None]]:
     """For every column the interpolated percentiles ``shares`` (0 to 1), equal to
-    ``percentile(col, share)`` over the values that are there."""
-    inputs = reliable_checkpoint(df.select(*[present(c).alias(f"x{k}") for k, c in enumerate(cols)]))
+    ``percentile(col, share)`` over the values that are there.  The columns are stored once
+    for the passes, unless ``df`` is ``stored`` already."""
+    inputs = df.select(*[present(c).alias(f"x{k}") for k, c in enumerate(cols)])
+    inputs = inputs if stored else reliable_checkpoint(inputs)
     first = inputs.agg(*[f(f"x{k}").alias(f"{n}{k}") for k in range(len(cols)) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
     found: dict[tuple[int, int], float] = {}
     # (column, rank) -> the values that may hold it: smallest, largest, whether to divide

@@ -22,6 +22,7 @@ from vantage.operators import lookups as Lk
 from vantage.operators import metrics as Mx
 from vantage.operators import ml as ML
 from vantage.operators import quality as Qa
+from vantage.operators import references as Rf
 from vantage.operators import topk as K
 from vantage.operators import windows as Wn
 from vantage.operators import writes as Wr
@@ -509,6 +510,36 @@ def w10_delete_cascade(t, now=P.NOW, days=P.INACTIVE_DAYS):
     return out
 
 
+def _referring_tables(t, as_of=P.AS_OF):
+    stats = agg.extended_statistics(t.broadcasts(with_primary_category=True), t.snapshots, as_of, P.WINDOW_DAYS)
+    return {
+        "streamers": t.streamers.select("streamer_id"),
+        "categories": t.categories.select("category_id"),
+        "broadcasts": t.broadcasts(with_primary_category=True).select("broadcast_id", "streamer_id", "primary_category_id"),
+        "broadcast_snapshots": t.snapshots.select("broadcast_id", "streamer_id", "snapshot_timestamp", "category_id"),
+        "streamer_statistics": stats.select("streamer_id", F.lit(as_of).cast("date").alias("calculation_date"), "top_category_id"),
+    }
+
+
+def _keys_by_row(marked):
+    """Deleted and cleared keys; equal ones (one instant may hold several) counted."""
+    return Rf.touched_keys(marked).groupBy("table_name", "effect", "id", "place").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def w10_cascade_keys(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    """W10 the keys of all rows that go with the inactive entities, in every table that
+    refers to them."""
+    return _keys_by_row(Rf.delete_rows(_referring_tables(t), "streamers", _inactive_entities(t, now, days)))
+
+
+def w11_nulled_keys(t, now=P.NOW, days=P.INACTIVE_DAYS):
+    """W11 the keys of the rows, and which of their columns lose a category that is
+    deleted: the session's primary one, the snapshot's, the statistics' top one."""
+    seen = Wr.last_activity(t.snapshots.select("category_id", "snapshot_timestamp"), "category_id")
+    gone = Wr.inactive(t.categories.select("category_id").join(seen, "category_id", "left"), now, days)
+    return _keys_by_row(Rf.delete_rows(_referring_tables(t), "categories", gone))
+
+
 def w11_delete_set_null(t, now=P.NOW, days=P.INACTIVE_DAYS):
     """W11 delete categories without a snapshot in the last ``days`` days; the
     snapshots that referenced them keep their rows with a NULL category."""

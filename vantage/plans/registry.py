@@ -56,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w18_inactive_entities": _bind(Q.w18_inactive_entities),
         "w16_deactivate_inactive": _bind(Q.w16_deactivate_inactive),
         "w10_delete_cascade": _bind(Q.w10_delete_cascade),
+        "w10_cascade_keys": _bind(Q.w10_cascade_keys),
+        "w11_nulled_keys": _bind(Q.w11_nulled_keys),
         "w11_delete_set_null": _bind(Q.w11_delete_set_null),
         "a19_archive_split": _bind(Q.a19_archive_split),
         "s3_sessionize": _bind(Q.s3_sessionize),
@@ -156,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
         "w18_inactive_entities": S.w18_inactive_entities(),
         "w16_deactivate_inactive": S.w16_deactivate_inactive(),
         "w10_delete_cascade": S.w10_delete_cascade(),
+        "w10_cascade_keys": S.w10_cascade_keys(),
+        "w11_nulled_keys": S.w11_nulled_keys(),
         "w11_delete_set_null": S.w11_delete_set_null(),
         "a19_archive_split": S.a19_archive_split(),
         "s3_sessionize": S.s3_sessionize(),

@@ -590,6 +590,55 @@ SELECT 'broadcast_snapshots', COUNT(*) FROM broadcast_snapshots WHERE streamer_i
         _inactive_cte(now, days))
 
 
+def _touched(parts: list[tuple[str, str, str, str]], ctes: str) -> str:
+    """Keys by table and effect from (table, effect, id and place, source with condition)."""
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{e}' AS effect, {k} FROM {src}" for t, e, k, src in parts)
+    return with_views(f"""
+SELECT table_name, effect, id, place, count(*) AS row_count FROM ({rows}) AS r GROUP BY table_name, effect, id, place""", ctes)
+
+
+_NO_PLACE = "CAST(NULL AS VARCHAR) AS place"
+_SNAP_KEY = "broadcast_id AS id, strftime(snapshot_timestamp, '%Y-%m-%d %H:%M:%S') AS place"
+
+
+def _extended(as_of=P.AS_OF) -> str:
+    return f"xs AS MATERIALIZED (SELECT streamer_id, top_category_id FROM ({e21_e26_extended_stats(as_of)}) AS x)"
+
+
+def w10_cascade_keys(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    gone = "streamer_id IN (SELECT streamer_id FROM inactive)"
+    return _touched(
+        [
+            ("streamers", "deleted", f"streamer_id AS id, {_NO_PLACE}", f"streamers WHERE {gone}"),
+            ("broadcasts", "deleted", f"broadcast_id AS id, {_NO_PLACE}", f"broadcasts WHERE {gone}"),
+            ("broadcast_snapshots", "deleted", _SNAP_KEY,
+             f"broadcast_snapshots WHERE {gone} OR broadcast_id IN (SELECT broadcast_id FROM broadcasts WHERE {gone})"),
+            ("streamer_statistics", "deleted", f"streamer_id AS id, '{_d(P.AS_OF).isoformat()}' AS place", f"xs WHERE {gone}"),
+        ],
+        _inactive_cte(now, days) + "," + _extended(),
+    )
+
+
+def w11_nulled_keys(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
+    cut = _now(now) - dt.timedelta(days=days)
+    ctes = f"""
+cseen AS (SELECT category_id, MAX(snapshot_timestamp) AS last_seen_at FROM broadcast_snapshots GROUP BY category_id),
+gone AS (
+    SELECT c.category_id FROM categories c LEFT JOIN cseen ON cseen.category_id = c.category_id
+    WHERE cseen.last_seen_at IS NULL OR cseen.last_seen_at < {_ts(cut)}
+)"""
+    hit = "IN (SELECT category_id FROM gone)"
+    return _touched(
+        [
+            ("categories", "deleted", f"category_id AS id, {_NO_PLACE}", f"categories WHERE category_id {hit}"),
+            ("broadcasts", "primary_category_id", f"broadcast_id AS id, {_NO_PLACE}", f"broadcasts WHERE primary_category_id {hit}"),
+            ("broadcast_snapshots", "category_id", _SNAP_KEY, f"broadcast_snapshots WHERE category_id {hit}"),
+            ("streamer_statistics", "top_category_id", f"streamer_id AS id, '{_d(P.AS_OF).isoformat()}' AS place", f"xs WHERE top_category_id {hit}"),
+        ],
+        ctes + "," + _extended(),
+    )
+
+
 def w11_delete_set_null(now=P.NOW, days=P.INACTIVE_DAYS) -> str:
     cut = _now(now) - dt.timedelta(days=days)
     return with_views(f"""
