@@ -20,6 +20,17 @@ from vantage.session import reliable_checkpoint
 _UNB = Window.unboundedPreceding
 
 
+def _dealt(df: DataFrame, partition: list[str], bucket: Column) -> DataFrame:
+    """``df`` dealt by (partition, bucket ``_b``), all its columns packed in ``_row``.
+
+    The rows and the bucket edges are two uses of this one exchange: as every row is one
+    value, both need the same columns, so the second use reads the shuffle files of
+    the first and the input is read once."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    packed = df.withColumn("_b", bucket).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)], "_b", whole)
+    return packed.repartition(*[f"_k{i}" for i in range(len(partition))], "_b")
+
+
 def day_bucket(ts: str) -> Column:
     """Days since the epoch of a timestamp (a non-decreasing bucket of it)."""
     return F.datediff(F.to_date(F.col(ts)), F.lit("1970-01-01").cast("date"))
@@ -40,29 +51,20 @@ def shift(
     if direction not in ("lag", "lead"):
         raise ValueError("direction must be 'lag' or 'lead'")
     prefix = prefix if prefix is not None else ("prev_" if direction == "lag" else "next_")
-    keys = [*partition, "_b"]
-    x = df.withColumn("_b", bucket)
-    if direction == "lag":
-        w = Window.partitionBy(*keys).orderBy(*order)
-        fn = F.lag
-    else:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        fn = F.lag  # lag over the reversed order is lead
-    x = x.withColumn("_edge_row", F.row_number().over(w) == 1)
-    for c in cols:
-        x = x.withColumn(f"_loc_{c}", fn(c).over(w))
-    packed = F.struct(*[F.col(c).alias(c) for c in cols])
-    rank = F.struct(*order)
-    agg = F.max_by(packed, rank) if direction == "lag" else F.min_by(packed, rank)
-    edges = x.groupBy(*keys).agg(agg.alias("_edge"))
-    wb = Window.partitionBy(*partition).orderBy("_b")
+    keys = [*(f"_k{i}" for i in range(len(partition))), "_b"]
+    dealt = _dealt(df, partition, bucket)
+    place = [F.col(f"_row.{c}") for c in order]
+    w = Window.partitionBy(*keys).orderBy(*(place if direction == "lag" else [c.desc() for c in place]))
+    # lag over the reversed order is lead
+    x = dealt.select("*", F.lag("_row").over(w).alias("_loc"))
+    rank = F.struct(*place)
+    edge = F.max_by("_row", rank) if direction == "lag" else F.min_by("_row", rank)
+    edges = dealt.groupBy(*keys).agg(edge.alias("_edge"))
+    wb = Window.partitionBy(*keys[:-1]).orderBy("_b")
     nb = F.lag("_edge").over(wb) if direction == "lag" else F.lead("_edge").over(wb)
     edges = edges.select(*keys, nb.alias("_nb"))
-    j = x.join(edges, keys, "left")
-    out = j
-    for c in cols:
-        out = out.withColumn(prefix + c, F.when(F.col("_edge_row"), F.col(f"_nb.{c}")).otherwise(F.col(f"_loc_{c}")))
-    return out.drop("_b", "_edge_row", "_nb", *[f"_loc_{c}" for c in cols])
+    j = x.join(edges, keys, "left").select("_row", F.coalesce("_loc", "_nb").alias("_near"))
+    return j.select("_row.*", *[F.col(f"_near.{c}").alias(prefix + c) for c in cols])
 
 
 def running_sum(
@@ -77,21 +79,26 @@ def running_sum(
     """Adds ``out`` = SUM(value) over rows up to and including the current one, and
     optionally ``min_before`` = the minimum of ``out`` over the strictly earlier
     rows of the partition (NULL on the first row)."""
-    keys = [*partition, "_b"]
-    x = df.withColumn("_b", bucket)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = x.withColumn("_ls", F.sum(value).over(w.rowsBetween(_UNB, Window.currentRow)))
+    keys = [*(f"_k{i}" for i in range(len(partition))), "_b"]
+    dealt = _dealt(df, partition, bucket)
+    v = F.col(f"_row.{value}")
+    w = Window.partitionBy(*keys).orderBy(*[F.col(f"_row.{c}") for c in order])
+    x = dealt.select("*", F.sum(v).over(w.rowsBetween(_UNB, Window.currentRow)).alias("_ls"))
     if min_before:
         x = x.withColumn("_lmin", F.min("_ls").over(w.rowsBetween(_UNB, -1)))
-    g = x.groupBy(*keys).agg(F.sum(value).alias("_bt"), F.min("_ls").alias("_bmin"))
-    wb = Window.partitionBy(*partition).orderBy("_b")
-    g = g.withColumn("_off", F.coalesce(F.sum("_bt").over(wb.rowsBetween(_UNB, -1)), F.lit(0)))
-    g = g.withColumn("_pmin", F.min(F.col("_off") + F.col("_bmin")).over(wb.rowsBetween(_UNB, -1)))
-    j = x.join(g.select(*keys, "_off", "_pmin"), keys, "left")
-    j = j.withColumn(out, F.col("_off") + F.col("_ls"))
+        g = x.groupBy(*keys).agg(F.sum(v).alias("_bt"), F.min("_ls").alias("_bmin"))
+    else:
+        g = dealt.groupBy(*keys).agg(F.sum(v).alias("_bt"))
+    wb = Window.partitionBy(*keys[:-1]).orderBy("_b")
+    before = wb.rowsBetween(_UNB, -1)
+    g = g.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
+    if min_before:
+        g = g.withColumn("_pmin", F.min(F.col("_off") + F.col("_bmin")).over(before)).drop("_bmin")
+    j = x.join(g.drop("_bt"), keys, "left")
+    found = [(F.col("_off") + F.col("_ls")).alias(out)]
     if min_before:
-        j = j.withColumn(min_before, F.least(F.col("_pmin"), F.col("_off") + F.col("_lmin")))
-    return j.drop("_b", "_ls", "_lmin", "_off", "_pmin")
+        found.append(F.least(F.col("_pmin"), F.col("_off") + F.col("_lmin")).alias(min_before))
+    return j.select("_row.*", *found)
 
 
 def ranged_running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
