@@ -122,7 +122,7 @@ def test_linked_sets_share_a_list_and_pass_the_sketch(common, left, right, seed)
 @pytest.mark.parametrize("one", [True, False])
 def test_cells_name_every_pair_in_rounds(one):
     """Asked again without what was refuted, a cell names every pair that links, and each
-    time no more than CLOSEST for a member."""
+    time no more than so many for a member."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     sets = []
@@ -132,14 +132,15 @@ def test_cells_name_every_pair_in_rounds(one):
         sets.append(np.unique(s[: 300 - k % 3]))
     label, block = rng.choice([1, 1, 1, 2, 3], 120), rng.integers(0, 2, 120)
     size, sketches = np.array([len(s) for s in sets]), [J.sketch(s).tobytes() for s in sets]
-    seen, refuted = set(), [None] * 120
+    seen, refuted, closest = set(), [None] * 120, 3
     while True:
-        u, v = J.Cell(np.arange(120), block, label, size, sketches, refuted).pairs(one)
+        u, v, more = J.Cell(np.arange(120), block, label, size, sketches, refuted, closest).pairs(one)
         got = {tuple(sorted(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}
-        assert not got & seen and len(got) <= J.CLOSEST * 120
-        if not got:
-            break
+        assert not got & seen and len(got) <= closest * 120
         seen |= got
+        if not more.any():
+            break
+        closest *= 2
         refuted = [np.array([sum(p) - k for p in seen if k in p]) for k in range(120)]
     for i, j in itertools.combinations(range(120), 2):
         both = len(np.intersect1d(sets[i], sets[j]))

@@ -23,8 +23,8 @@ lost by leaving them out.  Lists that still hold several components go on.  Shor
 all lists.  Long ones are dealt in blocks; pairs of blocks compare members of different
 components, and every member outside the largest component names its ``CLOSEST``
 partners only, so what a list gives out grows with its members, not with their pairs.
-Components are taken anew and long lists compared again, without the pairs that were
-refuted, until no pair is named.
+If a member had more, components are taken anew and long lists compared again without
+the pairs that were refuted, with ``WIDER`` times as many partners each round.
 
 Before the full sets of a pair are fetched, odd sketches bound their difference from
 below: a sketch holds the parity of the number of members in each class of hashes, and
@@ -60,7 +60,7 @@ SEEN = 4  # rows among those from which a shingle is reported
 FREQUENT = 2**17  # at most so many shingles have a place at the end of the order
 SHORT = 64  # members of a list whose pairs are given out
 BLOCK = 512
-CLOSEST = 4
+CLOSEST, WIDER = 4, 16
 BROADCAST_ROWS = 2**19
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PLACES = np.random.default_rng(30).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -343,10 +343,11 @@ def short_pairs(members: DataFrame) -> DataFrame:
 
 class Cell:
     """Members of a long list from one or two of its blocks; refuted: for each member the
-    nodes that it does not link to."""
+    nodes that it does not link to; closest: how many partners a member names."""
 
-    def __init__(self, node, block, label, size, sketches, refuted) -> None:
+    def __init__(self, node, block, label, size, sketches, refuted, closest: int = CLOSEST) -> None:
         self.node, self.block, self.label, self.size, self.refuted = node, block, label, size, refuted
+        self.closest = closest
         self.width = np.array([len(s) for s in sketches])
         self.rows = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width).tolist()}
         self.table = {(w, w): np.stack([np.frombuffer(sketches[i], np.uint8) for i in rows]) for w, rows in self.rows.items()}
@@ -357,7 +358,7 @@ class Cell:
         return self.table[width, to]
 
     def _near(self, i: int, fit: np.ndarray) -> np.ndarray:
-        """The closest of the members ``fit`` that may link to member i."""
+        """The members ``fit`` that may link to member i, the closest first."""
         found, far = [], []
         own = int(self.width[i])
         for width, rows in self.rows.items():
@@ -375,29 +376,31 @@ class Cell:
         if self.refuted[i] is not None and len(found):
             known = ~np.isin(self.node[found], self.refuted[i])
             found, far = found[known], far[known]
-        return found[np.argsort(far, kind="stable")[:CLOSEST]]
+        return found[np.argsort(far, kind="stable")]
 
-    def pairs(self, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of nodes of different components whose sizes and sketches allow a link, up
-        to CLOSEST for each member outside the most frequent component; ``one``: all
-        members are of one block, else only pairs across the two."""
+        to ``closest`` for each member outside the most frequent component, and whether
+        it had more; ``one``: all members are of one block, else only pairs across the two."""
         labels, times = np.unique(self.label, return_counts=True)
         most = labels[times.argmax()]
-        u, v = [], []
+        u, v, more = [], [], []
         # a pair of different components has a member outside the most frequent one
         for i in np.flatnonzero(self.label != most):
             fit = (self.label != self.label[i]) & sizes_link(self.size, self.size[i])
             fit &= (self.label == most) | (np.arange(len(fit)) > i)
             if not one:
                 fit &= self.block != self.block[i]
-            found = self._near(i, fit)
+            near = self._near(i, fit)
+            found = near[: self.closest]
             u.extend([self.node[i]] * len(found))
             v.extend(self.node[found].tolist())
-        return np.array(u, np.int64), np.array(v, np.int64)
+            more.extend([len(near) > len(found)] * len(found))
+        return np.array(u, np.int64), np.array(v, np.int64), np.array(more, bool)
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components from rows (key, size, node, component, n,
+def cross_pairs(members: DataFrame, closest: int) -> DataFrame:
+    """Pairs (u, v, more) of different components from rows (key, size, node, component, n,
     sketch, refuted) of long lists that hold several components."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     cells = (
@@ -410,9 +413,10 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 
     def run(batches):
         def found(rows):
-            pairs = [Cell(*(x[a:b] for x in rows[3:])).pairs(rows[1][a] == rows[2][a]) for a, b in edges(rows)]
-            u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            pairs = [Cell(*(x[a:b] for x in rows[3:]), closest).pairs(rows[1][a] == rows[2][a]) for a, b in edges(rows)]
+            u, v, more = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+            made = [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(more)]
+            return pa.RecordBatch.from_arrays(made, names=["u", "v", "more"])
 
         def edges(rows):
             cut = (np.diff(np.stack(rows[:3]), axis=1) != 0).any(axis=0)
@@ -437,7 +441,7 @@ def cross_pairs(members: DataFrame) -> DataFrame:
         if held is not None:
             yield found(held)
 
-    return cells.mapInArrow(run, "u long, v long")
+    return cells.mapInArrow(run, "u long, v long, more boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -498,17 +502,18 @@ def join_documents(docs: DataFrame) -> DataFrame:
     short = sketched(short_pairs(rest.where(F.col("size") <= SHORT)), slim)
     links = links.unionByName(confirmed(docs, nodes, short).where("linked").select("u", "v"))
     long = rest.where(F.col("size") > SHORT).select("key", "size", "node")
-    refuted = None
-    while True:
-        labels = stash(connected_components(links))
-        left = with_components(long, labels).join(slim, "node")
+    refuted, closest, more = None, CLOSEST, True
+    while more:
+        left = with_components(long, stash(connected_components(links))).join(slim, "node")
         none = F.lit(None).cast("array<long>").alias("refuted")
         left = left.select("*", none) if refuted is None else left.join(refuted_partners(refuted), "node", "left")
-        named = confirmed(docs, nodes, cross_pairs(left))
-        if not named.limit(1).count():
-            break
-        links = links.unionByName(named.where("linked").select("u", "v"))
-        refuted = named.where("not linked") if refuted is None else refuted.unionByName(named.where("not linked"))
+        named = stash(cross_pairs(left, closest).groupBy("u", "v").agg(F.max("more").alias("more")))
+        more = named.where("more").limit(1).count() > 0
+        asked = confirmed(docs, nodes, named.select("u", "v"))
+        links = links.unionByName(asked.where("linked").select("u", "v"))
+        refuted = asked.where("not linked") if refuted is None else refuted.unionByName(asked.where("not linked"))
+        closest *= WIDER
+    labels = stash(connected_components(links))
 
     placed = nodes.select("h1", "h2", "node", "rep").join(labels, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
