@@ -142,19 +142,6 @@ def rolling_statistics(
     )
 
 
-def _day_grain_snapshots(snaps: DataFrame) -> DataFrame:
-    """Collapse snapshots before the date fan-out of V8: one row per entity, day,
-    viewers and category, which all measures can be taken from (the median weighs
-    viewers by their count, distinct categories stay apart)."""
-    day = F.to_date("snapshot_timestamp").alias("snap_day")
-    return snaps.groupBy("streamer_id", day, "concurrent_viewers", "category_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("chat_messages_delta").alias("sum_msgs"),
-        F.max("follower_count").alias("max_f"),
-        F.min("follower_count").alias("min_f"),
-    )
-
-
 def stats_history(
     streamers: DataFrame,
     broadcasts: DataFrame,
@@ -165,65 +152,20 @@ def stats_history(
     window_days: int = 30,
     only_active: bool = True,
 ) -> DataFrame:
-    """V8: the rolling statistics of Q8 for every date of a grid, in one job.
-
-    Each (pre-aggregated) row is tagged with the grid dates whose window covers
-    it by arithmetic (``covering_dates``), so the fan-out per row is bounded by
-    ``window_days / step_days + 1`` and no row pairs are formed.  All aggregates
-    are keyed by (streamer_id, calculation_date) and co-partitioned for the joins.
-    """
-    from vantage.operators.windows import covering_dates
+    """V8: the rolling statistics of Q8 for every date of a grid, in one job, from day
+    summaries merged over sliding windows (:mod:`vantage.operators.sliding`)."""
+    from vantage.operators.sliding import sliding_statistics
 
     lo = (dt.date.fromisoformat(first) - dt.timedelta(days=window_days)).isoformat()
     hi = (dt.date.fromisoformat(last) + dt.timedelta(days=1)).isoformat()
-    sess = completed_sessions(
-        broadcasts.select("streamer_id", "started_at", "ended_at").filter(
-            (F.col("started_at") >= ts_lit(lo)) & (F.col("started_at") < ts_lit(hi))
-        )
-    )
-    sess = covering_dates(sess, "started_at", first, last, step_days, window_days)
-    bm = sess.groupBy("streamer_id", "calculation_date").agg(
-        F.count(F.lit(1)).alias("total_broadcasts"),
-        F.sum("duration_hours").alias("total_broadcast_hours"),
-        F.avg("duration_hours").alias("avg_broadcast_duration"),
-    )
+    inside = lambda df, ts: df.filter((F.col(ts) >= ts_lit(lo)) & (F.col(ts) < ts_lit(hi)))
+    sess = completed_sessions(inside(broadcasts.select("streamer_id", "started_at", "ended_at"), "started_at"))
     snaps = snapshots.select(
         "streamer_id", "snapshot_timestamp", "concurrent_viewers", "chat_messages_delta", "category_id", "follower_count"
-    ).filter((F.col("snapshot_timestamp") >= ts_lit(lo)) & (F.col("snapshot_timestamp") < ts_lit(hi)))
-    keys = ["streamer_id", "calculation_date"]
-    # one scan, one collapse and one fan-out for every measure
-    v, n = F.col("concurrent_viewers"), F.col("n")
-    a = covering_dates(_day_grain_snapshots(snaps), "snap_day", first, last, step_days, window_days).groupBy(*keys).agg(
-        F.sum("n").alias("snapshot_rows"),
-        safe_div(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("avg_concurrent_viewers"),
-        F.max(v).alias("max_concurrent_viewers"),
-        F.percentile(v, 0.5, n).alias("median_concurrent_viewers"),
-        safe_div(F.sum("sum_msgs"), F.sum(v * n) * F.lit(SNAPSHOT_HOURS)).alias("avg_chat_rate"),
-        F.size(F.collect_set("category_id")).cast("long").alias("unique_categories"),
-        (F.max("max_f") - F.min("min_f")).alias("follower_gain_30d"),
-        F.max("max_f").alias("latest_follower_count"),
     )
     ents = streamers.filter(F.col("is_active")) if only_active else streamers
-    j = (
-        bm.join(ents.select("streamer_id"), "streamer_id")
-        .join(a, keys, "left")
-    )
-    gain = zero_if_null("follower_gain_30d")
-    hours = zero_if_null("total_broadcast_hours").cast("double")
-    return j.select(
-        "streamer_id",
-        "calculation_date",
-        "total_broadcasts",
-        hours.alias("total_broadcast_hours"),
-        zero_if_null("avg_broadcast_duration").cast("double").alias("avg_broadcast_duration"),
-        zero_if_null("avg_concurrent_viewers").cast("double").alias("avg_concurrent_viewers"),
-        zero_if_null("max_concurrent_viewers").cast("int").alias("max_concurrent_viewers"),
-        zero_if_null("median_concurrent_viewers").cast("double").alias("median_concurrent_viewers"),
-        zero_if_null("avg_chat_rate").cast("double").alias("avg_chat_rate"),
-        zero_if_null("unique_categories").alias("unique_categories"),
-        gain.alias("follower_gain_30d"),
-        zero_if_null("latest_follower_count").alias("latest_follower_count"),
-        F.when((gain != 0) & (hours > 0), safe_div(gain, hours)).otherwise(F.lit(0.0)).alias("follower_velocity"),
+    return sliding_statistics(
+        ents, sess, inside(snaps, "snapshot_timestamp"), first, last, step_days, window_days, SNAPSHOT_HOURS
     )
 
 

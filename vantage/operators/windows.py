@@ -7,8 +7,6 @@ through the bucketed operators of :mod:`vantage.operators.sequence`.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,21 +100,3 @@ def follower_delta(snapshots: DataFrame) -> DataFrame:
     return s.withColumn("follower_delta", delta).withColumn("follower_delta_per_hour", safe_div(delta, hours)).drop(
         "prev_follower_count", "prev_snapshot_timestamp"
     )
-
-
-def covering_dates(df: DataFrame, ts: str, first: str, last: str, step_days: int, window_days: int) -> DataFrame:
-    """V8 helper: each row tagged with every grid date whose rolling window
-    ``[D - window_days, D + 1)`` contains ``ts``; a range join computed by
-    arithmetic and ``explode(sequence)``, so no pairs are enumerated and each row
-    yields at most ``window_days / step + 1`` copies."""
-    d0 = dt.date.fromisoformat(first)
-    d1 = dt.date.fromisoformat(last)
-    k_last = (d1 - d0).days // step_days
-    day = F.datediff(F.to_date(F.col(ts)), F.lit(d0.isoformat()).cast("date"))
-    # D = d0 + k*step must satisfy day(ts) <= D_day <= day(ts) + window_days
-    k_lo = F.greatest(F.ceil(day / F.lit(float(step_days))), F.lit(0)).cast("int")
-    k_hi = F.least(F.floor((day + F.lit(window_days)) / F.lit(float(step_days))), F.lit(k_last)).cast("int")
-    ks = F.when(k_lo <= k_hi, F.sequence(k_lo, k_hi)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("_k", F.explode(ks)).withColumn(
-        "calculation_date", F.date_add(F.lit(d0.isoformat()).cast("date"), F.col("_k") * F.lit(step_days))
-    ).drop("_k")

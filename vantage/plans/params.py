@@ -15,6 +15,7 @@ NOW = "2001-08-29 00:00:00"   # instant for discovery and freshness queries
 DISCOVERY_RECENT_DAYS = 7
 FRESHNESS_SECONDS = 3600 * 24 * 30
 STATS_DATES = ("1996-01-06", "2001-07-01", 91)  # first, last, step (days): a grid through AS_OF
+DAILY_DATES, DAILY_WINDOW = ("1997-03-01", "1997-06-30", 1), 30  # every day of four months
 LABEL_THRESHOLD = 40.0        # Q10 peak avg viewers for the positive class (reference: 17000), ~10% positives
 MIN_HOURS = 10.0              # Q10 first-record hours floor
 MIN_LISTING_VIEWERS = 100     # Q20 viewer range (inclusive)

@@ -233,6 +233,11 @@ def v8_stats_history(t, dates=P.STATS_DATES, window_days=P.WINDOW_DAYS):
     return storage_scale(agg.stats_history(t.streamers, t.broadcasts(), t.snapshots, first, last, step, window_days))
 
 
+def v8_daily_history(t, dates=P.DAILY_DATES, window_days=P.DAILY_WINDOW):
+    """V8 with a step of one day and the reference's window of 30 days."""
+    return v8_stats_history(t, dates, window_days)
+
+
 def _stats_on(t, as_of, window_days=P.WINDOW_DAYS):
     """The statistics rows of one calculation date (as the daily job writes them)."""
     return storage_scale(agg.rolling_statistics(t.streamers, t.broadcasts(), t.snapshots, as_of, window_days))

@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q10_training_set": _bind(Q.q10_training_set),
         "q9_daily_stats_ddl": _bind(Q.q9_daily_stats_ddl),
         "v8_stats_history": _bind(Q.v8_stats_history),
+        "v8_daily_history": _bind(Q.v8_daily_history),
         "q15_discoveries_per_day": _bind(Q.q15_discoveries_per_day),
         "q16_recent_account_age": _bind(Q.q16_recent_account_age),
         "q17_recent_active": _bind(Q.q17_recent_active),
@@ -139,6 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "q10_training_set": S.q10_training_set(),
         "q9_daily_stats_ddl": S.q9_daily_stats_ddl(),
         "v8_stats_history": S.v8_stats_history(),
+        "v8_daily_history": S.v8_daily_history(),
         "q15_discoveries_per_day": S.q15_discoveries_per_day(),
         "q16_recent_account_age": S.q16_recent_account_age(),
         "q17_recent_active": S.q17_recent_active(),

@@ -1372,3 +1372,7 @@ SELECT c.streamer_id, c.started_at, count(*) AS chat_messages_delta
 FROM chat_att c LEFT JOIN ends e ON e.streamer_id = c.streamer_id AND e.started_at = c.started_at
 WHERE c.started_at IS NOT NULL AND (e.last IS NULL OR c.event_time >= e.last)
 GROUP BY ALL""", ctes)
+
+
+def v8_daily_history() -> str:
+    return v8_stats_history(P.DAILY_DATES, P.DAILY_WINDOW)
