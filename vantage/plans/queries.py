@@ -575,11 +575,12 @@ def _sessions(t):
 
 
 def _attached(t):
-    """Tracked chat messages and poll samples attached to their sessions in one
-    pass over the lifecycle stack (S4) that carries their columns along; stored once
-    and split by ``_src``."""
+    """Tracked chat messages (counted between lifecycle events and samples, J12) and poll
+    samples attached to their sessions in one pass over the lifecycle stack (S4) that
+    carries their columns along; stored once and split by ``_src``."""
     chat = LC.filter_chat(L.chat_events(t.events), t.streamers.filter(F.col("is_active")))
     polls = L.poll_samples(t.events)
+    chat = LC.precount(chat, _lifecycle(t), polls)
     both = chat.withColumn("_src", F.lit("chat")).unionByName(polls.withColumn("_src", F.lit("poll")), allowMissingColumns=True)
     a = reliable_checkpoint(LC.attach_session(both, _lifecycle(t), _sessions(t)))
     pick = lambda src, like: a.filter(F.col("_src") == src).select(*like.columns, "broadcast_id", "started_at")
@@ -606,7 +607,7 @@ def s4_chat_per_session(t):
     """S4 + S9: tracked, non-echo chat messages attached to the open session."""
     a = _chat_attached(t).filter(F.col("broadcast_id").isNotNull())
     return a.groupBy("streamer_id", "started_at").agg(
-        F.count(F.lit(1)).alias("messages"), F.min("event_time").alias("first_message"), F.max("event_time").alias("last_message")
+        F.sum("n").alias("messages"), F.min("event_time").alias("first_message"), F.max("last_time").alias("last_message")
     )
 
 

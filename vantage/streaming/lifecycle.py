@@ -131,6 +131,34 @@ def attach_session(events: DataFrame, lifecycle: DataFrame, sessions: DataFrame)
     )
 
 
+def precount(chat: DataFrame, lifecycle: DataFrame, polls: DataFrame, bucket_minutes: int = 60) -> DataFrame:
+    """Messages counted before anything is put in order.  One row for all messages of
+    an entity between two neighbouring lifecycle events or poll samples: the time and id
+    of its first message, ``n`` and ``last_time``; it attaches and carries over as each
+    of its messages would.
+
+    Lifecycle events and samples are few; those of an entity and time bucket meet the
+    messages as sorted lists over an equi-join, whose message side may be split, and the
+    messages are counted in the tasks.  So no task sorts or holds one channel's messages."""
+    width = F.lit(bucket_minutes * 60_000_000)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("event_time"))
+    bucket = F.floor(micros / width).cast("bigint").alias("_b")
+    place = F.struct("event_time", "event_id")
+    cuts = lifecycle.select("streamer_id", bucket, place.alias("_l"), F.lit(None).cast("timestamp_ntz").alias("_p")).unionByName(
+        polls.select("streamer_id", bucket, F.lit(None).alias("_l"), F.col("event_time").alias("_p")), allowMissingColumns=True
+    )
+    cuts = cuts.groupBy("streamer_id", "_b").agg(F.collect_list("_l").alias("_ls"), F.collect_list("_p").alias("_ps"))
+    j = chat.withColumn("_b", bucket).join(cuts, ["streamer_id", "_b"], "left")
+    # events before a message; a sample at its instant comes first
+    after = F.size(F.filter(F.coalesce("_ls", F.array()), lambda c: c < place))
+    polled = F.size(F.filter(F.coalesce("_ps", F.array()), lambda c: c <= F.col("event_time")))
+    return (
+        j.groupBy("streamer_id", "_b", after.alias("_after"), polled.alias("_polled"))
+        .agg(F.min(place).alias("_f"), F.count(F.lit(1)).alias("n"), F.max("event_time").alias("last_time"))
+        .select("streamer_id", "_f.event_time", "_f.event_id", "n", "last_time")
+    )
+
+
 def validate_tick(minutes: int) -> int:
     """S12 the poll interval must divide an hour (or be whole hours dividing a day)."""
     if minutes <= 0 or (minutes < 60 and 60 % minutes) or (minutes >= 60 and (minutes % 60 or 24 % (minutes // 60))):
@@ -138,30 +166,23 @@ def validate_tick(minutes: int) -> int:
     return minutes
 
 
-def chat_delta_per_tick(chat_attached: DataFrame, minutes: int = 15) -> DataFrame:
-    """S5 (base): chat messages per session per tick window."""
-    w = F.window("event_time", f"{validate_tick(minutes)} minutes")
-    return chat_attached.filter(F.col("broadcast_id").isNotNull()).groupBy("broadcast_id", w.alias("w")).agg(
-        F.count(F.lit(1)).alias("chat_messages_delta")
-    ).select("broadcast_id", F.col("w.end").alias("snapshot_timestamp"), "chat_messages_delta")
-
-
 def chat_delta_carry_over(chat_attached: DataFrame, polls_attached: DataFrame, keep_tail: bool = False) -> DataFrame:
     """S5 (carry-over) + S13: each poll sample of a session gets the messages since
     the previous sample of that session (a missed poll carries its messages to
     the next one).  Messages after the last sample are dropped, or, with
     ``keep_tail``, emitted on a final row with a NULL sample id."""
+    weight = F.col("n") if "n" in chat_attached.columns else F.lit(1)  # precounted messages
     c = chat_attached.filter(F.col("broadcast_id").isNotNull()).select(
-        "broadcast_id", "event_time", "event_id", F.lit(0).alias("_p")
+        "broadcast_id", "event_time", "event_id", F.lit(0).alias("_p"), weight.cast("bigint").alias("_n")
     )
     p = polls_attached.filter(F.col("broadcast_id").isNotNull()).select(
-        "broadcast_id", "event_time", "event_id", F.lit(1).alias("_p")
+        "broadcast_id", "event_time", "event_id", F.lit(1).alias("_p"), F.lit(0).cast("bigint").alias("_n")
     )
     # a message and a poll at the same instant: the poll reads the counter first
     u = c.unionByName(p).withColumn("_o", F.when(F.col("_p") == 1, 0).otherwise(1))
     r = running_sum(u, ["broadcast_id"], ["event_time", "_o", "event_id"], "_p", day_bucket("event_time"), out="_polls")
     msgs = r.filter(F.col("_p") == 0).groupBy("broadcast_id", (F.col("_polls") + 1).alias("_slot")).agg(
-        F.count(F.lit(1)).alias("chat_messages_delta")
+        F.sum("_n").alias("chat_messages_delta")
     )
     polls = r.filter(F.col("_p") == 1).select("broadcast_id", F.col("_polls").alias("_slot"), F.col("event_id").alias("poll_event_id"))
     how = "full_outer" if keep_tail else "left"
