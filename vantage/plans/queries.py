@@ -927,6 +927,33 @@ def p15_baseline_tiers(t):
     ).orderBy(F.col("score").desc(), "username")
 
 
+def p8_sparse_keys(t, as_of=P.AS_OF):
+    """The keys of the rows that each of the named sparse predicates selects.  Peaks
+    come from the session rollup, growth and consistency from the extended statistics;
+    a trending category stands for one that the games database knows."""
+    stats = _stats_on(t, as_of).select("streamer_id", "avg_chat_rate", "follower_velocity", "unique_categories")
+    extended = agg.extended_statistics(t.broadcasts(with_primary_category=True), t.snapshots, as_of, P.WINDOW_DAYS)
+    peaks = t.broadcasts().select("broadcast_id").join(
+        agg.session_rollup(t.snapshots).select("broadcast_id", "peak_viewers"), "broadcast_id", "left"
+    )
+    categories = t.categories.withColumn("igdb_id", F.when(F.col("is_trending"), F.col("category_id")))
+    tables = [
+        ("broadcasts", "broadcast_id", t.broadcasts().select("broadcast_id", "ended_at"), ["live_sessions"]),
+        ("broadcasts", "broadcast_id", peaks, ["has_peak"]),
+        ("broadcast_snapshots", "broadcast_id", t.snapshots.select("broadcast_id", "chat_messages_delta"), ["busy_chat"]),
+        ("categories", "category_id", categories, ["trending", "has_type", "has_igdb"]),
+        ("streamers", "streamer_id", t.streamers, ["active", "has_language"]),
+        ("streamer_statistics", "streamer_id", stats, ["positive_chat_rate", "positive_velocity", "multi_category"]),
+        ("streamer_statistics", "streamer_id", extended, ["positive_growth", "positive_consistency"]),
+    ]
+    out = None
+    for table, key, df, names in tables:
+        hit = F.array_compact(F.array(*[F.when(F.expr(flt.SPARSE_PREDICATES[n]), F.lit(n)) for n in names]))
+        rows = df.select(F.explode(hit).alias("predicate"), F.lit(table).alias("table_name"), F.col(key).cast("bigint").alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("predicate", "table_name", "id").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def p8_sparse_predicates(t, as_of=P.AS_OF):
     """P8 how many rows each named sparse predicate selects, per table."""
     stats = _stats_on(t, as_of)

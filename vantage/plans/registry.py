@@ -107,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w2_upsert_entities": _bind(Q.w2_upsert_entities),
         "w13_engagement_rate": _bind(Q.w13_engagement_rate),
         "p15_baseline_tiers": _bind(Q.p15_baseline_tiers),
+        "p8_sparse_keys": _bind(Q.p8_sparse_keys),
         "p8_sparse_predicates": _bind(Q.p8_sparse_predicates),
         "w5_close_sessions": _bind(Q.w5_close_sessions),
         "d3_tracked_union": _bind(Q.d3_tracked_union),
@@ -207,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "w2_upsert_entities": S.w2_upsert_entities(),
         "w13_engagement_rate": S.w13_engagement_rate(),
         "p15_baseline_tiers": S.p15_baseline_tiers(),
+        "p8_sparse_keys": S.p8_sparse_keys(),
         "p8_sparse_predicates": S.p8_sparse_predicates(),
         "w5_close_sessions": S.w5_close_sessions(),
         "d3_tracked_union": S.d3_tracked_union(),

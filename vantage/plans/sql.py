@@ -1379,3 +1379,25 @@ GROUP BY ALL""", ctes)
 
 def v8_daily_history() -> str:
     return v8_stats_history(P.DAILY_DATES, P.DAILY_WINDOW)
+
+
+def p8_sparse_keys(as_of=P.AS_OF) -> str:
+    found = [
+        ("live_sessions", "broadcasts", "broadcast_id", "broadcasts WHERE ended_at IS NULL"),
+        ("has_peak", "broadcasts", "broadcast_id",
+         "broadcasts WHERE broadcast_id IN (SELECT broadcast_id FROM broadcast_snapshots WHERE concurrent_viewers IS NOT NULL)"),
+        ("busy_chat", "broadcast_snapshots", "broadcast_id", "broadcast_snapshots WHERE chat_messages_delta > 100"),
+        ("trending", "categories", "category_id", "categories WHERE is_trending"),
+        ("has_igdb", "categories", "category_id", "categories WHERE is_trending"),
+        ("has_type", "categories", "category_id", "categories WHERE category_type IS NOT NULL"),
+        ("active", "streamers", "streamer_id", "streamers WHERE is_active"),
+        ("has_language", "streamers", "streamer_id", "streamers WHERE broadcaster_language IS NOT NULL"),
+        ("positive_chat_rate", "streamer_statistics", "streamer_id", "d_stats WHERE avg_chat_rate > 0"),
+        ("positive_velocity", "streamer_statistics", "streamer_id", "d_stats WHERE follower_velocity > 0"),
+        ("multi_category", "streamer_statistics", "streamer_id", "d_stats WHERE unique_categories > 1"),
+        ("positive_growth", "streamer_statistics", "streamer_id", "xs WHERE viewer_growth_rate > 0"),
+        ("positive_consistency", "streamer_statistics", "streamer_id", "xs WHERE streaming_consistency > 0"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS predicate, '{t}' AS table_name, CAST({k} AS BIGINT) AS id FROM {src}" for n, t, k, src in found)
+    ctes = _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d") + f",\nxs AS MATERIALIZED (SELECT * FROM ({e21_e26_extended_stats(as_of)}) AS x)"
+    return with_views(f"SELECT predicate, table_name, id, count(*) AS row_count FROM ({rows}) AS r GROUP BY ALL", ctes)
