@@ -81,3 +81,20 @@ def test_stratified_split_is_exact_per_class(spark):
     assert got[(0, True)] == 180 and got[(0, False)] == 720
     again = stratified_split(df, test_fraction=0.2, seed=42, buckets=16).filter("is_test").select("streamer_id")
     assert again.exceptAll(s.filter("is_test").select("streamer_id")).count() == 0  # deterministic by seed
+
+
+def test_split_without_strata(spark):
+    """M6: a class of one row cannot be stratified; the split is then over all rows."""
+    from vantage.operators.model import split_train_test
+
+    rows = [(k, 1 if k == 7 else 0) for k in range(50)]
+    df = spark.createDataFrame(rows, "streamer_id long, is_mega_streamer int")
+    s = split_train_test(df)
+    assert s.columns == ["streamer_id", "is_mega_streamer", "is_test"]
+    assert s.filter("is_test").count() == 10 and s.count() == 50
+    both = spark.createDataFrame([(k, k % 2) for k in range(50)], "streamer_id long, is_mega_streamer int")
+    assert [r["count"] for r in split_train_test(both).filter("is_test").groupBy("is_mega_streamer").count().collect()] == [5, 5]
+    # a test set smaller than the number of classes
+    few = spark.createDataFrame([(k, k % 2) for k in range(4)], "streamer_id long, is_mega_streamer int")
+    assert split_train_test(few).filter("is_test").count() == 1
+    assert split_train_test(df.limit(0)).count() == 0

@@ -157,6 +157,16 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = "streamer_id"
     return j.drop("_h", "_bk", "_before", "_c", "_k")
 
 
+def split_train_test(df: DataFrame, label: str = LABEL, key: str = "streamer_id", test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """M6 stratified by class, or over all rows alike when that cannot be: a class has a
+    single row, or the test set would have fewer rows than there are classes."""
+    sizes = [r["count"] for r in df.groupBy(label).count().collect()]  # a row per class
+    if sizes and (min(sizes) < 2 or round(sum(sizes) * test_fraction) < len(sizes)):
+        log.warning("classes of %s rows cannot be stratified; splitting without", sizes)
+        return stratified_split(df.withColumn("_all", F.lit(0)), "_all", key, test_fraction, seed).drop("_all")
+    return stratified_split(df, label, key, test_fraction, seed)
+
+
 def with_class_weight(train: DataFrame, label: str = LABEL, weight: str = "weight") -> tuple[DataFrame, float]:
     """M7 positives weigh n_negative / n_positive of the training split (1 without positives)."""
     row = train.agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).first()
@@ -189,7 +199,7 @@ def train(training: DataFrame, test_fraction: float = 0.2, seed: int = 42, label
     data = add_tune_in_ratio(training, overwrite=False).withColumn("label", F.col(label).cast("double"))
     dist = check_distribution(data, label)
     # cut the lineage once: the split feeds both the fit and the evaluation
-    split = reliable_checkpoint(stratified_split(data, label, test_fraction=test_fraction, seed=seed))
+    split = reliable_checkpoint(split_train_test(data, label, test_fraction=test_fraction, seed=seed))
     split = split.repartition(partitions, "streamer_id").sortWithinPartitions("streamer_id")
     tr, te = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     tr, w = with_class_weight(tr, label)

@@ -21,6 +21,7 @@ MIN_HOURS = 10.0              # Q10 first-record hours floor
 MIN_LISTING_VIEWERS = 100     # Q20 viewer range (inclusive)
 MAX_LISTING_VIEWERS = 300
 DISCOVERY_LIMIT = 5           # Q20 new entities per category
+SHORT_DISCOVERY_LIMIT = 2     # Q20 a limit that categories of the test data reach
 REPLAY_DAYS = 30              # W1: the ingestion re-sends this many days before AS_OF
 INACTIVE_DAYS = 365           # W16/W18 entities without activity for this long
 ARCHIVE_AFTER_DAYS = 365      # A19 snapshots older than NOW - this go to the archive

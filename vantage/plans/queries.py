@@ -501,6 +501,23 @@ def w16_deactivate_inactive(t, now=P.NOW, days=P.INACTIVE_DAYS):
     return st
 
 
+def w4_create_sessions(t):
+    """The session rows that the online events create, and how many of them share
+    an id (one each; a replay of the events gives the same ids and adds none)."""
+    online = _lifecycle(t).filter(F.col("kind") == "online")
+    created = Wr.create_sessions(online.unionByName(online))
+    ids = created.groupBy("broadcast_id", "streamer_id", "started_at", "stream_title", "primary_category_id", "ended_at").agg(
+        (F.count(F.lit(1)) / 2).cast("bigint").alias("events")
+    )
+    shared = ids.groupBy("broadcast_id").agg(F.count(F.lit(1)).alias("sessions_of_id"))
+    return ids.join(shared, "broadcast_id").drop("broadcast_id")
+
+
+def q20_short_discovery(t, limit=P.SHORT_DISCOVERY_LIMIT):
+    """Q20 / K5 with a limit that cuts: the summary per category."""
+    return q20_discovery_summary(t, limit=limit)
+
+
 def w10_delete_cascade(t, now=P.NOW, days=P.INACTIVE_DAYS):
     """W10 delete the inactive entities with their sessions and snapshots;
     report the rows that remain."""

@@ -56,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w17_maintain_categories": _bind(Q.w17_maintain_categories),
         "w18_inactive_entities": _bind(Q.w18_inactive_entities),
         "w16_deactivate_inactive": _bind(Q.w16_deactivate_inactive),
+        "w4_create_sessions": _bind(Q.w4_create_sessions),
+        "q20_short_discovery": _bind(Q.q20_short_discovery),
         "w10_delete_cascade": _bind(Q.w10_delete_cascade),
         "w10_cascade_keys": _bind(Q.w10_cascade_keys),
         "w11_nulled_keys": _bind(Q.w11_nulled_keys),
@@ -160,6 +162,8 @@ def oracle_sql() -> dict[str, str]:
         "w17_maintain_categories": S.w17_maintain_categories(),
         "w18_inactive_entities": S.w18_inactive_entities(),
         "w16_deactivate_inactive": S.w16_deactivate_inactive(),
+        "w4_create_sessions": S.w4_create_sessions(),
+        "q20_short_discovery": S.q20_short_discovery(),
         "w10_delete_cascade": S.w10_delete_cascade(),
         "w10_cascade_keys": S.w10_cascade_keys(),
         "w11_nulled_keys": S.w11_nulled_keys(),

@@ -1401,3 +1401,16 @@ def p8_sparse_keys(as_of=P.AS_OF) -> str:
     rows = " UNION ALL ".join(f"SELECT '{n}' AS predicate, '{t}' AS table_name, CAST({k} AS BIGINT) AS id FROM {src}" for n, t, k, src in found)
     ctes = _stats_ctes(_one_date(as_of), P.WINDOW_DAYS, "d") + f",\nxs AS MATERIALIZED (SELECT * FROM ({e21_e26_extended_stats(as_of)}) AS x)"
     return with_views(f"SELECT predicate, table_name, id, count(*) AS row_count FROM ({rows}) AS r GROUP BY ALL", ctes)
+
+
+def w4_create_sessions() -> str:
+    """One session per online event, with the defaults; ids tell events apart."""
+    return with_views("""
+SELECT user_id AS streamer_id, ts AS started_at, 'stream ' || CAST(event_id AS VARCHAR) AS stream_title,
+       TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS primary_category_id, CAST(NULL AS TIMESTAMP) AS ended_at,
+       CAST(1 AS BIGINT) AS events, CAST(1 AS BIGINT) AS sessions_of_id
+FROM events WHERE event_type = 'signup'""")
+
+
+def q20_short_discovery(limit=P.SHORT_DISCOVERY_LIMIT) -> str:
+    return q20_discovery_summary(limit=limit)
