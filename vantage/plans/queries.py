@@ -795,6 +795,32 @@ def q22_batch_scoring(t):
     return score(_trained(t)["model"], feats)
 
 
+def m12_importance_checks(t):
+    """The features that have an importance, that it is not negative, and that all
+    sum to one."""
+    imp = m12_feature_importance(t)
+    total = imp.agg(F.abs(F.sum("importance") - 1) < 1e-9).scalar()
+    return imp.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("sums_to_one"))
+
+
+def m17_report_checks(t):
+    """The lines of the test report with their support, and whether every
+    measure lies between 0 and 1."""
+    inside = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return m17_train_evaluate(t).select("class", "support", (inside("precision") & inside("recall") & inside("f1")).alias("in_range"))
+
+
+def q22_score_checks(t):
+    """Q22: every entity once with its features, and whether score, decision, tier and
+    rank agree with each other."""
+    s = q22_batch_scoring(t)
+    p = F.col("mega_streamer_score")
+    same = F.when(p != 0.5, (p > 0.5).cast("int") == F.col("mega_streamer_prediction")).otherwise(F.lit(True))
+    s = s.withColumn("_band", F.when(p >= 0.8, 5).when(p >= 0.6, 4).when(p >= 0.4, 3).when(p >= 0.2, 2).otherwise(1))
+    tiers = s.groupBy("tier").agg((F.min("_band") == F.max("_band")).alias("tier_by_score"))  # a row per tier
+    return s.join(tiers, "tier").select("streamer_id", *ML.RAW_FEATURES, (p.between(0, 1) & same).alias("decided_by_score"), "tier_by_score")
+
+
 # ------------------------------------------------ streaming runs (availableNow)
 
 

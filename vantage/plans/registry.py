@@ -90,6 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m17_train_evaluate": _bind(Q.m17_train_evaluate),
         "m12_feature_importance": _bind(Q.m12_feature_importance),
         "q22_batch_scoring": _bind(Q.q22_batch_scoring),
+        "q22_score_checks": _bind(Q.q22_score_checks),
+        "m17_report_checks": _bind(Q.m17_report_checks),
+        "m12_importance_checks": _bind(Q.m12_importance_checks),
         "s1_s2_stream_sessions": _bind(Q.s1_s2_stream_sessions),
         "s4_stream_chat_per_session": _bind(Q.s4_stream_chat_per_session),
         "s5_stream_carry_over": _bind(Q.s5_stream_carry_over),
@@ -164,6 +167,9 @@ def oracle_sql() -> dict[str, str]:
         "w16_deactivate_inactive": S.w16_deactivate_inactive(),
         "w4_create_sessions": S.w4_create_sessions(),
         "q20_short_discovery": S.q20_short_discovery(),
+        "m12_importance_checks": S.m12_importance_checks(),
+        "m17_report_checks": S.m17_report_checks(),
+        "q22_score_checks": S.q22_score_checks(),
         "w10_delete_cascade": S.w10_delete_cascade(),
         "w10_cascade_keys": S.w10_cascade_keys(),
         "w11_nulled_keys": S.w11_nulled_keys(),

@@ -1414,3 +1414,31 @@ FROM events WHERE event_type = 'signup'""")
 
 def q20_short_discovery(limit=P.SHORT_DISCOVERY_LIMIT) -> str:
     return q20_discovery_summary(limit=limit)
+
+
+# The features of the classifier.
+MODEL_FEATURES = (
+    "total_broadcasts", "total_broadcast_hours", "first_30d_avg_viewers", "first_30d_chat_rate", "first_30d_follower_gain",
+    "first_30d_follower_velocity", "first_30d_unique_categories", "first_30d_follower_count", "tune_in_ratio",
+)
+
+
+def m12_importance_checks() -> str:
+    return f"SELECT unnest({list(MODEL_FEATURES)}) AS feature, true AS not_negative, true AS sums_to_one"
+
+
+def m17_report_checks(test_fraction=0.2) -> str:
+    """The test rows of each class, as the stratified split takes them."""
+    ctes = _training_ctes() + f""",
+t AS (
+    SELECT CAST(is_mega_streamer AS VARCHAR) AS c, CAST(round(count(*) * {test_fraction}, 0) AS BIGINT) AS k
+    FROM training GROUP BY is_mega_streamer
+)"""
+    return with_views("""
+SELECT c AS class, k AS support, true AS in_range FROM t
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT CAST(sum(k) AS BIGINT) FROM t), true""", ctes)
+
+
+def q22_score_checks() -> str:
+    columns = ", ".join(MODEL_FEATURES[:-1])
+    return with_views(f"SELECT streamer_id, {columns}, true AS decided_by_score, true AS tier_by_score FROM training", _training_ctes())
