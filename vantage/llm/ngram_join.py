@@ -58,7 +58,7 @@ SMALL_MAX = 64  # sizes up to which subsets are considered
 FLUSH = 1_000_000  # shingles counted together when frequent ones are sought
 SEEN = 4  # rows among those from which a shingle is reported
 FREQUENT = 2**17  # at most so many shingles have a place at the end of the order
-SHORT = 64  # members of a list whose pairs are given out
+SHORT = 8  # members of a list whose pairs are given out: at most 3.5 pairs a member
 BLOCK = 512
 CLOSEST, WIDER = 4, 16
 BROADCAST_ROWS = 2**19
