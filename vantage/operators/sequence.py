@@ -27,8 +27,7 @@ def _dealt(df: DataFrame, partition: list[str], bucket: Column) -> DataFrame:
     value, both need the same columns, so the second use reads the shuffle files of
     the first and the input is read once."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    packed = df.withColumn("_b", bucket).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)], "_b", whole)
-    return packed.repartition(*[f"_k{i}" for i in range(len(partition))], "_b")
+    return df.withColumn("_b", bucket).select(*partition, "_b", whole).repartition(*partition, "_b")
 
 
 def day_bucket(ts: str) -> Column:
@@ -51,7 +50,7 @@ def shift(
     if direction not in ("lag", "lead"):
         raise ValueError("direction must be 'lag' or 'lead'")
     prefix = prefix if prefix is not None else ("prev_" if direction == "lag" else "next_")
-    keys = [*(f"_k{i}" for i in range(len(partition))), "_b"]
+    keys = [*partition, "_b"]
     dealt = _dealt(df, partition, bucket)
     place = [F.col(f"_row.{c}") for c in order]
     w = Window.partitionBy(*keys).orderBy(*(place if direction == "lag" else [c.desc() for c in place]))
@@ -79,7 +78,7 @@ def running_sum(
     """Adds ``out`` = SUM(value) over rows up to and including the current one, and
     optionally ``min_before`` = the minimum of ``out`` over the strictly earlier
     rows of the partition (NULL on the first row)."""
-    keys = [*(f"_k{i}" for i in range(len(partition))), "_b"]
+    keys = [*partition, "_b"]
     dealt = _dealt(df, partition, bucket)
     v = F.col(f"_row.{value}")
     w = Window.partitionBy(*keys).orderBy(*[F.col(f"_row.{c}") for c in order])
