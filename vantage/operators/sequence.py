@@ -109,7 +109,8 @@ def ranged_running_sums(df: DataFrame, order: str, sums: dict[str, str], descend
     spread of values gives even ranges) and stored once; the sums of the ranges, one row
     each, are accumulated and joined back to the running sums within each range."""
     by = F.col(order).desc() if descending else F.col(order).asc()
-    dealt = reliable_checkpoint(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    rows = reliable_checkpoint(df)  # read twice: for the sampled bounds and for the ranges
+    dealt = reliable_checkpoint(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
     per_range = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{o}") for o, v in sums.items()])
     before = Window.orderBy("_part").rowsBetween(_UNB, -1)  # as many rows as there are ranges
     offsets = per_range.select(
