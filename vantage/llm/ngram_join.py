@@ -23,8 +23,8 @@ lost by leaving them out.  Lists that still hold several components go on.  Shor
 all lists.  Long ones are dealt in blocks; pairs of blocks compare members of different
 components, and every member outside the largest component names its ``CLOSEST``
 partners only, so what a list gives out grows with its members, not with their pairs.
-If a member had more, components are taken anew and long lists compared again without
-the pairs that were refuted, with ``WIDER`` times as many partners each round.
+Lists with a member that had more are compared again, with components taken anew, without
+the pairs that were refuted and with ``WIDER`` times as many partners each round.
 
 Before the full sets of a pair are fetched, odd sketches bound their difference from
 below: a sketch holds the parity of the number of members in each class of hashes, and
@@ -400,7 +400,7 @@ class Cell:
 
 
 def cross_pairs(members: DataFrame, closest: int) -> DataFrame:
-    """Pairs (u, v, more) of different components from rows (key, size, node, component, n,
+    """Pairs (key, u, v, more) of different components from rows (key, size, node, component, n,
     sketch, refuted) of long lists that hold several components."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     cells = (
@@ -415,8 +415,9 @@ def cross_pairs(members: DataFrame, closest: int) -> DataFrame:
         def found(rows):
             pairs = [Cell(*(x[a:b] for x in rows[3:]), closest).pairs(rows[1][a] == rows[2][a]) for a, b in edges(rows)]
             u, v, more = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-            made = [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(more)]
-            return pa.RecordBatch.from_arrays(made, names=["u", "v", "more"])
+            key = np.repeat([rows[0][a] for a, _ in edges(rows)], [len(p[0]) for p in pairs]).astype(np.int64)
+            made = [pa.array(key), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(more)]
+            return pa.RecordBatch.from_arrays(made, names=["key", "u", "v", "more"])
 
         def edges(rows):
             cut = (np.diff(np.stack(rows[:3]), axis=1) != 0).any(axis=0)
@@ -441,7 +442,7 @@ def cross_pairs(members: DataFrame, closest: int) -> DataFrame:
         if held is not None:
             yield found(held)
 
-    return cells.mapInArrow(run, "u long, v long, more boolean")
+    return cells.mapInArrow(run, "key long, u long, v long, more boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -502,18 +503,26 @@ def join_documents(docs: DataFrame) -> DataFrame:
     short = sketched(short_pairs(rest.where(F.col("size") <= SHORT)), slim)
     links = links.unionByName(confirmed(docs, nodes, short).where("linked").select("u", "v"))
     long = rest.where(F.col("size") > SHORT).select("key", "size", "node")
-    refuted, closest, more = None, CLOSEST, True
-    while more:
-        left = with_components(long, stash(connected_components(links))).join(slim, "node")
+    refuted, closest = None, CLOSEST
+    labels = stash(connected_components(links))
+    while True:
+        left = with_components(long, labels).join(slim, "node")
         none = F.lit(None).cast("array<long>").alias("refuted")
         left = left.select("*", none) if refuted is None else left.join(refuted_partners(refuted), "node", "left")
-        named = stash(cross_pairs(left, closest).groupBy("u", "v").agg(F.max("more").alias("more")))
-        more = named.where("more").limit(1).count() > 0
+        named = stash(cross_pairs(left, closest))
         asked = confirmed(docs, nodes, named.select("u", "v"))
-        links = links.unionByName(asked.where("linked").select("u", "v"))
-        refuted = asked.where("not linked") if refuted is None else refuted.unionByName(asked.where("not linked"))
+        linked = asked.where("linked").select("u", "v")
+        if linked.limit(1).count():
+            links = links.unionByName(linked)
+            labels = stash(connected_components(links))
+        again = stash(named.where("more").select("key").distinct())
+        if not again.limit(1).count():
+            break
+        # in the other lists every pair that may link was named
+        long = stash(long.join(again, "key", "left_semi"))
+        missed = asked.where("not linked")
+        refuted = missed if refuted is None else refuted.unionByName(missed)
         closest *= WIDER
-    labels = stash(connected_components(links))
 
     placed = nodes.select("h1", "h2", "node", "rep").join(labels, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
