@@ -60,3 +60,19 @@ def test_training_set_boundaries(spark):
     assert got[1][LABEL] == 1 and got[3][LABEL] == 1 and got[4][LABEL] == 0
     assert got[1].first_30d_avg_viewers == 100.0  # features from the first record
     assert got[1].tune_in_ratio == 100.0 / (1000 + 1e-6)
+
+
+def test_training_set_reads_statistics_once(spark):
+    """First record and peak share a pass, and neither the sort nor a second reader repeats it."""
+    s = _stats(spark, [(k, "2025-01-01", 12.0, 100.0) for k in range(20)] + [(k, "2025-02-01", 12.0, 17000.0) for k in range(20)])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    found = training_set(s.mapInArrow(counted, s.schema), 17000.0, 10.0)
+    assert [r.streamer_id for r in found.collect()] == list(range(20))
+    assert found.filter(f"{LABEL} = 1").count() == 20
+    assert read.value == 40
