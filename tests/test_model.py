@@ -71,3 +71,9 @@ def test_single_record_keeps_given_ratio(spark, separable):
 def test_cross_validation_small_grid(spark, separable):
     cv = Mo.cross_validate(separable, grid={"maxDepth": [2, 3]}, folds=2, maxIter=3)
     assert len(cv.avgMetrics) == 2
+
+
+def test_rows_are_dealt_over_tasks(spark, separable, monkeypatch):
+    assert Mo.train(separable, maxIter=1, maxDepth=1)["predictions"].rdd.getNumPartitions() == 1
+    monkeypatch.setattr(Mo, "ROWS_PER_PARTITION", 150)
+    assert Mo.train(separable, maxIter=1, maxDepth=1)["predictions"].rdd.getNumPartitions() == 3
