@@ -81,6 +81,7 @@ def start_ingestion(
     minutes: int = 15,
     watermark: str = S.WATERMARK,
     max_session_hours: float = S.MAX_SESSION_HOURS,
+    buckets: int = S.BUCKETS,
     available_now: bool = False,
     processing_time: str = "1 minute",
 ) -> StreamingQuery:
@@ -89,7 +90,7 @@ def start_ingestion(
     if not IG._exists(spark, _at(root, TRACKED)):  # an empty version, so that the folder can be followed
         write_tracked(root, spark.createDataFrame([], "streamer_id bigint, username string"), "1970-01-01")
     changes = IG.read_stream(spark, _at(root, TRACKED), S.CHANGE_SCHEMA)
-    records = S.session_records(events, changes, minutes, watermark, max_session_hours)
+    records = S.session_records(events, changes, minutes, watermark, max_session_hours, buckets)
     writer = (
         records.writeStream.outputMode("append")
         .foreachBatch(_write_records(root))

@@ -1,8 +1,10 @@
 """Keyed state of the live service.
 
 One ``transformWithState`` operator holds, per entity, the stack of open sessions, the
-message counter of each and the sample of the tick under way.  Lifecycle events, chat
-messages and poll samples of all entities pass through it in event-time order:
+message counter of each and the sample of the tick under way.  Entities share a state key
+by hash (``buckets``), since each call to the state store costs far more than a row: a
+micro-batch makes some ten calls a bucket, however many entities it holds.  Lifecycle
+events, chat messages and poll samples of all entities pass through it in event-time order:
 
 * arrivals wait in a list until the watermark has passed them and an event-time timer
   releases them, sorted by (time, id); so a late online that arrives after a newer
@@ -22,13 +24,16 @@ messages and poll samples of all entities pass through it in event-time order:
   its last snapshot and tail; what an entity keeps then is a fixed number of counters
   and one number per stack level it ever reached.
 
-The state holds one entity's arrivals of about one watermark delay and micro-batch (bound
-it by ``maxFilesPerTrigger``), and rows are read one by one, never as one frame.
+A key holds its entities' arrivals of about one watermark delay and micro-batch (bound it
+by ``maxFilesPerTrigger``, and by more buckets for more entities), and rows are read one by
+one, never as one frame.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
+from collections import defaultdict, namedtuple
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -42,6 +47,7 @@ WATERMARK = "60 seconds"  # a poll run may be up to a minute late (S11)
 MAX_SESSION_HOURS = 7 * 24
 DEFAULT_TITLE = "Untitled Stream"
 EVENT_INSTANT = "event_instant"
+BUCKETS = 4096  # state keys; a checkpoint keeps the number it began with
 
 # The records that pass the state: kind is online, offline, chat, poll or clock (which
 # only moves the watermark); login is the lower-cased name of the entity.
@@ -53,15 +59,17 @@ EVENT_SCHEMA = (
 CHANGE_SCHEMA = "login string, streamer_id bigint, tracked boolean, changed_at timestamp_ntz"
 
 _SESSION = ("started", "level", "seq", "title", "category", "messages", "tick", "viewers", "tick_category", "followers", "tick_messages")
-_ENTITY_STATE = (
-    "streamer_id bigint, tracked boolean, opened_on array<bigint>, timer bigint, started array<bigint>, level array<bigint>, "
-    "seq array<bigint>, title array<string>, category array<bigint>, messages array<bigint>, tick array<bigint>, "
-    "viewers array<int>, tick_category array<bigint>, followers array<bigint>, tick_messages array<bigint>"
-)
-_WAITING_STATE = (
-    "us bigint, event_id bigint, kind string, streamer_id bigint, title string, category_id bigint, viewer_count int, follower_count bigint"
-)
 COUNTERS = ("opened", "closed", "expired", "dropped_offline", "messages", "ignored_messages", "samples", "ignored_samples", "failed_samples")
+# The state of a bucket.  Rows are kept as JSON, many in one value: each value that goes to
+# the state store costs several times what the row itself does.  ``kept`` has an item per
+# entity, ``sessions`` one per open session with the place of its entity, and ``started``
+# the start of each open session.
+_KEPT = ("login", "streamer_id", "tracked", "opened_on", *COUNTERS)
+_BUCKET_STATE = "kept string, sessions string, started array<bigint>"
+_STARTED, _TICK = _SESSION.index("started"), _SESSION.index("tick")
+_WAITING_STATE = "rows string"  # an array of [us, arrival]
+_ARRIVAL = ("login", "event_id", "kind", "streamer_id", "title", "category_id", "viewer_count", "follower_count")
+Arrival = namedtuple("Arrival", ("us", *_ARRIVAL))
 # Rows the operator puts out, by kind of record.
 RECORD_SCHEMA = (
     "record string, login string, streamer_id bigint, level bigint, session_seq bigint, started_at timestamp_ntz, "
@@ -76,17 +84,17 @@ _OUTPUT = (
 class Entity:
     """Sessions and counters of one entity; ``advance`` takes events in order."""
 
-    def __init__(self, login: str, tick: int, longest: int, state=None, counters=None) -> None:
+    def __init__(self, login: str | None, tick: int, longest: int, kept: tuple | None = None, sessions=()) -> None:
         self.login, self.tick, self.longest = login, tick, longest
-        self.streamer_id, self.tracked, self.opened_on, self.timer = None, None, [], None
-        self.open: list[dict] = []
-        if state is not None:
-            self.streamer_id, self.tracked, self.opened_on, self.timer = state[0], state[1], list(state[2]), state[3]
-            self.open = [dict(zip(_SESSION, x, strict=True)) for x in zip(*state[4:], strict=True)]
-        self.counters = dict(zip(COUNTERS, counters or [0] * len(COUNTERS), strict=True))
+        self.streamer_id, self.tracked, self.opened_on, counters = None, None, [], [0] * len(COUNTERS)
+        if kept is not None:
+            _, self.streamer_id, self.tracked, self.opened_on, *counters = kept
+        self.open: list[dict] = [dict(zip(_SESSION, x, strict=True)) for x in sessions]
+        self.counters = dict(zip(COUNTERS, counters, strict=True))
 
-    def state(self) -> tuple:
-        return (self.streamer_id, self.tracked, self.opened_on, self.timer, *([s[k] for s in self.open] for k in _SESSION))
+    def state(self) -> tuple[tuple, list[tuple]]:
+        kept = (self.login, self.streamer_id, self.tracked, self.opened_on, *self.counters.values())
+        return kept, [tuple(s[k] for k in _SESSION) for s in self.open]
 
     def _row(self, record: str, s: dict | None, us: int | None, event_id=None, **values) -> Row:
         s = s or {}
@@ -181,14 +189,9 @@ class Entity:
             if s["tick"] is not None and s["tick"] <= now:
                 yield from self._snapshot(s)
 
-    def due(self) -> list[int]:
-        """Times at which there is something to put out without a further event."""
-        ticks = [s["tick"] for s in self.open if s["tick"] is not None]
-        return ticks + [s["started"] + self.longest for s in self.open]
-
 
 class SessionTracker(StatefulProcessor):
-    """The state of one entity, its waiting arrivals and one timer at a time."""
+    """The state of one bucket of entities, their waiting arrivals and one timer at a time."""
 
     CHUNK = 1000
 
@@ -197,61 +200,88 @@ class SessionTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entity = handle.getValueState("entity", _ENTITY_STATE)
+        self.entity = handle.getValueState("entity", _BUCKET_STATE)
         self.waiting = handle.getListState("waiting", _WAITING_STATE)
-        self.counters = handle.getValueState("counters", ", ".join(f"{c} bigint" for c in COUNTERS))
-
-    def _load(self, login: str) -> Entity:
-        state = self.entity.get() if self.entity.exists() else None
-        return Entity(login, self.tick, self.longest, state, self.counters.get() if state is not None else None)
-
-    def _schedule(self, found: Entity, us: int | None) -> None:
-        """Keep the one timer of the entity at the earliest millisecond that reaches ``us``."""
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _load(self) -> dict[str | None, tuple[tuple, list[tuple]]]:
+        """What is kept of each entity, and its open sessions, by login."""
+        found = self.entity.get()
+        if found is None:
+            return {}
+        states = [(kept, []) for kept in json.loads(found[0])]
+        for owner, *session in json.loads(found[1]):
+            states[owner][1].append(session)
+        return {kept[0]: (kept, sessions) for kept, sessions in states}
+
+    def _save(self, states: dict) -> None:
+        kept = [k for k, _ in states.values()]
+        sessions = [(owner, *s) for owner, (_, open_now) in enumerate(states.values()) for s in open_now]
+        self.entity.update((json.dumps(kept), json.dumps(sessions), [s[_STARTED + 1] for s in sessions]))
+
+    def _due(self, sessions: list[tuple]) -> int | None:
+        """The first time at which an entity's sessions put something out by themselves."""
+        ticks = [s[_TICK] for s in sessions if s[_TICK] is not None]
+        return min(ticks + [s[_STARTED] + self.longest for s in sessions], default=None)
+
+    def _scheduled(self) -> int | None:
+        found = self.timer.get()
+        return None if found is None else found[0]
+
+    def _schedule(self, before: int | None, us: int | None) -> None:
+        """Keep the one timer of the bucket at the earliest millisecond that reaches ``us``."""
         at = None if us is None else -(-us // 1000)
-        if at != found.timer:
-            if found.timer is not None:
-                self.handle.deleteTimer(found.timer)
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
             if at is not None:
                 self.handle.registerTimer(at)
-            found.timer = at
+        self.timer.update((at,))
+
+    def _wait(self, rows: list[tuple[int, str]]) -> None:
+        for k in range(0, len(rows), self.CHUNK):
+            self.waiting.appendValue(("[" + ",".join(f"[{us},{arrival}]" for us, arrival in rows[k : k + self.CHUNK]) + "]",))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        found = self._load(key[0])
-        first = None if found.timer is None else found.timer * 1000
-        chunk: list[tuple] = []
-        for r in rows:
-            us = max(r.us, passed) if r.kind in ("track", "untrack") else r.us
+        before = self._scheduled()
+        first = None if before is None else before * 1000
+        chunk: list[tuple[int, str]] = []
+        for _, instant, us, arrival in rows:
+            us = max(us, passed) if instant is None else us  # a change of the tracked set
             first = us if first is None else min(first, us)
-            chunk.append((us, r.event_id, r.kind, r.streamer_id, r.title, r.category_id, r.viewer_count, r.follower_count))
+            chunk.append((us, arrival))
             if len(chunk) == self.CHUNK:
-                self.waiting.appendList(chunk)
+                self._wait(chunk)
                 chunk = []
-        if chunk:
-            self.waiting.appendList(chunk)
-        self._schedule(found, first)
-        self._save(found)
+        self._wait(chunk)
+        if first is not None and -(-first // 1000) != before:
+            self._schedule(before, first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        found = self._load(key[0])
-        found.timer = None  # the one that fired
-        fields = ("us", "event_id", "kind", "streamer_id", "title", "category_id", "viewer_count", "follower_count")
-        arrived = [Row(**dict(zip(fields, e, strict=True))) for e in self.waiting.get()]
-        due = sorted((e for e in arrived if e.us <= now), key=lambda e: (e.us, e.event_id is not None, e.event_id))
-        rest = [tuple(e) for e in arrived if e.us > now]
-        if due:
+        arrived, rest = defaultdict(list), []
+        for us, arrival in (x for (rows,) in self.waiting.get() for x in json.loads(rows)):
+            if us <= now:
+                arrived[arrival.get("login")].append(Arrival(us, *map(arrival.get, _ARRIVAL)))
+            else:
+                rest.append((us, json.dumps(arrival)))
+        states = self._load()
+        due = {login: self._due(sessions) for login, (_, sessions) in states.items()}
+        moved = list(arrived) + [login for login, at in due.items() if at is not None and at <= now and login not in arrived]
+        for login in moved:
+            found = Entity(login, self.tick, self.longest, *states.get(login, ()))
+            events = sorted(arrived.get(login, ()), key=lambda e: (e.us, e.event_id is not None, e.event_id))
+            yield from found.advance(events, now)
+            states[login] = found.state()
+            due[login] = self._due(states[login][1])
+        if arrived:
             self.waiting.clear()
-            for k in range(0, len(rest), self.CHUNK):
-                self.waiting.appendList(rest[k : k + self.CHUNK])
-        yield from found.advance(due, now)
-        self._schedule(found, min([*(e[0] for e in rest), *found.due()], default=None))
-        self._save(found)
-
-    def _save(self, found: Entity) -> None:
-        self.entity.update(found.state())
-        self.counters.update(tuple(found.counters.values()))
+            self._wait(rest)
+        if moved:
+            self._save(states)
+        self._schedule(None, min([*(us for us, _ in rest), *(at for at in due.values() if at is not None)], default=None))
 
     def close(self) -> None:
         pass
@@ -271,6 +301,7 @@ def session_records(
     minutes: int = 15,
     watermark: str = WATERMARK,
     max_session_hours: float = MAX_SESSION_HOURS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming records of the keyed state from event rows (EVENT_SCHEMA) and changes of
     the tracked set (CHANGE_SCHEMA; without it no message counts)."""
@@ -291,7 +322,9 @@ def session_records(
     rows = rows.withWatermark(EVENT_INSTANT, watermark).withColumn("title", with_default("title", DEFAULT_TITLE))
     # names the instant, so that it is not pushed below the watermark: a clock row must pass that
     events_only = (F.col("kind") != "clock") | F.col(EVENT_INSTANT).isNull()
-    out = rows.where(events_only).groupBy("login").transformWithState(
+    bucket = F.pmod(F.xxhash64("login"), F.lit(buckets)).cast("int").alias("bucket")
+    keyed = rows.where(events_only).select(bucket, EVENT_INSTANT, "us", F.to_json(F.struct(*_ARRIVAL)).alias("arrival"))
+    out = keyed.groupBy("bucket").transformWithState(
         SessionTracker(minutes, max_session_hours), _OUTPUT, "append", "eventTime"
     )
     return out.select(
@@ -371,5 +404,11 @@ def message_tails(records: DataFrame) -> DataFrame:
 def state_counters(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The counters of every entity, read from the state store of the last finished
     micro-batch; any session can read them while the query runs."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "counters").load()
-    return state.select("key.login", *(f"value.{c}" for c in COUNTERS))
+    read = lambda var: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", var).load()
+    # JSON arrays of arrays, whose values all read as strings
+    kept = read("entity").select(F.explode(F.from_json("value.kept", "array<array<string>>")).alias("k"))
+    kept = kept.select(*(F.col("k")[_KEPT.index(c)].cast("string" if c == "login" else "bigint").alias(c) for c in ("login", *COUNTERS)))
+    # an entity all of whose arrivals still wait has counted nothing
+    arrivals = read("waiting").select(F.explode(F.from_json("list_element.rows", "array<array<string>>")).alias("a"))
+    waiting = arrivals.select(F.get_json_object(F.col("a")[1], "$.login").alias("login"), *(F.lit(0).cast("bigint").alias(c) for c in COUNTERS))
+    return kept.unionByName(waiting.distinct()).groupBy("login").agg(*(F.sum(c).alias(c) for c in COUNTERS))
